@@ -85,6 +85,38 @@ def ring_area_centroid(ring) -> Column:
                     F.when(ok, s["a"] / 2).alias("area"))
 
 
+def ring_shoelace(ring) -> Column:
+    """Shoelace accumulators of one ring: struct(a, sx, sy, x0, y0, n); `ring` should be
+    a column reference (the expression is evaluated once). Finish with
+    `shoelace_centroid` on the materialised struct."""
+    r = _c(ring)
+    n = F.size(r)
+    x0, y0 = F.get(r, 0)[0], F.get(r, 0)[1]
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
+
+    def step(acc, i):
+        p, q = F.get(r, i), F.get(r, (i + 1) % n)
+        xi, yi = p[0] - x0, p[1] - y0
+        xj, yj = q[0] - x0, q[1] - y0
+        cross = xi * yj - xj * yi
+        return F.struct((acc["a"] + cross).alias("a"),
+                        (acc["sx"] + (xi + xj) * cross).alias("sx"),
+                        (acc["sy"] + (yi + yj) * cross).alias("sy"))
+
+    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step)
+    return F.when(r.isNotNull() & (n >= 3), F.struct(s["a"].alias("a"), s["sx"].alias("sx"), s["sy"].alias("sy"),
+                                                     x0.alias("x0"), y0.alias("y0")))
+
+
+def shoelace_centroid(s) -> Column:
+    """struct(x, y, area) from a materialised `ring_shoelace` struct; NULL if degenerate."""
+    s = _c(s)
+    ok = s.isNotNull() & (s["a"] != 0)
+    return F.struct(F.when(ok, s["sx"] / (s["a"] * 3) + s["x0"]).alias("x"),
+                    F.when(ok, s["sy"] / (s["a"] * 3) + s["y0"]).alias("y"),
+                    F.when(ok, s["a"] / 2).alias("area"))
+
+
 def parts_area_centroid(parts) -> Column:
     """X4, multi-part: area-weighted over parts and rings (holes carry negative weight
     when wound opposite to the shell). `parts` is parts -> rings -> points."""

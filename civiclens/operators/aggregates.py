@@ -94,18 +94,18 @@ def topic_frequency_by_area(topics: DataFrame, names: DataFrame, inner: Sequence
     """Inner vs outer mentions per named topic and their percents. A comment with
     no council counts as outer. One explode, two conditional counts."""
     m = topic_mentions(topics.withColumn("_inner", flag_in("council", inner)), list_col, keep=["_inner"])
-    counts = m.groupBy("topic").agg(F.count_if(F.col("_inner")).alias("inner"),
-                                    F.count_if(~F.col("_inner")).alias("outer"))
+    counts = m.groupBy("topic").agg(F.count_if(F.col("_inner")).alias("inner_count"),
+                                    F.count_if(~F.col("_inner")).alias("outer_count"))
     base = (bounded(names.select("topic_id", "topic_group", "color"))
             .join(counts, F.col("topic_id") == F.col("topic"), "left")
             .select("topic_id", "topic_group", "color",
-                    F.coalesce(F.col("inner"), F.lit(0)).alias("inner"),
-                    F.coalesce(F.col("outer"), F.lit(0)).alias("outer")))
-    tot = base.agg(F.sum("inner").alias("i"), F.sum("outer").alias("o"))
-    ti, to = tot.select("i").scalar(), tot.select("o").scalar()
+                    F.coalesce(F.col("inner_count"), F.lit(0)).alias("inner_count"),
+                    F.coalesce(F.col("outer_count"), F.lit(0)).alias("outer_count")))
+    # One scalar subquery returning both totals (evaluated once).
+    tot = base.select(F.struct(F.sum("inner_count").alias("i"), F.sum("outer_count").alias("o"))).scalar()
     return base.select("*",
-                       F.round(F.try_divide(F.col("inner"), ti) * 100, digits).alias("inner_pct"),
-                       F.round(F.try_divide(F.col("outer"), to) * 100, digits).alias("outer_pct"))
+                       F.round(F.try_divide(F.col("inner_count"), tot["i"]) * 100, digits).alias("inner_pct"),
+                       F.round(F.try_divide(F.col("outer_count"), tot["o"]) * 100, digits).alias("outer_pct"))
 
 
 def first_topics(names: DataFrame, n: int) -> DataFrame:
@@ -120,7 +120,7 @@ def topic_by_housing_type(topics: DataFrame, names: DataFrame, n: int = K.TOP_TO
     zero-filled, for the housing types of `housing_order` present in the data."""
     top = first_topics(names, n).select("topic_id", "topic_group", "color", "file_order")
     counts = (topic_mentions(topics.where(F.col("housing_type").isNotNull()), list_col, keep=["housing_type"])
-              .groupBy("housing_type", "topic").agg(F.count("*").alias("mentions")))
+              .groupBy(F.col("housing_type").alias("_ht"), "topic").agg(F.count("*").alias("mentions")))
     present = (topics.where(F.col("housing_type").isin(list(housing_order)))
                .select("housing_type").distinct())
     # Grid of (present type) x (first n topics) built by a generator over a bounded
@@ -128,8 +128,8 @@ def topic_by_housing_type(topics: DataFrame, names: DataFrame, n: int = K.TOP_TO
     ids = top.select(F.sort_array(F.collect_list("topic_id"))).scalar()
     grid = present.select("housing_type", F.explode(ids).alias("topic_id"))
     return (grid.join(bounded(top), "topic_id")
-            .join(counts, (F.col("housing_type") == counts["housing_type"]) & (F.col("topic_id") == F.col("topic")), "left")
-            .select(grid["housing_type"], "topic_id", "topic_group", "color", "file_order",
+            .join(counts, (F.col("housing_type") == F.col("_ht")) & (F.col("topic_id") == F.col("topic")), "left")
+            .select("housing_type", "topic_id", "topic_group", "color", "file_order",
                     F.coalesce(F.col("mentions"), F.lit(0)).alias("mentions")))
 
 

@@ -48,6 +48,20 @@ def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return joined.select(*keys, "_x", (F.col("_off") + F.col("_id") - F.col("_first")).alias("_rank"), "_n")
 
 
+def _quantile_aggs(probs: Sequence[float], names: Sequence[str]) -> tuple[list, list]:
+    """Aggregates picking the order statistics around each q*(n-1), and the
+    interpolation expressions over their results."""
+    aggs, outs = [], []
+    for i, (p, nm) in enumerate(zip(probs, names)):
+        ps = F.lit(float(p)) * (F.col("_n") - 1)
+        aggs.append(F.max(F.when(F.col("_rank") == F.floor(ps), F.col("_x"))).alias(f"_lo{i}"))
+        aggs.append(F.max(F.when(F.col("_rank") == F.ceil(ps), F.col("_x"))).alias(f"_hi{i}"))
+        aggs.append(F.first(ps - F.floor(ps)).alias(f"_fr{i}"))
+        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
+        outs.append((nm, lo + (hi - lo) * fr))
+    return aggs, outs
+
+
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
     """Per group: n and the exact linear-interpolated quantiles `probs` of `value`
@@ -55,22 +69,9 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
     keys = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     r = _ranked(df, value, keys)
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    wanted = F.lit(False)
-    for ps in pos:
-        wanted = wanted | (F.col("_rank") == F.floor(ps)) | (F.col("_rank") == F.ceil(ps))
-    picked = r.where(wanted)
-    aggs = [F.first("_n").alias("n")]
-    for i, ps in enumerate(pos):
-        aggs.append(F.max(F.when(F.col("_rank") == F.floor(ps), F.col("_x"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("_rank") == F.ceil(ps), F.col("_x"))).alias(f"_hi{i}"))
-        aggs.append(F.first(ps - F.floor(ps)).alias(f"_fr{i}"))
-    g = picked.groupBy(*keys).agg(*aggs)
-    out = [*keys, "n"]
-    for i, nm in enumerate(names):
-        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
-        out.append((lo + (hi - lo) * fr).alias(nm))
-    return g.select(*out)
+    aggs, outs = _quantile_aggs(probs, names)
+    g = r.groupBy(*keys).agg(F.first("_n").alias("n"), *aggs)
+    return g.select(*keys, "n", *[e.alias(nm) for nm, e in outs])
 
 
 def percentiles(df: DataFrame, value: str, probs: Sequence[float] = (0.95, 0.99),
@@ -85,43 +86,45 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5,
               digits: int = 6) -> DataFrame:
     """H6: per group n, mean, quartiles, whiskers and outlier count (matplotlib's
     rules: a whisker is the furthest point within 1.5 IQR of its quartile, or the
-    quartile itself when no point lies beyond it inside the fence)."""
+    quartile itself when no point lies beyond it inside the fence; outliers are the
+    points beyond the fences).
+
+    Passes: range shuffle + checkpoint of (group, value); then, over the checkpoint,
+    a per-(partition, group) count, one aggregate for quartiles and mean, and one
+    aggregate for whiskers and outliers against the per-group fences. The fence
+    table has one row per group and is broadcast by AQE after measuring."""
     keys = list(by)
-    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    q = exact_quantiles(x, "_v", keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    fences = q.select(*keys, "n", "q1", "median", "q3",
+    r = _ranked(df, value, keys)
+    aggs, outs = _quantile_aggs([0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    q = (r.groupBy(*keys).agg(F.first("_n").alias("n"), F.avg("_x").alias("mean"), *aggs)
+         .select(*keys, "n", "mean", *[e.alias(nm) for nm, e in outs]))
+    fences = q.select(*keys, "n", "mean", "q1", "median", "q3",
                       (F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_lof"),
                       (F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_hif"))
-    # One row per group: AQE broadcasts it after measuring; the pass over the data is
-    # a partial + final aggregate, so a hot group does not concentrate.
-    v = F.col("_v")
-    agg = (x.join(fences, keys).groupBy(*keys).agg(
-        F.avg(v).alias("mean"),
+    v = F.col("_x")
+    agg = (r.select(*keys, "_x").join(fences, keys).groupBy(*keys).agg(
         F.max(F.when(v <= F.col("_hif"), v)).alias("_whi"),
         F.min(F.when(v >= F.col("_lof"), v)).alias("_wlo"),
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.first("n").alias("n")))
+        F.count_if((v < F.col("_lof")) | (v > F.col("_hif"))).alias("n_fliers"),
+        *[F.first(c).alias(c) for c in ("n", "mean", "q1", "median", "q3")]))
     whishi = F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3")).otherwise(F.col("_whi"))
     whislo = F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1")).otherwise(F.col("_wlo"))
-    stats = agg.select(*keys, "n", "mean", "q1", "median", "q3", whislo.alias("whislo"), whishi.alias("whishi"))
-    fl = (x.join(stats.select(*keys, "whislo", "whishi"), keys)
-          .groupBy(*keys).agg(F.count_if((v < F.col("whislo")) | (v > F.col("whishi"))).alias("n_fliers")))
-    r = lambda c: F.round(F.col(c), digits).alias(c)
-    return stats.join(fl, keys).select(*keys, "n", r("mean"), r("q1"), r("median"), r("q3"),
-                                       r("whislo"), r("whishi"), "n_fliers")
+    r6 = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
+    return agg.select(*keys, "n", r6("mean").alias("mean"), r6("q1").alias("q1"), r6("median").alias("median"),
+                      r6("q3").alias("q3"), r6(whislo).alias("whislo"), r6(whishi).alias("whishi"), "n_fliers")
 
 
 def describe(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max (pandas `describe`)."""
-    q = exact_quantiles(df, value, [], [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    m = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
-               F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    # Both sides are single rows; the scalar subqueries avoid a cross join.
-    r = lambda c: F.round(c, digits)
-    return m.select("count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                    r(F.col("min")).alias("min"),
-                    r(q.select("p25").scalar()).alias("p25"), r(q.select("p50").scalar()).alias("p50"),
-                    r(q.select("p75").scalar()).alias("p75"), r(F.col("max")).alias("max"))
+    """Count, mean, sample std, min, quartiles, max (pandas `describe`), in one
+    aggregate over the ranked values."""
+    r = _ranked(df, value, [])
+    aggs, outs = _quantile_aggs([0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    g = r.groupBy().agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+                        F.min("_x").alias("min"), F.max("_x").alias("max"), F.first("_n").alias("_n"), *aggs)
+    r6 = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
+    o = g.select("count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
+                 *[r6(e).alias(nm) for nm, e in outs], r6("max").alias("max"))
+    return o
 
 
 def quantile_position(p: float, n: int) -> tuple[int, int, float]:

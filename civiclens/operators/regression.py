@@ -63,20 +63,31 @@ def pearson(df: DataFrame, x: str, y: str | Column, by: Sequence[str] = (), with
     return a.select(*cols)
 
 
-def welch_t(a: DataFrame, b: DataFrame, x: str, with_p: bool = False, digits: int = 6) -> DataFrame:
-    """Welch's two-sample t statistic of `x` in a vs b (NULLs dropped), the
-    Welch-Satterthwaite degrees of freedom, and optionally the two-sided p."""
-    sa = a.agg(F.count(x).alias("n_a"), F.avg(x).alias("m_a"), F.var_samp(x).alias("v_a"))
-    sb = b.agg(F.count(x).alias("n_b"), F.avg(x).alias("m_b"), F.var_samp(x).alias("v_b"))
-    na, ma, va = (sa.select(c).scalar() for c in ("n_a", "m_a", "v_a"))
-    nb, mb, vb = (sb.select(c).scalar() for c in ("n_b", "m_b", "v_b"))
-    qa, qb = va / na, vb / nb
-    t = F.try_divide(ma - mb, F.sqrt(qa + qb))
-    dof = F.try_divide((qa + qb) * (qa + qb), qa * qa / (na - 1) + qb * qb / (nb - 1))
-    cols = [na.alias("n_a"), nb.alias("n_b"), F.round(t, digits).alias("t"), F.round(dof, digits).alias("df")]
+def welch_t(a: DataFrame, b: DataFrame, x: str | None = None, with_p: bool = False, digits: int = 6,
+            by: Sequence[str] = (), value: str | None = None) -> DataFrame:
+    """Welch's two-sample t statistic of a vs b (NULLs dropped), the
+    Welch-Satterthwaite degrees of freedom and optionally the two-sided p.
+
+    Both samples are tagged and aggregated in one pass (per group of `by`, e.g. one
+    group per variable of a long table); the statistic is arithmetic on the
+    aggregated row."""
+    col = value or x
+    keys = list(by)
+    tagged = (a.select(*keys, F.col(col).cast("double").alias("_v"), F.lit(True).alias("_a"))
+              .unionByName(b.select(*keys, F.col(col).cast("double").alias("_v"), F.lit(False).alias("_a"))))
+    va, vb = F.when(F.col("_a"), F.col("_v")), F.when(~F.col("_a"), F.col("_v"))
+    g = (tagged.groupBy(*keys) if keys else tagged.groupBy()).agg(
+        F.count(va).alias("n_a"), F.avg(va).alias("_ma"), F.var_samp(va).alias("_va"),
+        F.count(vb).alias("n_b"), F.avg(vb).alias("_mb"), F.var_samp(vb).alias("_vb"))
+    g = g.withColumns({"_qa": F.col("_va") / F.col("n_a"), "_qb": F.col("_vb") / F.col("n_b")})
+    qa, qb = F.col("_qa"), F.col("_qb")
+    g = g.withColumns({"_t": F.try_divide(F.col("_ma") - F.col("_mb"), F.sqrt(qa + qb)),
+                       "_df": F.try_divide((qa + qb) * (qa + qb),
+                                           qa * qa / (F.col("n_a") - 1) + qb * qb / (F.col("n_b") - 1))})
+    cols = [*keys, "n_a", "n_b", F.round("_t", digits).alias("t"), F.round("_df", digits).alias("df")]
     if with_p:
-        cols.append(F.round(student_t_p(t, dof), digits).alias("p"))
-    return a.sparkSession.range(1).select(*cols)
+        cols.append(F.round(student_t_p(F.col("_t"), F.col("_df")), digits).alias("p"))
+    return g.select(*cols)
 
 
 def regression_band(df: DataFrame, x: str, y: str, by: str, replicates: int = 1000,

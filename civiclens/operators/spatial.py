@@ -22,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.functions.geo import ring_area_centroid
 
 
 def polygon_edges(rings: Column) -> Column:
@@ -110,16 +109,17 @@ def padded_extent(ext: DataFrame, margin_fraction: float | None = None,
 
 def area_centroids(df: DataFrame, rings: str) -> DataFrame:
     """X4 on the outer ring: adds centroid_x, centroid_y (planar)."""
-    c = ring_area_centroid(F.get(F.col(rings), 0))
-    return df.withColumns({"centroid_x": c["x"], "centroid_y": c["y"]})
+    from civiclens.operators.geometry import with_area_centroid
+    d = df.withColumn("_outer", F.get(F.col(rings), 0))
+    return with_area_centroid(d, "_outer", "centroid_x", "centroid_y").drop("_outer")
 
 
 def nearest_edge(df: DataFrame, ext: DataFrame, x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
     """The bounding-box edge nearest to each point; ties go left, right, top,
     bottom in that order. Points with a NULL coordinate get no side. The extent is
     one row, used through scalar subqueries."""
-    minx, maxx = ext.select("minx").scalar(), ext.select("maxx").scalar()
-    miny, maxy = ext.select("miny").scalar(), ext.select("maxy").scalar()
+    e = ext.select(F.struct("minx", "miny", "maxx", "maxy")).scalar()  # one subquery
+    minx, maxx, miny, maxy = e["minx"], e["maxx"], e["miny"], e["maxy"]
     dl, dr = F.abs(F.col(x) - minx), F.abs(maxx - F.col(x))
     db, dt = F.abs(F.col(y) - miny), F.abs(maxy - F.col(y))
     m = F.least(dl, dr, dt, db)
@@ -134,8 +134,8 @@ def even_spacing(df: DataFrame, ext: DataFrame, margin_fraction: float, key: str
     west->east for top/bottom, ties by key) and spaced evenly: position
     lo + (i+1)(hi-lo)/(n+1); the other coordinate sits outside the box by the margin.
     The window is partitioned by side over map areas (a bounded set)."""
-    minx, maxx = ext.select("minx").scalar(), ext.select("maxx").scalar()
-    miny, maxy = ext.select("miny").scalar(), ext.select("maxy").scalar()
+    e = ext.select(F.struct("minx", "miny", "maxx", "maxy")).scalar()  # one subquery
+    minx, maxx, miny, maxy = e["minx"], e["maxx"], e["miny"], e["maxy"]
     xm, ym = (maxx - minx) * margin_fraction, (maxy - miny) * margin_fraction
     vertical = F.col("side").isin("left", "right")
     along = F.when(vertical, F.col(y)).otherwise(F.col(x))

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclens import constants as K
-from civiclens.functions.geo import outer_ring, ring_area_centroid, ring_vertex_mean
 from civiclens.functions.lists import contains, parse_double_list, parse_int_list, primary_topic
 from civiclens.functions.scalar import area_class, sign_class
 from civiclens.operators import aggregates as G
+from civiclens.operators import geometry as GM
 from civiclens.operators import histograms as H
 from civiclens.operators import quantiles as Qn
 from civiclens.operators import regression as R
@@ -162,8 +162,8 @@ def highlight_flag(spark, sf_dir):
 # -- joins -------------------------------------------------------------------------------
 @query
 def first_row_per_key(spark, sf_dir):
-    pld = Fixtures(spark, sf_dir).pld
-    valid = pld.where(outer_ring(COORDS).isNotNull()).select("lpa_app_no", "borough", "src_ord")
+    pld = GM.with_outer_ring(Fixtures(spark, sf_dir).pld, COORDS)
+    valid = pld.where(F.col("_ring").isNotNull()).select("lpa_app_no", "borough", "src_ord")
     return keep_first(valid, "lpa_app_no", ["src_ord"])
 
 
@@ -227,19 +227,19 @@ def semi_join_apps(spark, sf_dir):
 # -- geometry ----------------------------------------------------------------------------
 @query
 def vertex_mean_centroid(spark, sf_dir):
-    pld = Fixtures(spark, sf_dir).pld.where(F.col(COORDS).isNotNull())
-    c = ring_vertex_mean(F.get(F.col(COORDS), 0))
-    return pld.select("lpa_app_no", "borough", "src_ord", _r(c["lat"]).alias("centroid_lat"),
-                      _r(c["lon"]).alias("centroid_lon"))
+    pld = Fixtures(spark, sf_dir).pld.where(F.col(COORDS).isNotNull()).withColumn("_ring", F.get(F.col(COORDS), 0))
+    c = GM.with_vertex_mean(pld, "_ring", "lat", "lon")
+    return c.select("lpa_app_no", "borough", "src_ord", _r("lat").alias("centroid_lat"),
+                    _r("lon").alias("centroid_lon"))
 
 
 @query
 def area_centroid(spark, sf_dir):
-    pld = Fixtures(spark, sf_dir).pld
-    c = ring_area_centroid(outer_ring(COORDS))
-    return (pld.select("lpa_app_no", "borough", "src_ord", c.alias("c")).where(F.col("c.x").isNotNull())
-            .select("lpa_app_no", "borough", "src_ord", _r("c.x").alias("centroid_x"),
-                    _r("c.y").alias("centroid_y"), _r("c.area").alias("area")))
+    pld = GM.with_outer_ring(Fixtures(spark, sf_dir).pld, COORDS).where(F.col("_ring").isNotNull())
+    # Valid polygons; a degenerate (zero-area) ring keeps its row with NULL centroid.
+    c = GM.with_area_centroid(pld, "_ring", "cx", "cy", "area")
+    return c.select("lpa_app_no", "borough", "src_ord", _r("cx").alias("centroid_x"),
+                    _r("cy").alias("centroid_y"), _r("area").alias("area"))
 
 
 def _lsoa_sides(spark, sf_dir):
@@ -467,11 +467,10 @@ def _welch(spark, sf_dir, with_p):
     census = _census(spark, sf_dir)
     with_comments = _comments_lsoa(spark, sf_dir).where(F.col("lsoa_code").isNotNull())
     b = semi_join(census, with_comments, "lsoa_code", "lsoa_code")
-    out = None
-    for v in K.SOCIO_VARS:
-        t = R.welch_t(census, b, v, with_p).select(F.lit(v).alias("variable"), "*")
-        out = t if out is None else out.unionByName(t)
-    return out
+    stack = F.expr("stack(3, 'percent_age_50_plus', percent_age_50_plus, "
+                   "'percent_occupation_1_2_3', percent_occupation_1_2_3, "
+                   "'percent_owned_total', percent_owned_total) AS (variable, value)")
+    return R.welch_t(census.select(stack), b.select(stack), value="value", by=["variable"], with_p=with_p)
 
 
 @query

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclens import constants as K
-from civiclens.functions.geo import area_centroid_bng, haversine_km, outer_ring, ring_area_centroid, ring_vertex_mean
+from civiclens.functions.geo import haversine_km
+from civiclens.operators import geometry as GM
 from civiclens.functions.lists import contains, parse_double_list, parse_int_list, primary_topic
 from civiclens.functions.scalar import percent, row_sum
 from civiclens.operators.relational import exists_flag, keep_first, lookup, semi_join
@@ -37,20 +38,22 @@ def application_centroids(pld: DataFrame, method: str = "planar") -> DataFrame:
     """X1 + X2/X4 + W1: one centroid per application number (first in source order)
     among valid polygons. method: "bng" (area centroid in the National Grid, as the
     original analysis), "planar" (area centroid in lon/lat), "vertex_mean" (X3)."""
-    ring = outer_ring(COORDS)
+    base = pld.where(F.col(COORDS).isNotNull()).select("lpa_app_no", "borough", "src_ord", COORDS)
     if method == "vertex_mean":
-        c = ring_vertex_mean(F.get(F.col(COORDS), 0))
-        lat, lon = c["lat"], c["lon"]
+        c = GM.with_vertex_mean(base.withColumn("_ring", F.get(F.col(COORDS), 0)), "_ring",
+                                "centroid_lat", "centroid_lon")
     elif method == "bng":
-        c = area_centroid_bng(ring)
-        lat, lon = c["lat"], c["lon"]
+        c = GM.with_area_centroid_bng(GM.with_outer_ring(base, COORDS), "_ring",
+                                      ["lpa_app_no", "borough", "src_ord"], "centroid_lat", "centroid_lon")
     else:
-        c = ring_area_centroid(ring)
-        lat, lon = c["y"], c["x"]
-    cent = (pld.where(F.col(COORDS).isNotNull())
-            .select("lpa_app_no", "borough", "src_ord", lat.alias("centroid_lat"), lon.alias("centroid_lon"))
-            .where(F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()))
-    return keep_first(cent, "lpa_app_no", ["src_ord"]).drop("src_ord")
+        c = GM.with_area_centroid(GM.with_outer_ring(base, COORDS), "_ring", "centroid_lon", "centroid_lat")
+    # "drop missing centroids, then first per application" as one window: rows without
+    # a centroid sort last and are removed after the window. Filtering before the
+    # window would let the optimizer copy the centroid expression into the filter.
+    missing = F.col("centroid_lat").isNull() | F.col("centroid_lon").isNull()
+    cent = c.select("lpa_app_no", "borough", "src_ord", "centroid_lat", "centroid_lon")
+    first = keep_first(cent, "lpa_app_no", [missing.asc(), F.col("src_ord").asc()])
+    return first.where(F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()).drop("src_ord")
 
 
 def comment_distances(comments: DataFrame, topic_text: DataFrame, pld: DataFrame,

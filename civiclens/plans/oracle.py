@@ -57,11 +57,13 @@ shoelace AS (
     MAX(x0) AS x0, MAX(y0) AS y0
   FROM edges GROUP BY 1, 2, 3),
 area_c AS (
-  SELECT lpa_app_no, borough, src_ord, sx / (a * 3) + x0 AS cx, sy / (a * 3) + y0 AS cy, a / 2 AS area
-  FROM shoelace WHERE a <> 0)"""
+  SELECT lpa_app_no, borough, src_ord, CASE WHEN a <> 0 THEN sx / (a * 3) + x0 END AS cx,
+    CASE WHEN a <> 0 THEN sy / (a * 3) + y0 END AS cy, CASE WHEN a <> 0 THEN a / 2 END AS area
+  FROM shoelace)"""
 CENTROID_LOOKUP = """cl AS (
   SELECT lpa_app_no, borough, cy AS centroid_lat, cx AS centroid_lon FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY lpa_app_no ORDER BY src_ord) AS rn FROM area_c) WHERE rn = 1)"""
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY lpa_app_no ORDER BY src_ord) AS rn FROM area_c
+    WHERE cx IS NOT NULL AND cy IS NOT NULL) WHERE rn = 1)"""
 HAV = ("6371e0 * 2 * ASIN(CASE WHEN SQRT({a}) > 1 THEN 1e0 ELSE SQRT({a}) END)")
 
 
@@ -330,11 +332,11 @@ lc1 AS (SELECT lsoa_code, x0, y0,
     ax, ay, bx, by_, cx_, cy_, dx, dy FROM lc0),
 lc AS (SELECT lsoa_code,
     (((((0e0 + (ax + bx) * k1) + (bx + cx_) * k2) + (cx_ + dx) * k3) + (dx + ax) * k4) + 0e0)
-      / (((((0e0 + k1) + k2) + k3) + k4) + 0e0) * 3) + x0 AS centroid_x,
+      / ((((((0e0 + k1) + k2) + k3) + k4) + 0e0) * 3) + x0 AS centroid_x,
     (((((0e0 + (ay + by_) * k1) + (by_ + cy_) * k2) + (cy_ + dy) * k3) + (dy + ay) * k4) + 0e0)
-      / (((((0e0 + k1) + k2) + k3) + k4) + 0e0) * 3) + y0 AS centroid_y
+      / ((((((0e0 + k1) + k2) + k3) + k4) + 0e0) * 3) + y0 AS centroid_y
   FROM lc1),
-sides AS (SELECT lc.*, CASE
+sides AS (SELECT lc.*, ext.*, CASE
     WHEN ABS(centroid_x - minx) = LEAST(ABS(centroid_x - minx), ABS(maxx - centroid_x), ABS(maxy - centroid_y), ABS(centroid_y - miny)) THEN 'left'
     WHEN ABS(maxx - centroid_x) = LEAST(ABS(centroid_x - minx), ABS(maxx - centroid_x), ABS(maxy - centroid_y), ABS(centroid_y - miny)) THEN 'right'
     WHEN ABS(maxy - centroid_y) = LEAST(ABS(centroid_x - minx), ABS(maxx - centroid_x), ABS(maxy - centroid_y), ABS(centroid_y - miny)) THEN 'top'

@@ -19,6 +19,9 @@ _SCALE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
+    # Staged geometry adds many aliased columns; constraint inference over them grows
+    # combinatorially and brings nothing to these plans.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -93,6 +93,9 @@ VIEW_DEPS: dict[str, list[str]] = {
     "fx_census": [],
 }
 
+# Vertex offsets (dx, dy) of fx_vertex, in `pos` order.
+VERTEX_OFFSETS = [("0e0", "0e0"), ("1e0", "0e0"), ("1e0", "1e0"), ("3e-1", "15e-1"), ("0e0", "0e0")]
+
 # Parameters of the fixture binding (FIXTURES.md section 2).
 FIXTURE_INNER = [f"NATION_{i}" for i in range(14)]
 FIXTURE_BOROUGH = "NATION_3"
@@ -177,17 +180,22 @@ class Fixtures:
 
     @cached_property
     def pld(self) -> DataFrame:
-        """pld.parquet with the nested `wgs84_polygon.coordinates` column (rings -> points -> [lon, lat])."""
-        rings = (self.view("fx_vertex")
-                 .groupBy("lpa_app_no", "borough", "src_ord")
-                 .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("_v"))
-                 .select("lpa_app_no", "borough", "src_ord",
-                         F.array(_ring_from_sorted(F.col("_v"))).alias("wgs84_polygon.coordinates")))
-        return (self.view("fx_pld")
-                .join(rings, ["lpa_app_no", "borough", "src_ord"], "left")
-                .select("lpa_app_no", "borough", "housing_type",
-                        "total_no_proposed_residential_units", "src_ord",
-                        "`wgs84_polygon.coordinates`"))
+        """pld.parquet with the nested `wgs84_polygon.coordinates` column (rings -> points -> [lon, lat]).
+
+        The ring is built per pld row with the vertex expressions of `fx_vertex`
+        (same doubles, same validity rules), so no shuffle is needed to regroup
+        the vertices; `fx_vertex` remains the oracle's long form."""
+        pts = []
+        for pos, (dx, dy) in enumerate(VERTEX_OFFSETS):
+            x = F.expr(f"-5e-1 + ((k * 37) % 1000) * 8e-4 + {dx} * 1e-3 * (1 + k % 5)")
+            y = F.expr(f"513e-1 + ((k * 53) % 1000) * 4e-4 + {dy} * 6e-4 * (1 + k % 3)")
+            keep = F.expr(f"NOT (k % 41 = 0 AND {pos} > 1)")
+            pts.append(F.when(keep, F.array(x, y)))
+        ring = F.filter(F.array(*pts), lambda p: p.isNotNull())
+        coords = F.when(F.expr("k % 20 <> 0"), F.array(ring))
+        return self.view("fx_pld").select(
+            "lpa_app_no", "borough", "housing_type", "total_no_proposed_residential_units", "src_ord",
+            coords.alias("wgs84_polygon.coordinates"))
 
     @cached_property
     def applications(self) -> DataFrame:

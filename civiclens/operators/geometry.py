@@ -72,13 +72,18 @@ def _temp_cols(df: DataFrame, before: Sequence[str], keep: Sequence[str]) -> Dat
     return df.drop(*[c for c in df.columns if c not in before and c not in keep])
 
 
-def with_bng(df: DataFrame, lat: str, lon: str, e: str = "bng_e", n: str = "bng_n") -> DataFrame:
-    """WGS84 (lat, lon degrees) -> National Grid (e, n metres), staged."""
+def with_bng(df: DataFrame, lat: str, lon: str, e: str = "bng_e", n: str = "bng_n",
+             datum_shift: bool = True) -> DataFrame:
+    """WGS84 (lat, lon degrees) -> National Grid (e, n metres), staged.
+    datum_shift=False takes OSGB36 (Airy) latitude/longitude directly."""
     before = list(df.columns)
     df = _stage(df, {"_b_lat": F.radians(F.col(lat)), "_b_lon": F.radians(F.col(lon))})
-    df = _to_cart(df, "_b_lat", "_b_lon", X.GRS80_A, X.GRS80_B, "_b_c")
-    df = _helmert(df, "_b_c", "_b_h", 1.0)
-    df = _to_geodetic(df, "_b_h", X.AIRY_A, X.AIRY_B, "_b_phi", "_b_lam")
+    if datum_shift:
+        df = _to_cart(df, "_b_lat", "_b_lon", X.GRS80_A, X.GRS80_B, "_b_c")
+        df = _helmert(df, "_b_c", "_b_h", 1.0)
+        df = _to_geodetic(df, "_b_h", X.AIRY_A, X.AIRY_B, "_b_phi", "_b_lam")
+    else:
+        df = _stage(df, {"_b_phi": F.col("_b_lat"), "_b_lam": F.col("_b_lon")})
     a, b, f0 = X.AIRY_A, X.AIRY_B, X.NG_F0
     e2 = 1 - (b * b) / (a * a)
     phi = F.col("_b_phi")
@@ -106,8 +111,9 @@ def with_bng(df: DataFrame, lat: str, lon: str, e: str = "bng_e", n: str = "bng_
 
 
 def with_wgs84(df: DataFrame, e: str, n: str, lat: str = "lat", lon: str = "lon",
-               iterations: int = 6) -> DataFrame:
-    """X5 inverse: National Grid (e, n) -> WGS84 (lat, lon degrees), staged."""
+               iterations: int = 6, datum_shift: bool = True) -> DataFrame:
+    """X5 inverse: National Grid (e, n) -> WGS84 (lat, lon degrees), staged.
+    datum_shift=False returns OSGB36 (Airy) latitude/longitude."""
     before = list(df.columns)
     a, b, f0 = X.AIRY_A, X.AIRY_B, X.NG_F0
     e2 = 1 - (b * b) / (a * a)
@@ -137,9 +143,12 @@ def with_wgs84(df: DataFrame, e: str, n: str, lat: str = "lat", lon: str = "lon"
         "_w_lat": phi - c("_w_vii") * de ** 2 + c("_w_viii") * de ** 4 - c("_w_ix") * de ** 6,
         "_w_lon": math.radians(X.NG_LON0) + c("_w_x") * de - c("_w_xi") * de ** 3 + c("_w_xii") * de ** 5
         - c("_w_xiia") * de ** 7})
-    df = _to_cart(df, "_w_lat", "_w_lon", X.AIRY_A, X.AIRY_B, "_w_c")
-    df = _helmert(df, "_w_c", "_w_h", -1.0)
-    df = _to_geodetic(df, "_w_h", X.GRS80_A, X.GRS80_B, "_w_la", "_w_lo")
+    if datum_shift:
+        df = _to_cart(df, "_w_lat", "_w_lon", X.AIRY_A, X.AIRY_B, "_w_c")
+        df = _helmert(df, "_w_c", "_w_h", -1.0)
+        df = _to_geodetic(df, "_w_h", X.GRS80_A, X.GRS80_B, "_w_la", "_w_lo")
+    else:
+        df = _stage(df, {"_w_la": F.col("_w_lat"), "_w_lo": F.col("_w_lon")})
     df = _stage(df, {lat: F.degrees(F.col("_w_la")), lon: F.degrees(F.col("_w_lo"))})
     return _temp_cols(df, before, [lat, lon])
 

@@ -52,7 +52,8 @@ def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = (), shared:
         v = v.where(F.col(k).isNotNull())
     if not keys or shared:
         rng = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        lo, hi = _widen(rng.select("lo").scalar(), rng.select("hi").scalar())
+        r = rng.select(F.struct("lo", "hi")).scalar()  # one subquery
+        lo, hi = _widen(r["lo"], r["hi"])
         groups = v.select(*keys).distinct() if keys else None
         binned = v.select(*keys, bin_index(F.col("_x"), lo, hi, bins).alias("bin"))
         lo_c, hi_c = lo, hi
@@ -115,7 +116,8 @@ def kde_1d(df: DataFrame, x: str, by: str, gridsize: int = 200, bins_for_scale:
     v = df.select(F.col(by).alias("_g"), F.col(x).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & F.col("_g").isNotNull())
     rng = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    lo, hi = rng.select("lo").scalar(), rng.select("hi").scalar()
+    r = rng.select(F.struct("lo", "hi")).scalar()  # one subquery
+    lo, hi = r["lo"], r["hi"]
     stats = v.groupBy("_g").agg(F.count("*").alias("_n"), F.stddev_samp("_x").alias("_sd"))
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     distinct = v.groupBy("_g", "_x").agg(F.count("*").alias("_w"))

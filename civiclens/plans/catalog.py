@@ -21,7 +21,7 @@ from civiclens.operators import regression as R
 from civiclens.operators import spatial as S
 from civiclens.operators.relational import coverage_report, distinct_values, keep_first, lookup, semi_join
 from civiclens.plans import frames as FR
-from civiclens.sources.fixtures import FIXTURE_BOROUGH, FIXTURE_INNER, FIXTURE_TOPIC, Fixtures
+from civiclens.sources.fixtures import FIXTURE_BOROUGH, FIXTURE_INNER, FIXTURE_TOPIC, fixtures
 
 COORDS = FR.COORDS
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,50 +40,50 @@ def _r(c, d: int = 6):
 # -- G1-G4, P9, G10, G13, S8 -----------------------------------------------------------
 @query
 def stance_by_council(spark, sf_dir):
-    return G.stance_by_council(Fixtures(spark, sf_dir).comments)
+    return G.stance_by_council(fixtures(spark, sf_dir).comments)
 
 
 @query
 def overall_summary(spark, sf_dir):
-    return G.overall_summary(Fixtures(spark, sf_dir).applications)
+    return G.overall_summary(fixtures(spark, sf_dir).applications)
 
 
 @query
 def council_stats(spark, sf_dir):
-    return G.council_stats(Fixtures(spark, sf_dir).applications)
+    return G.council_stats(fixtures(spark, sf_dir).applications)
 
 
 @query
 def stance_size(spark, sf_dir):
-    return G.group_size(Fixtures(spark, sf_dir).comments, "stance")
+    return G.group_size(fixtures(spark, sf_dir).comments, "stance")
 
 
 @query
 def inner_outer_flag(spark, sf_dir):
-    c = Fixtures(spark, sf_dir).comments
+    c = fixtures(spark, sf_dir).comments
     return c.select("comment_id", "council", area_class("council", FIXTURE_INNER).alias("london_area"))
 
 
 @query
 def distinct_boroughs(spark, sf_dir):
-    return distinct_values(Fixtures(spark, sf_dir).applications, "borough")
+    return distinct_values(fixtures(spark, sf_dir).applications, "borough")
 
 
 @query
 def comment_percentiles(spark, sf_dir):
-    return Qn.percentiles(Fixtures(spark, sf_dir).applications, "comment_count", (0.95, 0.99))
+    return Qn.percentiles(fixtures(spark, sf_dir).applications, "comment_count", (0.95, 0.99))
 
 
 @query
 def build_applications(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return FR.build_applications(fx.pld.where("src_ord = 0"), fx.comments)
 
 
 # -- lists and topics ------------------------------------------------------------------
 @query
 def parse_topic_list(spark, sf_dir):
-    t = FR.topic_lists(Fixtures(spark, sf_dir).comments_with_topics)
+    t = FR.topic_lists(fixtures(spark, sf_dir).comments_with_topics)
     a = F.col("topic_list")
     return t.select("comment_id",
                     F.when(a.isNotNull(), F.size(a)).alias("n_topics"),
@@ -94,7 +94,7 @@ def parse_topic_list(spark, sf_dir):
 
 @query
 def parse_probability_list(spark, sf_dir):
-    t = Fixtures(spark, sf_dir).comments_with_topics.withColumn("p", parse_double_list("probability"))
+    t = fixtures(spark, sf_dir).comments_with_topics.withColumn("p", parse_double_list("probability"))
     a = F.col("p")
     return t.select("comment_id",
                     F.when(a.isNotNull(), F.size(a)).alias("n_probs"),
@@ -104,41 +104,41 @@ def parse_probability_list(spark, sf_dir):
 
 @query
 def topic_frequency(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return G.topic_frequency(FR.topic_lists(fx.comments_with_topics), fx.topic_names)
 
 
 @query
 def topic_frequency_by_area(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return G.topic_frequency_by_area(FR.topic_lists(fx.comments_with_topics), fx.topic_names, FIXTURE_INNER)
 
 
 @query
 def topic_by_housing_type(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return G.topic_by_housing_type(FR.topic_lists(fx.comments_with_topics), fx.topic_names)
 
 
 @query
 def topic_top20_other(spark, sf_dir):
-    return G.top_n_other(Fixtures(spark, sf_dir).topic_names)
+    return G.top_n_other(fixtures(spark, sf_dir).topic_names)
 
 
 @query
 def nimby_share(spark, sf_dir):
-    return G.nimby_share(Fixtures(spark, sf_dir).topic_names)
+    return G.nimby_share(fixtures(spark, sf_dir).topic_names)
 
 
 @query
 def topic_cooccurrence(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return G.topic_cooccurrence(FR.topic_lists(fx.comments_with_topics), fx.topic_names)
 
 
 @query
 def primary_topic_per_comment(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     ct = fx.topic_text.select("comment_id", parse_int_list("topic_number", missing_as_empty=True).alias("tl"))
     return (fx.comments.select("comment_id").join(ct, "comment_id", "left")
             .select("comment_id", primary_topic("tl").alias("primary_topic")))
@@ -146,7 +146,7 @@ def primary_topic_per_comment(spark, sf_dir):
 
 @query
 def topic_lookup_default(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     p = primary_topic_per_comment(spark, sf_dir)
     return lookup(p, "primary_topic", fx.topic_names, "topic_id",
                   {"color": "topic_color", "topic_group": "topic_label"},
@@ -155,28 +155,28 @@ def topic_lookup_default(spark, sf_dir):
 
 @query
 def highlight_flag(spark, sf_dir):
-    t = FR.topic_lists(Fixtures(spark, sf_dir).comments_with_topics)
+    t = FR.topic_lists(fixtures(spark, sf_dir).comments_with_topics)
     return t.select("comment_id", contains("topic_list", FIXTURE_TOPIC).alias("is_highlight"))
 
 
 # -- joins -------------------------------------------------------------------------------
 @query
 def first_row_per_key(spark, sf_dir):
-    pld = GM.with_outer_ring(Fixtures(spark, sf_dir).pld, COORDS)
+    pld = GM.with_outer_ring(fixtures(spark, sf_dir).pld, COORDS)
     valid = pld.where(F.col("_ring").isNotNull()).select("lpa_app_no", "borough", "src_ord")
     return keep_first(valid, "lpa_app_no", ["src_ord"])
 
 
 @query
 def comments_with_topics(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return (fx.comments.join(fx.topic_text.select("comment_id", "topic_number"), "comment_id", "left")
             .select("comment_id", "application_id", "council", "stance", "topic_number"))
 
 
 @query
 def comments_with_housing(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     p = fx.pld.select(F.col("lpa_app_no").alias("_a"), F.col("borough").alias("_b"), "housing_type",
                       "total_no_proposed_residential_units")
     return (fx.comments.join(p, (F.col("application_id") == F.col("_a")) & (F.col("council") == F.col("_b")), "left")
@@ -185,7 +185,7 @@ def comments_with_housing(spark, sf_dir):
 
 
 def _distances(spark, sf_dir, method="planar"):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return FR.comment_distances(fx.comments, fx.topic_text, fx.pld, method)
 
 
@@ -212,7 +212,7 @@ def haversine_distance(spark, sf_dir):
 
 @query
 def census_features(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     c = FR.census_features(fx.census_age, fx.census_occupation, fx.census_tenure,
                            age_cols=["age_50_plus"], occ_cols=["occupation_1_2_3"], own_cols=["owned_total"])
     return c.select("lsoa_code", *[_r(v).alias(v) for v in K.SOCIO_VARS])
@@ -220,14 +220,14 @@ def census_features(spark, sf_dir):
 
 @query
 def semi_join_apps(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return semi_join(fx.applications, fx.comments, "lpa_app_no", "application_id").select("lpa_app_no", "borough")
 
 
 # -- geometry ----------------------------------------------------------------------------
 @query
 def vertex_mean_centroid(spark, sf_dir):
-    pld = Fixtures(spark, sf_dir).pld.where(F.col(COORDS).isNotNull()).withColumn("_ring", F.get(F.col(COORDS), 0))
+    pld = fixtures(spark, sf_dir).pld.where(F.col(COORDS).isNotNull()).withColumn("_ring", F.get(F.col(COORDS), 0))
     c = GM.with_vertex_mean(pld, "_ring", "lat", "lon")
     return c.select("lpa_app_no", "borough", "src_ord", _r("lat").alias("centroid_lat"),
                     _r("lon").alias("centroid_lon"))
@@ -235,7 +235,7 @@ def vertex_mean_centroid(spark, sf_dir):
 
 @query
 def area_centroid(spark, sf_dir):
-    pld = GM.with_outer_ring(Fixtures(spark, sf_dir).pld, COORDS).where(F.col("_ring").isNotNull())
+    pld = GM.with_outer_ring(fixtures(spark, sf_dir).pld, COORDS).where(F.col("_ring").isNotNull())
     # Valid polygons; a degenerate (zero-area) ring keeps its row with NULL centroid.
     c = GM.with_area_centroid(pld, "_ring", "cx", "cy", "area")
     return c.select("lpa_app_no", "borough", "src_ord", _r("cx").alias("centroid_x"),
@@ -243,7 +243,7 @@ def area_centroid(spark, sf_dir):
 
 
 def _lsoa_sides(spark, sf_dir):
-    lsoa = Fixtures(spark, sf_dir).lsoa
+    lsoa = fixtures(spark, sf_dir).lsoa
     ext = S.extent(lsoa, "rings")
     cen = S.area_centroids(lsoa, "rings").select("LSOA21CD", "centroid_x", "centroid_y")
     return S.nearest_edge(cen, ext), ext
@@ -251,7 +251,7 @@ def _lsoa_sides(spark, sf_dir):
 
 @query
 def extent_padded(spark, sf_dir):
-    lsoa = Fixtures(spark, sf_dir).lsoa
+    lsoa = fixtures(spark, sf_dir).lsoa
     return S.padded_extent(S.extent(lsoa, "rings"), margin_fraction=K.EXTENT_MARGIN_FRACTION)
 
 
@@ -271,7 +271,7 @@ def even_spacing_rank(spark, sf_dir):
 
 # -- borough report frames -------------------------------------------------------------
 def _borough(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return FR.borough_frames(fx.comments, fx.pld, fx.topic_text, fx.topic_names, FIXTURE_BOROUGH, FIXTURE_TOPIC)
 
 
@@ -322,7 +322,7 @@ def describe_distance(spark, sf_dir):
 
 @query
 def hist_comments(spark, sf_dir):
-    return H.histogram(Fixtures(spark, sf_dir).applications, "comment_count", 50)
+    return H.histogram(fixtures(spark, sf_dir).applications, "comment_count", 50)
 
 
 @query
@@ -332,12 +332,12 @@ def hist_distance_fixed(spark, sf_dir):
 
 @query
 def hist_sentiment_by_stance(spark, sf_dir):
-    return H.histogram(Fixtures(spark, sf_dir).comments, "sentiment_score", 40, by=["stance"], shared=True)
+    return H.histogram(fixtures(spark, sf_dir).comments, "sentiment_score", 40, by=["stance"], shared=True)
 
 
 @query
 def hist_sentiment_by_sign(spark, sf_dir):
-    c = Fixtures(spark, sf_dir).comments.withColumn("sign", sign_class("sentiment_score"))
+    c = fixtures(spark, sf_dir).comments.withColumn("sign", sign_class("sentiment_score"))
     return H.histogram(c, "sentiment_score", 20, by=["council", "sign"])
 
 
@@ -349,18 +349,18 @@ def hist_distance_by_stance(spark, sf_dir):
 
 @query
 def kde_sentiment(spark, sf_dir):
-    return H.kde_1d(Fixtures(spark, sf_dir).comments, "sentiment_score", "stance", 200, bins_for_scale=40)
+    return H.kde_1d(fixtures(spark, sf_dir).comments, "sentiment_score", "stance", 200, bins_for_scale=40)
 
 
 def _top_named(spark, sf_dir, n):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     freq = G.topic_frequency(FR.topic_lists(fx.comments_with_topics), fx.topic_names)
     return freq.where(F.col("rank") < n).select("topic_id", "topic_group")
 
 
 @query
 def box_sentiment_by_topic(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     t = FR.topic_lists(fx.comments_with_topics)
     top = _top_named(spark, sf_dir, K.TOP_TOPICS_BAR)
     m = t.select("sentiment_score", F.explode("topic_list").alias("topic_id"))
@@ -371,7 +371,7 @@ def box_sentiment_by_topic(spark, sf_dir):
 
 @query
 def box_distance_by_topic(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     d = _distances(spark, sf_dir)
     top = G.top_topics(d, K.TOP_TOPICS_DISTANCE).select(F.col("topic").alias("topic_id"))
     # Containment: a topic repeated in one list counts once.
@@ -391,31 +391,31 @@ def box_distance_by_housing(spark, sf_dir):
 
 @query
 def box_comments_by_housing(spark, sf_dir):
-    a = Fixtures(spark, sf_dir).applications.where(F.col("housing_type").isNotNull())
+    a = fixtures(spark, sf_dir).applications.where(F.col("housing_type").isNotNull())
     return Qn.box_stats(a, "comment_count", ["housing_type"])
 
 
 @query
 def regression_by_housing(spark, sf_dir):
-    return R.regression_by_housing(Fixtures(spark, sf_dir).applications)
+    return R.regression_by_housing(fixtures(spark, sf_dir).applications)
 
 
 @query
 def regression_bootstrap_band(spark, sf_dir):
-    a = Fixtures(spark, sf_dir).applications.where(
+    a = fixtures(spark, sf_dir).applications.where(
         F.col("housing_type").isin([h for h in K.HOUSING_ORDER if h != "Other"]))
     return R.regression_band(a, "total_no_proposed_residential_units", "comment_count", "housing_type")
 
 
 # -- demographics (Q5) ---------------------------------------------------------------------
 def _census(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return FR.census_features(fx.census_age, fx.census_occupation, fx.census_tenure,
                               age_cols=["age_50_plus"], occ_cols=["occupation_1_2_3"], own_cols=["owned_total"])
 
 
 def _comments_lsoa(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = fixtures(spark, sf_dir)
     return FR.comments_with_lsoa(fx.comments, fx.lsoa, _census(spark, sf_dir))
 
 

@@ -121,6 +121,18 @@ def _ring_from_sorted(col: Column) -> Column:
     return F.transform(col, lambda s: F.array(s["x"], s["y"]))
 
 
+_CACHE: dict[tuple[int, str], "Fixtures"] = {}
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> "Fixtures":
+    """Fixtures for a session and directory, built once. The frames are lazy,
+    already-analysed plans; reusing them skips re-analysing the views."""
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if key not in _CACHE:
+        _CACHE[key] = Fixtures(spark, sf_dir)
+    return _CACHE[key]
+
+
 class Fixtures:
     """Reference-shaped inputs for one scale-factor directory.
 

@@ -13,10 +13,12 @@ def _c(col) -> Column:
 
 
 def _normalise_literal(text: Column) -> Column:
-    # Python list literals differ from JSON in None and tuple brackets.
+    # Python list literals differ from JSON in None and tuple brackets. The regular
+    # expressions only run on the rare rows that need them.
     t = F.regexp_replace(text, r"\bNone\b", "null")
     t = F.regexp_replace(t, r"^\s*\(", "[")
-    return F.regexp_replace(t, r",?\s*\)\s*$", "]")
+    t = F.regexp_replace(t, r",?\s*\)\s*$", "]")
+    return F.when(F.contains(text, F.lit("None")) | F.contains(text, F.lit("(")), t).otherwise(text)
 
 
 def parse_int_list(col, missing_as_empty: bool = False) -> Column:

@@ -81,9 +81,10 @@ def topic_frequency(topics: DataFrame, names: DataFrame, list_col: str = "topic_
             .join(counts, F.col("topic_id") == F.col("topic"), "left")
             .select("topic_id", "topic_group", "color",
                     F.coalesce(F.col("mentions"), F.lit(0)).alias("mentions")))
-    total = base.select(F.sum("mentions")).scalar()
-    # One row per named topic: a single-partition window over a bounded lookup.
+    # One row per named topic (a bounded lookup): the total and the rank are windows
+    # over that small frame, so the mention counts are computed once.
     w = Window.orderBy(F.desc("mentions"), F.asc("topic_id"))
+    total = F.sum("mentions").over(Window.partitionBy())
     return base.select("topic_id", "topic_group", "color", "mentions",
                        F.round(F.try_divide(F.col("mentions"), total) * 100, digits).alias("percentage"),
                        (F.row_number().over(w) - 1).alias("rank"))
@@ -101,11 +102,13 @@ def topic_frequency_by_area(topics: DataFrame, names: DataFrame, inner: Sequence
             .select("topic_id", "topic_group", "color",
                     F.coalesce(F.col("inner_count"), F.lit(0)).alias("inner_count"),
                     F.coalesce(F.col("outer_count"), F.lit(0)).alias("outer_count")))
-    # One scalar subquery returning both totals (evaluated once).
-    tot = base.select(F.struct(F.sum("inner_count").alias("i"), F.sum("outer_count").alias("o"))).scalar()
+    # Totals as windows over the bounded per-topic frame (counts computed once).
+    whole = Window.partitionBy()
     return base.select("*",
-                       F.round(F.try_divide(F.col("inner_count"), tot["i"]) * 100, digits).alias("inner_pct"),
-                       F.round(F.try_divide(F.col("outer_count"), tot["o"]) * 100, digits).alias("outer_pct"))
+                       F.round(F.try_divide(F.col("inner_count"), F.sum("inner_count").over(whole)) * 100,
+                               digits).alias("inner_pct"),
+                       F.round(F.try_divide(F.col("outer_count"), F.sum("outer_count").over(whole)) * 100,
+                               digits).alias("outer_pct"))
 
 
 def first_topics(names: DataFrame, n: int) -> DataFrame:
@@ -182,8 +185,9 @@ def topic_cooccurrence(topics: DataFrame, names: DataFrame, k: int = K.TOP_TOPIC
              .select(F.explode(unordered_pairs("_t")).alias("p"))
              .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    grid = (top_topics(topics, k, list_col)
-            .select(F.col("topic").alias("topic_a"), F.explode(top_ids).alias("topic_b")))
+    # k x k grid from the same scalar subquery (evaluated once), carried by one row.
+    grid = (names.sparkSession.range(1).select(F.explode(top_ids).alias("topic_a"))
+            .select("topic_a", F.explode(top_ids).alias("topic_b")))
     lab = names.select("topic_id", "topic_group")
     la = lab.select(F.col("topic_id").alias("_ia"), F.col("topic_group").alias("label_a"))
     lb = lab.select(F.col("topic_id").alias("_ib"), F.col("topic_group").alias("label_b"))

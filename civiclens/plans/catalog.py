@@ -366,7 +366,7 @@ def box_sentiment_by_topic(spark, sf_dir):
     m = t.select("sentiment_score", F.explode("topic_list").alias("topic_id"))
     m = m.join(F.broadcast(top), "topic_id")  # at most 20 rows
     b = Qn.box_stats(m, "sentiment_score", ["topic_id"])
-    return b.join(F.broadcast(top), "topic_id")
+    return b.join(F.broadcast(fx.topic_names.select("topic_id", "topic_group")), "topic_id")
 
 
 @query

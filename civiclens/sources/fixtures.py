@@ -121,6 +121,23 @@ def _ring_from_sorted(col: Column) -> Column:
     return F.transform(col, lambda s: F.array(s["x"], s["y"]))
 
 
+# The rows of fx_topic_long before numbering (the view's inner query).
+TOPIC_ITEMS_SQL = """
+SELECT l_orderkey AS comment_id, l_linenumber, l_partkey,
+  CASE WHEN CAST(SUBSTR(p_brand, 7) AS INT) % 9 = 0 THEN -1 ELSE CAST(SUBSTR(p_brand, 7) AS INT) END AS topic,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity * 2e-2 END AS prob
+FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an input table once to the shared checkpoint folder and read it from
+    there (cuts the lineage; survives executor loss)."""
+    from civiclens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _CACHE: dict[tuple[int, str], "Fixtures"] = {}
 
 
@@ -162,33 +179,39 @@ class Fixtures:
 
     @cached_property
     def topic_text(self) -> DataFrame:
-        """comment_id, topic_number and probability as list literals, e.g. '[3, -1, 7]'."""
-        items = (self.view("fx_topic_long")
-                 .groupBy("comment_id")
-                 .agg(F.sort_array(F.collect_list(F.struct("pos", "topic", "prob"))).alias("items")))
+        """comment_id, topic_number and probability as list literals, e.g. '[3, -1, 7]'.
+
+        The list order is `fx_topic_long.pos` (line number, then part key). Sorting each
+        comment's items on those keys gives the same order without the view's window,
+        so building the lists costs one aggregation. Materialised once, like the CSV
+        file it stands for."""
+        base = self.spark.sql(TOPIC_ITEMS_SQL)
+        items = (base.groupBy("comment_id")
+                 .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "topic", "prob")))
+                      .alias("items")))
         topics = F.transform("items", lambda s: s["topic"].cast("string"))
         probs = F.transform("items", lambda s: F.coalesce(s["prob"].cast("string"), F.lit("nan")))
-        return items.select(
+        return materialise(items.select(
             "comment_id",
             F.concat(F.lit("["), F.array_join(topics, ", "), F.lit("]")).alias("topic_number"),
-            F.concat(F.lit("["), F.array_join(probs, ", "), F.lit("]")).alias("probability"))
+            F.concat(F.lit("["), F.array_join(probs, ", "), F.lit("]")).alias("probability")))
 
     @cached_property
     def comments_with_topics(self) -> DataFrame:
         """comments_with_topics.csv: comment, its topic lists, council, housing type, sentiment."""
         apps = self.view("fx_applications").select(
             F.col("lpa_app_no").alias("_app"), "housing_type")
-        return (self.comments
-                .join(self.topic_text, "comment_id", "left")
-                .join(apps, F.col("application_id") == F.col("_app"), "left")
-                .select("comment_id", "topic_number", "probability", "council",
-                        "housing_type", "sentiment_score"))
+        return materialise(self.comments
+                           .join(self.topic_text, "comment_id", "left")
+                           .join(apps, F.col("application_id") == F.col("_app"), "left")
+                           .select("comment_id", "topic_number", "probability", "council",
+                                   "housing_type", "sentiment_score"))
 
     @cached_property
     def topic_names(self) -> DataFrame:
         """topic_names.csv with the id renamed to topic_id (see sources.readers)."""
         from civiclens.sources.readers import normalise_topic_names
-        return normalise_topic_names(self.view("fx_topic_names"))
+        return materialise(normalise_topic_names(self.view("fx_topic_names")))
 
     @cached_property
     def pld(self) -> DataFrame:

@@ -14,7 +14,7 @@ from civiclens.functions.geo import haversine_km
 from civiclens.operators import geometry as GM
 from civiclens.functions.lists import contains, parse_double_list, parse_int_list, primary_topic
 from civiclens.functions.scalar import percent, row_sum
-from civiclens.operators.relational import exists_flag, keep_first, lookup, semi_join
+from civiclens.operators.relational import exists_flag, keep_first, lookup, semi_join  # noqa: F401
 
 COORDS = "`wgs84_polygon.coordinates`"
 

@@ -209,8 +209,9 @@ def borough_topic_legend(points: DataFrame, k: int = K.BOROUGH_LEGEND_TOP) -> Da
 
 
 def lsoa_profile(comments: DataFrame, socio_vars: Sequence[str] = K.SOCIO_VARS,
-                 digits: int = 6) -> DataFrame:
+                 digits: int | None = 6) -> DataFrame:
     """Comments per LSOA and the mean of each census share (null code dropped)."""
+    r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     return (comments.where(F.col("lsoa_code").isNotNull()).groupBy("lsoa_code")
             .agg(F.count("comment_id").alias("num_comments"),
-                 *[F.round(F.avg(v), digits).alias(v) for v in socio_vars]))
+                 *[r(F.avg(v)).alias(v) for v in socio_vars]))

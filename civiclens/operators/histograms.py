@@ -51,12 +51,16 @@ def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = (), shared:
     for k in keys:
         v = v.where(F.col(k).isNotNull())
     if not keys or shared:
-        rng = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        r = rng.select(F.struct("lo", "hi")).scalar()  # one subquery
-        lo, hi = _widen(r["lo"], r["hi"])
-        groups = v.select(*keys).distinct() if keys else None
-        binned = v.select(*keys, bin_index(F.col("_x"), lo, hi, bins).alias("bin"))
-        lo_c, hi_c = lo, hi
+        # Global range as a scalar subquery attached once as a column per frame.
+        rng = v.agg(F.min("_x").alias("lo0"), F.max("_x").alias("hi0")).select(F.struct("lo0", "hi0")).scalar()
+        lo0, hi0 = _widen(F.col("_r.lo0"), F.col("_r.hi0"))
+        vr = v.withColumn("_r", rng).withColumns({"_lo": lo0, "_hi": hi0})
+        binned = vr.select(*keys, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+        if keys:
+            groups = v.select(*keys).distinct().withColumn("_r", rng).select(*keys, lo0.alias("_lo"), hi0.alias("_hi"))
+        else:
+            groups = v.sparkSession.range(1).withColumn("_r", rng).select(lo0.alias("_lo"), hi0.alias("_hi"))
+        lo_c, hi_c = F.col("_lo"), F.col("_hi")
     else:
         # One row per group: bounded by the number of groups (councils x signs, stances).
         rng = v.groupBy(*keys).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
@@ -67,8 +71,7 @@ def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = (), shared:
         lo_c, hi_c = F.col("_lo"), F.col("_hi")
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     seq = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    grid = groups.select(*groups.columns, seq) if groups is not None else \
-        v.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    grid = groups.select(*groups.columns, seq)
     step = (hi_c - lo_c) / F.lit(float(bins))
     out = grid.join(counts, [*keys, "bin"], "left").select(
         *keys, F.col("bin").cast("int").alias("bin"),
@@ -115,21 +118,23 @@ def kde_1d(df: DataFrame, x: str, by: str, gridsize: int = 200, bins_for_scale:
     partial + final aggregate on (group, grid point)."""
     v = df.select(F.col(by).alias("_g"), F.col(x).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & F.col("_g").isNotNull())
-    rng = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    r = rng.select(F.struct("lo", "hi")).scalar()  # one subquery
-    lo, hi = r["lo"], r["hi"]
+    rng = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).select(F.struct("lo", "hi")).scalar()
     stats = v.groupBy("_g").agg(F.count("*").alias("_n"), F.stddev_samp("_x").alias("_sd"))
-    stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    # The shared grid range rides on the (one row per group) stats table.
+    stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
+                 .withColumn("_r", rng)
+    lo, hi = F.col("_lo"), F.col("_hi")
     distinct = v.groupBy("_g", "_x").agg(F.count("*").alias("_w"))
     step = (hi - lo) / F.lit(float(gridsize - 1))
     gpt = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("gi")
     contrib = (distinct.join(bounded(stats.where(F.col("_bw") > 0)), "_g")
-               .select("_g", "_w", "_x", "_bw", "_n", gpt))
+               .select("_g", "_w", "_x", "_bw", "_n", F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi"), gpt))
     gx = F.col("gi") * step + lo
     z = (gx - F.col("_x")) / F.col("_bw")
     dens = (contrib.groupBy("_g", "gi").agg(
         F.sum(F.col("_w") * F.exp(z * z * -0.5)).alias("_k"),
-        F.first("_bw").alias("_bw"), F.first("_n").alias("_n")))
+        F.first("_bw").alias("_bw"), F.first("_n").alias("_n"),
+        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")))
     norm = F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))
     density = F.col("_k") / norm
     scale = F.col("_n").cast("double")

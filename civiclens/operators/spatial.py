@@ -118,14 +118,16 @@ def nearest_edge(df: DataFrame, ext: DataFrame, x: str = "centroid_x", y: str =
     """The bounding-box edge nearest to each point; ties go left, right, top,
     bottom in that order. Points with a NULL coordinate get no side. The extent is
     one row, used through scalar subqueries."""
-    e = ext.select(F.struct("minx", "miny", "maxx", "maxy")).scalar()  # one subquery
-    minx, maxx, miny, maxy = e["minx"], e["maxx"], e["miny"], e["maxy"]
+    # The extent is attached once as a column: every later reference reads that
+    # column instead of carrying its own copy of the subquery.
+    df = df.withColumn("_ext", ext.select(F.struct("minx", "miny", "maxx", "maxy")).scalar())
+    minx, maxx, miny, maxy = F.col("_ext.minx"), F.col("_ext.maxx"), F.col("_ext.miny"), F.col("_ext.maxy")
     dl, dr = F.abs(F.col(x) - minx), F.abs(maxx - F.col(x))
     db, dt = F.abs(F.col(y) - miny), F.abs(maxy - F.col(y))
     m = F.least(dl, dr, dt, db)
     side = (F.when(F.col(x).isNull() | F.col(y).isNull(), F.lit(None))
             .when(dl == m, "left").when(dr == m, "right").when(dt == m, "top").otherwise("bottom"))
-    return df.withColumn("side", side)
+    return df.withColumn("side", side).drop("_ext")
 
 
 def even_spacing(df: DataFrame, ext: DataFrame, margin_fraction: float, key: str,
@@ -134,14 +136,16 @@ def even_spacing(df: DataFrame, ext: DataFrame, margin_fraction: float, key: str
     west->east for top/bottom, ties by key) and spaced evenly: position
     lo + (i+1)(hi-lo)/(n+1); the other coordinate sits outside the box by the margin.
     The window is partitioned by side over map areas (a bounded set)."""
-    e = ext.select(F.struct("minx", "miny", "maxx", "maxy")).scalar()  # one subquery
-    minx, maxx, miny, maxy = e["minx"], e["maxx"], e["miny"], e["maxy"]
+    df = df.withColumn("_ext", ext.select(F.struct("minx", "miny", "maxx", "maxy")).scalar())
+    minx, maxx, miny, maxy = F.col("_ext.minx"), F.col("_ext.maxx"), F.col("_ext.miny"), F.col("_ext.maxy")
     xm, ym = (maxx - minx) * margin_fraction, (maxy - miny) * margin_fraction
     vertical = F.col("side").isin("left", "right")
     along = F.when(vertical, F.col(y)).otherwise(F.col(x))
     w = Window.partitionBy("side").orderBy(along, F.col(key))
-    d = (df.where(F.col("side").isNotNull())
-         .withColumn("rank", F.row_number().over(w) - 1)
+    # Areas without a side (no centroid) form their own window group and keep NULL
+    # label positions. No filter on `side`: a predicate on a window partition column
+    # is pushed below the window and would copy the centroid expressions into it.
+    d = (df.withColumn("rank", F.row_number().over(w) - 1)
          .withColumn("n_side", F.count("*").over(Window.partitionBy("side"))))
     i1 = (F.col("rank") + 1).cast("double")
     ystep = (maxy - miny) / (F.col("n_side") + 1)
@@ -150,7 +154,9 @@ def even_spacing(df: DataFrame, ext: DataFrame, margin_fraction: float, key: str
           .otherwise(i1 * xstep + minx))
     ly = (F.when(F.col("side") == "top", maxy + ym).when(F.col("side") == "bottom", miny - ym)
           .otherwise(i1 * ystep + miny))
-    return d.withColumns({"label_x": F.round(lx, digits), "label_y": F.round(ly, digits)})
+    has = F.col("side").isNotNull()
+    return d.withColumns({"label_x": F.when(has, F.round(lx, digits)),
+                          "label_y": F.when(has, F.round(ly, digits))}).drop("_ext")
 
 
 def comment_application_edges(comments: DataFrame, lat: str = "lat", lon: str = "lon",

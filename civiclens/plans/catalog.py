@@ -184,9 +184,9 @@ def comments_with_housing(spark, sf_dir):
                     "total_no_proposed_residential_units"))
 
 
-def _distances(spark, sf_dir, method="planar"):
+def _distances(spark, sf_dir, method="planar", with_topics=False):
     fx = fixtures(spark, sf_dir)
-    return FR.comment_distances(fx.comments, fx.topic_text, fx.pld, method)
+    return FR.comment_distances(fx.comments, fx.topic_text, fx.pld, method, with_topics)
 
 
 @query
@@ -372,7 +372,7 @@ def box_sentiment_by_topic(spark, sf_dir):
 @query
 def box_distance_by_topic(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
-    d = _distances(spark, sf_dir)
+    d = _distances(spark, sf_dir, with_topics=True)
     top = G.top_topics(d, K.TOP_TOPICS_DISTANCE).select(F.col("topic").alias("topic_id"))
     # Containment: a topic repeated in one list counts once.
     m = d.select("distance_km", F.explode(F.array_distinct("topic_list")).alias("topic_id"))
@@ -431,26 +431,28 @@ def lsoa_profile(spark, sf_dir):
 
 def _lsoa_long(spark, sf_dir):
     """(variable, x, num_comments) per LSOA profile row, for the three shares."""
-    g = G.lsoa_profile(_comments_lsoa(spark, sf_dir), digits=15)
+    g = G.lsoa_profile(_comments_lsoa(spark, sf_dir), digits=None)
     stack = F.expr("stack(3, 'percent_age_50_plus', percent_age_50_plus, "
                    "'percent_occupation_1_2_3', percent_occupation_1_2_3, "
                    "'percent_owned_total', percent_owned_total) AS (variable, x)")
     return g.select("lsoa_code", "num_comments", stack)
 
 
+def _lsoa_responses(spark, sf_dir):
+    """(variable, response, x, y): both responses of every share in one long frame,
+    so each statistic is one aggregate over one evaluation of the LSOA pipeline."""
+    lg = _lsoa_long(spark, sf_dir)
+    resp = F.expr("stack(2, 'raw', CAST(num_comments AS DOUBLE), 'log1p', log1p(num_comments)) AS (response, y)")
+    return lg.select("variable", "x", resp)
+
+
 @query
 def lsoa_regression(spark, sf_dir):
-    lg = _lsoa_long(spark, sf_dir)
-    raw = R.ols(lg, "x", F.col("num_comments").cast("double"), ["variable"]).withColumn("response", F.lit("raw"))
-    log = R.ols(lg, "x", F.log1p("num_comments"), ["variable"]).withColumn("response", F.lit("log1p"))
-    return raw.unionByName(log)
+    return R.ols(_lsoa_responses(spark, sf_dir), "x", "y", ["variable", "response"])
 
 
 def _correlation(spark, sf_dir, with_p):
-    lg = _lsoa_long(spark, sf_dir)
-    raw = R.pearson(lg, "x", F.col("num_comments").cast("double"), ["variable"], with_p).withColumn("response", F.lit("raw"))
-    log = R.pearson(lg, "x", F.log1p("num_comments"), ["variable"], with_p).withColumn("response", F.lit("log1p"))
-    return raw.unionByName(log)
+    return R.pearson(_lsoa_responses(spark, sf_dir), "x", "y", ["variable", "response"], with_p)
 
 
 @query

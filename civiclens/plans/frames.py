@@ -57,14 +57,21 @@ def application_centroids(pld: DataFrame, method: str = "planar") -> DataFrame:
 
 
 def comment_distances(comments: DataFrame, topic_text: DataFrame, pld: DataFrame,
-                      centroid_method: str = "planar") -> DataFrame:
+                      centroid_method: str = "planar", with_topics: bool = True) -> DataFrame:
     """Q4 base frame: comments + topic lists (J1) + housing type on (application,
     borough) (J2, pld duplicates fan out) + application centroid on (application,
-    borough) (J3) + haversine distance (X6)."""
-    tp = topic_text.select("comment_id", "topic_number", "probability")
-    df = comments.join(tp, "comment_id", "left")
-    df = df.withColumns({"topic_list": parse_int_list("topic_number"),
-                         "prob_list": parse_double_list("probability")})
+    borough) (J3) + haversine distance (X6).
+
+    The topic table has one row per comment, so `with_topics=False` (for analyses
+    that do not use the lists) gives the same rows without that join's shuffle.
+    The pld and centroid joins use the same key, so the comments are shuffled once
+    for both."""
+    df = comments
+    if with_topics:
+        tp = topic_text.select("comment_id", "topic_number", "probability")
+        df = df.join(tp, "comment_id", "left")
+        df = df.withColumns({"topic_list": parse_int_list("topic_number"),
+                             "prob_list": parse_double_list("probability")})
     p = pld.select(F.col("lpa_app_no").alias("_pa"), F.col("borough").alias("_pb"), "housing_type",
                    "total_no_proposed_residential_units")
     df = df.join(p, (F.col("application_id") == F.col("_pa")) & (F.col("council") == F.col("_pb")), "left") \

@@ -142,7 +142,7 @@ def demographic_report(i: Inputs) -> dict[str, DataFrame]:
     correlations and feature histograms."""
     census = FR.census_features(i.census_age, i.census_occupation, i.census_tenure, **i.census_cols)
     c = materialise(FR.comments_with_lsoa(i.comments, i.lsoa, census))
-    prof = G.lsoa_profile(c, digits=15)
+    prof = G.lsoa_profile(c, digits=None)
     stack = ("stack(3, 'percent_age_50_plus', percent_age_50_plus, 'percent_occupation_1_2_3', "
              "percent_occupation_1_2_3, 'percent_owned_total', percent_owned_total) AS (variable, {v})")
     lg = prof.select("lsoa_code", "num_comments", F.expr(stack.format(v="x")))

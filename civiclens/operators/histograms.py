@@ -88,7 +88,6 @@ def histogram_fixed(df: DataFrame, x: str, width: float, stop: float, start: flo
     width, width); values outside the edges are dropped, the last edge is closed."""
     n_edges = math.ceil((stop + width - start) / width)
     nb = n_edges - 1
-    last = start + nb * width
     w = F.lit(float(width))
     edge = lambda k: k * w + F.lit(float(start))
     v = df.select(F.col(x).cast("double").alias("_x")).where(
@@ -99,7 +98,6 @@ def histogram_fixed(df: DataFrame, x: str, width: float, stop: float, start: flo
     k = F.when(k1 >= nb, F.lit(nb - 1)).otherwise(k1)
     counts = v.groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
     grid = df.sparkSession.range(nb).select(F.col("id").alias("bin"))
-    del last
     return grid.join(counts, "bin", "left").select(
         F.col("bin").cast("int").alias("bin"),
         F.round(edge(F.col("bin")), digits).alias("bin_lo"),

@@ -63,15 +63,15 @@ def pearson(df: DataFrame, x: str, y: str | Column, by: Sequence[str] = (), with
     return a.select(*cols)
 
 
-def welch_t(a: DataFrame, b: DataFrame, x: str | None = None, with_p: bool = False, digits: int = 6,
-            by: Sequence[str] = (), value: str | None = None) -> DataFrame:
+def welch_t(a: DataFrame, b: DataFrame, value: str, by: Sequence[str] = (), with_p: bool = False,
+            digits: int = 6) -> DataFrame:
     """Welch's two-sample t statistic of a vs b (NULLs dropped), the
     Welch-Satterthwaite degrees of freedom and optionally the two-sided p.
 
     Both samples are tagged and aggregated in one pass (per group of `by`, e.g. one
     group per variable of a long table); the statistic is arithmetic on the
     aggregated row."""
-    col = value or x
+    col = value
     keys = list(by)
     tagged = (a.select(*keys, F.col(col).cast("double").alias("_v"), F.lit(True).alias("_a"))
               .unionByName(b.select(*keys, F.col(col).cast("double").alias("_v"), F.lit(False).alias("_a"))))

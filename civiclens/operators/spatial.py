@@ -67,13 +67,18 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str
         cell = poly.select(F.percentile_approx(ext, 0.5, 10000)).scalar()
     else:
         cell = F.lit(float(cell_size)) if not isinstance(cell_size, Column) else cell_size
-    cx = F.explode(F.sequence(F.floor(F.col("_bb.minx") / cell), F.floor(F.col("_bb.maxx") / cell))).alias("_cx")
-    cy = F.explode(F.sequence(F.floor(F.col("_bb.miny") / cell), F.floor(F.col("_bb.maxy") / cell))).alias("_cy")
-    cells = (poly.select("*", cx).select("*", cy)
+    # The cell size is attached once per side as a column (one subquery instance each).
+    poly = poly.withColumn("_cell", cell)
+    c = F.col("_cell")
+    cx = F.explode(F.sequence(F.floor(F.col("_bb.minx") / c), F.floor(F.col("_bb.maxx") / c))).alias("_cx")
+    cy = F.explode(F.sequence(F.floor(F.col("_bb.miny") / c), F.floor(F.col("_bb.maxy") / c))).alias("_cy")
+    cells = (poly.select("_code", "_bb", "_edges", "_cell", cx).select("*", cy).drop("_cell")
              .groupBy("_cx", "_cy")
              .agg(F.collect_list(F.struct("_code", "_bb", "_edges")).alias("_cand")))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    pts = points.withColumns({"_cx": F.floor(px / cell), "_cy": F.floor(py / cell)})
+    pts = (points.withColumn("_cell", cell)
+           .withColumns({"_cx": F.floor(px / F.col("_cell")), "_cy": F.floor(py / F.col("_cell"))})
+           .drop("_cell"))
     joined = pts.join(cells, ["_cx", "_cy"], "left")
 
     def hit(c):

@@ -28,9 +28,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn: Query | None = None, *, name: str | None = None):
+    """Register a query under its function name (or `name`)."""
+    def reg(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        return f
+    return reg(fn) if fn is not None else reg
 
 
 def _r(c, d: int = 6):
@@ -136,7 +139,7 @@ def topic_cooccurrence(spark, sf_dir):
     return G.topic_cooccurrence(FR.topic_lists(fx.comments_with_topics), fx.topic_names)
 
 
-@query
+@query(name="primary_topic")
 def primary_topic_per_comment(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     ct = fx.topic_text.select("comment_id", parse_int_list("topic_number", missing_as_empty=True).alias("tl"))
@@ -297,7 +300,7 @@ def borough_highlight_apps(spark, sf_dir):
                                       _r("centroid_lon").alias("centroid_lon"))
 
 
-@query
+@query(name="coverage_report")
 def coverage_report_borough(spark, sf_dir):
     b = _borough(spark, sf_dir)
     c = b["comments"]
@@ -395,6 +398,22 @@ def box_comments_by_housing(spark, sf_dir):
     return Qn.box_stats(a, "comment_count", ["housing_type"])
 
 
+@query
+def box_sentiment_by_housing(spark, sf_dir):
+    """Sentiment by housing type (announced in the original, computed here)."""
+    t = fixtures(spark, sf_dir).comments_with_topics.where(F.col("housing_type").isNotNull())
+    return Qn.box_stats(t, "sentiment_score", ["housing_type"])
+
+
+@query
+def comment_points_bng(spark, sf_dir):
+    """Commenter points on the National Grid (Helmert + transverse Mercator).
+    No SQL oracle (iterative latitude); checked by the published worked example."""
+    c = fixtures(spark, sf_dir).comments.select("comment_id", "lat", "lon")
+    p = GM.with_bng(c, "lat", "lon", "bng_e", "bng_n")
+    return p.select("comment_id", _r("bng_e", 3).alias("bng_e"), _r("bng_n", 3).alias("bng_n"))
+
+
 @query
 def regression_by_housing(spark, sf_dir):
     return R.regression_by_housing(fixtures(spark, sf_dir).applications)
@@ -472,7 +491,7 @@ def _welch(spark, sf_dir, with_p):
     stack = F.expr("stack(3, 'percent_age_50_plus', percent_age_50_plus, "
                    "'percent_occupation_1_2_3', percent_occupation_1_2_3, "
                    "'percent_owned_total', percent_owned_total) AS (variable, value)")
-    return R.welch_t(census.select(stack), b.select(stack), value="value", by=["variable"], with_p=with_p)
+    return R.welch_t(census.select(stack), b.select(stack), "value", by=["variable"], with_p=with_p)
 
 
 @query

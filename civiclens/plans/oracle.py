@@ -64,7 +64,7 @@ CENTROID_LOOKUP = """cl AS (
   SELECT lpa_app_no, borough, cy AS centroid_lat, cx AS centroid_lon FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY lpa_app_no ORDER BY src_ord) AS rn FROM area_c
     WHERE cx IS NOT NULL AND cy IS NOT NULL) WHERE rn = 1)"""
-HAV = ("6371e0 * 2 * ASIN(CASE WHEN SQRT({a}) > 1 THEN 1e0 ELSE SQRT({a}) END)")
+HAV = "6371e0 * 2 * ASIN(CASE WHEN SQRT({a}) > 1 THEN 1e0 ELSE SQRT({a}) END)"
 
 
 def _hav(lat1, lon1, lat2, lon2) -> str:
@@ -206,7 +206,7 @@ _FREQ = ("freq AS (SELECT topic_id, topic_group, color, mentions, "
          "ROW_NUMBER() OVER (ORDER BY mentions DESC, topic_id) - 1 AS rank FROM b)")
 
 _add("topic_frequency", with_views("fx_comments", "fx_topic_names") + f""", {_MENTIONS}, {_FREQ_BASE}, {_FREQ}
-SELECT * FROM freq""".replace("WITH ", "WITH ", 1))
+SELECT * FROM freq""")
 
 _add("topic_frequency_by_area", with_views("fx_comments", "fx_topic_names") + f""",
 m AS (SELECT l.topic,
@@ -265,7 +265,7 @@ LEFT JOIN fx_topic_names nb ON nb.Topic = tb.topic""")
 _PRIMARY = ("pt AS (SELECT comment_id, arg_min(topic, pos) FILTER (WHERE topic > 0) AS primary_topic "
             "FROM fx_topic_long GROUP BY comment_id)")
 
-_add("primary_topic_per_comment", with_views("fx_comments", "fx_topic_long") + f""", {_PRIMARY}
+_add("primary_topic", with_views("fx_comments", "fx_topic_long") + f""", {_PRIMARY}
 SELECT c.comment_id, pt.primary_topic FROM fx_comments c LEFT JOIN pt USING (comment_id)""")
 
 _add("topic_lookup_default", with_views("fx_comments", "fx_topic_names") + f""", {_PRIMARY}
@@ -395,7 +395,7 @@ _add("borough_highlight_apps", _BVIEWS + _BOROUGH + """
 SELECT lpa_app_no, ROUND(centroid_lat, 6) AS centroid_lat, ROUND(centroid_lon, 6) AS centroid_lon FROM bapps
 WHERE lpa_app_no IN (SELECT application_id FROM bc WHERE is_highlight AND application_id IS NOT NULL)""")
 
-_add("coverage_report_borough", _BVIEWS + _BOROUGH + """
+_add("coverage_report", _BVIEWS + _BOROUGH + """
 SELECT COUNT(*) AS n_comments,
   COUNT(*) FILTER (WHERE lat IS NOT NULL AND lon IS NOT NULL) AS with_coordinates,
   COUNT(*) FILTER (WHERE primary_topic IS NOT NULL) AS with_topic,
@@ -457,15 +457,14 @@ src AS (SELECT l.topic AS topic_id, c.sentiment_score FROM fx_topic_long l JOIN
         WHERE l.topic IN (SELECT topic_id FROM top)), """ + box_sql("src", "sentiment_score", ["topic_id"]) + """
 SELECT box.*, top.topic_group FROM box JOIN top USING (topic_id)""")
 
-_add("box_distance_by_topic", DIST_VIEWS.replace("fx_topic_long AS", "fx_topic_long AS", 1)
+_add("box_distance_by_topic", with_views("fx_pld", "fx_vertex", "fx_comments", "fx_topic_names")
      + f""", {POLY}, {CENTROID_LOOKUP}, {DIST},
-fxn AS (SELECT * FROM ({with_views('fx_topic_names')} SELECT * FROM fx_topic_names)),
 dl AS (SELECT d.comment_id, d.distance_km, l.topic FROM dist d JOIN fx_topic_long l USING (comment_id)),
 top AS (SELECT topic FROM dl GROUP BY topic ORDER BY COUNT(*) DESC, topic LIMIT {K.TOP_TOPICS_DISTANCE}),
 src AS (SELECT DISTINCT comment_id, topic AS topic_id, distance_km FROM dl WHERE topic IN (SELECT topic FROM top)), """
      + box_sql("src", "distance_km", ["topic_id"]) + """
 SELECT box.*, COALESCE(n.topic_group, 'Topic ' || CAST(box.topic_id AS VARCHAR)) AS label
-FROM box LEFT JOIN fxn n ON n.Topic = box.topic_id""")
+FROM box LEFT JOIN fx_topic_names n ON n.Topic = box.topic_id""")
 
 _add("box_distance_by_housing", DIST_VIEWS + f""", {POLY}, {CENTROID_LOOKUP}, {DIST},
 src AS (SELECT housing_type, distance_km FROM dist WHERE housing_type IS NOT NULL), """
@@ -475,6 +474,11 @@ _add("box_comments_by_housing", with_views("fx_applications") + """,
 src AS (SELECT housing_type, comment_count FROM fx_applications WHERE housing_type IS NOT NULL), """
      + box_sql("src", "comment_count", ["housing_type"]) + "\nSELECT * FROM box")
 
+_add("box_sentiment_by_housing", with_views("fx_comments", "fx_applications") + """,
+src AS (SELECT a.housing_type, c.sentiment_score FROM fx_comments c
+        LEFT JOIN fx_applications a ON c.application_id = a.lpa_app_no WHERE a.housing_type IS NOT NULL), """
+     + box_sql("src", "sentiment_score", ["housing_type"]) + "\nSELECT * FROM box")
+
 _add("regression_by_housing", with_views("fx_applications") + f"""
 SELECT housing_type, COUNT(*) AS n, REGR_COUNT(y, xs) AS n_fit, ROUND(REGR_SLOPE(y, xs), 6) AS slope,
   ROUND(REGR_INTERCEPT(y, xs), 6) AS intercept

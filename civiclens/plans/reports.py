@@ -153,7 +153,7 @@ def demographic_report(i: Inputs) -> dict[str, DataFrame]:
         R.pearson(lg, "x", y_log, ["variable"], True).withColumn("response", F.lit("log1p")))
     with_c = FR.semi_join(census, c.where(F.col("lsoa_code").isNotNull()), "lsoa_code", "lsoa_code")
     welch = R.welch_t(census.select(F.expr(stack.format(v="value"))), with_c.select(F.expr(stack.format(v="value"))),
-                      value="value", by=["variable"], with_p=True)
+                      "value", by=["variable"], with_p=True)
     return {
         "census_features": census,
         "comment_lsoa": c.select("comment_id", "lsoa_code"),

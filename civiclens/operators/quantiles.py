@@ -62,12 +62,26 @@ def _quantile_aggs(probs: Sequence[float], names: Sequence[str]) -> tuple[list,
     return aggs, outs
 
 
+def approx_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
+                     names: Sequence[str], accuracy: int) -> DataFrame:
+    """Bounded-memory alternative: `percentile_approx` sketches (rank error about
+    n / accuracy), one partial + final aggregate, no range shuffle. Values are data
+    points, not interpolated."""
+    x = F.col(value).cast("double")
+    g = (df.groupBy(*by) if by else df.groupBy()).agg(
+        F.count(x).alias("n"), F.percentile_approx(x, list(probs), accuracy).alias("_q"))
+    return g.select(*by, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+
+
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Per group: n and the exact linear-interpolated quantiles `probs` of `value`
-    (NULLs skipped). Groups with NULL keys are the caller's to drop."""
+    (NULLs skipped). Groups with NULL keys are the caller's to drop. With
+    `accuracy`, approximate sketches are used instead (see approx_quantiles)."""
     keys = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    if accuracy:
+        return approx_quantiles(df, value, keys, probs, names, accuracy)
     r = _ranked(df, value, keys)
     aggs, outs = _quantile_aggs(probs, names)
     g = r.groupBy(*keys).agg(F.first("_n").alias("n"), *aggs)

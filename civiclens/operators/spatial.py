@@ -42,6 +42,14 @@ def point_in_edges(px: Column, py: Column, edges: Column) -> Column:
     return crossings % 2 == 1
 
 
+def point_on_edges(px: Column, py: Column, edges: Column) -> Column:
+    """True when (px, py) lies exactly on an edge (collinear and inside its box)."""
+    return F.exists(edges, lambda e: (
+        ((e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) == 0)
+        & (px >= F.least(e["x1"], e["x2"])) & (px <= F.greatest(e["x1"], e["x2"]))
+        & (py >= F.least(e["y1"], e["y2"])) & (py <= F.greatest(e["y1"], e["y2"]))))
+
+
 def _bbox_of_rings(rings: Column) -> Column:
     pts = F.flatten(rings)
     xs, ys = F.transform(pts, lambda p: p[0]), F.transform(pts, lambda p: p[1])
@@ -51,11 +59,14 @@ def _bbox_of_rings(rings: Column) -> Column:
 
 def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                  code: str = "code", rings: str = "rings", out: str | None = None,
-                 cell_size: float | Column | None = None) -> DataFrame:
+                 cell_size: float | Column | None = None, strict: bool = False) -> DataFrame:
     """Every point row with the code of the polygon containing it (NULL if none;
     the smallest code if several). `rings` holds all rings of a polygon (outer ring,
     holes, other parts); the even-odd rule over all of them handles holes and
-    multi-part polygons. Points with a NULL coordinate match nothing."""
+    multi-part polygons. Points with a NULL coordinate match nothing.
+
+    strict=True is `within`: a point exactly on a polygon's boundary is not inside
+    it. By default the ray rule puts a point on a shared edge in one neighbour."""
     out = out or code
     poly = polygons.select(F.col(code).alias("_code"), F.col(rings).alias("_rings")).where(
         F.col("_code").isNotNull() & F.col("_rings").isNotNull())
@@ -83,8 +94,9 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str
 
     def hit(c):
         bb = c["_bb"]
-        return ((px >= bb["minx"]) & (px <= bb["maxx"]) & (py >= bb["miny"]) & (py <= bb["maxy"])
-                & point_in_edges(px, py, c["_edges"]))
+        inside = ((px >= bb["minx"]) & (px <= bb["maxx"]) & (py >= bb["miny"]) & (py <= bb["maxy"])
+                  & point_in_edges(px, py, c["_edges"]))
+        return inside & ~point_on_edges(px, py, c["_edges"]) if strict else inside
 
     match = F.array_min(F.transform(F.filter(F.col("_cand"), hit), lambda c: c["_code"]))
     return joined.withColumn(out, match).drop("_cx", "_cy", "_cand")

@@ -218,6 +218,25 @@ def test_spatial_join_hole_multipart_concave(spark):
         assert out[i] == want, (i, x, y)
 
 
+def test_spatial_join_strict_excludes_boundary(spark):
+    pdf = spark.createDataFrame([("L", [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]]),
+                                 ("R", [[[1.0, 0.0], [2.0, 0.0], [2.0, 1.0], [1.0, 1.0]]])],
+                                "code string, rings array<array<array<double>>>")
+    pts = spark.createDataFrame([(1, 1.0, 0.5), (2, 0.5, 0.5), (3, 1.5, 0.25)], "id long, x double, y double")
+    loose = {r["id"]: r["code"] for r in spatial_join(pts, pdf, x="x", y="y", code="code").collect()}
+    strict = {r["id"]: r["code"] for r in spatial_join(pts, pdf, x="x", y="y", code="code", strict=True).collect()}
+    assert loose[1] in ("L", "R") and strict[1] is None      # on the shared edge
+    assert loose[2] == strict[2] == "L" and loose[3] == strict[3] == "R"
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rnd = random.Random(11)
+    df = spark.createDataFrame([("g", rnd.random()) for _ in range(5000)], "g string, x double")
+    ex = Q.exact_quantiles(df, "x", ["g"], [0.5], ["m"]).first()["m"]
+    ap = Q.exact_quantiles(df, "x", ["g"], [0.5], ["m"], accuracy=10000).first()["m"]
+    assert abs(ex - ap) < 0.01
+
+
 def test_read_geojson_polygon_and_multipolygon(spark, tmp_path):
     fc = {"type": "FeatureCollection", "features": [
         {"type": "Feature", "properties": {"LSOA21CD": "E1"},

@@ -142,6 +142,9 @@ def ring_bbox(ring) -> Column:
 
 
 # --- X5: WGS84 (EPSG:4326) <-> British National Grid (EPSG:27700) ------------------
+# The projection itself is staged into columns in operators/geometry.py (each
+# iteration refers to the previous one several times, so one nested expression
+# would grow exponentially); the constants and the closed-form pieces live here.
 # FIXED VALUES -- published Ordnance Survey constants: Airy 1830 and GRS80 ellipsoids,
 # the National Grid projection and the 7-parameter Helmert transform WGS84 -> OSGB36.
 AIRY_A, AIRY_B = 6377563.396, 6356256.909
@@ -154,24 +157,6 @@ HELMERT_S_PPM = 20.4894
 HELMERT_RX, HELMERT_RY, HELMERT_RZ = -0.1502, -0.2470, -0.8421  # arc-seconds
 
 
-def _geodetic_to_cart(lat, lon, a, b):
-    e2 = 1 - (b * b) / (a * a)
-    sp, cp = F.sin(lat), F.cos(lat)
-    nu = F.lit(a) / F.sqrt(1 - e2 * sp * sp)
-    return nu * cp * F.cos(lon), nu * cp * F.sin(lon), nu * (1 - e2) * sp
-
-
-def _cart_to_geodetic(x, y, z, a, b, iterations: int = 4):
-    e2 = 1 - (b * b) / (a * a)
-    p = F.sqrt(x * x + y * y)
-    lat = F.atan2(z, p * (1 - e2))
-    for _ in range(iterations):
-        sp = F.sin(lat)
-        nu = F.lit(a) / F.sqrt(1 - e2 * sp * sp)
-        lat = F.atan2(z + e2 * nu * sp, p)
-    return lat, F.atan2(y, x)
-
-
 def _helmert(x, y, z, sign: float):
     s = sign * HELMERT_S_PPM * 1e-6
     k = sign * math.pi / (180 * 3600)
@@ -192,68 +177,3 @@ def _meridional_arc(phi):
         - (3 * n + 3 * n ** 2 + 21 / 8 * n ** 3) * F.sin(d) * F.cos(s)
         + (15 / 8 * n ** 2 + 15 / 8 * n ** 3) * F.sin(2 * d) * F.cos(2 * s)
         - 35 / 24 * n ** 3 * F.sin(3 * d) * F.cos(3 * s))
-
-
-def wgs84_to_bng(lat, lon) -> Column:
-    """(lat, lon) in degrees on WGS84 -> struct(e, n) metres on the National Grid.
-    Helmert datum shift (metre-level, no grid file) + transverse Mercator."""
-    x, y, z = _geodetic_to_cart(F.radians(_c(lat)), F.radians(_c(lon)), GRS80_A, GRS80_B)
-    x, y, z = _helmert(x, y, z, 1.0)
-    phi, lam = _cart_to_geodetic(x, y, z, AIRY_A, AIRY_B)
-    a, b, f0 = AIRY_A, AIRY_B, NG_F0
-    e2 = 1 - (b * b) / (a * a)
-    sp, cp = F.sin(phi), F.cos(phi)
-    tp = F.tan(phi)
-    nu = a * f0 / F.sqrt(1 - e2 * sp * sp)
-    rho = a * f0 * (1 - e2) * F.pow(1 - e2 * sp * sp, -1.5)
-    eta2 = nu / rho - 1
-    m = _meridional_arc(phi)
-    i = m + NG_N0
-    ii = nu / 2 * sp * cp
-    iii = nu / 24 * sp * F.pow(cp, 3) * (5 - tp * tp + 9 * eta2)
-    iiia = nu / 720 * sp * F.pow(cp, 5) * (61 - 58 * tp * tp + F.pow(tp, 4))
-    iv = nu * cp
-    v = nu / 6 * F.pow(cp, 3) * (nu / rho - tp * tp)
-    vi = nu / 120 * F.pow(cp, 5) * (5 - 18 * tp * tp + F.pow(tp, 4) + 14 * eta2 - 58 * tp * tp * eta2)
-    dl = lam - math.radians(NG_LON0)
-    north = i + ii * dl ** 2 + iii * dl ** 4 + iiia * dl ** 6
-    east = NG_E0 + iv * dl + v * dl ** 3 + vi * dl ** 5
-    return F.struct(east.alias("e"), north.alias("n"))
-
-
-def bng_to_wgs84(e, n, iterations: int = 6) -> Column:
-    """X5 inverse: National Grid (e, n) metres -> struct(lat, lon) degrees on WGS84."""
-    a, b, f0 = AIRY_A, AIRY_B, NG_F0
-    e2 = 1 - (b * b) / (a * a)
-    east, north = _c(e), _c(n)
-    phi = F.lit(math.radians(NG_LAT0)) + (north - NG_N0) / (a * f0)
-    for _ in range(iterations):
-        phi = phi + (north - NG_N0 - _meridional_arc(phi)) / (a * f0)
-    sp, cp, tp = F.sin(phi), F.cos(phi), F.tan(phi)
-    nu = a * f0 / F.sqrt(1 - e2 * sp * sp)
-    rho = a * f0 * (1 - e2) * F.pow(1 - e2 * sp * sp, -1.5)
-    eta2 = nu / rho - 1
-    vii = tp / (2 * rho * nu)
-    viii = tp / (24 * rho * F.pow(nu, 3)) * (5 + 3 * tp * tp + eta2 - 9 * tp * tp * eta2)
-    ix = tp / (720 * rho * F.pow(nu, 5)) * (61 + 90 * tp * tp + 45 * F.pow(tp, 4))
-    x_ = 1 / (cp * nu)
-    xi = 1 / (cp * 6 * F.pow(nu, 3)) * (nu / rho + 2 * tp * tp)
-    xii = 1 / (cp * 120 * F.pow(nu, 5)) * (5 + 28 * tp * tp + 24 * F.pow(tp, 4))
-    xiia = 1 / (cp * 5040 * F.pow(nu, 7)) * (61 + 662 * tp * tp + 1320 * F.pow(tp, 4) + 720 * F.pow(tp, 6))
-    de = east - NG_E0
-    lat = phi - vii * de ** 2 + viii * de ** 4 - ix * de ** 6
-    lon = math.radians(NG_LON0) + x_ * de - xi * de ** 3 + xii * de ** 5 - xiia * de ** 7
-    x, y, z = _geodetic_to_cart(lat, lon, AIRY_A, AIRY_B)
-    x, y, z = _helmert(x, y, z, -1.0)
-    lat2, lon2 = _cart_to_geodetic(x, y, z, GRS80_A, GRS80_B)
-    return F.struct(F.degrees(lat2).alias("lat"), F.degrees(lon2).alias("lon"))
-
-
-def area_centroid_bng(ring) -> Column:
-    """Area-weighted centroid computed in the National Grid, returned as WGS84
-    struct(lat, lon). The ring is [lon, lat] pairs on WGS84."""
-    projected = F.transform(_c(ring), lambda p: (lambda en: F.array(en["e"], en["n"]))(
-        wgs84_to_bng(p[1], p[0])))
-    c = ring_area_centroid(projected)
-    back = bng_to_wgs84(c["x"], c["y"])
-    return F.when(c["x"].isNotNull(), back)

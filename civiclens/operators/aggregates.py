@@ -87,7 +87,7 @@ def topic_frequency(topics: DataFrame, names: DataFrame, list_col: str = "topic_
     total = F.sum("mentions").over(Window.partitionBy())
     return base.select("topic_id", "topic_group", "color", "mentions",
                        F.round(F.try_divide(F.col("mentions"), total) * 100, digits).alias("percentage"),
-                       (F.row_number().over(w) - 1).alias("rank"))
+                       (F.row_number().over(w) - 1).cast("long").alias("rank"))
 
 
 def topic_frequency_by_area(topics: DataFrame, names: DataFrame, inner: Sequence[str],
@@ -142,11 +142,11 @@ def top_n_other(names: DataFrame, n: int = K.TOP_TOPICS_BAR, other_label: str =
     """First n lookup rows plus one "other" row holding the rest of the counts
     (emitted even when 0), with each slice's share of the total."""
     top = names.where(F.col("file_order") < n).select(
-        F.col("file_order").alias("slice"), F.col("topic_id").cast("int").alias("topic_id"),
+        F.col("file_order").cast("long").alias("slice"), F.col("topic_id").cast("int").alias("topic_id"),
         "topic_group", "color", "topic_count")
     # A global aggregate returns exactly one row, so "other" exists even when empty.
     rest = names.where(F.col("file_order") >= n).agg(
-        F.lit(n).alias("slice"), F.lit(other_topic).cast("int").alias("topic_id"),
+        F.lit(n).cast("long").alias("slice"), F.lit(other_topic).cast("int").alias("topic_id"),
         F.lit(other_label).alias("topic_group"), F.lit(other_color).alias("color"),
         F.coalesce(F.sum("topic_count"), F.lit(0)).alias("topic_count"))
     out = top.unionByName(rest)

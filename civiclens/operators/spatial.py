@@ -162,7 +162,7 @@ def even_spacing(df: DataFrame, ext: DataFrame, margin_fraction: float, key: str
     # Areas without a side (no centroid) form their own window group and keep NULL
     # label positions. No filter on `side`: a predicate on a window partition column
     # is pushed below the window and would copy the centroid expressions into it.
-    d = (df.withColumn("rank", F.row_number().over(w) - 1)
+    d = (df.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
          .withColumn("n_side", F.count("*").over(Window.partitionBy("side"))))
     i1 = (F.col("rank") + 1).cast("double")
     ystep = (maxy - miny) / (F.col("n_side") + 1)

@@ -89,7 +89,7 @@ def parse_topic_list(spark, sf_dir):
     t = FR.topic_lists(fixtures(spark, sf_dir).comments_with_topics)
     a = F.col("topic_list")
     return t.select("comment_id",
-                    F.when(a.isNotNull(), F.size(a)).alias("n_topics"),
+                    F.when(a.isNotNull(), F.size(a)).cast("long").alias("n_topics"),
                     F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x).alias("topic_sum"),
                     F.get(a, 0).alias("first_topic"),
                     F.get(a, F.size(a) - 1).alias("last_topic"))
@@ -100,9 +100,9 @@ def parse_probability_list(spark, sf_dir):
     t = fixtures(spark, sf_dir).comments_with_topics.withColumn("p", parse_double_list("probability"))
     a = F.col("p")
     return t.select("comment_id",
-                    F.when(a.isNotNull(), F.size(a)).alias("n_probs"),
+                    F.when(a.isNotNull(), F.size(a)).cast("long").alias("n_probs"),
                     _r(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)).alias("prob_sum"),
-                    F.when(a.isNotNull(), F.size(F.filter(a, lambda x: x == 0))).alias("n_zero"))
+                    F.when(a.isNotNull(), F.size(F.filter(a, lambda x: x == 0))).cast("long").alias("n_zero"))
 
 
 @query

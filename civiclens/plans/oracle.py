@@ -155,15 +155,15 @@ WHERE tot > 0""")
 
 _add("overall_summary", with_views("fx_applications") + """
 SELECT COUNT(DISTINCT lpa_app_no) AS total_applications,
-  COALESCE(SUM(total_no_proposed_residential_units), 0) AS total_proposed_residential_units,
-  COALESCE(SUM(comment_count), 0) AS total_comments,
+  CAST(COALESCE(SUM(total_no_proposed_residential_units), 0) AS BIGINT) AS total_proposed_residential_units,
+  CAST(COALESCE(SUM(comment_count), 0) AS BIGINT) AS total_comments,
   ROUND(AVG(comment_count), 2) AS mean_comments_per_application
 FROM fx_applications""")
 
 _add("council_stats", with_views("fx_applications") + """
 SELECT borough, COUNT(lpa_app_no) AS total_applications,
-  COALESCE(SUM(total_no_proposed_residential_units), 0) AS total_proposed_units,
-  COALESCE(SUM(comment_count), 0) AS total_comments, ROUND(AVG(comment_count), 6) AS mean_comments
+  CAST(COALESCE(SUM(total_no_proposed_residential_units), 0) AS BIGINT) AS total_proposed_units,
+  CAST(COALESCE(SUM(comment_count), 0) AS BIGINT) AS total_comments, ROUND(AVG(comment_count), 6) AS mean_comments
 FROM fx_applications WHERE borough IS NOT NULL GROUP BY borough""")
 
 _add("stance_size", with_views("fx_comments") + """
@@ -187,7 +187,7 @@ SELECT lpa_app_no, borough, housing_type, total_no_proposed_residential_units, c
 _add("parse_topic_list", with_views("fx_comments", "fx_topic_long") + """
 SELECT c.comment_id, t.n_topics, t.topic_sum, t.first_topic, t.last_topic
 FROM fx_comments c LEFT JOIN (
-  SELECT comment_id, COUNT(*) AS n_topics, SUM(topic) AS topic_sum, arg_min(topic, pos) AS first_topic,
+  SELECT comment_id, COUNT(*) AS n_topics, CAST(SUM(topic) AS BIGINT) AS topic_sum, arg_min(topic, pos) AS first_topic,
     arg_max(topic, pos) AS last_topic
   FROM fx_topic_long GROUP BY comment_id) t USING (comment_id)""")
 
@@ -236,7 +236,7 @@ pie AS (
   FROM names_o WHERE file_order < {K.TOP_TOPICS_BAR}
   UNION ALL
   SELECT {K.TOP_TOPICS_BAR}, CAST({other_topic} AS INT), {_q(K.OTHER_LABEL)}, {_q(other_color)},
-    COALESCE(SUM(topic_count), 0) FROM names_o WHERE file_order >= {K.TOP_TOPICS_BAR}),
+    CAST(COALESCE(SUM(topic_count), 0) AS BIGINT) FROM names_o WHERE file_order >= {K.TOP_TOPICS_BAR}),
 pie_s AS (SELECT *, ROUND(topic_count * 1e2 / (SELECT SUM(topic_count) FROM names_o), 6) AS share FROM pie)"""
 
 
@@ -480,7 +480,7 @@ src AS (SELECT a.housing_type, c.sentiment_score FROM fx_comments c
      + box_sql("src", "sentiment_score", ["housing_type"]) + "\nSELECT * FROM box")
 
 _add("regression_by_housing", with_views("fx_applications") + f"""
-SELECT housing_type, COUNT(*) AS n, REGR_COUNT(y, xs) AS n_fit, ROUND(REGR_SLOPE(y, xs), 6) AS slope,
+SELECT housing_type, COUNT(*) AS n, CAST(REGR_COUNT(y, xs) AS BIGINT) AS n_fit, ROUND(REGR_SLOPE(y, xs), 6) AS slope,
   ROUND(REGR_INTERCEPT(y, xs), 6) AS intercept
 FROM (SELECT housing_type, CAST(comment_count AS DOUBLE) AS y,
         CASE WHEN housing_type <> 'Other' THEN CAST(total_no_proposed_residential_units AS DOUBLE) END AS xs
@@ -518,7 +518,7 @@ SELECT lsoa_code, num_comments, ROUND(percent_age_50_plus, 6) AS percent_age_50_
 FROM prof""")
 
 _add("lsoa_regression", _LVIEWS + _LSOA_JOIN + """
-SELECT variable, REGR_COUNT(y, x) AS n_fit, ROUND(REGR_SLOPE(y, x), 6) AS slope,
+SELECT variable, CAST(REGR_COUNT(y, x) AS BIGINT) AS n_fit, ROUND(REGR_SLOPE(y, x), 6) AS slope,
   ROUND(REGR_INTERCEPT(y, x), 6) AS intercept, response
 FROM (SELECT variable, x, CAST(num_comments AS DOUBLE) AS y, 'raw' AS response FROM lg UNION ALL
       SELECT variable, x, LN(1 + num_comments), 'log1p' FROM lg) t

@@ -22,7 +22,7 @@ from civiclens.operators import histograms as H
 from civiclens.operators import quantiles as Qn
 from civiclens.operators import regression as R
 from civiclens.operators import spatial as S
-from civiclens.operators.relational import coverage_report, distinct_values, lookup
+from civiclens.operators.relational import coverage_report, distinct_values, lookup, semi_join
 from civiclens.plans import frames as FR
 from civiclens.sources.fixtures import materialise
 from civiclens.sources.sinks import write_result
@@ -151,7 +151,7 @@ def demographic_report(i: Inputs) -> dict[str, DataFrame]:
         R.ols(lg, "x", y_log, ["variable"]).withColumn("response", F.lit("log1p")))
     corr = R.pearson(lg, "x", y_raw, ["variable"], True).withColumn("response", F.lit("raw")).unionByName(
         R.pearson(lg, "x", y_log, ["variable"], True).withColumn("response", F.lit("log1p")))
-    with_c = FR.semi_join(census, c.where(F.col("lsoa_code").isNotNull()), "lsoa_code", "lsoa_code")
+    with_c = semi_join(census, c.where(F.col("lsoa_code").isNotNull()), "lsoa_code", "lsoa_code")
     welch = R.welch_t(census.select(F.expr(stack.format(v="value"))), with_c.select(F.expr(stack.format(v="value"))),
                       "value", by=["variable"], with_p=True)
     return {

@@ -70,7 +70,7 @@ def normalise_topic_names(df: DataFrame) -> DataFrame:
     # The lookup has one row per topic of the topic model (hundreds at most), so a
     # single-partition window is bounded.
     w = Window.orderBy(F.desc("topic_count"), F.asc("topic_id"))
-    return out.withColumn("file_order", F.row_number().over(w) - 1)
+    return out.withColumn("file_order", (F.row_number().over(w) - 1).cast("long"))
 
 
 def read_topic_names(spark: SparkSession, path: str) -> DataFrame:

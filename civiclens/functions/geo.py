@@ -118,19 +118,25 @@ def shoelace_centroid(s) -> Column:
 
 
 def parts_area_centroid(parts) -> Column:
-    """X4, multi-part: area-weighted over parts and rings (holes carry negative weight
-    when wound opposite to the shell). `parts` is parts -> rings -> points."""
-    rings = F.flatten(_c(parts))
-    cs = F.transform(rings, lambda r: ring_area_centroid(r))
+    """X4, multi-part: area-weighted centroid over parts -> rings -> points. In each
+    part the first ring is the shell (weight +|area|) and the others are holes
+    (weight -|area|), whatever their winding. Returns struct(x, y, area)."""
+    def part_terms(part):
+        return F.transform(part, lambda r, i: F.struct(
+            ring_area_centroid(r).alias("c"), F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign")))
+    terms = F.flatten(F.transform(_c(parts), part_terms))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
-    s = F.aggregate(
-        cs, zero,
-        lambda acc, c: F.struct(
-            (acc["a"] + F.coalesce(c["area"], F.lit(0.0))).alias("a"),
-            (acc["sx"] + F.coalesce(c["x"] * c["area"], F.lit(0.0))).alias("sx"),
-            (acc["sy"] + F.coalesce(c["y"] * c["area"], F.lit(0.0))).alias("sy")))
+
+    def add(acc, t):
+        w = F.coalesce(F.abs(t["c"]["area"]) * t["sign"], F.lit(0.0))
+        return F.struct((acc["a"] + w).alias("a"),
+                        (acc["sx"] + F.coalesce(t["c"]["x"] * w, F.lit(0.0))).alias("sx"),
+                        (acc["sy"] + F.coalesce(t["c"]["y"] * w, F.lit(0.0))).alias("sy"))
+
+    s = F.aggregate(terms, zero, add)
     ok = s["a"] != 0
-    return F.struct(F.when(ok, s["sx"] / s["a"]).alias("x"), F.when(ok, s["sy"] / s["a"]).alias("y"))
+    return F.struct(F.when(ok, s["sx"] / s["a"]).alias("x"), F.when(ok, s["sy"] / s["a"]).alias("y"),
+                    F.when(ok, s["a"]).alias("area"))
 
 
 def ring_bbox(ring) -> Column:

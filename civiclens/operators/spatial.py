@@ -124,9 +124,15 @@ def padded_extent(ext: DataFrame, margin_fraction: float | None = None,
                       r(F.col("miny") - my).alias("ylim_lo"), r(F.col("maxy") + my).alias("ylim_hi"))
 
 
-def area_centroids(df: DataFrame, rings: str) -> DataFrame:
-    """X4 on the outer ring: adds centroid_x, centroid_y (planar)."""
+def area_centroids(df: DataFrame, rings: str, parts: bool = False) -> DataFrame:
+    """Adds centroid_x, centroid_y (planar). `rings` is one polygon's rings (the
+    outer ring is used), or with parts=True a MultiPolygon's parts -> rings, whose
+    centroid is area-weighted over parts with holes subtracted."""
+    from civiclens.functions.geo import parts_area_centroid
     from civiclens.operators.geometry import with_area_centroid
+    if parts:
+        d = df.withColumn("_pc", parts_area_centroid(F.col(rings)))
+        return d.withColumns({"centroid_x": F.col("_pc.x"), "centroid_y": F.col("_pc.y")}).drop("_pc")
     d = df.withColumn("_outer", F.get(F.col(rings), 0))
     return with_area_centroid(d, "_outer", "centroid_x", "centroid_y").drop("_outer")
 

@@ -39,7 +39,7 @@ class Inputs:
     census_age: DataFrame | None = None
     census_occupation: DataFrame | None = None
     census_tenure: DataFrame | None = None
-    lad: DataFrame | None = None           # LAD24NM, rings (boundary map, Q1)
+    lad: DataFrame | None = None           # LAD24NM, parts (read_geojson; boundary map, Q1)
     inner: Sequence[str] = field(default_factory=lambda: list(K.INNER_LONDON_BOROUGHS))
     census_cols: dict = field(default_factory=dict)   # overrides for FR.census_features
 
@@ -68,12 +68,16 @@ def descriptive_report(i: Inputs) -> dict[str, DataFrame]:
         "boroughs": distinct_values(apps, "borough"),
     }
     if i.lad is not None:
-        areas = i.lad.withColumn("london_area", area_class("LAD24NM", i.inner))
+        # LAD boundaries as read by `read_geojson`: LAD24NM, parts (parts -> rings -> points).
+        lad = i.lad.withColumn("_rings", F.flatten("parts"))
+        areas = lad.withColumn("london_area", area_class("LAD24NM", i.inner))
         highlighted = areas.join(apps.select(F.col("borough").alias("LAD24NM")).distinct(), "LAD24NM", "left_semi")
-        ext = S.extent(i.lad, "rings")
-        sides = S.nearest_edge(S.area_centroids(highlighted, "rings"), ext)
+        ext = S.extent(lad, "_rings")
+        sides = S.nearest_edge(S.area_centroids(highlighted, "parts", parts=True), ext)
         out["lad_map"] = areas.select("LAD24NM", "london_area")
-        out["lad_labels"] = S.even_spacing(sides, ext, K.EXTENT_MARGIN_FRACTION, "LAD24NM").drop("rings")
+        out["lad_labels"] = (S.even_spacing(sides, ext, K.EXTENT_MARGIN_FRACTION, "LAD24NM")
+                             .select("LAD24NM", "london_area", "centroid_x", "centroid_y", "side", "rank",
+                                     "n_side", "label_x", "label_y"))
         out["lad_extent"] = S.padded_extent(ext, margin_fraction=K.EXTENT_MARGIN_FRACTION)
     return out
 

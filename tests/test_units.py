@@ -158,6 +158,35 @@ def test_centroids(spark):
     assert (v["lat"], v["lon"]) == pytest.approx((0.8, 1.6))   # closing vertex counted twice
 
 
+def test_multipart_centroid_with_hole(spark):
+    shell = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
+    hole = [[0.0, 0.0], [0.0, 2.0], [2.0, 2.0], [2.0, 0.0], [0.0, 0.0]]       # same winding as the shell
+    other = [[10.0, 0.0], [12.0, 0.0], [12.0, 2.0], [10.0, 2.0], [10.0, 0.0]]
+    df = spark.createDataFrame([([[shell, hole], [other]],)], "p array<array<array<array<double>>>>")
+    c = df.select(X.parts_area_centroid("p").alias("c")).first()["c"]
+    # shell 16 at (2,2) minus hole 4 at (1,1) plus 4 at (11,1): (32 - 4 + 44) / 16, (32 - 4 + 4) / 16
+    assert (c["x"], c["y"], c["area"]) == pytest.approx((4.5, 2.0, 16.0))
+
+
+def test_descriptive_report_with_boundaries(spark, tmp_path):
+    from civiclens.plans import reports as Rp
+    from civiclens.sources.fixtures import fixtures
+    from tests.conftest import SF_SMALL
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"LAD24NM": f"NATION_{k}"},
+         "geometry": {"type": "MultiPolygon" if k % 2 else "Polygon",
+                      "coordinates": ([[ring]] if k % 2 else [ring])}}
+        for k, ring in ((k, [[k, 0], [k + 1, 0], [k + 1, 1], [k, 1], [k, 0]]) for k in range(6))]}
+    p = tmp_path / "lad.geojson"
+    p.write_text(json.dumps(fc))
+    i = Rp.Inputs.from_fixtures(fixtures(spark, SF_SMALL))
+    i.lad = read_geojson(spark, str(p), ["LAD24NM"])
+    out = Rp.descriptive_report(i)
+    labels = {r["LAD24NM"]: r for r in out["lad_labels"].collect()}
+    assert len(labels) == 6 and labels["NATION_2"]["centroid_x"] == pytest.approx(2.5)
+    assert {r["side"] for r in labels.values()} <= {"left", "right", "top", "bottom"}
+
+
 def test_ring_validity(spark):
     df = spark.createDataFrame([([[0.0, 0.0], [1.0, 0.0]],), ([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]],),
                                 ([[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]],)], "r array<array<double>>")

@@ -440,7 +440,8 @@ def _comments_lsoa(spark, sf_dir):
 
 @query
 def lsoa_spatial_join(spark, sf_dir):
-    return _comments_lsoa(spark, sf_dir).select("comment_id", "lsoa_code")
+    fx = fixtures(spark, sf_dir)
+    return FR.comment_lsoa_codes(fx.comments, fx.lsoa, _census(spark, sf_dir)).select("comment_id", "lsoa_code")
 
 
 @query

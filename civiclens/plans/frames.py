@@ -105,14 +105,19 @@ def census_features(age: DataFrame, occ: DataFrame, ten: DataFrame,
     return a.join(o, "lsoa_code", "left").join(t, "lsoa_code", "left")
 
 
-def comments_with_lsoa(comments: DataFrame, lsoa: DataFrame, census: DataFrame,
+def comment_lsoa_codes(comments: DataFrame, lsoa: DataFrame, census: DataFrame,
                        code: str = "LSOA21CD", rings: str = "rings") -> DataFrame:
-    """Q5 base frame: boundaries restricted to census LSOAs (J7), comments joined to
-    the containing LSOA (J8), census shares attached (J6)."""
+    """Boundaries restricted to census LSOAs (J7), comments joined to the containing
+    LSOA (J8): every comment row with `lsoa_code` (NULL when outside all)."""
     from civiclens.operators.spatial import spatial_join
     polys = semi_join(lsoa, census, code, "lsoa_code")
-    pts = spatial_join(comments, polys, x="lon", y="lat", code=code, rings=rings, out="lsoa_code")
-    return pts.join(census, "lsoa_code", "left")
+    return spatial_join(comments, polys, x="lon", y="lat", code=code, rings=rings, out="lsoa_code")
+
+
+def comments_with_lsoa(comments: DataFrame, lsoa: DataFrame, census: DataFrame,
+                       code: str = "LSOA21CD", rings: str = "rings") -> DataFrame:
+    """Q5 base frame: `comment_lsoa_codes` with the census shares attached."""
+    return comment_lsoa_codes(comments, lsoa, census, code, rings).join(census, "lsoa_code", "left")
 
 
 # -- borough report (Q6) -----------------------------------------------------------------

@@ -241,8 +241,9 @@ class Fixtures:
         """LSOA boundaries: LSOA21CD and a MultiPolygon-shaped coordinate array (one part, one ring)."""
         v = self.view("fx_lsoa")
         pts = [F.array(F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2, 3, 4, 1)]
-        return v.select(F.col("lsoa_code").alias("LSOA21CD"),
-                        F.array(F.array(*pts)).alias("rings"))
+        # Materialised once, like the boundary file it stands for.
+        return materialise(v.select(F.col("lsoa_code").alias("LSOA21CD"),
+                                    F.array(F.array(*pts)).alias("rings")))
 
     @cached_property
     def census_age(self) -> DataFrame:

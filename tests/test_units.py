@@ -324,3 +324,32 @@ def test_kde_integrates_to_one(spark):
     step = rows[1]["x"] - rows[0]["x"]
     area = sum(r["density"] for r in rows) * step
     assert 0.9 < area < 1.0   # support cut at the data range, as the plot does
+
+
+# -- aggregates edge cases --------------------------------------------------------------------
+def test_top_n_other_emits_empty_other_slice(spark):
+    from civiclens.operators.aggregates import top_n_other
+    from civiclens.sources.readers import normalise_topic_names
+    names = normalise_topic_names(spark.createDataFrame(
+        [(1, 5, "a", "#1"), (2, 9, "b", "#2"), (3, 1, "c", "#3")], "Topic int, Count long, topic_group string, color string"))
+    rows = {r["slice"]: r for r in top_n_other(names, n=20).collect()}
+    assert sorted(rows) == [0, 1, 2, 20]
+    assert rows[0]["topic_id"] == 2 and rows[20]["topic_count"] == 0 and rows[20]["topic_group"] == "other"
+    assert sum(r["share"] for r in rows.values()) == pytest.approx(100.0)
+
+
+def test_stance_by_council_ignores_unlisted_stances_and_null_council(spark):
+    from civiclens.operators.aggregates import stance_by_council
+    df = spark.createDataFrame([("A", "Supports"), ("A", "Objects"), ("A", "Objects"), ("A", "Unclear"),
+                                (None, "Supports"), ("B", "Unclear")], "council string, stance string")
+    rows = {r["council"]: r for r in stance_by_council(df).collect()}
+    assert set(rows) == {"A"}          # B has no listed stance; the null council is dropped
+    a = rows["A"]
+    assert (a["supports"], a["objects"], a["neutral"]) == (1, 2, 0)
+    assert a["pct_objects"] == pytest.approx(200 / 3, abs=1e-6)
+
+
+def test_composite_key_is_null_when_a_part_is_null(spark):
+    from civiclens.functions.scalar import composite_key
+    df = spark.createDataFrame([("A1", "X"), ("A1", None)], "a string, b string")
+    assert [r["k"] for r in df.select(composite_key("a", "b").alias("k")).collect()] == ["A1_X", None]

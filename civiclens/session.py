@@ -22,6 +22,9 @@ _SCALE_CONF = {
     # Staged geometry adds many aliased columns; constraint inference over them grows
     # combinatorially and brings nothing to these plans.
     "spark.sql.constraintPropagation.enabled": "false",
+    # Checkpoint files (exact-quantile numbering, materialised inputs) are removed
+    # once their data is no longer referenced, so the shared folder does not fill up.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

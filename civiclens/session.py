@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 # the caller: on a cluster they come from spark-defaults, locally from `cpus`.
 _SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     # Runtime broadcast conversion is the size-checked broadcast: AQE only turns a
@@ -37,7 +36,13 @@ def build_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
     for key, value in _SCALE_CONF.items():
         builder = builder.config(key, value)
     n = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)
+    # Locally the shuffle partitions already equal the cores, so coalescing can only
+    # lower parallelism; it would put CPU-heavy stages (kernel sums, ray tests,
+    # projections) on a few tasks because AQE sizes partitions by input bytes. On a
+    # cluster the session's own settings apply (coalescing on, partitions sized to
+    # the data).
     builder = (builder.config("spark.sql.shuffle.partitions", str(n))
+               .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
                .config("spark.driver.memory", driver_memory))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

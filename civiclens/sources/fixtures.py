@@ -132,10 +132,18 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write an input table once to the shared checkpoint folder and read it from
-    there (cuts the lineage; survives executor loss)."""
+    there (cuts the lineage; survives executor loss).
+
+    AQE coalesces a small result into few partitions; a table that comes out with
+    fewer partitions than the cluster's parallelism is re-split so that the work
+    reading it is spread over all cores. A large table is left as it is."""
     from civiclens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < par:
+        out = out.repartition(par).checkpoint(eager=True)
+    return out
 
 
 _CACHE: dict[tuple[int, str], "Fixtures"] = {}

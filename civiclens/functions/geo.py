@@ -78,11 +78,15 @@ def ring_area_centroid(ring) -> Column:
                         (acc["sx"] + (xi + xj) * cross).alias("sx"),
                         (acc["sy"] + (yi + yj) * cross).alias("sy"))
 
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step)
-    ok = r.isNotNull() & (n >= 3) & (s["a"] != 0)
-    return F.struct(F.when(ok, s["sx"] / (s["a"] * 3) + x0).alias("x"),
-                    F.when(ok, s["sy"] / (s["a"] * 3) + y0).alias("y"),
-                    F.when(ok, s["a"] / 2).alias("area"))
+    # Finished inside `aggregate`, so the traversal appears once (no field access on
+    # a copy of the whole expression per output field).
+    fin = lambda acc: F.when(acc["a"] != 0, F.struct(
+        (acc["sx"] / (acc["a"] * 3) + x0).alias("x"), (acc["sy"] / (acc["a"] * 3) + y0).alias("y"),
+        (acc["a"] / 2).alias("area")))
+    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, fin)
+    none = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
+                    F.lit(None).cast("double").alias("area"))
+    return F.coalesce(F.when(r.isNotNull() & (n >= 3), s), none)
 
 
 def ring_shoelace(ring) -> Column:
@@ -103,9 +107,11 @@ def ring_shoelace(ring) -> Column:
                         (acc["sx"] + (xi + xj) * cross).alias("sx"),
                         (acc["sy"] + (yi + yj) * cross).alias("sy"))
 
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step)
-    return F.when(r.isNotNull() & (n >= 3), F.struct(s["a"].alias("a"), s["sx"].alias("sx"), s["sy"].alias("sy"),
-                                                     x0.alias("x0"), y0.alias("y0")))
+    # The origin is added in the finish step, so the traversal appears once in the plan.
+    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step,
+                    lambda acc: F.struct(acc["a"].alias("a"), acc["sx"].alias("sx"), acc["sy"].alias("sy"),
+                                         x0.alias("x0"), y0.alias("y0")))
+    return F.when(r.isNotNull() & (n >= 3), s)
 
 
 def shoelace_centroid(s) -> Column:

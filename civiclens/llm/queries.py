@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_grammar, credentials, jaccard_join, langid, spaced_seeds
+from . import chat_grammar, credentials, jaccard_join, langid, merge_dropout, spaced_seeds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("linked").cast("long").alias("n_linked"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    """Encode with dropout, decode again, and tell whether the text came back."""
+    import public_tokenizers
+
+    model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")
+    ids = merge_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file)
+    rows = ids.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
+    back = merge_dropout.decode(rows, model_file)
+    return back.select("doc_id", F.when(F.col("n_tokens") >= 0, F.col("n_tokens")).otherwise(0).alias("n_tokens"), "ids_hash",
+                       F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_multipart_secrets, op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
+    op2_multipart_secrets, op4_merge_dropout, op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
 
 ORACLE = {
     "op9_chat_grammar": r"""

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import U64, flat_bytes, mix, pieces, word_hashes
+from .arrays import U64, flat_bytes, mix, pieces, repeat_ranges, word_hashes
 
 WINDOW, MISSES, LEAST = 12, 2, 5
 #: Positions that each mask reads.
@@ -77,12 +77,6 @@ class Items:
         return self.words.nbytes * 3 + sum(s.nbytes * 2 + (1 << 20) for _, s, _, _ in self.masks)
 
 
-def _repeat_ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Concatenation of start[i], ..., start[i] + count[i] - 1."""
-    ends = np.cumsum(count)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(start, count)
-
-
 def overlaps(h: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, np.ndarray]:
     """Pairs (row, item) that overlap: number of windows, largest number of equal words in one, first word."""
     found = []
@@ -94,7 +88,7 @@ def overlaps(h: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, np.n
         maybe = flags[mine >> U64(44)]
         mine, where = mine[maybe], where[maybe]
         lo, hi = np.searchsorted(seeds, mine, "left"), np.searchsorted(seeds, mine, "right")
-        ref = at[_repeat_ranges(lo, hi - lo)]
+        ref = at[repeat_ranges(lo, hi - lo)]
         pos = np.repeat(where, hi - lo)
         # the alignment: where the first word of the item would stand
         found.append(np.stack([rows[pos], items.row[ref], pos - ref + items.offsets[items.row[ref]]]))
@@ -104,7 +98,7 @@ def overlaps(h: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, np.n
     size = np.diff(items.offsets)[item]
     # equal words along each alignment, outside of the document nothing is equal
     which = np.repeat(np.arange(len(row)), size)
-    inside = _repeat_ranges(np.zeros(len(row), np.int64), size)
+    inside = repeat_ranges(np.zeros(len(row), np.int64), size)
     doc = start[which] + inside
     ok = (doc >= offsets[row[which]]) & (doc < offsets[row[which] + 1])
     same = np.zeros(len(doc), np.int64)

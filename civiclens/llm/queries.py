@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_grammar, credentials, jaccard_join, langid, merge_dropout, spaced_seeds
+from . import chat_grammar, credentials, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str, model_file: str | None =
                        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +66,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_multipart_secrets, op4_merge_dropout, op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
+    op2_multipart_secrets, op4_merge_dropout, op5_kneser_ney, op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
 
 ORACLE = {
     "op9_chat_grammar": r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_grammar, credentials, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds
+from . import chat_grammar, credentials, hilbert_ann, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op6_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +70,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_multipart_secrets, op4_merge_dropout, op5_kneser_ney, op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
+    op2_multipart_secrets, op4_merge_dropout, op5_kneser_ney, op6_hilbert_neighbours,
+    op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
 
 ORACLE = {
     "op9_chat_grammar": r"""

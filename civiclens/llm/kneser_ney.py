@@ -29,105 +29,22 @@ are kept by `score`; columns with the names of its results are replaced.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .arrays import U64, flat_bytes, mix, pieces, word_hashes
+from .hash_arrays import RANGE_BYTES, SENT, batch_of, mapped, merged, range_of, send, summed, write
 from .shared import scratch, stored
 
-RANGE_BYTES = 16 << 20
 HOT_SHARE = 0.125
 HELD = 4 << 20  # counts that a task gathers before it sends them on
 _END = U64(0x454E44)
-_BLOBS = "bucket int, kind string, size long, blob binary"
-
-
-# -- counts in transit
-
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as byte planes of their differences, and counts, compressed."""
-    step = np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
-    count = counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    return pa.compress(np.concatenate([step, count]).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(pa.decompress(blob, 12 * size, codec="zstd", asbytes=True), np.uint8).reshape(12, size)
-    keys = np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64)
-    return keys, np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel().astype(np.int64)
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts (1 each, if None)."""
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    total = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-    return keys[first], total
-
-
-def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unpack(blob, size) for blob, size in zip(rows["blob"], rows["size"], strict=True)]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
-
-def _sent(kind: str, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
-    """One row for each bucket that has keys."""
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order], counts[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), kind, int(b - a), _pack(keys[a:b], counts[a:b])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()),
-                                       pa.array(columns[3], pa.binary())], names=["bucket", "kind", "size", "blob"])
-
-
-# -- files
-
-def _write(folder: str, name: str, values: np.ndarray) -> None:
-    store, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
-    store.create_dir(path, recursive=True)
-    own = f"{path}/.{name}-{os.getpid()}-{np.random.default_rng().integers(1 << 62)}"
-    with store.open_output_stream(own) as out:
-        np.lib.format.write_array(out, values)
-    store.move(own, f"{path}/{name}.npy")
-
-
-_OPEN: dict[str, np.ndarray] = {}
-
-
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """An array mapped into memory. From a store that is no file system it is first copied to the worker's disk."""
-    key = f"{folder}/{name}"
-    if key not in _OPEN:
-        store, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
-        path = f"{path}/{name}.npy"
-        if not isinstance(store, pyarrow.fs.LocalFileSystem):
-            own = tempfile.NamedTemporaryFile(suffix=".npy")
-            with store.open_input_stream(path) as src:
-                own.write(src.read())
-            own.flush()
-            path, _OPEN[f"{key} file"] = own.name, own
-        _OPEN[key] = np.load(path, mmap_mode="r")
-    return _OPEN[key]
 
 
 @dataclass
@@ -165,9 +82,9 @@ class Model:
         """Ids of word hashes, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
         base = np.concatenate([[0], np.cumsum(self.sizes)])
-        for b, at in self.by_range(hashes, _range_of(hashes, self.ranges)):
+        for b, at in self.by_range(hashes, range_of(hashes, self.ranges)):
             if self.sizes[b]:
-                have, want = _mapped(self.folder, f"word-{b}"), hashes[at]
+                have, want = mapped(self.folder, f"word-{b}"), hashes[at]
                 place = np.minimum(np.searchsorted(have, want), len(have) - 1)
                 out[at] = np.where(have[place] == want, base[b] + place, -1)
         return out
@@ -178,21 +95,17 @@ class Model:
         bucket = np.searchsorted(base, ids, side="right") - 1
         out = None
         for b, at in self.by_range(ids, bucket):
-            values = _mapped(self.folder, f"{name}-{b}")[ids[at] - base[b]]
+            values = mapped(self.folder, f"{name}-{b}")[ids[at] - base[b]]
             if out is None:
                 out = np.zeros((len(ids), *values.shape[1:]), values.dtype)
             out[at] = values
         return np.zeros(len(ids), np.int64) if out is None else out
 
 
-def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
-
-
 def _bigram_range(model: Model, u: np.ndarray, w: np.ndarray, busy: np.ndarray) -> np.ndarray:
     """By context, or by second word for contexts in many bigrams."""
     key = np.where(busy, mix(w.astype(np.uint64) + U64(1 << 40)), mix(u.astype(np.uint64)))
-    return _range_of(key, model.ranges)
+    return range_of(key, model.ranges)
 
 
 def _busy(model: Model, counts: np.ndarray) -> np.ndarray:
@@ -221,15 +134,15 @@ def train(docs: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) -
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _gathered(batches, lambda h, first: h):
-            yield _batch(list(_sent("word", keys, counts, _range_of(keys, ranges))))
+            yield batch_of(list(send("word", keys, counts, range_of(keys, ranges))))
 
     def keep_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merged(rows)
-        _write(folder, f"word-{key[0]}", keys)
-        _write(folder, f"count-{key[0]}", counts)
+        keys, counts = merged(rows)
+        write(folder, f"word-{key[0]}", keys)
+        write(folder, f"count-{key[0]}", counts)
         return pd.DataFrame({"bucket": [key[0]], "types": [len(keys)], "tokens": [int(counts.sum())]})
 
-    got = rows.mapInArrow(count_words, _BLOBS).groupBy("bucket").applyInPandas(keep_words, "bucket int, types long, tokens long").collect()
+    got = rows.mapInArrow(count_words, SENT).groupBy("bucket").applyInPandas(keep_words, "bucket int, types long, tokens long").collect()
     sizes = np.zeros(ranges, np.int64)
     for r in got:
         sizes[r["bucket"]] = r["types"]
@@ -249,16 +162,16 @@ def train(docs: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) -
 
         for keys, counts in _gathered(batches, of):
             u, w = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-            yield _batch(list(_sent("bigram", keys, counts, _bigram_range(m, u, w, _busy(m, _context_counts(m, u))))))
+            yield batch_of(list(send("bigram", keys, counts, _bigram_range(m, u, w, _busy(m, _context_counts(m, u))))))
 
     def keep_bigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m, b = known.value, key[0]
-        keys, counts = _merged(rows)
+        keys, counts = merged(rows)
         u, w = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
         hashed = mix(keys)
         order = np.argsort(hashed)
-        _write(folder, f"bigram-{b}", hashed[order])
-        _write(folder, f"bigram_count-{b}", counts[order].astype(np.uint32))
+        write(folder, f"bigram-{b}", hashed[order])
+        write(folder, f"bigram_count-{b}", counts[order].astype(np.uint32))
         times = np.minimum(counts, 3)
         first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         n123 = np.stack([np.add.reduceat((times == k).astype(np.int64), first) for k in (1, 2, 3)], axis=1)
@@ -270,30 +183,30 @@ def train(docs: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) -
         for k in (1, 2, 3):
             have = ~busy & (n123[:, k - 1] > 0) & (contexts < m.start)
             ids = contexts[have]
-            out += _sent(f"n{k}", ids.astype(np.uint64), n123[have, k - 1], np.searchsorted(base, ids, side="right") - 1)
+            out += send(f"n{k}", ids.astype(np.uint64), n123[have, k - 1], np.searchsorted(base, ids, side="right") - 1)
         for i in np.flatnonzero(busy | (contexts == m.start)):
             out.append((-1, "hot", int(contexts[i]), np.array(n123[i], np.int64).tobytes()))
-        ids, distinct = _summed(np.sort(w.astype(np.uint64)))
-        out += _sent("left", ids, distinct, np.searchsorted(base, ids.astype(np.int64), side="right") - 1)
+        ids, distinct = summed(np.sort(w.astype(np.uint64)))
+        out += send("left", ids, distinct, np.searchsorted(base, ids.astype(np.int64), side="right") - 1)
         out.append((-1, "times", b, np.bincount(np.minimum(counts, 5), minlength=6).astype(np.int64).tobytes()))
         return pd.DataFrame(out, columns=["bucket", "kind", "size", "blob"])
 
-    parts = stored(rows.mapInArrow(count_bigrams, _BLOBS).groupBy("bucket").applyInPandas(keep_bigrams, _BLOBS), "bigram-parts")
+    parts = stored(rows.mapInArrow(count_bigrams, SENT).groupBy("bucket").applyInPandas(keep_bigrams, SENT), "bigram-parts")
 
     def keep_left(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m, b = known.value, key[0]
         base = int(m.sizes[:b].sum())
         columns = np.zeros((int(m.sizes[b]), 4), np.uint32)
         for j, kind in enumerate(("left", "n1", "n2", "n3")):
-            ids, counts = _merged(rows[rows["kind"] == kind])
+            ids, counts = merged(rows[rows["kind"] == kind])
             columns[ids.astype(np.int64) - base, j] = counts
-        _write(folder, f"left-{b}", np.ascontiguousarray(columns[:, 0]))
-        _write(folder, f"after-{b}", np.ascontiguousarray(columns[:, 1:]))
+        write(folder, f"left-{b}", np.ascontiguousarray(columns[:, 0]))
+        write(folder, f"after-{b}", np.ascontiguousarray(columns[:, 1:]))
         times = np.bincount(np.minimum(columns[:, 0], 5), minlength=6)
         return pd.DataFrame({"bucket": [b], "kind": ["left"], "size": [int(columns[:, 0].sum(dtype=np.int64))],
                              "blob": [times.astype(np.int64).tobytes()]})
 
-    lower = parts.where("bucket >= 0").groupBy("bucket").applyInPandas(keep_left, _BLOBS).collect()
+    lower = parts.where("bucket >= 0").groupBy("bucket").applyInPandas(keep_left, SENT).collect()
     few = parts.where("bucket < 0").collect()  # a row for each range, and the parts of busy contexts
     times = sum(np.frombuffer(r["blob"], np.int64) for r in few if r["kind"] == "times")
     model.filled = frozenset(r["size"] for r in few if r["kind"] == "times")
@@ -318,15 +231,15 @@ def _gathered(batches: Iterator[pa.RecordBatch], of) -> Iterator[tuple[np.ndarra
     for batch in batches:
         for part in pieces(batch, "text"):
             h, first, _ = _bigrams(*word_hashes(*flat_bytes(part.column("text"))))
-            held.append(_summed(of(h, first)))
+            held.append(summed(of(h, first)))
             total += len(held[-1][0])
             if total > HELD:
-                held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
                 if (total := len(held[0][0])) > HELD // 2:
                     yield held[0]
                     held, total = [], 0
     if held:
-        yield _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        yield summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
 
 
 def _context_counts(model: Model, u: np.ndarray) -> np.ndarray:
@@ -385,11 +298,11 @@ def log_probabilities(model: Model, h: np.ndarray, first: np.ndarray) -> tuple[n
         for r, at in model.by_range(hashed, _bigram_range(model, a, b, _busy(model, ctx_count[pu[seen]]))):
             if r not in model.filled:
                 continue
-            have = _mapped(model.folder, f"bigram-{r}")
+            have = mapped(model.folder, f"bigram-{r}")
             at = at[np.argsort(hashed[at])]
             place = np.minimum(np.searchsorted(have, hashed[at]), len(have) - 1)
             hit = have[place] == hashed[at]
-            c = _mapped(model.folder, f"bigram_count-{r}")[place[hit]].astype(np.int64)
+            c = mapped(model.folder, f"bigram_count-{r}")[place[hit]].astype(np.int64)
             where = seen[at[hit]]
             p[where] += np.maximum(c - model.discounts[np.minimum(c, 3)], 0) / ctx_count[pu[where]]
     return np.log10(p)[back], count[inverse]

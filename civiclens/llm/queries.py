@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_grammar, credentials, hilbert_ann, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds
+from . import chat_grammar, credentials, hilbert_ann, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def fold(column: str, n: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans",
@@ -70,7 +75,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_multipart_secrets, op4_merge_dropout, op5_kneser_ney, op6_hilbert_neighbours,
+    op1_suffix_dedup, op2_multipart_secrets, op4_merge_dropout, op5_kneser_ney, op6_hilbert_neighbours,
     op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
 
 ORACLE = {

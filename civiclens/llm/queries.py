@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_grammar, credentials, hilbert_ann, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds, suffix_dedup
+from . import chat_grammar, credentials, hilbert_ann, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds, suffix_dedup, token_coder
+from .shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +28,21 @@ def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("linked").cast("long").alias("n_linked"))
 
 
+def op3_token_coder(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer_file = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
+    parts = stored(token_coder.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file), "parts")
+    return token_coder.read_tokens(parts).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_merge_dropout(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
     """Encode with dropout, decode again, and tell whether the text came back."""
     import public_tokenizers
 
     model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")
-    ids = merge_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file)
-    rows = ids.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
-    back = merge_dropout.decode(rows, model_file)
-    return back.select("doc_id", F.when(F.col("n_tokens") >= 0, F.col("n_tokens")).otherwise(0).alias("n_tokens"), "ids_hash",
+    back = merge_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file, decoded=True)
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
@@ -75,7 +82,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_multipart_secrets, op4_merge_dropout, op5_kneser_ney, op6_hilbert_neighbours,
+    op1_suffix_dedup, op2_multipart_secrets, op3_token_coder, op4_merge_dropout, op5_kneser_ney, op6_hilbert_neighbours,
     op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
 
 ORACLE = {

@@ -12,13 +12,15 @@ How the pairs are found, without listing all pairs of a group:
    1 + E ranges, so each set may leave out its emptiest ranges (those with fewer elements than its
    (E + 1)-th emptiest) and still share one signature (scheme, range, sum of elements) with every
    set that it links with. The signatures are the inverted index.
-3. From each inverted list the least class is the query of all others (a star, not all pairs). Pairs
-   whose 256-bit parity vectors differ in more bits than linked sets can differ in elements drop out.
+3. In each inverted list of several classes one member, drawn by hash, is the query of all others (a
+   star, not all pairs). Pairs whose 256-bit parity vectors differ in more bits than linked sets can
+   differ in elements drop out.
 4. Each query's candidates are searched in blocks with DivideSkip: short lists of the block's index
    are merged, long ones probed by binary search for candidates that can still reach the overlap.
-5. Connected components of the links. Members of one list that ended in different components are then
-   compared with each other too (step 3's parity bound inside the join, step 4 for the rest), which
-   makes the components exact: members of one component need no further comparison.
+5. Connected components of the links. Lists whose members are in different components get another
+   star by another member, against members of other components only; after ROUNDS - 1 rounds the
+   remaining pairs of different components in a list are compared, each (parity bound inside the join,
+   step 4 for the rest). This makes the components exact: members of one need no further comparison.
 
 Defined results. Null or empty texts and texts without words have n_shingles 0 and their own id as
 component. Each input row gives one result row; repeated ids keep their rows, each with the component
@@ -37,9 +39,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, flat_bytes, mix, pieces, word_hashes
 from .components import connected_components
-from .shared import stored
+from .hash_arrays import GATHERED, HashArrays
+from .shared import scratch, stored
 
 PARITY = 4  # words of 64 bits
+#: Star rounds before the remaining pairs of different components are compared; the last places components only.
+ROUNDS = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -180,18 +185,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, block
     return both.select("q", "x", "q_text", "x_text").mapInArrow(run, "u long, v long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(cls, text) of the wanted (cls, rep) classes, from the rows of their representatives."""
+def _texts(docs: DataFrame, known: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(cls, text) of the known classes, from the rows of their representatives. The wanted ids are looked up
+    in mapped arrays, so that no other text is shuffled."""
+    n = known.count()
+    ids = HashArrays(scratch(docs.sparkSession, "wanted"), -(-n // GATHERED) or 1)
+    ids.keep("id", known.select("rep").where("rep is not null"), lambda b: [mix(b.column("rep").to_numpy().astype(np.uint64))], least=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # an id may stand on several rows: take those with the class's own set
-            for part in pieces(batch, "text"):
+        for batch in batches:
+            hit, _ = ids.look("id", mix(batch.column("rep").to_numpy().astype(np.uint64)))
+            for part in pieces(batch.filter(pa.array(hit)), "text"):
                 mine = [int(_class_id(t)[0]) for t in shingle_sets(*flat_bytes(part.column("text")), size)]
-                ok = pa.array(np.array(mine) == part.column("cls").to_numpy())
-                yield part.select(["cls", "text"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), part.column("text")], names=["cls", "text"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("text is not null")
-    return rows.join(wanted.select("cls", "rep"), "rep").select("cls", "text").mapInArrow(run, "cls long, text string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null and text is not null")
+    return rows.mapInArrow(run, "cls long, text string")
 
 
 def _can_link(percent: int, a: str, b: str) -> F.Column:
@@ -204,30 +213,62 @@ def _can_link(percent: int, a: str, b: str) -> F.Column:
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked id), n_in_component rows."""
+    if not 80 <= percent <= 100:
+        raise ValueError("the size classes hold for 80 to 100 percent")
     sketch = stored(sketches(docs, doc_id, text, size, percent), "sketch")
     filled = sketch.where("n > 0")
     classes = filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("p"))
-    lists = filled.select("cls", F.explode("sigs").alias("sig"))
-    shared = lists.groupBy("sig").agg(F.min("cls").alias("q"), F.max("cls").alias("hi")).where("q < hi").select("sig", "q")
-    members = stored(lists.join(shared, "sig").select("sig", "q", "cls").distinct(), "members")
+    # signatures that two or more rows have
+    sigs = HashArrays(scratch(docs.sparkSession, "signatures"), max(1, -(-filled.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] // GATHERED)))
+    sigs.keep("sig", filled.select("sigs"), lambda b: [b.column("sigs").flatten().to_numpy().view(np.uint64)])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("sigs")
+            values = column.flatten().to_numpy()
+            cls = np.repeat(batch.column("cls").to_numpy(), column.value_lengths().to_numpy())
+            hit, _ = sigs.look("sig", values.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(values[hit]), pa.array(cls[hit])], names=["sig", "cls"])
+
+    lists = stored(filled.select("cls", "sigs").mapInArrow(shared, "sig long, cls long").distinct(), "lists")
+    several = lists.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("sig")
+    members = stored(lists.join(several, "sig"), "members")
     known = stored(members.select("cls").distinct().join(classes, "cls"), "classes")
     side = lambda x: known.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("p").alias(f"{x}_p"))
-    stars = stored(members.where("cls <> q").select("q", F.col("cls").alias("x")).distinct()
-                   .join(side("x"), "x").join(side("q"), "q").where(_can_link(percent, "q", "x")).select("q", "x"), "stars")
-    edges = stored(_verified(stars, stored(_texts(docs, _wanted(stars, known), doc_id, text, size), "texts"), size, percent), "links")
-    components = connected_components(edges)
-    placed = stored(members.select("sig", "cls").join(components.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "sig", "cls", F.coalesce("component", "cls").alias("component")), "placed")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("sig")
-    left = placed.join(mixed, "sig").join(known.select("cls", "n", "p"), "cls")
+    texts = stored(_texts(docs, known, doc_id, text, size), "texts")
+    components = tested = edges = None
+    for turn in range(ROUNDS):
+        # a star in each list that holds several components: one member against those of other components
+        placed = members.withColumn("component", F.col("cls")) if components is None else members.join(
+            components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        placed = stored(placed, "placed")
+        center = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "component")).alias("c")
+        mixed = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), center).where("a < b")
+        if turn == ROUNDS - 1:
+            break
+        stars = placed.join(mixed.select("sig", F.col("c.cls").alias("center"), F.col("c.component").alias("of")), "sig").where(
+            "component <> of").select(F.least("cls", "center").alias("q"), F.greatest("cls", "center").alias("x")).distinct()
+        stars = stars.join(side("x"), "x").join(side("q"), "q").where(_can_link(percent, "q", "x")).select("q", "x")
+        stars = stored(stars if tested is None else stars.join(tested, ["q", "x"], "left_anti"), "stars")
+        if not stars.head(1):
+            break
+        tested = stars if tested is None else tested.unionByName(stars)
+        links = stored(_verified(stars, texts, size, percent), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        components = connected_components(edges)
+    # what is left: members of one list in different components, each pair
+    left = placed.join(mixed.select("sig"), "sig").join(known.select("cls", "n", "p"), "cls")
     a = left.select("sig", F.col("cls").alias("q"), F.col("component").alias("q_c"), F.col("n").alias("q_n"), F.col("p").alias("q_p"))
     b = left.select(F.col("sig").alias("sig2"), F.col("cls").alias("x"), F.col("component").alias("x_c"), F.col("n").alias("x_n"), F.col("p").alias("x_p"))
-    rest = stored(a.join(b, (F.col("sig") == F.col("sig2")) & (F.col("q") < F.col("x")) & (F.col("q_c") != F.col("x_c"))
-                         & _can_link(percent, "q", "x")).select("q", "x").distinct().join(stars, ["q", "x"], "left_anti"), "rest")
+    rest = a.join(b, (F.col("sig") == F.col("sig2")) & (F.col("q") < F.col("x")) & (F.col("q_c") != F.col("x_c"))
+                  & _can_link(percent, "q", "x")).select("q", "x").distinct()
+    rest = stored(rest if tested is None else rest.join(tested, ["q", "x"], "left_anti"), "rest")
     if rest.head(1):
-        more = stored(_verified(rest, stored(_texts(docs, _wanted(rest, known), doc_id, text, size), "texts"), size, percent), "links")
-        if more.head(1):
-            components = connected_components(edges.unionByName(more))
+        links = stored(_verified(rest, texts, size, percent), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        components = connected_components(edges)
+    if components is None:
+        components = known.select(F.col("cls").alias("node"), F.col("cls").alias("component"))
     named = classes.select(F.col("cls").alias("node"), "rep").join(components, "node")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     names = named.join(least, "component").select(F.col("node").alias("cls"), "least")
@@ -237,11 +278,6 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _wanted(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("q").alias("cls")).unionByName(pairs.select(F.col("x").alias("cls"))).distinct()
-    return ids.join(known, "cls").select("cls", "rep")
-
-
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
     """docs with one document of each component: the one that names it. Rows with a null id are kept."""
     copies = link(docs, doc_id, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()

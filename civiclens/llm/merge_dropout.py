@@ -246,26 +246,37 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return v.piece_bytes[repeat_ranges(v.piece_at[ids], size)], total[offsets]
 
 
+def _decoded(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids; null for null."""
+    null = lists.is_null().to_numpy(zero_copy_only=False)
+    size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    data, offsets = decode_ids(v, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]))
+    flat = data.tobytes()
+    return pa.array([None if x else flat[a:b].decode() for a, b, x in zip(offsets[:-1], offsets[1:], null, strict=True)], pa.string())
+
+
 def _kept(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
 def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", seed: int = 0,
-           dropout: float = 0.1, variants: int = 8) -> DataFrame:
-    """docs with ids (array of int)."""
+           dropout: float = 0.1, variants: int = 8, decoded: bool = False) -> DataFrame:
+    """docs with ids (array of int); with decoded, also the text that these ids stand for."""
     sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))  # a few MB, by the vocabulary
     kept = _kept(docs, "ids", "decoded", "_text", "_variant")
     variant = F.coalesce(F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(variants)), F.lit(0)) if dropout > 0 else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text", 3 << 20):
+            for part in pieces(batch, "_text"):
                 column = part.column("_text")
                 ids, at = encode_texts(sent.value, *flat_bytes(column), part.column("_variant").to_numpy(zero_copy_only=False), seed, dropout)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=column.is_null())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], names=[*kept, "ids"])
+                also = [_decoded(sent.value, lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists, *also], names=[*kept, "ids", *(["decoded"] if decoded else [])])
 
-    schema = StructType([*docs.select(*kept).schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("ids", ArrayType(IntegerType())),
+                         *([StructField("decoded", StringType())] if decoded else [])])
     return docs.select(*kept, F.col(text).alias("_text"), variant.alias("_variant")).mapInArrow(run, schema)
 
 
@@ -278,14 +289,7 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                column = part.column("_ids")
-                values = column.flatten().to_numpy(zero_copy_only=False)
-                at = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
-                data, offsets = decode_ids(sent.value, values, at)
-                flat = data.tobytes()
-                null = column.is_null().to_numpy(zero_copy_only=False)
-                texts = [None if x else flat[a:b].decode() for a, b, x in zip(offsets[:-1], offsets[1:], null, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _decoded(sent.value, part.column("_ids"))], names=[*kept, "decoded"])
 
     schema = StructType([*rows.select(*kept).schema.fields, StructField("decoded", StringType())])
     return rows.select(*kept, F.col(ids).alias("_ids")).mapInArrow(run, schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .arrays import U64, _BYTE, _powers, flat_bytes, mix, pieces, range_hashes, repeat_ranges
-from .hash_arrays import RANGE_BYTES, SENT, batch_of, mapped, merged, range_of, send, summed, write
+from .hash_arrays import RANGE_BYTES, SENT, HashArrays, batch_of, mapped, range_of, write
 from .shared import scratch
 
 BUSY = 1000
@@ -167,34 +167,12 @@ def _mask_bytes(length: int) -> int:
     return (length - max(1, length // 4) + 1 + 7) // 8
 
 
-class _Known:
+class _Known(HashArrays):
     """What the passes so far have found, as workers read it."""
 
     def __init__(self, folder: str, ranges: int, length: int, busy: int = BUSY):
-        self.folder, self.ranges, self.length, self.busy = folder, ranges, length, busy
-        self.filled: dict[str, frozenset] = {}
-
-    def look(self, kind: str, hashes: np.ndarray, value: str) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are in an array, and the values of those."""
-        hit, values = np.zeros(len(hashes), bool), []
-        order = np.argsort(hashes, kind="stable")
-        bucket = range_of(hashes[order], self.ranges)
-        cut = np.searchsorted(bucket, np.arange(self.ranges + 1))
-        place_of, found = [], []
-        for b in self.filled.get(kind, ()):
-            at = order[cut[b] : cut[b + 1]]
-            if len(at):
-                have = mapped(self.folder, f"{kind}-{b}")
-                place = np.minimum(np.searchsorted(have, hashes[at]), len(have) - 1)
-                ok = have[place] == hashes[at]
-                found.append(at[ok])
-                place_of.append(mapped(self.folder, f"{value}-{b}")[place[ok]])
-        if found:
-            where = np.concatenate(found)
-            hit[where] = True
-            back = np.argsort(where)
-            values = np.concatenate(place_of)[back]
-        return hit, np.asarray(values)
+        super().__init__(folder, ranges)
+        self.length, self.busy = length, busy
 
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs whose anchor repeats (lo, hi, anchor), and which of them are busy."""
@@ -214,38 +192,6 @@ class _Known:
         return lo, hi, anchor
 
 
-def _counted(rows: DataFrame, known: _Known, kind: str, of) -> int:
-    """Write the hashes that `of` gives for the rows and that occur at least twice, with their counts. The
-    largest count."""
-    folder, ranges = known.folder, known.ranges
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                held.append(summed(of(*flat_bytes(part.column("text")))))
-                total += len(held[-1][0])
-                if total > 4 << 20:
-                    keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-                    yield batch_of(list(send(kind, keys, counts, range_of(keys, ranges))))
-                    held, total = [], 0
-        if total:
-            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            yield batch_of(list(send(kind, keys, counts, range_of(keys, ranges))))
-
-    def keep(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = merged(parts)
-        often = counts > 1
-        if often.any():
-            write(folder, f"{kind}-{key[0]}", keys[often])
-            write(folder, f"{kind}_count-{key[0]}", counts[often])
-        return pd.DataFrame({"bucket": [key[0]], "size": [int(often.sum())], "most": [int(counts.max())]})
-
-    got = rows.mapInArrow(count, SENT).groupBy("bucket").applyInPandas(keep, "bucket int, size long, most long").collect()  # a row a range
-    known.filled[kind] = frozenset(r["bucket"] for r in got if r["size"])
-    return max((r["most"] for r in got), default=0)
-
-
 def _gather(batches: Iterator[pa.RecordBatch], known: _Known) -> Iterator[pa.RecordBatch]:
     """The task's distinct snippets by range, each with its bucket, size, hash and count."""
     ranges = known.ranges
@@ -334,14 +280,18 @@ def find(docs: DataFrame, text: str, length: int, range_bytes: int = RANGE_BYTES
     known = _Known(scratch(docs.sparkSession, "suffix-dedup"), max(1, -(-size // range_bytes)), length, busy)
     if not size:
         return known
-    most = _counted(rows, known, "anchor", lambda d, o: runs(d, o, length)[2])
-    if most > busy:
-        def busy_windows(d, o):
-            lo, hi, _, often = known.windows(d, o)
+
+    def texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return (flat_bytes(part.column("text")) for part in pieces(batch, "text"))
+
+    def busy_windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for data, offsets in texts(batch):
+            lo, hi, _, often = known.windows(data, offsets)
             each = repeat_ranges(lo[often], (hi - lo + 1)[often])
-            return range_hashes(d, each, each + length)
+            yield range_hashes(data, each, each + length)
 
-        _counted(rows, known, "window", busy_windows)
+    if known.keep("anchor", rows, lambda batch: (runs(d, o, length)[2] for d, o in texts(batch))) > busy:
+        known.keep("window", rows, busy_windows)
     if known.filled["anchor"]:
         parts = rows.mapInArrow(lambda batches: _gather(batches, known), SENT)
         done = parts.groupBy("bucket").applyInPandas(lambda key, p: _search(key, p, known), "bucket int, size long").collect()
@@ -357,16 +307,12 @@ def covered(known: _Known, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         size = hi - lo + known.length
         name = range_hashes(data, lo, lo + size)
         masks = np.zeros((len(lo), _mask_bytes(known.length)), np.uint8)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(range_of(bucket[order], known.ranges), np.arange(known.ranges + 1))
-        for b in known.filled.get("snippet", ()):
-            at = order[cut[b] : cut[b + 1]]
-            if len(at):
-                have = mapped(known.folder, f"snippet-{b}")
-                at = at[np.argsort(name[at])]
-                place = np.minimum(np.searchsorted(have, name[at]), len(have) - 1)
-                ok = have[place] == name[at]
-                masks[at[ok]] = mapped(known.folder, f"snippet_mask-{b}")[place[ok]]
+        for b, at in known.by_range("snippet", bucket):
+            have = mapped(known.folder, f"snippet-{b}")
+            at = at[np.argsort(name[at])]
+            place = np.minimum(np.searchsorted(have, name[at]), len(have) - 1)
+            ok = have[place] == name[at]
+            masks[at[ok]] = mapped(known.folder, f"snippet_mask-{b}")[place[ok]]
         row, inside = np.nonzero(np.unpackbits(masks, axis=1))
         at = lo[row] + inside
         depth = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + known.length, minlength=len(data) + 1)

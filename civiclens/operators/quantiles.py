@@ -1,13 +1,11 @@
 """Exact quantiles, box statistics and `describe`.
 
-Exact quantiles without holding a group in one task: Spark's `percentile`
-aggregate merges every distinct value of a group into one map in one task, which
-fails when one group holds a third of the data. Here the rows are range-partitioned
-on (group, value) instead -- a hot group is cut across many partitions -- sorted
-inside each partition and numbered; a small table of per-(partition, group) counts
-gives every row its global rank inside its group, and only the rows at the wanted
-ranks are kept. The numbered data is checkpointed to the shared checkpoint folder,
-which makes the numbering stable for the two uses and cuts the lineage.
+Everything follows from the distinct (group, value) pairs and how often each occurs. Counting
+them is a partial aggregate, so a value that a third of all rows share is one row per task before
+the shuffle, and later one row in all. The pairs are range-partitioned on (group, value) -- a
+group with many distinct values is cut across partitions, and no value weighs more than another --
+and written to the shared folder with the number of their range. A small table of totals per
+(range, group) turns running counts within a range into ranks of the whole group.
 
 Interpolation is linear between the order statistics at floor and ceil of
 q * (n - 1), as numpy's default `percentile` and DuckDB's `quantile_cont`.
@@ -15,47 +13,45 @@ q * (n - 1), as numpy's default `percentile` and DuckDB's `quantile_cont`.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.session import ensure_checkpoint_dir
-
-_ROW_BITS = 33  # monotonically_increasing_id: partition index above bit 33
+from civiclens.tables import stored
 
 
 def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Rows (by..., _x, _rank, _n) with _rank the 0-based position of _x in its group."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    """Distinct values of each group: (by..., _x, _c, _to, _n), with _c the rows that hold the
+    value, _to the rows of the group up to and with it, and _n all rows of the group."""
     keys = list(by)
-    x = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (x.repartitionByRange(nparts, *[F.col(k) for k in keys], F.col("_x"))
-         .sortWithinPartitions(*keys, "_x")
-         .withColumn("_id", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
-    part = F.shiftright(F.col("_id"), _ROW_BITS)
-    # At most (#partitions + #groups) rows: one per partition a group spans.
-    spans = s.groupBy(part.alias("_p"), *keys).agg(F.min("_id").alias("_first"), F.count("*").alias("_cnt"))
-    w = Window.partitionBy(*keys).orderBy("_p")
-    spans = (spans.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-                w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*keys))))
-    joined = s.withColumn("_p", part).join(spans, ["_p", *keys])
-    return joined.select(*keys, "_x", (F.col("_off") + F.col("_id") - F.col("_first")).alias("_rank"), "_n")
+    pairs = (df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+             .groupBy(*keys, "_x").agg(F.count("*").alias("_c")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = stored(pairs.repartitionByRange(parts, *keys, "_x").withColumn("_p", F.spark_partition_id()), "quantile-pairs")
+    # One row for each range that a group spans.
+    totals = pairs.groupBy(*keys, "_p").agg(F.sum("_c").alias("_t"))
+    whole = Window.partitionBy(*keys)
+    totals = totals.select(*keys, "_p", F.sum("_t").over(whole).alias("_n"), (F.sum("_t").over(
+        whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_before"))
+    same = F.col("_p") == F.col("_p2")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    totals = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_p").alias("_p2"), "_n", "_before")
+    running = F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    return (pairs.withColumn("_in", running).join(totals, same)
+            .select(*keys, "_x", "_c", (F.col("_before") + F.col("_in")).alias("_to"), "_n"))
 
 
 def _quantile_aggs(probs: Sequence[float], names: Sequence[str]) -> tuple[list, list]:
     """Aggregates picking the order statistics around each q*(n-1), and the
     interpolation expressions over their results."""
+    holds = lambda rank: (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
     aggs, outs = [], []
     for i, (p, nm) in enumerate(zip(probs, names)):
         ps = F.lit(float(p)) * (F.col("_n") - 1)
-        aggs.append(F.max(F.when(F.col("_rank") == F.floor(ps), F.col("_x"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("_rank") == F.ceil(ps), F.col("_x"))).alias(f"_hi{i}"))
+        aggs.append(F.max(F.when(holds(F.floor(ps)), F.col("_x"))).alias(f"_lo{i}"))
+        aggs.append(F.max(F.when(holds(F.ceil(ps)), F.col("_x"))).alias(f"_hi{i}"))
         aggs.append(F.first(ps - F.floor(ps)).alias(f"_fr{i}"))
         lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
         outs.append((nm, lo + (hi - lo) * fr))
@@ -96,30 +92,30 @@ def percentiles(df: DataFrame, value: str, probs: Sequence[float] = (0.95, 0.99)
     return q.select(*by, *[F.round(n, digits).alias(n) for n in names])
 
 
+def _mean():
+    return F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")
+
+
 def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5,
               digits: int = 6) -> DataFrame:
     """H6: per group n, mean, quartiles, whiskers and outlier count (matplotlib's
     rules: a whisker is the furthest point within 1.5 IQR of its quartile, or the
     quartile itself when no point lies beyond it inside the fence; outliers are the
-    points beyond the fences).
-
-    Passes: range shuffle + checkpoint of (group, value); then, over the checkpoint,
-    a per-(partition, group) count, one aggregate for quartiles and mean, and one
-    aggregate for whiskers and outliers against the per-group fences. The fence
-    table has one row per group and is broadcast by AQE after measuring."""
+    points beyond the fences). Two aggregates over the distinct values: quartiles and
+    mean, then whiskers and outliers against the fences (one row per group)."""
     keys = list(by)
     r = _ranked(df, value, keys)
     aggs, outs = _quantile_aggs([0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    q = (r.groupBy(*keys).agg(F.first("_n").alias("n"), F.avg("_x").alias("mean"), *aggs)
+    q = (r.groupBy(*keys).agg(F.first("_n").alias("n"), _mean().alias("mean"), *aggs)
          .select(*keys, "n", "mean", *[e.alias(nm) for nm, e in outs]))
     fences = q.select(*keys, "n", "mean", "q1", "median", "q3",
                       (F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_lof"),
                       (F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_hif"))
     v = F.col("_x")
-    agg = (r.select(*keys, "_x").join(fences, keys).groupBy(*keys).agg(
+    agg = (r.select(*keys, "_x", "_c").join(fences, keys).groupBy(*keys).agg(
         F.max(F.when(v <= F.col("_hif"), v)).alias("_whi"),
         F.min(F.when(v >= F.col("_lof"), v)).alias("_wlo"),
-        F.count_if((v < F.col("_lof")) | (v > F.col("_hif"))).alias("n_fliers"),
+        F.coalesce(F.sum(F.when((v < F.col("_lof")) | (v > F.col("_hif")), F.col("_c"))), F.lit(0)).alias("n_fliers"),
         *[F.first(c).alias(c) for c in ("n", "mean", "q1", "median", "q3")]))
     whishi = F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3")).otherwise(F.col("_whi"))
     whislo = F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1")).otherwise(F.col("_wlo"))
@@ -129,19 +125,15 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5,
 
 
 def describe(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max (pandas `describe`), in one
-    aggregate over the ranked values."""
+    """Count, mean, sample std, min, quartiles, max (pandas `describe`). The deviations are summed
+    against the mean, in a second aggregate over the distinct values."""
     r = _ranked(df, value, [])
     aggs, outs = _quantile_aggs([0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    g = r.groupBy().agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-                        F.min("_x").alias("min"), F.max("_x").alias("max"), F.first("_n").alias("_n"), *aggs)
+    d = F.col("_x") - r.select(_mean()).scalar()
+    g = r.withColumn("_d2", d * d * F.col("_c")).groupBy().agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("count"), _mean().alias("mean"),
+        F.sqrt(F.try_divide(F.sum("_d2"), F.sum("_c") - 1)).alias("std"),
+        F.min("_x").alias("min"), F.max("_x").alias("max"), *aggs)
     r6 = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
-    o = g.select("count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
-                 *[r6(e).alias(nm) for nm, e in outs], r6("max").alias("max"))
-    return o
-
-
-def quantile_position(p: float, n: int) -> tuple[int, int, float]:
-    """(floor, ceil, fraction) of p * (n - 1): the interpolation rule, for tests."""
-    pos = p * (n - 1)
-    return math.floor(pos), math.ceil(pos), pos - math.floor(pos)
+    return g.select("count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
+                    *[r6(e).alias(nm) for nm, e in outs], r6("max").alias("max"))

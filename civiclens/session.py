@@ -54,8 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by `spark.checkpoint.dir`.
 
     On a cluster the folder is set by the cluster (a shared file system path) and
-    is only read here. Only when it is unset -- local tests -- a scratch folder is
-    created, because a machine-local folder would not survive executor loss.
+    is only read here. Only in a local session without the setting (tests, bench) a
+    scratch folder is created; elsewhere a missing setting is an error, because
+    executors cannot see each other's disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="civiclens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)

@@ -7,6 +7,7 @@ pairwise, as np.polyfit on the dropped rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -90,37 +91,41 @@ def welch_t(a: DataFrame, b: DataFrame, value: str, by: Sequence[str] = (), with
     return g.select(*cols)
 
 
+def _poisson(u, count):
+    """Poisson(count) weight: by inversion of the uniform u[0] for small counts (every cumulative share
+    below u adds 1), and from count 17 on by the normal with its mean and variance, as a sum of the
+    twelve uniforms u."""
+    shares = [[math.fsum(math.exp(-c + k * math.log(c) - math.lgamma(k + 1)) for k in range(j + 1)) for j in range(c + 12 + 4 * math.isqrt(c))]
+              for c in range(1, 17)]
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in shares])
+    one = sum((F.when(u[0] > x, 1).otherwise(0) for x in shares[0][:10]), F.lit(0))
+    few = F.size(F.filter(F.get(table, (count - 1).cast("int")), lambda x: x < u[0]))
+    normal = F.greatest(F.lit(0.0), F.round(count + F.sqrt(count) * (sum(u[1:], u[0]) - 6.0)))
+    return F.when(count == 1, one).when(count <= 16, few).otherwise(normal).cast("double")
+
+
 def regression_band(df: DataFrame, x: str, y: str, by: str, replicates: int = 1000,
-                    grid: int = 100, level: float = 95.0, blocks: int = 100, seed: int = 0,
-                    digits: int = 6) -> DataFrame:
+                    grid: int = 100, level: float = 95.0, seed: int = 0, digits: int = 6) -> DataFrame:
     """Bootstrap band of the least-squares line per group.
 
-    A row bootstrap costs replicates x rows. Instead rows are hashed into `blocks`
-    blocks per group; each block keeps its sufficient statistics (n, sx, sy, sxx, sxy)
-    and every replicate re-weights the blocks with Poisson(1) weights derived from a
-    hash of (seed, replicate, block) -- repeatable across plans, unlike rand(). The
-    line of each replicate is evaluated on `grid` points over the group's x range and
-    the band is the (100-level)/2 and (100+level)/2 percentiles per grid point.
-    Work after the first aggregate is groups x blocks x replicates small rows."""
+    A row bootstrap draws each row Poisson(1) times; equal rows together, c of them, Poisson(c)
+    times. So the distinct (x, y) pairs of a group and their counts (a partial aggregate) are enough,
+    and every replicate weighs a pair with a draw from a hash of (seed, replicate, pair) -- repeatable
+    across plans, unlike rand(). The line of each replicate is evaluated on `grid` points over the
+    group's x range and the band is the (100-level)/2 and (100+level)/2 percentiles per grid point."""
     v = df.select(F.col(by).alias("_g"), F.col(x).cast("double").alias("_x"),
                   F.col(y).cast("double").alias("_y")).where(
         F.col("_g").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    blk = F.pmod(F.xxhash64(F.col("_x"), F.col("_y"), F.lit(seed)), F.lit(blocks))
-    suff = v.groupBy("_g", blk.alias("_b")).agg(
-        F.count("*").alias("_n"), F.sum("_x").alias("_sx"), F.sum("_y").alias("_sy"),
-        F.sum(F.col("_x") * F.col("_x")).alias("_sxx"), F.sum(F.col("_x") * F.col("_y")).alias("_sxy"))
+    pairs = v.groupBy("_g", "_x", "_y").agg(F.count("*").alias("_k"))
     rng = v.groupBy("_g").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    rep = suff.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
-    # Poisson(1) weight by inversion of a uniform from a hash of (seed, replicate, block).
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), F.col("_b"), F.col("_g")), F.lit(1 << 30))
-         .cast("double") + 0.5) / float(1 << 30)
-    cdf = [sum(pow(1.0, k) / _fact(k) for k in range(j + 1)) / 2.718281828459045 for j in range(12)]
-    w = F.lit(12)
-    for j in reversed(range(12)):
-        w = F.when(u <= F.lit(cdf[j]), F.lit(j)).otherwise(w)
-    rep = rep.withColumn("_w", w.cast("double"))
-    fit = rep.groupBy("_g", "_r").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c)
-                                        for c in ("_n", "_sx", "_sy", "_sxx", "_sxy")])
+    rep = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
+    u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(j), F.col("_r"), F.col("_g"), F.col("_x"), F.col("_y")), F.lit(1 << 30))
+          .cast("double") + 0.5) / float(1 << 30) for j in range(12)]
+    w = _poisson(u, F.col("_k"))
+    rep = rep.select("_g", "_r", "_x", "_y", w.alias("_w")).where("_w > 0").select(
+        "_g", "_r", F.col("_w").alias("_n"), (F.col("_w") * F.col("_x")).alias("_sx"), (F.col("_w") * F.col("_y")).alias("_sy"),
+        (F.col("_w") * F.col("_x") * F.col("_x")).alias("_sxx"), (F.col("_w") * F.col("_x") * F.col("_y")).alias("_sxy"))
+    fit = rep.groupBy("_g", "_r").agg(*[F.sum(c).alias(c) for c in ("_n", "_sx", "_sy", "_sxx", "_sxy")])
     den = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
     slope = F.try_divide(F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy"), den)
     fit = fit.select("_g", "_r", "_n", "_sx", "_sy", slope.alias("_m"))
@@ -142,10 +147,3 @@ def regression_band(df: DataFrame, x: str, y: str, by: str, replicates: int = 10
                     F.round("x", digits).alias("x"),
                     F.round(F.col("_m0") * F.col("x") + F.col("_c0"), digits).alias("yhat"),
                     F.round("lo", digits).alias("lo"), F.round("hi", digits).alias("hi")))
-
-
-def _fact(k: int) -> float:
-    out = 1.0
-    for i in range(2, k + 1):
-        out *= i
-    return out

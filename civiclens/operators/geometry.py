@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.tables import stored
+
 from civiclens.functions import geo as X
 
 
@@ -153,18 +155,18 @@ def with_wgs84(df: DataFrame, e: str, n: str, lat: str = "lat", lon: str = "lon"
     return _temp_cols(df, before, [lat, lon])
 
 
-def with_area_centroid_bng(df: DataFrame, ring: str, keys: Sequence[str], lat: str, lon: str) -> DataFrame:
+def with_area_centroid_bng(df: DataFrame, ring: str, lat: str, lon: str) -> DataFrame:
     """Area-weighted centroid computed in the National Grid, returned on WGS84.
 
-    Vertices are exploded to rows (the projection is staged per row), regrouped per
-    polygon key in vertex order, and the shoelace runs on the projected ring. One
-    shuffle on the polygon key; a polygon has a bounded number of vertices."""
-    keys = list(keys)
-    v = df.where(F.col(ring).isNotNull()).select(*keys, F.posexplode(ring).alias("_pos", "_pt"))
-    v = with_bng(v.select(*keys, "_pos", F.col("_pt")[1].alias("_lat"), F.col("_pt")[0].alias("_lon")),
+    The rows are written with a number of their own, vertices are exploded to rows (the projection is
+    staged per row) and regrouped by that number, in vertex order; so rows that share every key keep
+    their own polygons. A polygon has a bounded number of vertices."""
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "polygons")
+    v = df.where(F.col(ring).isNotNull()).select("_row", F.posexplode(ring).alias("_pos", "_pt"))
+    v = with_bng(v.select("_row", "_pos", F.col("_pt")[1].alias("_lat"), F.col("_pt")[0].alias("_lon")),
                  "_lat", "_lon", "_e", "_n")
-    proj = (v.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_e", "_n"))).alias("_v"))
-            .select(*keys, F.transform("_v", lambda s: F.array(s["_e"], s["_n"])).alias("_pring")))
+    proj = (v.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "_e", "_n"))).alias("_v"))
+            .select("_row", F.transform("_v", lambda s: F.array(s["_e"], s["_n"])).alias("_pring")))
     proj = with_area_centroid(proj, "_pring", "_ce", "_cn")
-    proj = with_wgs84(proj, "_ce", "_cn", lat, lon).select(*keys, lat, lon)
-    return df.join(proj, keys, "left")
+    proj = with_wgs84(proj, "_ce", "_cn", lat, lon).select("_row", lat, lon)
+    return df.join(proj, "_row", "left").drop("_row")

@@ -59,22 +59,17 @@ def _bbox_of_rings(rings: Column) -> Column:
 
 def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                  code: str = "code", rings: str = "rings", out: str | None = None,
-                 cell_size: float | Column | None = None, strict: bool = False,
-                 broadcast_limit_bytes: int | None = 128 << 20) -> DataFrame:
+                 cell_size: float | Column | None = None, strict: bool = True) -> DataFrame:
     """Every point row with the code of the polygon containing it (NULL if none;
     the smallest code if several). `rings` holds all rings of a polygon (outer ring,
     holes, other parts); the even-odd rule over all of them handles holes and
     multi-part polygons. Points with a NULL coordinate match nothing.
 
-    strict=True is `within`: a point exactly on a polygon's boundary is not inside
-    it. By default the ray rule puts a point on a shared edge in one neighbour.
+    strict=True is `within`: a point exactly on a polygon's boundary is not inside it. With
+    strict=False the ray rule puts a point on a shared edge in one neighbour.
 
-    Broadcast is decided by measurement: one small aggregate over the polygons
-    bounds the cell table's size (cells covered x edges per polygon); under
-    `broadcast_limit_bytes` the table is broadcast and the points are never
-    shuffled, above it the join stays a shuffle join on the cell (AQE splits hot
-    cells). The polygons are boundary sets, so this aggregate does not grow with the
-    point data."""
+    Nothing runs while the query is built. AQE measures the cell table and broadcasts it if it is
+    small; otherwise the join stays a shuffle join on the cell, where AQE splits hot cells."""
     out = out or code
     poly = polygons.select(F.col(code).alias("_code"), F.col(rings).alias("_rings")).where(
         F.col("_code").isNotNull() & F.col("_rings").isNotNull())
@@ -94,23 +89,11 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str
     cells = (poly.select("_code", "_bb", "_edges", "_cell", cx).select("*", cy).drop("_cell")
              .groupBy("_cx", "_cy")
              .agg(F.collect_list(F.struct("_code", "_bb", "_edges")).alias("_cand")))
-    if broadcast_limit_bytes is not None:
-        ncx = F.floor(F.col("_bb.maxx") / F.col("_cell")) - F.floor(F.col("_bb.minx") / F.col("_cell")) + 1
-        ncy = F.floor(F.col("_bb.maxy") / F.col("_cell")) - F.floor(F.col("_bb.miny") / F.col("_cell")) + 1
-        # Per candidate: the edges (4 doubles each) plus code and box, with row overhead.
-        est = poly.select((ncx * ncy * (F.size("_edges") * 48 + F.length("_code") + 96)).alias("_b")) \
-                  .agg(F.sum("_b")).first()[0] or 0
-        if est <= broadcast_limit_bytes:
-            cells = F.broadcast(cells)
-            # Without a shuffle the ray tests run in the scan's partitions; spread an
-            # under-partitioned input (few small files) over the cores first. A large
-            # input already has more partitions than cores and is left as it is.
-            par = points.sparkSession.sparkContext.defaultParallelism
-            if points.rdd.getNumPartitions() < par:
-                points = points.repartition(par)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     pts = (points.withColumn("_cell", cell)
-           .withColumns({"_cx": F.floor(px / F.col("_cell")), "_cy": F.floor(py / F.col("_cell"))})
+           # points without a coordinate match nothing: they get cells of their own, one per input partition
+           .withColumns({"_cx": F.coalesce(F.floor(px / F.col("_cell")), F.lit(-(1 << 50)) - F.spark_partition_id()),
+                         "_cy": F.coalesce(F.floor(py / F.col("_cell")), F.lit(-(1 << 50)).cast("long"))})
            .drop("_cell"))
     joined = pts.join(cells, ["_cx", "_cy"], "left")
 

@@ -38,13 +38,14 @@ def application_centroids(pld: DataFrame, method: str = "planar") -> DataFrame:
     """X1 + X2/X4 + W1: one centroid per application number (first in source order)
     among valid polygons. method: "bng" (area centroid in the National Grid, as the
     original analysis), "planar" (area centroid in lon/lat), "vertex_mean" (X3)."""
-    base = pld.where(F.col(COORDS).isNotNull()).select("lpa_app_no", "borough", "src_ord", COORDS)
+    # a pld without an explicit source order is ordered by its own columns
+    order = F.col("src_ord") if "src_ord" in pld.columns else F.xxhash64("borough", F.to_json(F.struct(F.col(COORDS).alias("c"))))
+    base = pld.where(F.col(COORDS).isNotNull()).select("lpa_app_no", "borough", order.alias("src_ord"), COORDS)
     if method == "vertex_mean":
         c = GM.with_vertex_mean(base.withColumn("_ring", F.get(F.col(COORDS), 0)), "_ring",
                                 "centroid_lat", "centroid_lon")
     elif method == "bng":
-        c = GM.with_area_centroid_bng(GM.with_outer_ring(base, COORDS), "_ring",
-                                      ["lpa_app_no", "borough", "src_ord"], "centroid_lat", "centroid_lon")
+        c = GM.with_area_centroid_bng(GM.with_outer_ring(base, COORDS), "_ring", "centroid_lat", "centroid_lon")
     else:
         c = GM.with_area_centroid(GM.with_outer_ring(base, COORDS), "_ring", "centroid_lon", "centroid_lat")
     # "drop missing centroids, then first per application" as one window: rows without
@@ -64,8 +65,8 @@ def comment_distances(comments: DataFrame, topic_text: DataFrame, pld: DataFrame
 
     The topic table has one row per comment, so `with_topics=False` (for analyses
     that do not use the lists) gives the same rows without that join's shuffle.
-    The pld and centroid joins use the same key, so the comments are shuffled once
-    for both."""
+    pld and the centroids, both of the applications' size, are joined first; the comments
+    then take part in one join, whose hot applications AQE can split."""
     df = comments
     if with_topics:
         tp = topic_text.select("comment_id", "topic_number", "probability")
@@ -74,13 +75,13 @@ def comment_distances(comments: DataFrame, topic_text: DataFrame, pld: DataFrame
                              "prob_list": parse_double_list("probability")})
     p = pld.select(F.col("lpa_app_no").alias("_pa"), F.col("borough").alias("_pb"), "housing_type",
                    "total_no_proposed_residential_units")
-    df = df.join(p, (F.col("application_id") == F.col("_pa")) & (F.col("council") == F.col("_pb")), "left") \
-           .drop("_pa", "_pb")
     cen = application_centroids(pld, centroid_method).select(
         F.col("lpa_app_no").alias("_ca"), F.col("borough").alias("_cb"),
         F.col("centroid_lat").alias("app_lat"), F.col("centroid_lon").alias("app_lon"))
-    df = df.join(cen, (F.col("application_id") == F.col("_ca")) & (F.col("council") == F.col("_cb")), "left") \
-           .drop("_ca", "_cb")
+    # every centroid stands on a pld row of its own key, so a left join loses none
+    p = p.join(cen, (F.col("_pa") == F.col("_ca")) & (F.col("_pb") == F.col("_cb")), "left").drop("_ca", "_cb")
+    df = df.join(p, (F.col("application_id") == F.col("_pa")) & (F.col("council") == F.col("_pb")), "left") \
+           .drop("_pa", "_pb")
     return df.withColumn("distance_km", haversine_km("lat", "lon", "app_lat", "app_lon"))
 
 

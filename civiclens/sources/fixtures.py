@@ -8,11 +8,14 @@ analyses read: list columns stored as text, polygon rings as nested arrays.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civiclens.tables import stored
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations"]
@@ -62,23 +65,28 @@ UNION ALL SELECT 99, CAST(0 AS BIGINT), 'topic_99', '#000099'
 SELECT p.lpa_app_no, p.borough, p.housing_type, p.total_no_proposed_residential_units, COALESCE(c.n, 0) AS comment_count
 FROM fx_pld p LEFT JOIN (SELECT application_id, COUNT(*) AS n FROM fx_comments GROUP BY application_id) c ON p.lpa_app_no = c.application_id
 WHERE p.src_ord = 0
+""",
+    # part keys 1, 2, ... laid out on a grid of n columns, n = floor(sqrt(count)); every key is a corner
+    "fx_grid": """
+SELECT CAST(FLOOR((p_partkey - 1) / n) AS BIGINT) AS i, CAST((p_partkey - 1) % n AS BIGINT) AS j, p_partkey AS k, n
+FROM (SELECT p_partkey, (SELECT CAST(FLOOR(SQRT(COUNT(*))) AS BIGINT) FROM part) AS n FROM part) s
 """,
     "fx_lsoa": """
-WITH v AS (SELECT a.p_partkey AS i, b.p_partkey AS j,
-    -55e-2 + a.p_partkey * 5e-2 + ((a.p_partkey * 31 + b.p_partkey * 17) % 7 - 3) * 25e-4 AS x,
-    5125e-2 + b.p_partkey * 25e-3 + ((a.p_partkey * 13 + b.p_partkey * 29) % 5 - 2) * 125e-5 AS y
-  FROM part a CROSS JOIN part b WHERE a.p_partkey <= 20 AND b.p_partkey <= 20)
-SELECT CONCAT('E', CAST(10000 + a.i * 100 + a.j AS STRING)) AS lsoa_code,
+WITH v AS (SELECT i, j,
+    -55e-2 + (i + 1e0) / n + ((i * 31 + j * 17) % 7 - 3) * 5e-2 / n AS x,
+    5125e-2 + (j + 1e0) / n * 5e-1 + ((i * 13 + j * 29) % 5 - 2) * 25e-3 / n AS y FROM fx_grid)
+SELECT CONCAT('E', CAST(10000000000 + a.i * 100000 + a.j AS STRING)) AS lsoa_code,
   a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3, d.x AS x4, d.y AS y4
 FROM v a JOIN v b ON b.i = a.i + 1 AND b.j = a.j
   JOIN v c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN v d ON d.i = a.i AND d.j = a.j + 1
 """,
     "fx_census": """
-SELECT CONCAT('E', CAST(10000 + CAST(FLOOR(p_partkey / 20) AS INT) * 100 + p_partkey % 20 AS STRING)) AS lsoa_code,
-  p_partkey AS k, 1000 + (p_partkey * 71) % 900 AS residents, 150 + (p_partkey * 37) % 500 AS aged_50_plus,
-  CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE 400 + (p_partkey * 13) % 300 END AS employed, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE 100 + (p_partkey * 29) % 250 END AS occ_1_2_3,
-  500 + (p_partkey * 17) % 200 AS households, 100 + (p_partkey * 43) % 350 AS owned
-FROM part WHERE p_partkey < 400
+SELECT CONCAT('E', CAST(10000000000 + i * 100000 + j AS STRING), CASE WHEN k % 13 = 5 THEN '-old' ELSE '' END) AS lsoa_code,
+  k, 1000 + (k * 71) % 900 AS residents, 150 + (k * 37) % 300 AS aged_50_69, CASE WHEN k % 9 = 4 THEN NULL ELSE (k * 53) % 200 END AS aged_70_plus,
+  CASE WHEN k % 50 = 0 THEN 0 ELSE 400 + (k * 13) % 300 END AS employed,
+  CASE WHEN k % 50 = 0 THEN 0 ELSE 60 + (k * 29) % 150 END AS occ_1, CASE WHEN k % 50 = 0 THEN 0 ELSE 40 + (k * 19) % 100 END AS occ_2_3,
+  500 + (k * 17) % 200 AS households, 60 + (k * 43) % 200 AS owned_outright, CASE WHEN k % 31 = 7 THEN NULL ELSE 40 + (k * 47) % 150 END AS owned_mortgage
+FROM fx_grid
 """,
 }
 
@@ -89,8 +97,9 @@ VIEW_DEPS: dict[str, list[str]] = {
     "fx_topic_long": [],
     "fx_topic_names": ["fx_topic_long"],
     "fx_applications": ["fx_pld", "fx_comments"],
-    "fx_lsoa": [],
-    "fx_census": [],
+    "fx_grid": [],
+    "fx_lsoa": ["fx_grid"],
+    "fx_census": ["fx_grid"],
 }
 
 # Vertex offsets (dx, dy) of fx_vertex, in `pos` order.
@@ -117,9 +126,6 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in order) + "\n"
 
 
-def _ring_from_sorted(col: Column) -> Column:
-    return F.transform(col, lambda s: F.array(s["x"], s["y"]))
-
 
 # The rows of fx_topic_long before numbering (the view's inner query).
 TOPIC_ITEMS_SQL = """
@@ -130,29 +136,13 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write an input table once to the shared checkpoint folder and read it from
-    there (cuts the lineage; survives executor loss).
-
-    AQE coalesces a small result into few partitions; a table that comes out with
-    fewer partitions than the cluster's parallelism is re-split so that the work
-    reading it is spread over all cores. A large table is left as it is."""
-    from civiclens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < par:
-        out = out.repartition(par).checkpoint(eager=True)
-    return out
-
-
-_CACHE: dict[tuple[int, str], "Fixtures"] = {}
+_CACHE: dict[tuple[str, str], "Fixtures"] = {}
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> "Fixtures":
     """Fixtures for a session and directory, built once. The frames are lazy,
     already-analysed plans; reusing them skips re-analysing the views."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         _CACHE[key] = Fixtures(spark, sf_dir)
     return _CACHE[key]
@@ -168,13 +158,15 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        for t in ["nation", "customer", "orders", "lineitem", "part"]:
-            spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        self._views: dict[str, DataFrame] = {}
-        for name in VIEW_SQL:  # dict order is dependency order
-            df = spark.sql(VIEW_SQL[name])
-            df.createOrReplaceTempView(name)
-            self._views[name] = df
+        # DataFrames stand in for the names, so folders opened in one session do not mix
+        self._views = {t: spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in ["nation", "customer", "orders", "lineitem", "part"]}
+        for name, sql in VIEW_SQL.items():  # dict order is dependency order
+            self._views[name] = self.sql(sql)
+
+    def sql(self, text: str) -> DataFrame:
+        """Run SQL over this folder's tables and views."""
+        used = [n for n in self._views if re.search(rf"\b{n}\b", text)]
+        return self.spark.sql(re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", text), **{n: self._views[n] for n in used})
 
     def view(self, name: str) -> DataFrame:
         return self._views[name]
@@ -193,13 +185,13 @@ class Fixtures:
         comment's items on those keys gives the same order without the view's window,
         so building the lists costs one aggregation. Materialised once, like the CSV
         file it stands for."""
-        base = self.spark.sql(TOPIC_ITEMS_SQL)
+        base = self.sql(TOPIC_ITEMS_SQL)
         items = (base.groupBy("comment_id")
                  .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "topic", "prob")))
                       .alias("items")))
         topics = F.transform("items", lambda s: s["topic"].cast("string"))
         probs = F.transform("items", lambda s: F.coalesce(s["prob"].cast("string"), F.lit("nan")))
-        return materialise(items.select(
+        return stored(items.select(
             "comment_id",
             F.concat(F.lit("["), F.array_join(topics, ", "), F.lit("]")).alias("topic_number"),
             F.concat(F.lit("["), F.array_join(probs, ", "), F.lit("]")).alias("probability")))
@@ -209,7 +201,7 @@ class Fixtures:
         """comments_with_topics.csv: comment, its topic lists, council, housing type, sentiment."""
         apps = self.view("fx_applications").select(
             F.col("lpa_app_no").alias("_app"), "housing_type")
-        return materialise(self.comments
+        return stored(self.comments
                            .join(self.topic_text, "comment_id", "left")
                            .join(apps, F.col("application_id") == F.col("_app"), "left")
                            .select("comment_id", "topic_number", "probability", "council",
@@ -219,7 +211,7 @@ class Fixtures:
     def topic_names(self) -> DataFrame:
         """topic_names.csv with the id renamed to topic_id (see sources.readers)."""
         from civiclens.sources.readers import normalise_topic_names
-        return materialise(normalise_topic_names(self.view("fx_topic_names")))
+        return stored(normalise_topic_names(self.view("fx_topic_names")))
 
     @cached_property
     def pld(self) -> DataFrame:
@@ -250,7 +242,7 @@ class Fixtures:
         v = self.view("fx_lsoa")
         pts = [F.array(F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2, 3, 4, 1)]
         # Materialised once, like the boundary file it stands for.
-        return materialise(v.select(F.col("lsoa_code").alias("LSOA21CD"),
+        return stored(v.select(F.col("lsoa_code").alias("LSOA21CD"),
                                     F.array(F.array(*pts)).alias("rings")))
 
     @cached_property
@@ -258,18 +250,18 @@ class Fixtures:
         c = self.view("fx_census")
         return c.select(F.col("lsoa_code").alias("LSOA code"),
                         F.col("residents").alias("All usual residents"),
-                        F.col("aged_50_plus").alias("age_50_plus"))
+                        F.col("aged_50_69").alias("age_50_69"), F.col("aged_70_plus").alias("age_70_plus"))
 
     @cached_property
     def census_occupation(self) -> DataFrame:
         c = self.view("fx_census")
         return c.select(F.col("lsoa_code").alias("LSOA code"),
                         F.col("employed").alias("All usual residents aged 16 and over in employment"),
-                        F.col("occ_1_2_3").alias("occupation_1_2_3"))
+                        F.col("occ_1").alias("occupation_1"), F.col("occ_2_3").alias("occupation_2_3"))
 
     @cached_property
     def census_tenure(self) -> DataFrame:
         c = self.view("fx_census")
         return c.select(F.col("lsoa_code").alias("LSOA code"),
                         F.col("households").alias("All Households"),
-                        F.col("owned").alias("owned_total"))
+                        "owned_outright", "owned_mortgage")

@@ -36,28 +36,51 @@ _POLYGON = "array<array<array<double>>>"
 _MULTIPOLYGON = "array<array<array<array<double>>>>"
 
 
+#: Column that marks rows with a value that its type rejects (see `reject_count`).
+REJECTED = "_rejected"
+
+
+def _by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The schema's columns, found by name whatever their order, cast without failing. A text that its
+    type rejects becomes NULL and marks the row; NaN becomes NULL, unmarked. A missing column is an error."""
+    out, bad = [], F.lit(False)
+    for f in schema.fields:
+        raw = F.col(f"`{f.name}`")
+        value = raw.try_cast(f.dataType)
+        bad = bad | (raw.isNotNull() & value.isNull())
+        out.append((F.nanvl(value, F.lit(None)) if f.dataType == T.DoubleType() else value).alias(f.name))
+    return df.select(*out, bad.alias(REJECTED))
+
+
 def _csv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    # Free text may contain newlines, so the files are read with multiLine, which
-    # cannot split a file: convert to Parquet once (streaming.ingest) for big inputs.
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE")
-            .csv(path))
+    # Every column is read as text under its header's name. Free text may contain newlines, so the
+    # files are read with multiLine, which cannot split a file: convert to Parquet once
+    # (streaming.ingest) for big inputs.
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+           .option("escape", '"').csv(path))
+    return _by_name(raw, schema)
+
+
+def _read(spark: SparkSession, schema: T.StructType, path: str, fmt: str, cols: list[str] | None = None,
+          rejects: bool = False) -> DataFrame:
+    df = _csv(spark, schema, path) if fmt == "csv" else _by_name(spark.read.parquet(path), schema)
+    return df.select(*(cols or schema.names), *([REJECTED] if rejects else []))
+
 
+def reject_count(df: DataFrame) -> DataFrame:
+    """One row: n_rows and n_rejected of a table read with rejects=True."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(REJECTED).alias("n_rejected"))
 
-def read_comments(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+
+def read_comments(spark: SparkSession, path: str, fmt: str = "csv", rejects: bool = False) -> DataFrame:
     """Comments with stance, sentiment and commenter coordinates; NaN becomes NULL."""
-    df = _csv(spark, COMMENTS_SCHEMA, path) if fmt == "csv" else spark.read.schema(COMMENTS_SCHEMA).parquet(path)
-    return df.select(*[F.nanvl(F.col(c), F.lit(None)).alias(c) if COMMENTS_SCHEMA[c].dataType == T.DoubleType()
-                       else F.col(c) for c in COMMENTS_SCHEMA.names])
+    return _read(spark, COMMENTS_SCHEMA, path, fmt, None, rejects)
 
 
 def read_comment_topics(spark: SparkSession, path: str, cols: list[str] | None = None,
-                        fmt: str = "csv") -> DataFrame:
+                        fmt: str = "csv", rejects: bool = False) -> DataFrame:
     """Comments with topic lists as text; `cols` prunes columns at the scan."""
-    df = (_csv(spark, COMMENT_TOPICS_SCHEMA, path) if fmt == "csv"
-          else spark.read.schema(COMMENT_TOPICS_SCHEMA).parquet(path))
-    return df.select(*(cols or COMMENT_TOPICS_SCHEMA.names))
+    return _read(spark, COMMENT_TOPICS_SCHEMA, path, fmt, cols, rejects)
 
 
 def normalise_topic_names(df: DataFrame) -> DataFrame:
@@ -75,13 +98,25 @@ def normalise_topic_names(df: DataFrame) -> DataFrame:
 
 def read_topic_names(spark: SparkSession, path: str) -> DataFrame:
     """Topic id -> group label and colour."""
-    return normalise_topic_names(_csv(spark, TOPIC_NAMES_SCHEMA, path))
+    return normalise_topic_names(_read(spark, TOPIC_NAMES_SCHEMA, path, "csv"))
+
+
+APPLICATIONS_SCHEMA = T.StructType([
+    T.StructField("lpa_app_no", T.StringType()),
+    T.StructField("borough", T.StringType()),
+    T.StructField("housing_type", T.StringType()),
+    T.StructField("total_no_proposed_residential_units", T.IntegerType()),
+    T.StructField("comment_count", T.LongType()),
+])
+
+PLD_SCHEMA = T.StructType([*APPLICATIONS_SCHEMA.fields[:4],
+                           T.StructField("wgs84_polygon.coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Applications / pld. The pld coordinate column name contains a dot:
-    refer to it as F.col("`wgs84_polygon.coordinates`")."""
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Applications (APPLICATIONS_SCHEMA) or pld (PLD_SCHEMA), columns by name. The pld coordinate
+    column name contains a dot: refer to it as F.col("`wgs84_polygon.coordinates`")."""
+    return _by_name(spark.read.parquet(path), schema).drop(REJECTED)
 
 
 def read_geojson(spark: SparkSession, path: str, props: list[str]) -> DataFrame:
@@ -107,8 +142,9 @@ def read_geojson(spark: SparkSession, path: str, props: list[str]) -> DataFrame:
                         gtype.alias("geometry_type"), parts.alias("parts"))
 
 
-def read_census(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """A census sheet exported to CSV or Parquet (header row = column names)."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_census(spark: SparkSession, path: str, counts: list[str], key: str = "LSOA code", fmt: str = "csv") -> DataFrame:
+    """A census sheet exported to CSV or Parquet: the area code and the named count columns, as
+    whole numbers (a thousands comma is taken out)."""
+    raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).option("inferSchema", False).csv(path)
+    number = lambda c: F.replace(F.col(f"`{c}`").cast("string"), F.lit(","), F.lit("")).try_cast("long").alias(c)
+    return raw.select(F.col(f"`{key}`").cast("string").alias(key), *[number(c) for c in counts])

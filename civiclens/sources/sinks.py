@@ -14,7 +14,3 @@ def write_result(df: DataFrame, results_dir: str, name: str, mode: str = "overwr
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()

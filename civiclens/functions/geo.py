@@ -40,12 +40,6 @@ def ring_is_valid(ring) -> Column:
     return r.isNotNull() & (n + F.when(closed, 0).otherwise(1) >= 4)
 
 
-def outer_ring(coords) -> Column:
-    """The outer ring of a polygon coordinate array (holes ignored); NULL when
-    it cannot form a polygon."""
-    r = F.get(_c(coords), 0)
-    return F.when(ring_is_valid(r), r)
-
 
 def ring_vertex_mean(ring) -> Column:
     """Plain mean of the ring's vertices (a closing vertex counts twice).
@@ -145,13 +139,6 @@ def parts_area_centroid(parts) -> Column:
                     F.when(ok, s["a"]).alias("area"))
 
 
-def ring_bbox(ring) -> Column:
-    """struct(minx, miny, maxx, maxy) of a ring."""
-    xs = F.transform(_c(ring), lambda p: p[0])
-    ys = F.transform(_c(ring), lambda p: p[1])
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
-                    F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
-
 
 # --- X5: WGS84 (EPSG:4326) <-> British National Grid (EPSG:27700) ------------------
 # The projection itself is staged into columns in operators/geometry.py (each

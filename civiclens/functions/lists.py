@@ -61,7 +61,3 @@ def primary_topic(list_col) -> Column:
 def first_ring(coords) -> Column:
     """Outer ring of a polygon coordinate array."""
     return F.get(_c(coords), 0)
-
-
-def int_array_literal(values: Iterable[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values]).cast("array<int>")

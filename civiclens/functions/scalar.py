@@ -17,10 +17,6 @@ def flag_in(col, values: Iterable) -> Column:
     return F.coalesce(_c(col).isin(list(values)), F.lit(False))
 
 
-def flag_not_in(col, values: Iterable) -> Column:
-    """P5: complement of `flag_in`; a missing value counts as outside."""
-    return ~flag_in(col, values)
-
 
 def sign_class(score) -> Column:
     """Negative / Positive / Neutral (exact zero); NULL stays NULL."""
@@ -63,5 +59,14 @@ def slug(s) -> Column:
     return F.regexp_replace(F.lower(_c(s)), " ", "_")
 
 
+def label(fmt: str, *cols) -> Column:
+    """A printf-style label; NULL if any part is NULL."""
+    parts = [_c(c) for c in cols]
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & p.isNotNull()
+    return F.when(whole, F.format_string(fmt, *parts))
+
+
 def title(s) -> Column:
     return F.initcap(_c(s))

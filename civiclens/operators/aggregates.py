@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from civiclens import constants as K
 from civiclens.functions.lists import parse_int_list, restrict_to, unordered_pairs
 from civiclens.functions.scalar import flag_in, percent
-from civiclens.operators.relational import bounded
 
 
 def overall_summary(apps: DataFrame) -> DataFrame:
@@ -49,14 +48,14 @@ def group_size(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
 def stance_by_council(comments: DataFrame, stances: Sequence[str] = K.STANCES,
                       digits: int = 6) -> DataFrame:
     """Per council, comments per listed stance and row percentages. The
-    denominator is the listed stances only; other stance values are ignored."""
+    denominator is the listed stances only; other stance values are ignored. A council
+    with other stances alone stays, with zero counts and NULL percentages."""
     counts = (comments.where(F.col("council").isNotNull())
               .groupBy("council").pivot("stance", list(stances)).count())
     names = {s: s.lower() for s in stances}
     counts = counts.select("council", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(names[s]) for s in stances])
     total = sum((F.col(names[s]) for s in stances), F.lit(0))
     return (counts.withColumn("_total", total)
-            .where(F.col("_total") > 0)
             .select("council", *[names[s] for s in stances],
                     *[F.round(percent(names[s], "_total"), digits).alias(f"pct_{names[s]}") for s in stances]))
 
@@ -67,17 +66,13 @@ def topic_mentions(df: DataFrame, list_col: str = "topic_list", keep: Sequence[s
     return df.select(*keep, F.explode(list_col).alias("topic"))
 
 
-def with_topic_list(df: DataFrame, text_col: str = "topic_number", name: str = "topic_list",
-                    missing_as_empty: bool = False) -> DataFrame:
-    return df.withColumn(name, parse_int_list(text_col, missing_as_empty))
-
 
 def topic_frequency(topics: DataFrame, names: DataFrame, list_col: str = "topic_list",
                     digits: int = 2) -> DataFrame:
     """Mentions per named topic (0 if never mentioned), percent of all mentions of
     named topics, and rank (count desc, id asc). Topics missing from the lookup drop out."""
     counts = topic_mentions(topics, list_col).groupBy("topic").agg(F.count("*").alias("mentions"))
-    base = (bounded(names.select("topic_id", "topic_group", "color"))
+    base = (names.select("topic_id", "topic_group", "color")
             .join(counts, F.col("topic_id") == F.col("topic"), "left")
             .select("topic_id", "topic_group", "color",
                     F.coalesce(F.col("mentions"), F.lit(0)).alias("mentions")))
@@ -97,7 +92,7 @@ def topic_frequency_by_area(topics: DataFrame, names: DataFrame, inner: Sequence
     m = topic_mentions(topics.withColumn("_inner", flag_in("council", inner)), list_col, keep=["_inner"])
     counts = m.groupBy("topic").agg(F.count_if(F.col("_inner")).alias("inner_count"),
                                     F.count_if(~F.col("_inner")).alias("outer_count"))
-    base = (bounded(names.select("topic_id", "topic_group", "color"))
+    base = (names.select("topic_id", "topic_group", "color")
             .join(counts, F.col("topic_id") == F.col("topic"), "left")
             .select("topic_id", "topic_group", "color",
                     F.coalesce(F.col("inner_count"), F.lit(0)).alias("inner_count"),
@@ -130,7 +125,7 @@ def topic_by_housing_type(topics: DataFrame, names: DataFrame, n: int = K.TOP_TO
     # array, not by a cross join.
     ids = top.select(F.sort_array(F.collect_list("topic_id"))).scalar()
     grid = present.select("housing_type", F.explode(ids).alias("topic_id"))
-    return (grid.join(bounded(top), "topic_id")
+    return (grid.join(F.broadcast(top), "topic_id")
             .join(counts, (F.col("housing_type") == F.col("_ht")) & (F.col("topic_id") == F.col("topic")), "left")
             .select("housing_type", "topic_id", "topic_group", "color", "file_order",
                     F.coalesce(F.col("mentions"), F.lit(0)).alias("mentions")))
@@ -192,8 +187,8 @@ def topic_cooccurrence(topics: DataFrame, names: DataFrame, k: int = K.TOP_TOPIC
     la = lab.select(F.col("topic_id").alias("_ia"), F.col("topic_group").alias("label_a"))
     lb = lab.select(F.col("topic_id").alias("_ib"), F.col("topic_group").alias("label_b"))
     return (grid.join(both, (F.col("topic_a") == F.col("a")) & (F.col("topic_b") == F.col("b")), "left")
-            .join(bounded(la), F.col("topic_a") == F.col("_ia"), "left")
-            .join(bounded(lb), F.col("topic_b") == F.col("_ib"), "left")
+            .join(la, F.col("topic_a") == F.col("_ia"), "left")
+            .join(lb, F.col("topic_b") == F.col("_ib"), "left")
             .select("topic_a", "topic_b",
                     F.coalesce(F.col("label_a"), F.col("topic_a").cast("string")).alias("label_a"),
                     F.coalesce(F.col("label_b"), F.col("topic_b").cast("string")).alias("label_b"),

@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclens.operators.relational import bounded
 
 
 def _edge(lo: Column, step: Column, i: Column) -> Column:
@@ -66,7 +65,7 @@ def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = (), shared:
         rng = v.groupBy(*keys).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
         lo0, hi0 = _widen(F.col("_lo0"), F.col("_hi0"))
         groups = rng.select(*keys, lo0.alias("_lo"), hi0.alias("_hi"))
-        binned = (v.join(bounded(groups), keys)
+        binned = (v.join(groups, keys)
                   .select(*keys, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")))
         lo_c, hi_c = F.col("_lo"), F.col("_hi")
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
@@ -125,7 +124,7 @@ def kde_1d(df: DataFrame, x: str, by: str, gridsize: int = 200, bins_for_scale:
     distinct = v.groupBy("_g", "_x").agg(F.count("*").alias("_w"))
     step = (hi - lo) / F.lit(float(gridsize - 1))
     gpt = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("gi")
-    contrib = (distinct.join(bounded(stats.where(F.col("_bw") > 0)), "_g")
+    contrib = (distinct.join(stats.where(F.col("_bw") > 0), "_g")
                .select("_g", "_w", "_x", "_bw", "_n", F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi"), gpt))
     gx = F.col("gi") * step + lo
     z = (gx - F.col("_x")) / F.col("_bw")

@@ -1,8 +1,7 @@
 """Projections, filters, lookups, joins, windows, sorts and set operations.
 
-Join policy: a side is broadcast by hint only when its size has a structural
-bound (a lookup of the topic model's topics, a top-k list, one row per group of a
-low-cardinality key). Everything else is left to Catalyst and AQE, whose runtime
+Join policy: a side is broadcast by hint only when it is a top-k list. Everything
+else, lookups too, is left to Catalyst and AQE, whose runtime
 broadcast conversion measures the side first (spark.sql.adaptive.
 autoBroadcastJoinThreshold) and otherwise keeps a sort-merge join, with AQE's
 skew-join splitting a hot key on the streamed side.
@@ -18,10 +17,6 @@ from pyspark.sql import functions as F
 from civiclens.functions.scalar import flag_in
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a frame whose row count is bounded by construction."""
-    return F.broadcast(df)
-
 
 # -- P1-P7 ------------------------------------------------------------------------
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -61,7 +56,7 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str,
     """Left join a small lookup and fill misses. `values` maps lookup column ->
     output name; `defaults` maps output name -> fallback expression (may use df's columns)."""
     t = table.select(F.col(table_key).alias("_lk"), *[F.col(c).alias(o) for c, o in values.items()])
-    out = df.join(bounded(t), F.col(key) == F.col("_lk"), "left").drop("_lk")
+    out = df.join(t, F.col(key) == F.col("_lk"), "left").drop("_lk")
     if defaults:
         out = out.withColumns({o: F.coalesce(F.col(o), d) for o, d in defaults.items()})
     return out
@@ -73,8 +68,9 @@ def left_join(df: DataFrame, right: DataFrame, on, how: str = "left") -> DataFra
 
 
 def semi_join(df: DataFrame, keys: DataFrame, left_on: str, right_on: str) -> DataFrame:
-    """Rows whose key occurs in `keys`."""
-    k = keys.select(F.col(right_on).alias("_sk")).where(F.col("_sk").isNotNull())
+    """Rows whose key occurs in `keys`. The keys are made distinct first (a partial aggregate):
+    a semi join cannot split a hot key on its right side."""
+    k = keys.select(F.col(right_on).alias("_sk")).where(F.col("_sk").isNotNull()).distinct()
     return df.join(k, F.col(left_on) == F.col("_sk"), "left_semi")
 
 
@@ -109,6 +105,11 @@ def order_desc(df: DataFrame, n: str, tie: str) -> DataFrame:
     return df.orderBy(F.desc(n), F.asc(tie))
 
 
+def order_asc(df: DataFrame, x: str, tie: str) -> DataFrame:
+    """O2: by coordinate or value, nulls last, with an explicit tie-break."""
+    return df.orderBy(F.asc_nulls_last(x), F.asc(tie))
+
+
 def head_n(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """O3: first n rows in an explicit order (TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(n)

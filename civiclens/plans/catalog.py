@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclens import constants as K
-from civiclens.functions.lists import contains, parse_double_list, parse_int_list, primary_topic
-from civiclens.functions.scalar import area_class, sign_class
+from civiclens.functions.lists import contains, first_ring, parse_double_list, parse_int_list, primary_topic
+from civiclens.functions.scalar import area_class, composite_key, label, round2, sign_class, slug, title
 from civiclens.operators import aggregates as G
 from civiclens.operators import geometry as GM
 from civiclens.operators import histograms as H
 from civiclens.operators import quantiles as Qn
 from civiclens.operators import regression as R
 from civiclens.operators import spatial as S
-from civiclens.operators.relational import coverage_report, distinct_values, keep_first, lookup, semi_join
+from civiclens.operators.relational import (coverage_report, distinct_values, drop_null, fill_null, filter_eq, filter_in, head_n,
+                                            keep_first, left_join, lookup, order_asc, order_desc, rename_drop, select_columns, semi_join,
+                                            share_of_total, top_k, union_fill)
 from civiclens.plans import frames as FR
+from civiclens.sources.sinks import preview
 from civiclens.sources.fixtures import FIXTURE_BOROUGH, FIXTURE_INNER, FIXTURE_TOPIC, fixtures
 
 COORDS = FR.COORDS
@@ -217,7 +220,7 @@ def haversine_distance(spark, sf_dir):
 def census_features(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     c = FR.census_features(fx.census_age, fx.census_occupation, fx.census_tenure,
-                           age_cols=["age_50_plus"], occ_cols=["occupation_1_2_3"], own_cols=["owned_total"])
+                           age_cols=["age_50_69", "age_70_plus"], occ_cols=["occupation_1", "occupation_2_3"], own_cols=["owned_outright", "owned_mortgage"])
     return c.select("lsoa_code", *[_r(v).alias(v) for v in K.SOCIO_VARS])
 
 
@@ -369,7 +372,7 @@ def box_sentiment_by_topic(spark, sf_dir):
     m = t.select("sentiment_score", F.explode("topic_list").alias("topic_id"))
     m = m.join(F.broadcast(top), "topic_id")  # at most 20 rows
     b = Qn.box_stats(m, "sentiment_score", ["topic_id"])
-    return b.join(F.broadcast(fx.topic_names.select("topic_id", "topic_group")), "topic_id")
+    return b.join(fx.topic_names.select("topic_id", "topic_group"), "topic_id")
 
 
 @query
@@ -430,7 +433,7 @@ def regression_bootstrap_band(spark, sf_dir):
 def _census(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     return FR.census_features(fx.census_age, fx.census_occupation, fx.census_tenure,
-                              age_cols=["age_50_plus"], occ_cols=["occupation_1_2_3"], own_cols=["owned_total"])
+                              age_cols=["age_50_69", "age_70_plus"], occ_cols=["occupation_1", "occupation_2_3"], own_cols=["owned_outright", "owned_mortgage"])
 
 
 def _comments_lsoa(spark, sf_dir):
@@ -512,3 +515,54 @@ def hist_census_feature(spark, sf_dir):
                    "'percent_occupation_1_2_3', percent_occupation_1_2_3, "
                    "'percent_owned_total', percent_owned_total) AS (variable, value)")
     return H.histogram(c.select(stack), "value", 30, by=["variable"])
+
+
+# -- tables behind the figures: P1-P7, P12, P15, P17, W2, O1-O4, U1, A6, K3 ------------------
+@query
+def housing_type_shares(spark, sf_dir):
+    """Applications and units per listed housing type, with their share of all listed applications."""
+    a = rename_drop(fixtures(spark, sf_dir).applications, {"total_no_proposed_residential_units": "units"}, ["borough"])
+    a = fill_null(filter_in(drop_null(a, ["housing_type"]), "housing_type", K.HOUSING_ORDER), {"units": 0})
+    g = a.groupBy("housing_type").agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.avg("comment_count").alias("mean_comments"))
+    g = share_of_total(g, "n", "pct", digits=6).withColumn("mean_comments", round2("mean_comments"))
+    return order_desc(select_columns(g, ["housing_type", "n", "units", "mean_comments", "pct"]), "n", "housing_type")
+
+
+@query
+def borough_top_applications(spark, sf_dir):
+    """The ten most commented applications of the fixture's borough, labelled (a top-k report)."""
+    a = filter_eq(fixtures(spark, sf_dir).applications, "borough", FIXTURE_BOROUGH)
+    top = head_n(a, 10, [F.desc("comment_count"), F.asc("lpa_app_no")])
+    return top.select("lpa_app_no", slug("borough").alias("file_name"), title("housing_type").alias("heading"),
+                      label("%s: %d comments", "lpa_app_no", "comment_count").alias("caption"))
+
+
+@query
+def busiest_councils(spark, sf_dir):
+    """The five councils with most comments, in the order of the axis (a top-k report)."""
+    return order_asc(top_k(fixtures(spark, sf_dir).comments, "council", 5), "n", "council")
+
+
+@query
+def map_points(spark, sf_dir):
+    """Comment points and application points (first vertex of the outer ring) in one table."""
+    fx = fixtures(spark, sf_dir)
+    c = drop_null(fx.comments, ["lat", "lon"]).select("comment_id", "lat", "lon")
+    first = F.get(first_ring(COORDS), 0)
+    a = drop_null(fx.pld.select("lpa_app_no", "borough", F.get(first, 1).alias("lat"), F.get(first, 0).alias("lon")), ["lat", "lon"])
+    return union_fill(c, a)
+
+
+@query
+def comments_with_application_key(spark, sf_dir):
+    """Comments with the housing type, joined on one composite text key; a missing council matches nothing."""
+    fx = fixtures(spark, sf_dir)
+    p = fx.pld.select(composite_key("lpa_app_no", "borough").alias("app_key"), "housing_type")
+    c = fx.comments.select("comment_id", composite_key("application_id", "council").alias("app_key"))
+    return left_join(c, p, "app_key")
+
+
+@query
+def comment_preview(spark, sf_dir):
+    """First five comments by id (the preview of the notebooks)."""
+    return preview(fixtures(spark, sf_dir).comments.orderBy("comment_id").select("comment_id", "application_id", "stance"), 5)

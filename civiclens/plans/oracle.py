@@ -143,15 +143,14 @@ def _add(name: str, sql: str) -> None:
 # -- G1-G4, P9, G10, G13, S8 -----------------------------------------------------------
 _add("stance_by_council", with_views("fx_comments") + f"""
 SELECT council, supports, objects, neutral,
-  ROUND(supports / tot * 1e2, 6) AS pct_supports, ROUND(objects / tot * 1e2, 6) AS pct_objects,
-  ROUND(neutral / tot * 1e2, 6) AS pct_neutral
+  ROUND(supports / NULLIF(tot, 0) * 1e2, 6) AS pct_supports, ROUND(objects / NULLIF(tot, 0) * 1e2, 6) AS pct_objects,
+  ROUND(neutral / NULLIF(tot, 0) * 1e2, 6) AS pct_neutral
 FROM (SELECT council,
         COUNT(*) FILTER (WHERE stance = 'Supports') AS supports,
         COUNT(*) FILTER (WHERE stance = 'Objects') AS objects,
         COUNT(*) FILTER (WHERE stance = 'Neutral') AS neutral,
         COUNT(*) FILTER (WHERE stance IN ({STANCES})) AS tot
-      FROM fx_comments WHERE council IS NOT NULL GROUP BY council) s
-WHERE tot > 0""")
+      FROM fx_comments WHERE council IS NOT NULL GROUP BY council) s""")
 
 _add("overall_summary", with_views("fx_applications") + """
 SELECT COUNT(DISTINCT lpa_app_no) AS total_applications,
@@ -298,9 +297,9 @@ _add("haversine_distance", DIST_VIEWS + f""", {POLY}, {CENTROID_LOOKUP}, {DIST}
 SELECT comment_id, ROUND(distance_km, 6) AS distance_km FROM dist""")
 
 _CENSUS = """cen AS (SELECT lsoa_code,
-  CASE WHEN residents = 0 THEN NULL ELSE aged_50_plus / residents * 1e2 END AS percent_age_50_plus,
-  CASE WHEN employed = 0 THEN NULL ELSE occ_1_2_3 / employed * 1e2 END AS percent_occupation_1_2_3,
-  CASE WHEN households = 0 THEN NULL ELSE owned / households * 1e2 END AS percent_owned_total
+  CASE WHEN residents = 0 THEN NULL ELSE (aged_50_69 + COALESCE(aged_70_plus, 0)) / residents * 1e2 END AS percent_age_50_plus,
+  CASE WHEN employed = 0 THEN NULL ELSE (occ_1 + occ_2_3) / employed * 1e2 END AS percent_occupation_1_2_3,
+  CASE WHEN households = 0 THEN NULL ELSE (owned_outright + COALESCE(owned_mortgage, 0)) / households * 1e2 END AS percent_owned_total
   FROM fx_census)"""
 
 _add("census_features", with_views("fx_census") + f""", {_CENSUS}
@@ -557,6 +556,34 @@ cv AS (SELECT 'percent_age_50_plus' AS variable, percent_age_50_plus AS value FR
        SELECT 'percent_owned_total', percent_owned_total FROM cl5), """ + hist_sql("cv", "value", 30, ["variable"], False))
 
 
+# -- tables behind the figures -----------------------------------------------------------
+_add("housing_type_shares", with_views("fx_applications") + f"""
+SELECT housing_type, COUNT(*) AS n, CAST(SUM(COALESCE(total_no_proposed_residential_units, 0)) AS BIGINT) AS units,
+  ROUND(AVG(comment_count), 2) AS mean_comments, ROUND(COUNT(*) / SUM(COUNT(*)) OVER () * 1e2, 6) AS pct
+FROM fx_applications WHERE housing_type IN ({HOUSING}) GROUP BY housing_type""")
+
+_add("borough_top_applications", with_views("fx_applications") + f"""
+SELECT lpa_app_no, LOWER(REPLACE(borough, ' ', '_')) AS file_name,
+  array_to_string(list_transform(string_split(housing_type, ' '), lambda w: UPPER(w[1]) || LOWER(w[2:])), ' ') AS heading,
+  lpa_app_no || ': ' || comment_count || ' comments' AS caption
+FROM fx_applications WHERE borough = {B} ORDER BY comment_count DESC, lpa_app_no LIMIT 10""")
+
+_add("busiest_councils", with_views("fx_comments") + """
+SELECT council, COUNT(*) AS n FROM fx_comments WHERE council IS NOT NULL GROUP BY council ORDER BY n DESC, council LIMIT 5""")
+
+_add("map_points", with_views("fx_vertex", "fx_comments") + """
+SELECT comment_id, CAST(NULL AS VARCHAR) AS lpa_app_no, CAST(NULL AS VARCHAR) AS borough, lat, lon FROM fx_comments
+WHERE lat IS NOT NULL AND lon IS NOT NULL
+UNION ALL SELECT NULL, lpa_app_no, borough, y, x FROM fx_vertex WHERE pos = 0""")
+
+_add("comments_with_application_key", with_views("fx_comments", "fx_pld") + """
+SELECT c.comment_id, c.application_id || '_' || c.council AS app_key, p.housing_type
+FROM fx_comments c LEFT JOIN fx_pld p ON c.application_id || '_' || c.council = p.lpa_app_no || '_' || p.borough""")
+
+_add("comment_preview", with_views("fx_comments") + """
+SELECT comment_id, application_id, stance FROM fx_comments ORDER BY comment_id LIMIT 5""")
+
+
 # -- X5 forward projection, staged as nested selects (mirrors operators/geometry.with_bng) ---
 def _bng_sql() -> str:
     import math

@@ -24,7 +24,7 @@ from civiclens.operators import regression as R
 from civiclens.operators import spatial as S
 from civiclens.operators.relational import coverage_report, distinct_values, lookup, semi_join
 from civiclens.plans import frames as FR
-from civiclens.sources.fixtures import materialise
+from civiclens.tables import stored
 from civiclens.sources.sinks import write_result
 
 
@@ -48,7 +48,7 @@ class Inputs:
         from civiclens.sources.fixtures import FIXTURE_INNER
         return cls(fx.comments, fx.comments_with_topics, fx.topic_names, fx.pld, fx.applications, fx.lsoa,
                    fx.census_age, fx.census_occupation, fx.census_tenure, None, FIXTURE_INNER,
-                   {"age_cols": ["age_50_plus"], "occ_cols": ["occupation_1_2_3"], "own_cols": ["owned_total"]})
+                   {"age_cols": ["age_50_69", "age_70_plus"], "occ_cols": ["occupation_1", "occupation_2_3"], "own_cols": ["owned_outright", "owned_mortgage"]})
 
 
 def descriptive_report(i: Inputs) -> dict[str, DataFrame]:
@@ -85,7 +85,7 @@ def descriptive_report(i: Inputs) -> dict[str, DataFrame]:
 def topic_report(i: Inputs) -> dict[str, DataFrame]:
     """Q2: topic frequency (all, inner/outer, by housing type), pies, sentiment by
     topic, co-occurrence. The parsed lists are materialised once for all of them."""
-    t = materialise(FR.topic_lists(i.comments_with_topics))
+    t = stored(FR.topic_lists(i.comments_with_topics))
     names = i.topic_names
     freq = G.topic_frequency(t, names)
     top20 = freq.where(F.col("rank") < K.TOP_TOPICS_BAR).select("topic_id")
@@ -97,7 +97,7 @@ def topic_report(i: Inputs) -> dict[str, DataFrame]:
         "topic_inner_outer_london": G.topic_frequency_by_area(t, names, i.inner),
         "topic_by_housing_type": G.topic_by_housing_type(t, names),
         "sentiment_by_topic": Qn.box_stats(m, "sentiment_score", ["topic_id"]).join(
-            F.broadcast(names.select("topic_id", "topic_group")), "topic_id"),
+            names.select("topic_id", "topic_group"), "topic_id"),
         "topic_cooccurrence": G.topic_cooccurrence(t, names),
     }
 
@@ -120,7 +120,7 @@ def sentiment_report(i: Inputs) -> dict[str, DataFrame]:
 def distance_report(i: Inputs, centroid_method: str = "bng") -> dict[str, DataFrame]:
     """Q4: commenter-application distances and their distributions. The distance
     frame is materialised once and every distribution reads it."""
-    d = materialise(FR.comment_distances(
+    d = stored(FR.comment_distances(
         i.comments, i.comments_with_topics.select("comment_id", "topic_number", "probability"),
         i.pld, centroid_method))
     top = G.top_topics(d, K.TOP_TOPICS_DISTANCE).select(F.col("topic").alias("topic_id"))
@@ -145,7 +145,7 @@ def demographic_report(i: Inputs) -> dict[str, DataFrame]:
     """Q5: census shares, point-in-LSOA join, Welch tests, per-LSOA profile, fits,
     correlations and feature histograms."""
     census = FR.census_features(i.census_age, i.census_occupation, i.census_tenure, **i.census_cols)
-    c = materialise(FR.comments_with_lsoa(i.comments, i.lsoa, census))
+    c = stored(FR.comments_with_lsoa(i.comments, i.lsoa, census))
     prof = G.lsoa_profile(c, digits=None)
     stack = ("stack(3, 'percent_age_50_plus', percent_age_50_plus, 'percent_occupation_1_2_3', "
              "percent_occupation_1_2_3, 'percent_owned_total', percent_owned_total) AS (variable, {v})")
@@ -175,7 +175,7 @@ def borough_report(i: Inputs, borough: str, topic_id: int) -> dict[str, DataFram
     """Q6: the four borough maps' tables and legend counts."""
     b = FR.borough_frames(i.comments, i.pld, i.comments_with_topics.select("comment_id", "topic_number"),
                           i.topic_names, borough, topic_id)
-    bc = materialise(b["comments"])
+    bc = stored(b["comments"])
     has = bc.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     # One row (a global aggregate): the topic's label and colour, or the fallbacks.
     hit = F.col("topic_id") == topic_id

@@ -6,11 +6,13 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from civiclens.plans.catalog import QUERIES
+from civiclens.plans.oracle import ORACLE
 from tests.conftest import SF_SMALL
 from tools.check_oracle import compare, duck
 
 SF = os.environ.get("CIVICLENS_ORACLE_SF_DIR", SF_SMALL)
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    line = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
+    line = compare(spark, con, name, QUERIES[name], ORACLE[name], SF)
     assert line.startswith("OK"), line
 
 
@@ -28,9 +30,9 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert df.count() > 0
 
 

@@ -2,7 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as E
+from pyspark.sql import functions as F
+
+from civiclens.plans import frames as FR
+from civiclens.plans.catalog import QUERIES
+from civiclens.sources.fixtures import fixtures
 from tests.conftest import SF_SMALL
 
 
@@ -10,18 +14,43 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_cooccurrence_pairs_without_self_join(spark):
-    plan = _plan(E.queries()["topic_cooccurrence"](spark, SF_SMALL))
+    plan = _plan(QUERIES["topic_cooccurrence"](spark, SF_SMALL))
     assert "Generate explode" in plan            # pairs generated inside each row
     assert plan.count("Join") <= 4               # grid/label joins only, no comment self-join
 
 
-def test_spatial_join_broadcasts_measured_cell_table(spark):
-    plan = _plan(E.queries()["lsoa_spatial_join"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+def test_spatial_join_builds_without_jobs(spark):
+    fx = fixtures(spark, SF_SMALL)
+    fx.lsoa, fx.comments                        # inputs are written before
+    tracker, group = spark.sparkContext.statusTracker(), "spatial-build"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        census = FR.census_features(fx.census_age, fx.census_occupation, fx.census_tenure, ["age_50_69", "age_70_plus"],
+                                    occ_cols=["occupation_1", "occupation_2_3"], own_cols=["owned_outright", "owned_mortgage"])
+        FR.comment_lsoa_codes(fx.comments, fx.lsoa, census)
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_semi_join_keys_are_combined_before_the_shuffle(spark):
+    from civiclens.operators.relational import semi_join
+    a = spark.range(100).withColumnRenamed("id", "k")
+    plan = _plan(semi_join(a, spark.range(1000).select((F.col("id") % 3).alias("k")), "k", "k"))
+    assert "LeftSemi" in plan and plan.count("HashAggregate") >= 2
+
+
+def test_hot_value_does_not_fill_a_quantile_range(spark):
+    from civiclens.operators.quantiles import _ranked, exact_quantiles
+    df = spark.range(0, 40000, 1, 8).select((F.col("id") % 4).alias("g"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") * 1.0).alias("v"))
+    r = _ranked(df, "v", ["g"])
+    assert r.count() == 20002                    # one row per distinct value
+    got = {x["g"]: (x["n"], x["q50"]) for x in exact_quantiles(df, "v", ["g"], [0.5]).collect()}
+    assert got[0] == (10000, 0.0) and got[1] == (10000, (19997 + 20001) / 2)

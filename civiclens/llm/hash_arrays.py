@@ -61,9 +61,11 @@ def merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def send(kind: str, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
     """One row for each bucket that has keys."""
+    if not len(keys):
+        return
     order = np.argsort(bucket, kind="stable")
     keys, counts, bucket = keys[order], counts[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
         yield int(bucket[a]), kind, int(b - a), _pack(keys[a:b], counts[a:b])
 

@@ -32,6 +32,8 @@ WINDOW, MISSES, LEAST = 12, 2, 5
 #: Positions that each mask reads.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8))
 BLOCK_BYTES = 32 << 20
+#: Seed hits, or words along alignments, that are looked at together.
+SLICE = 1 << 20
 _NONE = {k: np.zeros(0, np.int64) for k in ("row", "item", "windows", "best", "first")}
 
 
@@ -77,8 +79,18 @@ class Items:
         return self.words.nbytes * 3 + sum(s.nbytes * 2 + (1 << 20) for _, s, _, _ in self.masks)
 
 
+def _slices(count: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of about `most` by the sum of count, of one entry at least."""
+    ends, a = np.cumsum(count), 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def overlaps(h: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, np.ndarray]:
-    """Pairs (row, item) that overlap: number of windows, largest number of equal words in one, first word."""
+    """Pairs (row, item) that overlap: number of windows (by place in both), largest number of equal words in
+    one, first word. Seeds and alignments are taken in slices, so that texts that repeat themselves fill no memory."""
     found = []
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for mask, seeds, at, flags in items.masks:
@@ -88,14 +100,31 @@ def overlaps(h: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, np.n
         maybe = flags[mine >> U64(44)]
         mine, where = mine[maybe], where[maybe]
         lo, hi = np.searchsorted(seeds, mine, "left"), np.searchsorted(seeds, mine, "right")
-        ref = at[repeat_ranges(lo, hi - lo)]
-        pos = np.repeat(where, hi - lo)
-        # the alignment: where the first word of the item would stand
-        found.append(np.stack([rows[pos], items.row[ref], pos - ref + items.offsets[items.row[ref]]]))
+        for part in _slices(hi - lo, SLICE):
+            ref = at[repeat_ranges(lo[part], (hi - lo)[part])]
+            pos = np.repeat(where[part], (hi - lo)[part])
+            # the alignment: where the first word of the item would stand
+            one = np.stack([rows[pos], items.row[ref], pos - ref + items.offsets[items.row[ref]]])
+            found.append(np.unique(one, axis=1) if one.shape[1] else one)
     if not found or not sum(f.shape[1] for f in found):
         return _NONE
     row, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
     size = np.diff(items.offsets)[item]
+    parts = [_counted(h, offsets, items, row[p], item[p], start[p], size[p]) for p in _slices(size, SLICE)]
+    pair, equal, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(pair):
+        return _NONE
+    keys, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    best, first = np.zeros(len(keys), np.int64), np.full(len(keys), np.iinfo(np.int64).max)
+    np.maximum.at(best, inverse, equal)
+    np.minimum.at(first, inverse, doc)
+    r = keys // len(items.ids)
+    return {"row": r, "item": keys % len(items.ids), "windows": counts, "best": best, "first": first - offsets[r]}
+
+
+def _counted(h: np.ndarray, offsets: np.ndarray, items: Items, row: np.ndarray, item: np.ndarray, start: np.ndarray,
+             size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, equal words and first word of all windows along the alignments that reach the overlap."""
     # equal words along each alignment, outside of the document nothing is equal
     which = np.repeat(np.arange(len(row)), size)
     inside = repeat_ranges(np.zeros(len(row), np.int64), size)
@@ -108,21 +137,12 @@ def overlaps(h: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str, np.n
     width = np.minimum(size, WINDOW)[which]
     whole = inside + width <= size[which]
     here = (base[which] + inside)[whole]
-    width, which, inside, doc = width[whole], which[whole], inside[whole], doc[whole]
+    width, which, doc = width[whole], which[whole], doc[whole]
     equal = sums[here + width] - sums[here]
     # the whole window must lie in the document; short items tolerate nothing
     need = np.where(width < WINDOW, width, WINDOW - MISSES)
     hit = (equal >= need) & (doc >= offsets[row[which]]) & (doc + width <= offsets[row[which] + 1])
-    which, equal, doc = which[hit], equal[hit], doc[hit]
-    if not len(which):
-        return _NONE
-    pair = row[which] * len(items.ids) + item[which]
-    keys, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    best, first = np.zeros(len(keys), np.int64), np.full(len(keys), np.iinfo(np.int64).max)
-    np.maximum.at(best, inverse, equal)
-    np.minimum.at(first, inverse, doc)
-    r = keys // len(items.ids)
-    return {"row": r, "item": keys % len(items.ids), "windows": counts, "best": best, "first": first - offsets[r]}
+    return (row * len(items.ids) + item)[which[hit]], equal[hit], doc[hit]
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_BYTES) -> Iterator[Items]:

@@ -86,6 +86,20 @@ QUERIES = {f.__name__: f for f in (
     op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
 
 ORACLE = {
+    "op1_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, len(h) // 2 - 199)) AS i, h FROM d WHERE len(h) >= 400),
+k AS (SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS s FROM w),
+rep AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, i FROM k WHERE s IN (SELECT s FROM rep)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run
+      FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit) f),
+spans AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+gaps AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since, b FROM spans),
+kept AS (SELECT d.r, string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS t,
+           sum(b - a) AS n, count(*) AS c FROM d JOIN gaps USING (r) GROUP BY d.r)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans,
+  sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op9_chat_grammar": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

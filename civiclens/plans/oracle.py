@@ -556,6 +556,27 @@ cv AS (SELECT 'percent_age_50_plus' AS variable, percent_age_50_plus AS value FR
        SELECT 'percent_owned_total', percent_owned_total FROM cl5), """ + hist_sql("cv", "value", 30, ["variable"], False))
 
 
+# -- two-sided p of Student's t: Simpson's rule over the density, 4000 steps ---------------
+def _with_p(name: str, cut: str, t: str, df: str, columns: str) -> str:
+    """The oracle `name` up to its final SELECT, whose statistic t has df degrees of freedom, with p."""
+    body = ORACLE[name]
+    head = body[: body.rindex(cut)]
+    table = body[body.rindex("FROM "):].split()[1]
+    return head + f""",
+st AS (SELECT *, {t} AS t_, {df} AS df_ FROM {table}),
+pp AS (SELECT st.*, 1 - 2 * (SELECT SUM((CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+    * POWER(1 + POWER(ABS(t_) * k / 4000, 2) / df_, -(df_ + 1) / 2)) * ABS(t_) / 12000
+    * EXP(LGAMMA((df_ + 1) / 2) - LGAMMA(df_ / 2)) / SQRT(df_ * PI()) FROM range(4001) r(k)) AS p_ FROM st)
+SELECT {columns}, ROUND(GREATEST(p_, 0), 6) AS p FROM pp"""
+
+
+_add("lsoa_correlation_p", _with_p(
+    "lsoa_correlation", "\nSELECT variable, n,", "r * SQRT(CASE WHEN 1 - r * r = 0 THEN NULL ELSE (n - 2) / (1 - r * r) END)", "CAST(n - 2 AS DOUBLE)",
+    "variable, n, ROUND(r, 6) AS r, ROUND(t_, 6) AS t, response"))
+_add("welch_test_p", _with_p(
+    "welch_test", "\nSELECT variable, n_a,", "(m_a - m_b) / SQRT(qa + qb)", "(qa + qb) * (qa + qb) / (qa * qa / (n_a - 1) + qb * qb / (n_b - 1))",
+    "variable, n_a, n_b, ROUND(t_, 6) AS t, ROUND(df_, 6) AS df"))
+
 # -- tables behind the figures -----------------------------------------------------------
 _add("housing_type_shares", with_views("fx_applications") + f"""
 SELECT housing_type, COUNT(*) AS n, CAST(SUM(COALESCE(total_no_proposed_residential_units, 0)) AS BIGINT) AS units,

@@ -55,7 +55,7 @@ def _row_ids(offsets: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, buckets, counts)."""
+    """(label, text) to (label, buckets, counts): 6 bytes for each distinct n-gram of a text."""
     for batch in batches:
         for part in pieces(batch, "text", 1 << 20):
             data, offsets = flat_bytes(part.column("text"))
@@ -63,11 +63,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 row = np.concatenate([h[ok] for h, ok in _grams(data[a:b], np.array([0, b - a]))])
                 u, c = np.unique(row, return_counts=True)
-                buckets.append(u.astype(np.int32))
-                counts.append(c.astype(np.float32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-                names=["label", "buckets", "counts"])
+                buckets.append(u.astype("<u2").tobytes())
+                counts.append(c.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["label", "buckets", "counts"])
 
 
 def sample(docs: DataFrame, text: str, label: str, per_language: int, sample_rows: int) -> list:
@@ -81,7 +80,7 @@ def sample(docs: DataFrame, text: str, label: str, per_language: int, sample_row
     wanted = F.lit(False)
     for size in sizes:
         wanted = wanted | ((F.col("label") == size["label"]) & (draw < each / size["count"]))
-    return rows.where(wanted).mapInArrow(_counts, "label string, buckets array<int>, counts array<float>").limit(
+    return rows.where(wanted).mapInArrow(_counts, "label string, buckets binary, counts binary").limit(
         2 * sample_rows).collect() if sizes else []
 
 
@@ -94,7 +93,7 @@ def fit(rows: list, dimensions: int = 16, epochs: int = 12, rate: float = 0.5, k
     order = rng.permutation(len(rows))
     split = max(1, len(rows) * 3 // 4)
     label = np.array([languages.index(r["label"]) for r in rows])
-    entries = [(np.asarray(r["buckets"], np.int64), np.asarray(r["counts"], np.float32)) for r in rows]
+    entries = [(np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in rows]
     embed = rng.normal(0, 1 / dimensions, (BUCKETS, dimensions)).astype(np.float32)
     layer = np.zeros((dimensions, len(languages)), np.float32)
     layer += rng.normal(0, 1 / dimensions, layer.shape).astype(np.float32)

@@ -40,7 +40,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes of text, so that temporary arrays stay small."""
     if not batch.num_rows:
         return
@@ -103,3 +103,15 @@ def repeat_ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Concatenation of start[i], ..., start[i] + count[i] - 1."""
     ends = np.cumsum(count)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
+
+def gather(data: np.ndarray, start: np.ndarray, count: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """Concatenation of data[start[i] : start[i] + count[i]], with indices for about `most` entries at a time."""
+    ends = np.cumsum(count)
+    out, a = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype), 0
+    while a < len(count):
+        base = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, base + most, side="right")))
+        out[base : int(ends[b - 1])] = data[repeat_ranges(start[a:b], count[a:b])]
+        a = b
+    return out

@@ -20,7 +20,7 @@ from .arrays import U64
 RANGE_BYTES = 16 << 20
 SENT = "bucket int, kind string, size long, blob binary"
 #: Distinct hashes that a task gathers before it sends them on.
-GATHERED = 4 << 20
+GATHERED = 1 << 20
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:

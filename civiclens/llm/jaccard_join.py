@@ -112,25 +112,23 @@ def _class_id(tokens: np.ndarray) -> np.ndarray:
         return mix(mix(tokens).sum(dtype=np.uint64, keepdims=True) + U64(len(tokens))).view(np.int64)
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cls (class of equal sets), sigs, parity of each row."""
+def sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """doc_id, n (set size), cls (class of equal sets), parity of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                n, cls, sigs, parity = [], [], [], []
+                n, cls, parity = [], [], []
                 for tokens in shingle_sets(*flat_bytes(part.column("text")), size):
                     n.append(len(tokens))
                     cls.append(int(_class_id(tokens)[0]))
-                    sigs.append(signatures(tokens, percent).view(np.int64) if len(tokens) else None)
                     parity.append(_parity(tokens))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                     pa.array(sigs, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "cls", "sigs", "parity"])
+                     pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "parity"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, sigs array<long>, parity array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, cls long, parity array<long>")
 
 
 def divide_skip(query: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
@@ -215,22 +213,30 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """One row per document: doc_id, n_shingles, component_id (smallest linked id), n_in_component rows."""
     if not 80 <= percent <= 100:
         raise ValueError("the size classes hold for 80 to 100 percent")
-    sketch = stored(sketches(docs, doc_id, text, size, percent), "sketch")
+    sketch = stored(sketches(docs, doc_id, text, size), "sketch")
     filled = sketch.where("n > 0")
     classes = filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("p"))
-    # signatures that two or more rows have
-    sigs = HashArrays(scratch(docs.sparkSession, "signatures"), max(1, -(-filled.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] // GATHERED)))
-    sigs.keep("sig", filled.select("sigs"), lambda b: [b.column("sigs").flatten().to_numpy().view(np.uint64)])
+    # signatures that two or more rows have; they are made anew from the texts when needed, not kept
+    shingles = filled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sigs = HashArrays(scratch(docs.sparkSession, "signatures"), max(1, -(-shingles // (2 * GATHERED))))
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in pieces(batch, "text"):
+            sets = [t for t in shingle_sets(*flat_bytes(part.column("text")), size) if len(t)]
+            if sets:
+                own = [signatures(t, percent) for t in sets]
+                yield np.concatenate(own), np.repeat(np.concatenate([_class_id(t) for t in sets]), [len(o) for o in own])
+
+    sigs.keep("sig", texts, lambda batch: (sig for sig, _ in made(batch)))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("sigs")
-            values = column.flatten().to_numpy()
-            cls = np.repeat(batch.column("cls").to_numpy(), column.value_lengths().to_numpy())
-            hit, _ = sigs.look("sig", values.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(values[hit]), pa.array(cls[hit])], names=["sig", "cls"])
+            for sig, cls in made(batch):
+                hit, _ = sigs.look("sig", sig)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), pa.array(cls[hit])], names=["sig", "cls"])
 
-    lists = stored(filled.select("cls", "sigs").mapInArrow(shared, "sig long, cls long").distinct(), "lists")
+    lists = stored(texts.mapInArrow(shared, "sig long, cls long").distinct(), "lists")
     several = lists.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("sig")
     members = stored(lists.join(several, "sig"), "members")
     known = stored(members.select("cls").distinct().join(classes, "cls"), "classes")

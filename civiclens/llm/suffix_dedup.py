@@ -14,13 +14,16 @@ Burrows-Wheeler transform (of distinct snippets, with how often they stand in th
   it to v; only such extensions go on. So common prefixes are derived by increasing value, each once,
   and the expansion stops at `length`: suffixes whose neighbour's value is still open then repeat.
 
+Copies of a snippet are counted before the transform, which takes one of them; a snippet alone in its
+bucket has nothing else to share a prefix with, so its count decides.
+
 Four passes read the documents: (1) anchors are counted, (2) windows of busy anchors are counted, (3)
 snippets with repeated anchors are gathered without their copies, transformed and searched, (4) the
 repeated windows of each document are looked up. Between the passes stand sorted hash arrays in the
 folder that all executors share; the documents are never shuffled. An anchor with more than BUSY
 occurrences (say a passage that a third of all documents holds) would fill one bucket with snippets that
-differ outside of the passage. Its windows are buckets of their own instead, and those that occur once
-are dropped by count (2); so no bucket exceeds BUSY snippets, whatever the input.
+differ outside of the passage. Its windows are counted one by one instead (pass 2), and those that occur
+twice or more repeat; so no bucket exceeds BUSY snippets, whatever the input.
 
 Anchors and windows are told apart by 64-bit hashes. Defined results. Null text: as an empty one, with
 nothing removed. Texts shorter than `length` keep everything. Repeated rows are copies of each other,
@@ -38,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .arrays import U64, _BYTE, _powers, flat_bytes, mix, pieces, range_hashes, repeat_ranges
-from .hash_arrays import RANGE_BYTES, SENT, HashArrays, batch_of, mapped, range_of, write
+from .arrays import U64, _BYTE, _powers, flat_bytes, gather, mix, pieces, range_hashes, repeat_ranges
+from .hash_arrays import SENT, HashArrays, batch_of, mapped, range_of, write
 from .shared import scratch
 
 BUSY = 1000
-TEXT = 1 << 20  # bytes of snippets in one transform
-HELD = 24 << 20  # bytes of distinct snippets that a task gathers before it sends them on
+RANGE = 4 << 20  # bytes of documents whose snippets are searched in one task
+TEXT = 1 << 17  # bytes of snippets in one transform
+HELD = 8 << 20  # bytes of distinct snippets that a task gathers before it sends them on
 
 
 # -- one transform
@@ -121,8 +125,10 @@ def repeated(snippets: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray
         # an end can be reached from one interval only: its strings are distinct
         last, upper = last[open_], upper[open_]
         known[upper + 1] = True
-        begin = np.repeat(lb, width)[last]
-        lb = np.searchsorted(places, bwt[row[last]].astype(np.int64) * n + begin)
+        # an interval of one row is extended to one row
+        begin, lb = np.repeat(lb, width)[last], upper.copy()
+        wide = np.flatnonzero(np.repeat(width, width)[last] > 1)
+        lb[wide] = np.searchsorted(places, bwt[row[last[wide]]].astype(np.int64) * n + begin[wide])
         rb = upper
     # open values are `length` or more
     shared = ~known[:-1] | ~known[1:]
@@ -180,16 +186,14 @@ class _Known(HashArrays):
         hit, counts = self.look("anchor", anchor, "anchor_count")
         return lo[hit], hi[hit], anchor[hit], counts > self.busy
 
-    def snippets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window of each snippet to compare, and the hash that names its bucket."""
+    def snippets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window of each snippet to compare and the anchor that names its bucket, and the
+        windows of busy anchors that were counted more than once."""
         lo, hi, anchor, busy = self.windows(data, offsets)
-        if busy.any():
-            each = repeat_ranges(lo[busy], (hi - lo + 1)[busy])
-            h = range_hashes(data, each, each + self.length)
-            hit, _ = self.look("window", h, "window_count")
-            lo, hi, anchor = (np.concatenate([lo[~busy], each[hit]]), np.concatenate([hi[~busy], each[hit]]),
-                              np.concatenate([anchor[~busy], h[hit]]))
-        return lo, hi, anchor
+        each = repeat_ranges(lo[busy], (hi - lo + 1)[busy])
+        if len(each):
+            each = each[self.look("window", range_hashes(data, each, each + self.length))[0]]
+        return lo[~busy], hi[~busy], anchor[~busy], each
 
 
 def _gather(batches: Iterator[pa.RecordBatch], known: _Known) -> Iterator[pa.RecordBatch]:
@@ -210,7 +214,7 @@ def _gather(batches: Iterator[pa.RecordBatch], known: _Known) -> Iterator[pa.Rec
         for a, b in zip(cut, [*cut[1:], len(first)], strict=True):
             pick = first[a:b]
             head = np.stack([bucket[pick], name[pick], size[pick].astype(np.uint64), weight[a:b]])
-            body = head.tobytes() + data[repeat_ranges(begin[pick], size[pick])].tobytes()
+            body = head.tobytes() + gather(data, begin[pick], size[pick]).tobytes()
             out.append((int(target[a]), f"{len(pick)}", len(body), pa.compress(body, codec="zstd", asbytes=True)))
         return batch_of(out)
 
@@ -218,13 +222,13 @@ def _gather(batches: Iterator[pa.RecordBatch], known: _Known) -> Iterator[pa.Rec
     for batch in batches:
         for part in pieces(batch, "text"):
             data, offsets = flat_bytes(part.column("text"))
-            lo, hi, bucket = known.snippets(data, offsets)
+            lo, hi, bucket, _ = known.snippets(data, offsets)
             if not len(lo):
                 continue
             size = hi - lo + known.length
             name = range_hashes(data, lo, lo + size)
             names, first, counts = np.unique(name, return_index=True, return_counts=True)
-            held.append((bucket[first], names, size[first], data[repeat_ranges(lo[first], size[first])], counts))
+            held.append((bucket[first], names, size[first], gather(data, lo[first], size[first]), counts))
             total += len(held[-1][3])
             if total > HELD:
                 yield send_on()
@@ -245,35 +249,55 @@ def _search(key: tuple, parts: pd.DataFrame, known: _Known) -> pd.DataFrame:
         heads.append(np.concatenate([head, begin[None].astype(np.uint64)]))
         bodies.append(np.frombuffer(raw, np.uint8, offset=32 * n))
         where += len(bodies[-1])
+        del raw
     data, (bucket, name, size, weight, begin) = np.concatenate(bodies), np.concatenate(heads, axis=1)
+    bodies.clear()
     # copies from several tasks: one stays, with all counts
     order = np.lexsort((name, bucket))
     first = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
     weight = np.add.reduceat(weight[order].astype(np.int64), first)
     bucket, name, size, begin = (x[order][first] for x in (bucket, name, size.astype(np.int64), begin.astype(np.int64)))
+    order = np.argsort(name)
+    write(known.folder, f"snippet-{key[0]}", name[order])
     masks = np.zeros((len(name), width), np.uint8)
+    fresh = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    # a snippet alone in its bucket has nothing to be compared with: its windows repeat if it does
+    alone = np.flatnonzero(fresh & np.append(fresh[1:], True))
+    masks[alone[weight[alone] > 1]] = _first_bits(size[alone[weight[alone] > 1]] - known.length + 1, width)
+    rest = np.setdiff1d(np.arange(len(name)), alone)
+    masks[rest] = _compared(data, bucket[rest], size[rest], begin[rest], weight[rest], known.length, width)
+    write(known.folder, f"snippet_mask-{key[0]}", masks[order])
+    return pd.DataFrame({"bucket": [key[0]], "size": [len(name)]})
+
+
+def _first_bits(count: np.ndarray, width: int) -> np.ndarray:
+    """Masks of `width` bytes with the first count[i] bits set."""
+    return np.packbits(np.arange(width * 8) < count[:, None], axis=1)
+
+
+def _compared(data: np.ndarray, bucket: np.ndarray, size: np.ndarray, begin: np.ndarray, weight: np.ndarray, length: int,
+              width: int) -> np.ndarray:
+    """Masks of the windows that repeat, for snippets sorted by bucket."""
+    masks = np.zeros((len(bucket), width), np.uint8)
+    if not len(bucket):
+        return masks
     fresh = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))  # whole buckets go into a text
     filled = np.cumsum(size + 1) - (size + 1)
     text = filled[fresh] // TEXT
     cuts = fresh[np.concatenate([[True], text[1:] != text[:-1]])].tolist()
-    for a, b in zip(cuts, [*cuts[1:], len(name)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         there = size[a:b]
-        shared = repeated(data[repeat_ranges(begin[a:b], there)], there, known.length)
-        starts = there - known.length + 1
+        shared = repeated(gather(data, begin[a:b], there), there, length)
+        starts = there - length + 1
         inside = repeat_ranges(np.zeros(len(there), np.int64), starts)
         row = np.repeat(np.arange(b - a), starts)
-        mark = shared[(np.cumsum(there) - there)[row] + inside] | (weight[a:b] > 1)[row]
         bits = np.zeros((b - a, width * 8), bool)
-        bits[row, inside] = mark
+        bits[row, inside] = shared[(np.cumsum(there) - there)[row] + inside] | (weight[a:b] > 1)[row]
         masks[a:b] = np.packbits(bits, axis=1)
-    order = np.argsort(name)
-    # a snippet is looked up in the range of its bucket: by hash alone it can stand in any
-    write(known.folder, f"snippet-{key[0]}", name[order])
-    write(known.folder, f"snippet_mask-{key[0]}", masks[order])
-    return pd.DataFrame({"bucket": [key[0]], "size": [len(name)]})
+    return masks
 
 
-def find(docs: DataFrame, text: str, length: int, range_bytes: int = RANGE_BYTES, busy: int = BUSY) -> _Known:
+def find(docs: DataFrame, text: str, length: int, range_bytes: int = RANGE, busy: int = BUSY) -> _Known:
     """Passes 1 to 3."""
     rows = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= length)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -301,8 +325,8 @@ def find(docs: DataFrame, text: str, length: int, range_bytes: int = RANGE_BYTES
 
 def covered(known: _Known, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each byte whether a repeated window covers it."""
-    lo, hi, bucket = known.snippets(data, offsets)
-    depth = np.zeros(len(data) + 1, np.int64)
+    lo, hi, bucket, twice = known.snippets(data, offsets)
+    at = twice
     if len(lo):
         size = hi - lo + known.length
         name = range_hashes(data, lo, lo + size)
@@ -314,8 +338,8 @@ def covered(known: _Known, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             ok = have[place] == name[at]
             masks[at[ok]] = mapped(known.folder, f"snippet_mask-{b}")[place[ok]]
         row, inside = np.nonzero(np.unpackbits(masks, axis=1))
-        at = lo[row] + inside
-        depth = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + known.length, minlength=len(data) + 1)
+        at = np.concatenate([twice, lo[row] + inside])
+    depth = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + known.length, minlength=len(data) + 1)
     return np.cumsum(depth[:-1]) > 0
 
 

@@ -580,7 +580,7 @@ _add("welch_test_p", _with_p(
 # -- tables behind the figures -----------------------------------------------------------
 _add("housing_type_shares", with_views("fx_applications") + f"""
 SELECT housing_type, COUNT(*) AS n, CAST(SUM(COALESCE(total_no_proposed_residential_units, 0)) AS BIGINT) AS units,
-  ROUND(AVG(comment_count), 2) AS mean_comments, ROUND(COUNT(*) / SUM(COUNT(*)) OVER () * 1e2, 6) AS pct
+  CAST(ROUND(CAST(AVG(comment_count) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS mean_comments, ROUND(COUNT(*) / SUM(COUNT(*)) OVER () * 1e2, 6) AS pct
 FROM fx_applications WHERE housing_type IN ({HOUSING}) GROUP BY housing_type""")
 
 _add("borough_top_applications", with_views("fx_applications") + f"""

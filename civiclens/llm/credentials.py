@@ -6,7 +6,8 @@ Strong spans are found by pattern alone, leftmost and non-overlapping per kind:
   hex     16+ characters 0-9a-f
 Weak candidates say little alone:
   ident     a named login, user, client or access key id
-  value     an assignment as above (also pwd, pass, credential) whose value has 6 to 11 characters
+  value     an assignment as above (also pwd, pass, credential) whose value has 6 or more characters and
+            that is not itself an assign span
   endpoint  a URL or database address
 A weak candidate is reported when a complementary part begins within SCOPE code points of it in the
 same text: value needs ident, access or endpoint; ident and endpoint need assign or value. The parts
@@ -35,8 +36,8 @@ KINDS = ("assign", "access", "hex", "ident", "value", "endpoint")
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0, most: int | None = None) -> Column:
-    """Spans of all leftmost non-overlapping matches whose group has least to most characters. The gaps
+def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Spans of all leftmost non-overlapping matches whose group has least or more characters. The gaps
     between the matches give their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -50,11 +51,19 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
         (acc["at"] + r["gap"] + r["size"]).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + r["gap"]).alias("start"),
                                               (acc["at"] + r["gap"] + r["size"]).alias("end"), r["part"].alias("part")))).alias("out"))))["out"]
-    ok = F.filter(placed, lambda s: (s["part"] >= least) & (F.lit(True) if most is None else s["part"] <= most))
+    ok = F.filter(placed, lambda s: s["part"] >= least)
     spans = F.transform(ok, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end")))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
+def _without(spans: Column, others: Column, kind: str) -> Column:
+    """Those of spans that do not stand among others. Places are packed into numbers, which are compared by hash."""
+    packed = lambda a: F.transform(a, lambda s: F.shiftleft(s["start"].cast("long"), 32) + s["end"])
+    return F.transform(F.array_except(packed(spans), packed(others)), lambda p: F.struct(
+        F.shiftright(p, 32).cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
+        p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end")))
+
+
 def _named(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
@@ -95,9 +104,9 @@ def spans(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
                        F.size("_c").cast("long").alias("n_access"), F.size("_h").cast("long").alias("n_hex"))
     weak = docs.where(F.col(text).rlike(VALUE) | F.col(text).rlike(IDENT) | F.col(text).rlike(ENDPOINT)).select(F.col(text).alias("t")).distinct()
     t = F.col("t")
-    parts = weak.select(F.sha2(t, 256).alias("key"), F.explode(F.concat(
-        _spans(t, ASSIGN, "assign", 2, 12), _spans(t, ACCESS, "access"), _spans(t, IDENT, "ident", 1, 3),
-        _spans(t, VALUE, "value", 1, 6, 11), _spans(t, ENDPOINT, "endpoint"))).alias("s")).select("key", "s.start", "s.rank", "s.end")
+    parts = weak.select(F.sha2(t, 256).alias("key"), _spans(t, ASSIGN, "assign", 2, 12).alias("a"), _spans(t, VALUE, "value", 1, 6).alias("v"),
+                        F.concat(_spans(t, ACCESS, "access"), _spans(t, IDENT, "ident", 1, 3), _spans(t, ENDPOINT, "endpoint")).alias("o"))
+    parts = parts.select("key", F.explode(F.concat("a", _without(F.col("v"), F.col("a"), "value"), "o")).alias("s")).select("key", "s.start", "s.rank", "s.end")
     found = linked(parts, scope).select(F.col("key").alias("_key2"), "weak")
     joined = rows.join(found, rows["_key"] == F.col("_key2"), "left").withColumn("linked", F.coalesce("weak", F.array().cast(_SPAN)))
     return joined.select(*kept, "strong", "n_assign", "n_access", "n_hex", _named(F.col("strong")).alias("base"), "linked",

@@ -113,6 +113,19 @@ def test_weak_candidates_need_a_partner(spark):
     assert got[6] == got[7] == got[4] == ""
 
 
+def test_long_values_of_the_weak_keywords(spark):
+    values = ["hunter22", "CorrectHorse", "CorrectHorse42Battery", "x" * 100]
+    weak = [name + value for name in ("pwd=", "pass: ", "credential=", "Credential = '") for value in values]
+    rows = [(3 * i, f"user=alice {w} https://db.example.com/x") for i, w in enumerate(weak)]
+    rows += [(3 * i + 1, w) for i, w in enumerate(weak)] + [(3 * i + 2, f"password=CorrectHorse42 {w}") for i, w in enumerate(weak)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in credentials.spans(frame).collect()}
+    clean = {r.doc_id: r.text for r in credentials.redact(frame).collect()}
+    for i, w in enumerate(weak):
+        assert got[3 * i].startswith(f"ident:0:10,value:11:{11 + len(w)},endpoint:") and clean[3 * i] == "[SECRET] [SECRET] [SECRET]"
+        assert got[3 * i + 1] == "" and got[3 * i + 2] == "assign:0:23"  # a strong span is no value beside itself
+
+
 def test_redaction(spark, none):
     rows = spark.createDataFrame([(1, SECRETS[1]), (2, "nothing here"), (3, None), (4, "token=abcdef0123456789abcdef end")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in credentials.redact(rows).collect()}

@@ -45,7 +45,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
     key = code.copy()
     for n in (2, 3, 4):
-        key[: len(key) - n + 1] = key[: len(key) - n + 1] * np.uint32(257) + code[n - 1 :]
+        m = max(0, len(key) - n + 1)
+        key[:m] = key[:m] * np.uint32(257) + code[n - 1 :][:m]
         hashed = (key * np.uint32(2654435761) + np.uint32(n * 97)) >> np.uint32(18)
         yield hashed, left >= n
 

@@ -158,6 +158,18 @@ def test_language_ignores_lang_source_and_id(spark):
     assert a == b
 
 
+def test_language_takes_very_short_texts(spark):
+    short = ["a", "ok", "\u00e9", "no", "yes", "\u65e5", "abcd", "\u00e9\u00e8"]  # 1 to 4 bytes
+    rows = [(i, t, "en" if i % 2 else "fr") for i, t in enumerate(short * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = langid.sample(docs, "text", "lang", 500, 8000)
+    assert len(drawn) == len(rows)  # the small table is trained on whole
+    model = langid.fit(drawn)
+    for text in short:  # alone in a piece
+        assert langid.predict(docs.where(F.col("text") == text).limit(1).coalesce(1), model).count() == 1
+    assert langid.predict(docs, model).count() == len(rows)
+
+
 # -- 7: decontamination
 
 def test_masks_lose_nothing():

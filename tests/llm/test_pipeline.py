@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from civiclens.llm import langid, merge_dropout, spaced_seeds
 from tests.conftest import SF_SMALL
-from tests.llm.test_text_operators import brute_join, brute_overlaps, python_spans
+from tests.llm.test_text_operators import FOREIGN, brute_join, brute_overlaps, python_spans
 
 
 def brute_redaction(text):
@@ -76,3 +76,12 @@ def test_a_leak_goes_and_its_neighbour_stays(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, docs, SF_SMALL).collect()] == [2]
     assert spaced_seeds.find(docs, spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")).count() >= 1
+
+
+def test_language_stage_drops_foreign_texts(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    planted = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)],
+                                    "doc_id long, text string, lang string, source string, n_chars long")
+    columns = list(corpus_pipeline.COLUMNS)
+    left = corpus_pipeline.language_id(spark, docs.select(*columns).unionByName(planted), SF_SMALL)
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}

@@ -158,6 +158,21 @@ def test_language_ignores_lang_source_and_id(spark):
     assert a == b
 
 
+FOREIGN = [
+    "La casa sulla collina era silenziosa e gli uccelli cantavano tra gli alberi del giardino", "qzxvjk wqpzx kjvvq zzxqw pqkzj xvqwz jkqxz vvkqj",
+    "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw", "\u3059\u3079\u3066\u306e\u4eba\u9593\u306f\u751f\u307e\u308c\u306a\u304c\u3089",
+    "Kaikki ihmiset syntyv\u00e4t vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f"]
+
+
+@pytest.mark.parametrize("learned", [("en", "de"), ("en", "de", "fr", "es")])
+def test_foreign_texts_are_rejected(spark, learned):
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where(F.col("lang").isin(*learned))
+    model = langid.train(rows)
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    got = langid.predict(rows.select("doc_id", "text").unionByName(planted), model).where("rejected")
+    assert {r.doc_id for r in got.where("text rlike '\\\\p{L}'").collect()} == {-1 - i for i in range(len(FOREIGN))}
+
+
 def test_language_takes_very_short_texts(spark):
     short = ["a", "ok", "\u00e9", "no", "yes", "\u65e5", "abcd", "\u00e9\u00e8"]  # 1 to 4 bytes
     rows = [(i, t, "en" if i % 2 else "fr") for i, t in enumerate(short * 5)]

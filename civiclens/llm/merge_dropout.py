@@ -3,9 +3,9 @@
 The vocabulary and its scores come from a public model file, read by the sentencepiece library; the
 merges run here, because the library's own dropout cannot be seeded. Of all adjacent pairs whose
 concatenation is a piece, the agenda always merges the one with the best score, leftmost first. A
-candidate merge is skipped when a keyed hash of (seed, variant, unit, place, merged piece) falls below
-`dropout`; a document's variant is a hash of its id among `variants`. The same seed gives the same
-ids on any cluster; other seeds or variants give other segmentations of the same text.
+candidate merge is skipped when a keyed hash of (seed, document, place of the unit in the text, place in the
+unit, merged piece) falls below `dropout`, so each occurrence of a word is segmented by draws of its own. The
+same seed gives the same ids on any cluster; other seeds or documents give other segmentations of the same text.
 
 Texts are taken as they are: no normalisation, no added prefix. A space is the piece sign U+2581; that
 sign itself, and every character without a piece, is written in byte pieces. So the pieces' bytes,
@@ -13,11 +13,12 @@ joined, are the text's bytes.
 
 No piece goes on beyond a word (the sign of a space stands only in front) or holds a tab or line feed,
 so merges are decided within units: spaces and the characters up to the next space. Equal units of a
-batch are segmented once per variant: short ones all together in numpy, one merge of each per round;
-long ones by a heap.
+batch are segmented once without dropout, and the merges looked at on the way are noted; an occurrence whose
+draws skip none of them has that result. The others are segmented one by one: short ones all together in
+numpy, one merge of each per round; long ones by a heap.
 
 Defined results. Null text: ids null, decoded null. Empty text: no ids, decodes to an empty text. A
-null id has variant 0. Repeated rows are encoded alike. Input columns are kept; a column named ids or
+null id is replaced by the text's hash. Repeated rows are encoded alike. Input columns are kept; a column named ids or
 decoded is replaced.
 """
 
@@ -86,6 +87,12 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(43)
 
 
+def _skipped(unit: np.ndarray, place: np.ndarray, made: np.ndarray, dropout: float) -> np.ndarray:
+    """Which merges the keyed hash skips."""
+    draw = mix(unit + (place.astype(np.uint64) << U64(32)) + made.astype(np.uint64))
+    return draw < U64(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
 def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, place: np.ndarray, unit: np.ndarray, dropout: float) -> np.ndarray:
     """Piece that each pair makes, -1 where there is none or the keyed hash skips it. unit: the unit's keyed hash."""
     keys = left.astype(np.int64) << 32 | right.astype(np.int64)
@@ -95,8 +102,7 @@ def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, place: np.nd
     ok = v.pair[at] == keys[likely]
     likely, made = likely[ok], v.made[at[ok]]
     if dropout > 0 and len(likely):
-        draw = mix(unit[likely] + (place[likely].astype(np.uint64) << U64(32)) + made.astype(np.uint64))
-        stay = draw >= U64(min(int(dropout * 2.0**64), 2**64 - 1))
+        stay = ~_skipped(unit[likely], place[likely], made, dropout)
         likely, made = likely[stay], made[stay]
     out[likely] = made
     return out
@@ -136,9 +142,11 @@ def agenda(v: Vocabulary, ids: np.ndarray, place: np.ndarray, unit: np.uint64, d
     return np.array([x for x, dead in zip(ids, gone, strict=True) if not dead], np.int32)
 
 
-def _lockstep(v: Vocabulary, ids: np.ndarray, place: np.ndarray, at: np.ndarray, unit: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def _lockstep(v: Vocabulary, ids: np.ndarray, place: np.ndarray, at: np.ndarray, unit: np.ndarray, dropout: float,
+              noted: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Segment many units (symbols ids[at[k]:at[k + 1]]) at once: each round does the best merge of each
-    unit that still has one. Returns the remaining ids and which unit each belongs to."""
+    unit that still has one. Returns the remaining ids and which unit each belongs to. noted takes the
+    merges looked at, as (unit, place, piece)."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     done_ids, done_row = [], []
     made = np.full(len(ids), -1, np.int32)
@@ -149,7 +157,10 @@ def _lockstep(v: Vocabulary, ids: np.ndarray, place: np.ndarray, at: np.ndarray,
         same = row[i] == row[i + 1]
         made[i[~same]] = -1
         i = i[same]
-        made[i] = _candidates(v, ids[i], ids[i + 1], place[i], unit[row[i]], dropout)
+        made[i] = got = _candidates(v, ids[i], ids[i + 1], place[i], unit[row[i]], dropout)
+        if noted is not None:
+            hit = got >= 0
+            noted.append((row[i][hit], place[i][hit], got[hit]))
 
     look(np.arange(len(ids)))
     while len(ids):
@@ -214,29 +225,56 @@ def encode_texts(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, variant:
     row = np.searchsorted(offsets, starts, side="right") - 1
     with np.errstate(over="ignore"):
         salt = mix(np.full(1, seed & (2**64 - 1), np.uint64) + U64(0x51ED27))[0]
-        key = mix(range_hashes(data, starts, ends) + mix(variant[row].astype(np.uint64) + salt))
-    unit, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    size = (ends - starts)[first]
-    text = data[repeat_ranges(starts[first], size)]
-    ids, where = _symbols(v, text)
+        own = mix(mix(variant[row].astype(np.uint64) + salt) + (starts - offsets[row]).astype(np.uint64))
+    _, first, inverse = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    got, begin, noted, long = _segmented(v, data, starts[first], ends[first], own[first], 0.0)
+    result = inverse  # of each occurrence, the segmentation it has
+    if dropout > 0:
+        unit, place, made = noted
+        order = np.argsort(unit, kind="stable")
+        place, made = place[order], made[order]
+        at = np.searchsorted(unit[order], np.arange(len(first) + 1))
+        again = long[inverse]  # the heap notes nothing: long units are always segmented anew
+        for a in range(0, len(inverse), 1 << 16):
+            part = inverse[a : a + (1 << 16)]
+            count = at[part + 1] - at[part]
+            pick = repeat_ranges(at[part], count)
+            who = a + np.repeat(np.arange(len(part)), count)
+            with np.errstate(over="ignore"):
+                again[who[_skipped(own[who], place[pick], made[pick], dropout)]] = True
+        redo = np.flatnonzero(again)
+        more, from_there, _, _ = _segmented(v, data, starts[redo], ends[redo], own[redo], dropout)
+        result = inverse.copy()
+        result[redo] = len(first) + np.arange(len(redo))
+        got, begin = np.concatenate([got, more]), np.concatenate([begin, len(got) + from_there[1:]])
+    count = np.diff(begin)[result]
+    out = got[repeat_ranges(begin[:-1][result], count)]
+    total = np.concatenate([[0], np.cumsum(count)])
+    return out, total[np.searchsorted(starts, offsets)]
+
+
+def _segmented(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: np.ndarray,
+               dropout: float) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
+    """Ids of the units data[starts[k]:ends[k]], their n + 1 offsets, the merges looked at (without dropout), and which units are long."""
+    size = ends - starts
+    ids, where = _symbols(v, data[repeat_ranges(starts, size)])
     bounds = np.concatenate([[0], np.cumsum(size)])
     at = np.searchsorted(where, bounds)
     place = where - np.repeat(bounds[:-1], np.diff(at))
     length = np.diff(at)
     short = np.flatnonzero(length <= LONG)
     pick = repeat_ranges(at[short], length[short])
-    got, owner = _lockstep(v, ids[pick], place[pick], np.concatenate([[0], np.cumsum(length[short])]), unit[short], dropout)
-    owner = short[owner]
+    noted: list | None = [] if dropout == 0 else None
+    got, owner = _lockstep(v, ids[pick], place[pick], np.concatenate([[0], np.cumsum(length[short])]), unit[short], dropout, noted)
+    parts, owners = [got], [short[owner]]
     for k in np.flatnonzero(length > LONG).tolist():
-        one = agenda(v, ids[at[k] : at[k + 1]], place[at[k] : at[k + 1]], unit[k], dropout)
-        got, owner = np.concatenate([got, one]), np.concatenate([owner, np.full(len(one), k)])
+        parts.append(agenda(v, ids[at[k] : at[k + 1]], place[at[k] : at[k + 1]], unit[k], dropout))
+        owners.append(np.full(len(parts[-1]), k))
+    got, owner = np.concatenate(parts), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    got, owner = got[order], owner[order]
-    begin = np.searchsorted(owner, np.arange(len(unit) + 1))
-    count = np.diff(begin)[inverse]
-    out = got[repeat_ranges(begin[:-1][inverse], count)]
-    total = np.concatenate([[0], np.cumsum(count)])
-    return out, total[np.searchsorted(starts, offsets)]
+    looked = tuple(np.concatenate(x) for x in zip(*noted, strict=True)) if noted else (np.zeros(0, np.int64),) * 3
+    return (got[order], np.searchsorted(owner[order], np.arange(len(starts) + 1)),
+            (short[looked[0].astype(np.int64)], looked[1], looked[2]), length > LONG)
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +298,11 @@ def _kept(df: DataFrame, *names: str) -> list[str]:
 
 
 def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", seed: int = 0,
-           dropout: float = 0.1, variants: int = 8, decoded: bool = False) -> DataFrame:
+           dropout: float = 0.1, decoded: bool = False) -> DataFrame:
     """docs with ids (array of int); with decoded, also the text that these ids stand for."""
     sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))  # a few MB, by the vocabulary
     kept = _kept(docs, "ids", "decoded", "_text", "_variant")
-    variant = F.coalesce(F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(variants)), F.lit(0)) if dropout > 0 else F.lit(0).cast("long")
+    variant = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text), F.lit(seed))).otherwise(F.xxhash64(F.col(doc_id), F.lit(seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,6 +111,39 @@ def test_dropout_varies_and_decodes(spark, vocabulary, edge, none):
     assert merge_dropout.encode(none, PIECES).count() == 0
 
 
+def test_each_occurrence_draws_for_itself(spark, vocabulary):
+    whole = encoded(vocabulary, [" attention"])[0]
+    one, = encoded(vocabulary, [" attention" * 2000], dropout=0.1)
+    words, now = [], []
+    for i in one:
+        if now and vocabulary.piece_bytes[vocabulary.piece_at[i] : vocabulary.piece_at[i] + 1].tobytes() == b" ":
+            words.append(tuple(now))
+            now = []
+        now.append(i)
+    words.append(tuple(now))
+    kinds = collections.Counter(words)
+    assert len(words) == 2000 and len(kinds) > 8 and tuple(whole) in kinds  # more than eight in one document
+    docs = spark.createDataFrame([(i, " attention") for i in range(400)], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in merge_dropout.encode(docs, PIECES).collect()}) > 8  # and over documents
+
+
+def test_reuse_changes_no_result(spark, vocabulary):
+    texts = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(20).collect()]
+    data, offsets = flat_bytes(pa.array(texts, pa.large_string()))
+    together = encoded(vocabulary, texts, 3, 5, 0.2)
+    salt = merge_dropout.mix(np.full(1, 5, np.uint64) + np.uint64(0x51ED27))[0]
+    for text, ids in zip(texts, together, strict=True):
+        raw = text.encode()
+        want = []
+        for m in re.finditer(rb"[\n\t]|(?: +|(?<=[^ ])|^)[^ \n\t]+| +", raw):
+            with np.errstate(over="ignore"):
+                key = merge_dropout.mix(merge_dropout.mix(np.full(1, 3, np.uint64) + salt) + np.uint64(m.start()))[0]
+            unit, where = merge_dropout._symbols(vocabulary, np.frombuffer(m[0], np.uint8))
+            with np.errstate(over="ignore"):
+                want += merge_dropout.agenda(vocabulary, unit, where, key, 0.2).tolist()
+        assert ids == want
+
+
 # -- 5: Kneser-Ney
 
 def tokens(text):

@@ -113,7 +113,7 @@ def _class_id(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """doc_id, n (set size), cls (class of equal sets), parity of each row."""
+    """doc_id, h (hash of the text), n (set size), cls (class of equal sets), parity of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +124,11 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                     cls.append(int(_class_id(tokens)[0]))
                     parity.append(_parity(tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                     pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "parity"])
+                    [part.column("doc_id"), part.column("h"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
+                     pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "cls", "parity"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, parity array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, n long, cls long, parity array<long>")
 
 
 def divide_skip(query: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
@@ -197,8 +197,17 @@ def _texts(docs: DataFrame, known: DataFrame, doc_id: str, text: str, size: int)
                 mine = [int(_class_id(t)[0]) for t in shingle_sets(*flat_bytes(part.column("text")), size)]
                 yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), part.column("text")], names=["cls", "text"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null and text is not null")
-    return rows.mapInArrow(run, "cls long, text string")
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                mine = [int(_class_id(t)[0]) for t in shingle_sets(*flat_bytes(part.column("text")), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), part.column("text")], names=["cls", "text"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).where("text is not null")
+    found = rows.where("rep is not null").mapInArrow(run, "cls long, text string")
+    # classes that only rows without an id hold are looked up by the class
+    nameless = rows.where("rep is null").select("text").distinct().mapInArrow(classed, "cls long, text string")
+    return found.unionByName(nameless.join(known.where("rep is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
 def _can_link(percent: int, a: str, b: str) -> F.Column:
@@ -210,7 +219,12 @@ def _can_link(percent: int, a: str, b: str) -> F.Column:
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest linked id), n_in_component rows."""
+    """One row per document: doc_id, n_shingles, component_id (smallest linked id)."""
+    return _linked(docs, doc_id, text, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """link's rows with h (hash of the text) and component (a class of the component, also where no row has an id)."""
     if not 80 <= percent <= 100:
         raise ValueError("the size classes hold for 80 to 100 percent")
     sketch = stored(sketches(docs, doc_id, text, size), "sketch")
@@ -277,14 +291,33 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         components = known.select(F.col("cls").alias("node"), F.col("cls").alias("component"))
     named = classes.select(F.col("cls").alias("node"), "rep").join(components, "node")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    names = named.join(least, "component").select(F.col("node").alias("cls"), "least")
-    names = classes.select("cls", "rep").join(names, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
-    return sketch.select("doc_id", "n", "cls").join(names, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    names = named.join(least, "component").select(F.col("node").alias("cls"), "least", "component")
+    names = classes.select("cls", "rep").join(names, "cls", "left").select(
+        "cls", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "cls").alias("component"))
+    return sketch.select("doc_id", "h", "n", "cls").join(names, "cls", "left").select(
+        "doc_id", "h", F.col("n").alias("n_shingles"), "component",
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
-    """docs with one document of each component: the one that names it. Rows with a null id are kept."""
-    copies = link(docs, doc_id, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs[doc_id] == F.col("_copy"), "left_anti")
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
+                by_row: bool = False) -> DataFrame:
+    """docs without the rows whose text is a copy of a document with a smaller id. Rows are told apart by id and text.
+    Equal rows of one id, and rows with a null id, are kept; with by_row, exactly one row of each component stays: of
+    the smallest id (null last), then the smallest hash of the text, then any of equal ones."""
+    rows = _linked(docs, doc_id, text, size, percent)
+    if by_row:
+        rows = stored(rows.where("n_shingles > 0").groupBy("component", "doc_id", "h").count(), "linked")
+        place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+        first = rows.groupBy(F.col("component").alias("c")).agg(F.min(place).alias("first"))
+        rows = rows.join(first, F.col("component") == F.col("c"))
+        copies = rows.where(~place.eqNullSafe(F.col("first")))
+    else:
+        copies = rows.where("doc_id <> component_id")
+    keys = lambda x: x.select(F.col("doc_id").alias("_i"), F.col("h").alias("_t")).distinct()
+    marked = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_h": F.xxhash64(text)})
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t"))
+    left = marked.join(keys(copies), same, "left_anti")
+    if by_row:
+        several = keys(rows.where("count > 1"))
+        left = left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["_id", "_h"]))
+    return left.select(*docs.columns)

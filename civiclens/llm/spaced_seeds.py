@@ -186,7 +186,12 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
         F.max("n_windows").alias("n_windows"), F.max("best").alias("best"), F.min("first_word").alias("first_word"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
-    """Documents that overlap with no item, all columns kept. Rows with a null id are kept."""
-    bad = find(docs, benchmark, doc_id, **kw).select(F.col("doc_id").alias("_bad")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", by_row: bool = False, **kw) -> DataFrame:
+    """Documents that overlap with no item, all columns kept. By id: all rows of an id go with one that overlaps, and
+    rows with a null id are kept. With by_row exactly the rows go whose own text overlaps."""
+    if by_row:
+        key = F.when(F.col(text).isNotNull(), F.xxhash64(text))
+        bad = find(docs.select(key.alias("key"), F.col(text).alias("text")), benchmark, "key", **kw).select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    bad = find(docs, benchmark, doc_id, text, **kw).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs[doc_id] == F.col("_bad"), "left_anti")

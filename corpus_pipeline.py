@@ -19,12 +19,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link on five-word shingles (Jaccard 0.8 or more) the one with the smallest id stays."""
-    return jaccard_join.deduplicate(docs.select(*COLUMNS), size=5, percent=80)
+    return jaccard_join.deduplicate(docs.select(*COLUMNS), size=5, percent=80, by_row=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    return spaced_seeds.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return spaced_seeds.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_row=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

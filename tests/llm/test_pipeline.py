@@ -85,3 +85,16 @@ def test_language_stage_drops_foreign_texts(spark):
     columns = list(corpus_pipeline.COLUMNS)
     left = corpus_pipeline.language_id(spark, docs.select(*columns).unionByName(planted), SF_SMALL)
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
+
+
+def test_rows_are_decided_one_by_one(spark):
+    words = [f"w{k}" for k in range(200)]
+    a, bridge, b = (" ".join(words[k : k + 160]) for k in (0, 15, 30))  # the bridge is near both, which are not near each other
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first().text
+    rows = [(5, a), (5, "a text of its own that stands under the id of a copy"), (4, a), (4, a), (None, bridge), (6, b), (None, "only here, without an id"),
+            (None, "only here, without an id"), (8, ""), (8, ""), (9, item), (9, "clean text beside a leak")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.jaccard_deduplication(spark, docs, SF_SMALL)
+    kept = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    assert kept == sorted([(4, a), (5, rows[1][1]), (0, rows[6][1]), (8, ""), (8, ""), (9, item), (9, rows[11][1])])
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs.where("doc_id = 9"), SF_SMALL).collect()] == [(9, rows[11][1])]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_grammar, credentials, hilbert_ann, jaccard_join, kneser_ney, langid, merge_dropout, spaced_seeds, suffix_dedup, token_coder
+from . import (chat_grammar, credentials, hilbert_ann, importance, jaccard_join, kneser_ney, langid, merge_dropout, phrases, spaced_seeds,
+               suffix_dedup, token_coder, token_counts)
 from .shared import stored
 
 
@@ -81,9 +82,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer_file = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file, keep=["doc_id"])
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_multipart_secrets, op3_token_coder, op4_merge_dropout, op5_kneser_ney, op6_hilbert_neighbours,
-    op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join)}
+    op7_spaced_seed_decontamination, op8_language_id, op9_chat_grammar, op10_jaccard_join,
+    op11_token_counts, op12_phrase_collocations, op13_importance_resampling)}
 
 ORACLE = {
     "op1_suffix_dedup": r"""
@@ -128,5 +146,46 @@ links AS (
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.v, r.c FROM reach r JOIN links l ON l.u = r.doc_id)
 SELECT s.doc_id, len(s.g) AS n_shingles, min(r.c) AS component_id FROM s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.g
+""",
+    "op12_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) r(k))),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND f >= 100),
+part AS (SELECT DISTINCT lang, f, unnest([g[1 : k - 1], g[2 : k]]) AS g FROM c WHERE k > 2),
+kept AS (SELECT c.* FROM c ANTI JOIN part USING (lang, f, g)),
+cut AS (SELECT kept.*, unnest(range(1, k)) AS j FROM kept),
+s AS (
+  SELECT cut.lang, cut.g, cut.f AS a, j, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * cut.f * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1 : j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1 : cut.k] JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
+""",
+    "op13_importance_resampling": r"""
+WITH tab AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t FROM range(256) r(b)),
+texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+words AS (SELECT side, r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feats AS (SELECT side, r, array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT side, r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) s(k))),
+bytes AS (SELECT f, list_transform(range(1, len(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1) AS b
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM feats) d),
+hashed AS (SELECT f, xor(list_reduce([4294967295] || b, lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256)), 4294967295) % 10000 AS bucket FROM bytes, tab),
+n AS (SELECT r, side, bucket, count(*) AS n FROM feats JOIN hashed USING (f) GROUP BY r, side, bucket),
+st AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 1), 0)::BIGINT AS t FROM n GROUP BY bucket),
+both_ AS (SELECT *, sum(s) OVER () AS ss, sum(t) OVER () AS tt FROM st),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM both_),
+w AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT words.r, words.doc_id, len(words.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN w USING (r) WHERE side = 0),
+pool AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN pool USING (r)
 """,
 }

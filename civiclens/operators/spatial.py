@@ -1,27 +1,30 @@
 """Spatial operators: point-in-polygon join, extents, label placement, edges
 (J8, X9, X10, P18, P19, W3).
 
-Spark has no containment predicate, so the join is a grid-cell equi-join followed
-by an exact even-odd ray-casting test:
-
-1. each polygon's bounding box is cut into cells of side `cell_size`; the polygons
-   touching a cell are gathered into one candidate list per cell (polygon edges
-   are precomputed once, on the polygon side);
-2. each point gets its cell and is LEFT joined to the cell table -- one row per
-   point out, so no aggregation over points is needed afterwards;
-3. inside each row, candidates are filtered by bounding box and by the parity of
-   edge crossings of a ray to +x; the smallest matching code wins.
-
-The cell table is broadcast by AQE only after its size is measured; above the
-threshold the join stays a sort-merge join on the cell, and AQE's skew-join
-splits a hot cell (a dense centre) on the point side.
+Spark has no containment predicate, so the join is an equi-join on grid cells
+followed by an exact even-odd test:
+
+1. each polygon is cut by the cells of its bounding box, first into rows of cells, then into
+   cells. A cell keeps only the edges near it and one parity: whether its lower right corner
+   is inside. A cell without edges stays only if that corner is inside;
+2. cells where many edges lie are cut again, 8 by 8, up to three times (a quadtree by edge
+   counts, three levels a step). A smaller cell's parity follows from the edges and the parity of the one around it;
+3. the polygons of a cell are gathered into one candidate list, short because of step 2;
+4. each point gets the smallest cell around it and is LEFT joined to the cell table -- one
+   row per point out, so no aggregation over points is needed afterwards; among the
+   candidates that contain the point the smallest code wins.
+
+Which cells are cut again is a small table: a cell has to hold more edges than `most_edges` and than
+a fixed share of all edges, so the table's rows are bounded and it is broadcast. The cell table
+is broadcast by AQE only after its size is measured; above the threshold the join stays
+a sort-merge join on the cell, and AQE's skew join splits a hot cell on the point side.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import ArrayType
 
 
 def polygon_edges(rings: Column) -> Column:
@@ -57,54 +60,172 @@ def _bbox_of_rings(rings: Column) -> Column:
                     F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
+#: Levels of halving that one step cuts a full cell by, the levels at which cells may be cut, and the
+#: largest number of cells that are cut at each level (what bounds the broadcast table).
+STEP = 3
+CUT_LEVELS = (0, STEP, 2 * STEP)
+MOST_CUT = 30_000
+
+
+def rings_of(polygons: DataFrame, rings: str) -> Column:
+    """All rings of a polygon column: rings as they are, the rings of all parts of a MultiPolygon column."""
+    kind = polygons.schema[rings].dataType
+    depth = 0
+    while isinstance(kind, ArrayType):
+        kind, depth = kind.elementType, depth + 1
+    return F.flatten(F.col(rings)) if depth == 4 else F.col(rings)
+
+
+def _crossed(e: Column, px: Column, py: Column) -> Column:
+    """The ray from (px, py) to +x crosses the edge."""
+    return ((e["y1"] > py) != (e["y2"] > py)) & (
+        px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+
+
+def _odd(edges: Column, test) -> Column:
+    """True for an odd number of edges that pass the test."""
+    return F.aggregate(edges, F.lit(False), lambda acc, e: acc != test(e))
+
+
+def _inside_cell(px: Column, py: Column, edges: Column, odd: Column, right: Column) -> Column:
+    """Even-odd rule for a point of a cell by the cell's own edges. `right` is the cell's right side.
+
+    Of an edge beyond the cell nothing is left but its ends: what it adds to the rays of the point and of the
+    cell's corner is known from the ends that lie right of the cell, and each end belongs to two edges.
+    So the ends of the near edges make up for all edges that are not here; the part that does
+    not depend on the point is in `odd`."""
+    return odd != _odd(edges, lambda e: _crossed(e, px, py) != (((e["x1"] > right) & (e["y1"] > py)) != ((e["x2"] > right) & (e["y2"] > py))))
+
+
+def _cell_parity(corner_inside: Column, edges: Column, right: Column, low: Column) -> Column:
+    """The parity that `_inside_cell` takes, from that of the corner (right, low)."""
+    return corner_inside != _odd(edges, lambda e: _crossed(e, right, low) != (((e["x1"] > right) & (e["y1"] > low)) != ((e["x2"] > right) & (e["y2"] > low))))
+
+
+def _near(e: Column, left: Column, right: Column, low: Column, high: Column) -> Column:
+    """The edge meets the box: their extents overlap and the box's corners are not all on one side of the edge's line."""
+    side = [(e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]) for x in (left, right) for y in (low, high)]
+    return ((F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["x1"], e["x2"]) <= right)
+            & (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
+            & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+
+
+def _side(i: Column, cell: Column, level: Column) -> Column:
+    """Coordinate of grid line i; halving the cell is exact, so lines of all levels agree."""
+    return i * (cell / F.pow(F.lit(2.0), level))
+
+
+def _full_cells(edges: DataFrame, most_edges: int) -> DataFrame:
+    """node (level, cx, cy) of the cells that hold the middles of more edges than they should."""
+    at = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[
+        F.floor((F.col(f"_e.{v}1") + F.col(f"_e.{v}2")) / 2 / _side(F.lit(1), F.col("_cell"), F.lit(level))).alias(f"c{v}") for v in "xy"])
+        for level in CUT_LEVELS])).alias("node")
+    count = edges.select("_cell", F.explode("_edges").alias("_e")).select(at).groupBy("node").agg(F.count("*").alias("n"))
+    total = edges.agg(F.sum(F.size("_edges"))).scalar()
+    return count.where((F.col("n") > most_edges) & (F.col("n") > total / MOST_CUT)).select("node", F.lit(True).alias("_full"))
+
+
+def _touched(rows: DataFrame, odd: Column, edges: Column) -> DataFrame:
+    """The rows whose polygon has something in the cell. As a generator: a filter would be pushed down with a copy of both expressions."""
+    kept = F.filter(F.array(F.struct(odd.alias("_odd"), edges.alias("_edges"))), lambda s: s["_odd"] | (F.size(s["_edges"]) > 0))
+    return rows.select("_code", "_cell", "_level", "_cx", "_cy", F.inline(kept))
+
+
+def _cut(cells: DataFrame, full: DataFrame, level: int) -> DataFrame:
+    """The full cells among the (polygon, cell) rows of this level, cut into 8 by 8."""
+    node = F.struct(F.lit(level).alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
+    rows = cells.join(F.broadcast(full), (F.col("_level") == level) & (node == F.col("node")), "left")
+    n = 1 << STEP
+    child = F.explode(F.when(F.col("_full"), F.sequence(F.lit(0), F.lit(n * n - 1))).otherwise(F.array(F.lit(-1)))).alias("_child")
+    rows = rows.select("_code", "_cell", "_level", "_cx", "_cy", "_odd", "_edges", child)
+    old, new = F.col("_child") < 0, F.col("_level") + STEP
+    cx, cy = F.col("_cx") * n + F.col("_child") % n, F.col("_cy") * n + F.floor(F.col("_child") / n)
+    rows = rows.select("_code", "_cell", "_odd", "_edges", old.alias("_old"), F.when(old, F.col("_level")).otherwise(new).alias("_level"),
+                       F.when(old, F.col("_cx")).otherwise(cx).alias("_cx"), F.when(old, F.col("_cy")).otherwise(cy).alias("_cy"),
+                       _side(F.col("_cx") + 1, F.col("_cell"), F.col("_level")).alias("_outer"))
+    right, low = F.col("_right"), F.col("_low")
+    rows = rows.withColumns({"_right": _side(F.col("_cx") + 1, F.col("_cell"), F.col("_level")), "_low": _side(F.col("_cy"), F.col("_cell"), F.col("_level")),
+                             "_size": _side(F.lit(1), F.col("_cell"), F.col("_level"))})
+    pad = F.col("_size") * 1e-6
+    near = F.filter("_edges", lambda e: _near(e, right - F.col("_size") - pad, right + pad, low - pad, low + F.col("_size") + pad))
+    rows = rows.withColumns({"_mine": F.when(F.col("_old"), F.col("_edges")).otherwise(near),
+                             "_corner": F.when(~F.col("_old"), _inside_cell(right, low, F.col("_edges"), F.col("_odd"), F.col("_outer")))})
+    odd = F.when(F.col("_old"), F.col("_odd")).otherwise(_cell_parity(F.col("_corner"), F.col("_mine"), right, low))
+    return _touched(rows, odd, F.col("_mine"))
+
+
+def polygon_cells(polygons: DataFrame, code: str, rings: str, cell_size: float | Column | None = None, most_edges: int = 1000) -> tuple[DataFrame, DataFrame, Column]:
+    """The (polygon, cell) rows _code, _level, _cx, _cy, _odd, _edges; the cells that were cut; the largest cell's size."""
+    poly = polygons.select(F.col(code).alias("_code"), rings_of(polygons, rings).alias("_rings")).where(
+        F.col("_code").isNotNull() & F.exists("_rings", lambda r: F.size(r) > 0))
+    poly = poly.select("_code", _bbox_of_rings(F.col("_rings")).alias("_bb"), polygon_edges(F.col("_rings")).alias("_edges"))
+    if cell_size is None:
+        # Median polygon extent: about one to four cells per polygon.
+        ext = F.greatest(F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
+        cell = poly.select(F.coalesce(F.nullif(F.percentile_approx(ext, 0.5, 10000), F.lit(0.0)), F.nullif(F.max(ext), F.lit(0.0)), F.lit(1.0))).scalar()
+    else:
+        cell = F.lit(float(cell_size)) if not isinstance(cell_size, Column) else cell_size
+    poly = poly.withColumn("_cell", cell)  # once per side as a column (one subquery instance each)
+    full = _full_cells(poly, most_edges)
+    c = F.col("_cell")
+    pad = c * 1e-6
+    rows = poly.select("_code", "_bb", "_edges", "_cell", F.explode(F.sequence(F.floor((F.col("_bb.miny") - pad) / c), F.floor((F.col("_bb.maxy") + pad) / c))).alias("_cy"))
+    low, high = F.col("_cy") * c, (F.col("_cy") + 1) * c
+    band = F.filter("_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low - pad) & (F.least(e["y1"], e["y2"]) <= high + pad))
+    rows = rows.select("_code", "_bb", "_cell", "_cy", band.alias("_band"))
+    # where the row's lower line crosses the polygon
+    line = F.transform(F.filter("_band", lambda e: (e["y1"] > low) != (e["y2"] > low)),
+                       lambda e: (e["x2"] - e["x1"]) * (low - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    rows = rows.select("_code", "_cell", "_cy", "_band", line.alias("_line"),
+                       F.explode(F.sequence(F.floor((F.col("_bb.minx") - pad) / c), F.floor((F.col("_bb.maxx") + pad) / c))).alias("_cx"))
+    left, right = F.col("_cx") * c, (F.col("_cx") + 1) * c
+    rows = rows.select("_code", "_cell", "_cx", "_cy", (F.size(F.filter("_line", lambda x: x > right)) % 2 == 1).alias("_corner"),
+                       F.filter("_band", lambda e: _near(e, left - pad, right + pad, low - pad, high + pad)).alias("_edges"))
+    rows = _touched(rows.withColumn("_level", F.lit(0)), _cell_parity(F.col("_corner"), F.col("_edges"), right, low), F.col("_edges"))
+    for level in CUT_LEVELS:
+        rows = _cut(rows, full, level)
+    return rows.drop("_cell"), full, cell
+
+
 def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                  code: str = "code", rings: str = "rings", out: str | None = None,
-                 cell_size: float | Column | None = None, strict: bool = True) -> DataFrame:
+                 cell_size: float | Column | None = None, strict: bool = True, most_edges: int = 1000) -> DataFrame:
     """Every point row with the code of the polygon containing it (NULL if none;
     the smallest code if several). `rings` holds all rings of a polygon (outer ring,
-    holes, other parts); the even-odd rule over all of them handles holes and
-    multi-part polygons. Points with a NULL coordinate match nothing.
+    holes, other parts) or its parts, each with its rings; the even-odd rule over all of them handles
+    holes and multi-part polygons. Points with a NULL coordinate match nothing.
 
     strict=True is `within`: a point exactly on a polygon's boundary is not inside it. With
     strict=False the ray rule puts a point on a shared edge in one neighbour.
 
     Nothing runs while the query is built. AQE measures the cell table and broadcasts it if it is
-    small; otherwise the join stays a shuffle join on the cell, where AQE splits hot cells."""
+    small; otherwise the join stays a shuffle join on the cell, where AQE splits hot cells. A candidate list
+    holds about `most_edges` edges, more only where that many meet in the smallest cell (1/512 of the
+    largest)."""
     out = out or code
-    poly = polygons.select(F.col(code).alias("_code"), F.col(rings).alias("_rings")).where(
-        F.col("_code").isNotNull() & F.col("_rings").isNotNull())
-    poly = poly.select("_code", _bbox_of_rings(F.col("_rings")).alias("_bb"),
-                       polygon_edges(F.col("_rings")).alias("_edges"))
-    if cell_size is None:
-        # Median polygon extent: about one to four cells per polygon.
-        ext = F.greatest(F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
-        cell = poly.select(F.percentile_approx(ext, 0.5, 10000)).scalar()
-    else:
-        cell = F.lit(float(cell_size)) if not isinstance(cell_size, Column) else cell_size
-    # The cell size is attached once per side as a column (one subquery instance each).
-    poly = poly.withColumn("_cell", cell)
-    c = F.col("_cell")
-    cx = F.explode(F.sequence(F.floor(F.col("_bb.minx") / c), F.floor(F.col("_bb.maxx") / c))).alias("_cx")
-    cy = F.explode(F.sequence(F.floor(F.col("_bb.miny") / c), F.floor(F.col("_bb.maxy") / c))).alias("_cy")
-    cells = (poly.select("_code", "_bb", "_edges", "_cell", cx).select("*", cy).drop("_cell")
-             .groupBy("_cx", "_cy")
-             .agg(F.collect_list(F.struct("_code", "_bb", "_edges")).alias("_cand")))
+    rows, full, cell = polygon_cells(polygons, code, rings, cell_size, most_edges)
+    cells = rows.groupBy("_level", "_cx", "_cy").agg(F.collect_list(F.struct("_code", "_odd", "_edges")).alias("_cand"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    at = lambda v, level: F.floor(v / _side(F.lit(1), F.col("_cell"), F.lit(level)))
     pts = (points.withColumn("_cell", cell)
            # points without a coordinate match nothing: they get cells of their own, one per input partition
-           .withColumns({"_cx": F.coalesce(F.floor(px / F.col("_cell")), F.lit(-(1 << 50)) - F.spark_partition_id()),
-                         "_cy": F.coalesce(F.floor(py / F.col("_cell")), F.lit(-(1 << 50)).cast("long"))})
-           .drop("_cell"))
-    joined = pts.join(cells, ["_cx", "_cy"], "left")
+           .withColumns({"_level": F.lit(0), "_cx": F.coalesce(at(px, 0), F.lit(-(1 << 50)) - F.spark_partition_id()),
+                         "_cy": F.coalesce(at(py, 0), F.lit(-(1 << 50)).cast("long"))}))
+    for level in CUT_LEVELS:
+        node = F.struct(F.lit(level).alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
+        hit = F.col("_full").isNotNull()
+        pts = pts.join(F.broadcast(full), (F.col("_level") == level) & (node == F.col("node")), "left").withColumns({
+            "_level": F.when(hit, level + STEP).otherwise(F.col("_level")), "_cx": F.when(hit, at(px, level + STEP)).otherwise(F.col("_cx")),
+            "_cy": F.when(hit, at(py, level + STEP)).otherwise(F.col("_cy"))}).drop("node", "_full")
+    joined = pts.join(cells, ["_level", "_cx", "_cy"], "left")
+    right = _side(F.col("_cx") + 1, F.col("_cell"), F.col("_level"))
 
     def hit(c):
-        bb = c["_bb"]
-        inside = ((px >= bb["minx"]) & (px <= bb["maxx"]) & (py >= bb["miny"]) & (py <= bb["maxy"])
-                  & point_in_edges(px, py, c["_edges"]))
+        inside = _inside_cell(px, py, c["_edges"], c["_odd"], F.col("_right"))
         return inside & ~point_on_edges(px, py, c["_edges"]) if strict else inside
 
     match = F.array_min(F.transform(F.filter(F.col("_cand"), hit), lambda c: c["_code"]))
-    return joined.withColumn(out, match).drop("_cx", "_cy", "_cand")
+    return joined.withColumn("_right", right).withColumn(out, match).drop("_level", "_cx", "_cy", "_cand", "_cell", "_right")
 
 
 def extent(df: DataFrame, rings: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civiclens.sources.split_csv import read_split_csv
+
 COMMENTS_SCHEMA = T.StructType([
     T.StructField("comment_id", T.LongType()),
     T.StructField("application_id", T.StringType()),
@@ -52,35 +56,43 @@ def _by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out, bad.alias(REJECTED))
 
 
-def _csv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    # Every column is read as text under its header's name. Free text may contain newlines, so the
-    # files are read with multiLine, which cannot split a file: convert to Parquet once
-    # (streaming.ingest) for big inputs.
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-           .option("escape", '"').csv(path))
-    return _by_name(raw, schema)
+def _csv(spark: SparkSession, path: str | Sequence[str], cols: Sequence[str], split: bool) -> DataFrame:
+    # Every column is read as text under its header's name. Free text may contain line feeds: files are split by
+    # byte ranges all the same (sources.split_csv), or read whole with multiLine.
+    if split:
+        return read_split_csv(spark, path, cols)
+    return (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+            .option("escape", '"').csv(path))
 
 
-def _read(spark: SparkSession, schema: T.StructType, path: str, fmt: str, cols: list[str] | None = None,
-          rejects: bool = False) -> DataFrame:
-    df = _csv(spark, schema, path) if fmt == "csv" else _by_name(spark.read.parquet(path), schema)
+def _read(spark: SparkSession, schema: T.StructType, path: str | Sequence[str], fmt: str, cols: list[str] | None = None,
+          rejects: bool = False, split: bool = False) -> DataFrame:
+    wanted = T.StructType([f for f in schema.fields if not cols or f.name in cols])
+    df = _by_name(_csv(spark, path, wanted.names, split) if fmt == "csv" else spark.read.parquet(path), wanted)
     return df.select(*(cols or schema.names), *([REJECTED] if rejects else []))
 
 
+def read_csv(spark: SparkSession, schema: T.StructType, path: str | Sequence[str], rejects: bool = False, split: bool = True) -> DataFrame:
+    """CSV files with the columns of a schema, by name."""
+    return _read(spark, schema, path, "csv", None, rejects, split)
+
+
 def reject_count(df: DataFrame) -> DataFrame:
     """One row: n_rows and n_rejected of a table read with rejects=True."""
     return df.agg(F.count("*").alias("n_rows"), F.count_if(REJECTED).alias("n_rejected"))
 
 
-def read_comments(spark: SparkSession, path: str, fmt: str = "csv", rejects: bool = False) -> DataFrame:
-    """Comments with stance, sentiment and commenter coordinates; NaN becomes NULL."""
-    return _read(spark, COMMENTS_SCHEMA, path, fmt, None, rejects)
+def read_comments(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", rejects: bool = False, split: bool = True) -> DataFrame:
+    """Comments with stance, sentiment and commenter coordinates; NaN becomes NULL. CSV files are split by byte
+    ranges; split=False reads each whole (for files whose quotes are not doubled)."""
+    return _read(spark, COMMENTS_SCHEMA, path, fmt, None, rejects, split)
 
 
-def read_comment_topics(spark: SparkSession, path: str, cols: list[str] | None = None,
-                        fmt: str = "csv", rejects: bool = False) -> DataFrame:
-    """Comments with topic lists as text; `cols` prunes columns at the scan."""
-    return _read(spark, COMMENT_TOPICS_SCHEMA, path, fmt, cols, rejects)
+def read_comment_topics(spark: SparkSession, path: str | Sequence[str], cols: list[str] | None = None,
+                        fmt: str = "csv", rejects: bool = False, split: bool = True) -> DataFrame:
+    """Comments with topic lists as text; `cols` prunes columns at the scan (only those are looked for). split as for
+    `read_comments`."""
+    return _read(spark, COMMENT_TOPICS_SCHEMA, path, fmt, cols, rejects, split)
 
 
 def normalise_topic_names(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civiclens.sources.split_csv import read_split_csv
+from civiclens.sources.split_json import head, objects
 
 COMMENTS_SCHEMA = T.StructType([
     T.StructField("comment_id", T.LongType()),
@@ -131,27 +133,43 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return _by_name(spark.read.parquet(path), schema).drop(REJECTED)
 
 
-def read_geojson(spark: SparkSession, path: str, props: list[str]) -> DataFrame:
+#: Reference system of GeoJSON coordinates unless the file says otherwise.
+WGS84 = "EPSG:4326"
+
+
+def geojson_crs(spark: SparkSession, path: str | Sequence[str]) -> str:
+    """The reference system that a `crs` member in front of the features names, as "EPSG:n"; WGS84 without one."""
+    found = re.search(r'"crs"\s*:\s*\{.*?"name"\s*:\s*"([^"]+)"', head(spark, path), re.S)
+    code = found and re.search(r"EPSG:+(\d+)$", found[1])
+    return f"EPSG:{code[1]}" if code else WGS84
+
+
+def read_geojson(spark: SparkSession, path: str | Sequence[str], props: list[str], crs: str | None = None, split: bool = True) -> DataFrame:
     """FeatureCollection -> one row per feature with the named properties and
     `parts` (MultiPolygon shape: parts -> rings -> points -> [x, y]).
 
     The coordinates are declared as text and decoded per geometry type, so Polygon
-    and MultiPolygon features can share one file."""
-    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
+    and MultiPolygon features can share one file. Files are split by byte ranges (sources.split_json); split=False
+    reads each whole. The metadata of `parts` name the reference system: `crs`, or what the file says."""
+    feature = T.StructType([
+        T.StructField("type", T.StringType()),
         T.StructField("properties", T.StructType([T.StructField(p, T.StringType()) for p in props])),
         T.StructField("geometry", T.StructType([
             T.StructField("type", T.StringType()),
             T.StructField("coordinates", T.StringType()),
         ])),
-    ])))])
-    feats = (spark.read.schema(schema).option("multiLine", True).json(path)
-             .select(F.explode("features").alias("f")))
+    ])
+    if split:
+        feats = objects(spark, path).select(F.from_json("text", feature).alias("f")).where("f.type = 'Feature'")
+    else:
+        feats = (spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).option("multiLine", True).json(path)
+                 .select(F.explode("features").alias("f")))
     gtype = F.col("f.geometry.type")
     coords = F.col("f.geometry.coordinates")
     parts = (F.when(gtype == "Polygon", F.array(F.from_json(coords, _POLYGON)))
              .when(gtype == "MultiPolygon", F.from_json(coords, _MULTIPOLYGON)))
     return feats.select(*[F.col(f"f.properties.`{p}`").alias(p) for p in props],
-                        gtype.alias("geometry_type"), parts.alias("parts"))
+                        gtype.alias("geometry_type"), parts.alias("parts", metadata={"crs": crs or geojson_crs(spark, path)}))
 
 
 def read_census(spark: SparkSession, path: str, counts: list[str], key: str = "LSOA code", fmt: str = "csv") -> DataFrame:

@@ -156,23 +156,28 @@ HELMERT_S_PPM = 20.4894
 HELMERT_RX, HELMERT_RY, HELMERT_RZ = -0.1502, -0.2470, -0.8421  # arc-seconds
 
 
-def _helmert(x, y, z, sign: float):
+def helmert_terms(sign: float) -> tuple:
+    """Rows of the transform: factors of x, y, z and what is added."""
     s = sign * HELMERT_S_PPM * 1e-6
     k = sign * math.pi / (180 * 3600)
     rx, ry, rz = HELMERT_RX * k, HELMERT_RY * k, HELMERT_RZ * k
-    tx, ty, tz = sign * HELMERT_TX, sign * HELMERT_TY, sign * HELMERT_TZ
-    return (x * (1 + s) - y * rz + z * ry + tx,
-            x * rz + y * (1 + s) - z * rx + ty,
-            -x * ry + y * rx + z * (1 + s) + tz)
+    return ((1 + s, -rz, ry, sign * HELMERT_TX), (rz, 1 + s, -rx, sign * HELMERT_TY), (-ry, rx, 1 + s, sign * HELMERT_TZ))
+
+
+def arc_terms() -> tuple:
+    """Factors of the meridional arc's terms in d, sin d cos s, sin 2d cos 2s, sin 3d cos 3s (d, s: difference and sum
+    of the latitude and the origin's)."""
+    n, k = (AIRY_A - AIRY_B) / (AIRY_A + AIRY_B), AIRY_B * NG_F0
+    return (k * (1 + n + 1.25 * n ** 2 + 1.25 * n ** 3), -k * (3 * n + 3 * n ** 2 + 21 / 8 * n ** 3),
+            k * (15 / 8 * n ** 2 + 15 / 8 * n ** 3), -k * 35 / 24 * n ** 3)
+
+
+def _helmert(x, y, z, sign: float):
+    return tuple(x * a + y * b + z * c + t for a, b, c, t in helmert_terms(sign))
 
 
 def _meridional_arc(phi):
-    a, b, f0 = AIRY_A, AIRY_B, NG_F0
-    n = (a - b) / (a + b)
     phi0 = math.radians(NG_LAT0)
     d, s = phi - phi0, phi + phi0
-    return b * f0 * (
-        (1 + n + 1.25 * n ** 2 + 1.25 * n ** 3) * d
-        - (3 * n + 3 * n ** 2 + 21 / 8 * n ** 3) * F.sin(d) * F.cos(s)
-        + (15 / 8 * n ** 2 + 15 / 8 * n ** 3) * F.sin(2 * d) * F.cos(2 * s)
-        - 35 / 24 * n ** 3 * F.sin(3 * d) * F.cos(3 * s))
+    one, two, three, four = arc_terms()
+    return one * d + two * F.sin(d) * F.cos(s) + three * F.sin(2 * d) * F.cos(2 * s) + four * F.sin(3 * d) * F.cos(3 * s)

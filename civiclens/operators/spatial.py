@@ -7,8 +7,8 @@ followed by an exact even-odd test:
 1. each polygon is cut by the cells of its bounding box, first into rows of cells, then into
    cells. A cell keeps only the edges near it and one parity: whether its lower right corner
    is inside. A cell without edges stays only if that corner is inside;
-2. cells where many edges lie are cut again, 8 by 8, up to three times (a quadtree by edge
-   counts, three levels a step). A smaller cell's parity follows from the edges and the parity of the one around it;
+2. cells where many edges lie are cut again, 16 by 16, up to twice (a quadtree by edge
+   counts, four levels a step). A smaller cell's parity follows from the edges and the parity of the one around it;
 3. the polygons of a cell are gathered into one candidate list, short because of step 2;
 4. each point gets the smallest cell around it and is LEFT joined to the cell table -- one
    row per point out, so no aggregation over points is needed afterwards; among the
@@ -37,22 +37,6 @@ def polygon_edges(rings: Column) -> Column:
     return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), ring_edges))
 
 
-def point_in_edges(px: Column, py: Column, edges: Column) -> Column:
-    """Even-odd rule: True when a ray from (px, py) to +x crosses an odd number of edges."""
-    crossings = F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(
-        ((e["y1"] > py) != (e["y2"] > py))
-        & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0))
-    return crossings % 2 == 1
-
-
-def point_on_edges(px: Column, py: Column, edges: Column) -> Column:
-    """True when (px, py) lies exactly on an edge (collinear and inside its box)."""
-    return F.exists(edges, lambda e: (
-        ((e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) == 0)
-        & (px >= F.least(e["x1"], e["x2"])) & (px <= F.greatest(e["x1"], e["x2"]))
-        & (py >= F.least(e["y1"], e["y2"])) & (py <= F.greatest(e["y1"], e["y2"]))))
-
-
 def _bbox_of_rings(rings: Column) -> Column:
     pts = F.flatten(rings)
     xs, ys = F.transform(pts, lambda p: p[0]), F.transform(pts, lambda p: p[1])
@@ -62,8 +46,8 @@ def _bbox_of_rings(rings: Column) -> Column:
 
 #: Levels of halving that one step cuts a full cell by, the levels at which cells may be cut, and the
 #: largest number of cells that are cut at each level (what bounds the broadcast table).
-STEP = 3
-CUT_LEVELS = (0, STEP, 2 * STEP)
+STEP = 4
+CUT_LEVELS = (0, STEP)
 MOST_CUT = 30_000
 
 
@@ -76,86 +60,75 @@ def rings_of(polygons: DataFrame, rings: str) -> Column:
     return F.flatten(F.col(rings)) if depth == 4 else F.col(rings)
 
 
-def _crossed(e: Column, px: Column, py: Column) -> Column:
-    """The ray from (px, py) to +x crosses the edge."""
-    return ((e["y1"] > py) != (e["y2"] > py)) & (
-        px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+# SQL texts: one expression each for the parser, where columns would be put together call by call.
 
+def _crossed(px: str, py: str) -> str:
+    """The ray from (px, py) to +x crosses the edge e."""
+    return f"((e.y1 > {py}) <> (e.y2 > {py}) and {px} < (e.x2 - e.x1) * ({py} - e.y1) / (e.y2 - e.y1) + e.x1)"
 
-def _odd(edges: Column, test) -> Column:
-    """True for an odd number of edges that pass the test."""
-    return F.aggregate(edges, F.lit(False), lambda acc, e: acc != test(e))
 
-
-def _inside_cell(px: Column, py: Column, edges: Column, odd: Column, right: Column) -> Column:
+def _inside_cell(px: str, py: str, edges: str, odd: str, right: str) -> str:
     """Even-odd rule for a point of a cell by the cell's own edges. `right` is the cell's right side.
 
     Of an edge beyond the cell nothing is left but its ends: what it adds to the rays of the point and of the
     cell's corner is known from the ends that lie right of the cell, and each end belongs to two edges.
     So the ends of the near edges make up for all edges that are not here; the part that does
     not depend on the point is in `odd`."""
-    return odd != _odd(edges, lambda e: _crossed(e, px, py) != (((e["x1"] > right) & (e["y1"] > py)) != ((e["x2"] > right) & (e["y2"] > py))))
+    ends = f"((e.x1 > {right} and e.y1 > {py}) <> (e.x2 > {right} and e.y2 > {py}))"
+    return f"({odd} <> aggregate({edges}, false, (acc, e) -> acc <> ({_crossed(px, py)} <> {ends})))"
 
 
-def _cell_parity(corner_inside: Column, edges: Column, right: Column, low: Column) -> Column:
+def _cell_parity(corner_inside: str, edges: str, right: str, low: str) -> str:
     """The parity that `_inside_cell` takes, from that of the corner (right, low)."""
-    return corner_inside != _odd(edges, lambda e: _crossed(e, right, low) != (((e["x1"] > right) & (e["y1"] > low)) != ((e["x2"] > right) & (e["y2"] > low))))
+    return _inside_cell(right, low, edges, corner_inside, right)
 
 
-def _near(e: Column, left: Column, right: Column, low: Column, high: Column) -> Column:
-    """The edge meets the box: their extents overlap and the box's corners are not all on one side of the edge's line."""
-    side = [(e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]) for x in (left, right) for y in (low, high)]
-    return ((F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["x1"], e["x2"]) <= right)
-            & (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
-            & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+def _near(left: str, right: str, low: str, high: str) -> str:
+    """The edge e meets the box: their extents overlap and the box's corners are not all on one side of the edge's line."""
+    side = ", ".join(f"(e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1)" for x in (left, right) for y in (low, high))
+    return (f"(greatest(e.x1, e.x2) >= {left} and least(e.x1, e.x2) <= {right} and greatest(e.y1, e.y2) >= {low} and least(e.y1, e.y2) <= {high} "
+            f"and least({side}) <= 0 and greatest({side}) >= 0)")
 
 
-def _side(i: Column, cell: Column, level: Column) -> Column:
-    """Coordinate of grid line i; halving the cell is exact, so lines of all levels agree."""
-    return i * (cell / F.pow(F.lit(2.0), level))
+def _size(level: str) -> str:
+    """Side of a cell; halving is exact, so lines of all levels agree."""
+    return f"(_cell / power(2e0, {level}))"
 
 
 def _full_cells(edges: DataFrame, most_edges: int) -> DataFrame:
     """node (level, cx, cy) of the cells that hold the middles of more edges than they should."""
-    at = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[
-        F.floor((F.col(f"_e.{v}1") + F.col(f"_e.{v}2")) / 2 / _side(F.lit(1), F.col("_cell"), F.lit(level))).alias(f"c{v}") for v in "xy"])
-        for level in CUT_LEVELS])).alias("node")
-    count = edges.select("_cell", F.explode("_edges").alias("_e")).select(at).groupBy("node").agg(F.count("*").alias("n"))
+    nodes = ", ".join(f"named_struct('level', {level}, 'cx', floor((e.x1 + e.x2) / 2 / {_size(level)}), 'cy', floor((e.y1 + e.y2) / 2 / {_size(level)}))" for level in CUT_LEVELS)
+    count = edges.selectExpr("_cell", "explode(_edges) as e").selectExpr(f"explode(array({nodes})) as node").groupBy("node").agg(F.count("*").alias("n"))
     total = edges.agg(F.sum(F.size("_edges"))).scalar()
     return count.where((F.col("n") > most_edges) & (F.col("n") > total / MOST_CUT)).select("node", F.lit(True).alias("_full"))
 
 
-def _touched(rows: DataFrame, odd: Column, edges: Column) -> DataFrame:
+_NODE = "_level = {0} and named_struct('level', {0}, 'cx', _cx, 'cy', _cy) = node"
+
+
+def _touched(rows: DataFrame, odd: str, edges: str) -> DataFrame:
     """The rows whose polygon has something in the cell. As a generator: a filter would be pushed down with a copy of both expressions."""
-    kept = F.filter(F.array(F.struct(odd.alias("_odd"), edges.alias("_edges"))), lambda s: s["_odd"] | (F.size(s["_edges"]) > 0))
-    return rows.select("_code", "_cell", "_level", "_cx", "_cy", F.inline(kept))
+    return rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy",
+                           f"inline(filter(array(named_struct('_odd', {odd}, '_edges', {edges})), s -> s._odd or size(s._edges) > 0))")
 
 
 def _cut(cells: DataFrame, full: DataFrame, level: int) -> DataFrame:
-    """The full cells among the (polygon, cell) rows of this level, cut into 8 by 8."""
-    node = F.struct(F.lit(level).alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
-    rows = cells.join(F.broadcast(full), (F.col("_level") == level) & (node == F.col("node")), "left")
+    """The full cells among the (polygon, cell) rows of this level, cut into 2 ** STEP by as many."""
     n = 1 << STEP
-    child = F.explode(F.when(F.col("_full"), F.sequence(F.lit(0), F.lit(n * n - 1))).otherwise(F.array(F.lit(-1)))).alias("_child")
-    rows = rows.select("_code", "_cell", "_level", "_cx", "_cy", "_odd", "_edges", child)
-    old, new = F.col("_child") < 0, F.col("_level") + STEP
-    cx, cy = F.col("_cx") * n + F.col("_child") % n, F.col("_cy") * n + F.floor(F.col("_child") / n)
-    rows = rows.select("_code", "_cell", "_odd", "_edges", old.alias("_old"), F.when(old, F.col("_level")).otherwise(new).alias("_level"),
-                       F.when(old, F.col("_cx")).otherwise(cx).alias("_cx"), F.when(old, F.col("_cy")).otherwise(cy).alias("_cy"),
-                       _side(F.col("_cx") + 1, F.col("_cell"), F.col("_level")).alias("_outer"))
-    right, low = F.col("_right"), F.col("_low")
-    rows = rows.withColumns({"_right": _side(F.col("_cx") + 1, F.col("_cell"), F.col("_level")), "_low": _side(F.col("_cy"), F.col("_cell"), F.col("_level")),
-                             "_size": _side(F.lit(1), F.col("_cell"), F.col("_level"))})
-    pad = F.col("_size") * 1e-6
-    near = F.filter("_edges", lambda e: _near(e, right - F.col("_size") - pad, right + pad, low - pad, low + F.col("_size") + pad))
-    rows = rows.withColumns({"_mine": F.when(F.col("_old"), F.col("_edges")).otherwise(near),
-                             "_corner": F.when(~F.col("_old"), _inside_cell(right, low, F.col("_edges"), F.col("_odd"), F.col("_outer")))})
-    odd = F.when(F.col("_old"), F.col("_odd")).otherwise(_cell_parity(F.col("_corner"), F.col("_mine"), right, low))
-    return _touched(rows, odd, F.col("_mine"))
+    rows = cells.join(F.broadcast(full), F.expr(_NODE.format(level)), "left").selectExpr(
+        "_code", "_bb", "_cell", "_level", "_cx", "_cy", "_odd", "_edges", f"explode(if(_full, sequence(0, {n * n - 1}), array(-1))) as _child")
+    rows = rows.selectExpr(
+        "_code", "_bb", "_cell", "_odd", "_edges", "_child < 0 as _old", f"if(_child < 0, _level, _level + {STEP}) as _level", f"if(_child < 0, _cx, _cx * {n} + _child % {n}) as _cx",
+        f"if(_child < 0, _cy, _cy * {n} + _child div {n}) as _cy", f"(_cx + 1) * {_size('_level')} as _outer")
+    rows = rows.selectExpr("*", f"(_cx + 1) * {_size('_level')} as _right", f"_cy * {_size('_level')} as _low", f"{_size('_level')} as _s", f"{_size('_level')} * 1e-6 as _pad")
+    near = _near("_right - _s - _pad", "_right + _pad", "_low - _pad", "_low + _s + _pad")
+    rows = rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy", "_old", "_odd", "_right", "_low", f"if(_old, _edges, filter(_edges, e -> {near})) as _mine",
+                           f"if(_old, null, {_inside_cell('_right', '_low', '_edges', '_odd', '_outer')}) as _corner")
+    return _touched(rows, f"if(_old, _odd, {_cell_parity('_corner', '_mine', '_right', '_low')})", "_mine")
 
 
 def polygon_cells(polygons: DataFrame, code: str, rings: str, cell_size: float | Column | None = None, most_edges: int = 1000) -> tuple[DataFrame, DataFrame, Column]:
-    """The (polygon, cell) rows _code, _level, _cx, _cy, _odd, _edges; the cells that were cut; the largest cell's size."""
+    """The (polygon, cell) rows _code, _bb, _level, _cx, _cy, _odd, _edges; the cells that were cut; the largest cell's size."""
     poly = polygons.select(F.col(code).alias("_code"), rings_of(polygons, rings).alias("_rings")).where(
         F.col("_code").isNotNull() & F.exists("_rings", lambda r: F.size(r) > 0))
     poly = poly.select("_code", _bbox_of_rings(F.col("_rings")).alias("_bb"), polygon_edges(F.col("_rings")).alias("_edges"))
@@ -167,21 +140,20 @@ def polygon_cells(polygons: DataFrame, code: str, rings: str, cell_size: float |
         cell = F.lit(float(cell_size)) if not isinstance(cell_size, Column) else cell_size
     poly = poly.withColumn("_cell", cell)  # once per side as a column (one subquery instance each)
     full = _full_cells(poly, most_edges)
-    c = F.col("_cell")
-    pad = c * 1e-6
-    rows = poly.select("_code", "_bb", "_edges", "_cell", F.explode(F.sequence(F.floor((F.col("_bb.miny") - pad) / c), F.floor((F.col("_bb.maxy") + pad) / c))).alias("_cy"))
-    low, high = F.col("_cy") * c, (F.col("_cy") + 1) * c
-    band = F.filter("_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low - pad) & (F.least(e["y1"], e["y2"]) <= high + pad))
-    rows = rows.select("_code", "_bb", "_cell", "_cy", band.alias("_band"))
+    pad = "_cell * 1e-6"
+    rows = poly.selectExpr("_code", "_bb", "_edges", "_cell", f"explode(sequence(floor((_bb.miny - {pad}) / _cell), floor((_bb.maxy + {pad}) / _cell))) as _cy")
+    rows = rows.selectExpr("_code", "_bb", "_edges", "_cell", "_cy", "_cy * _cell as _low", "(_cy + 1) * _cell as _high")
+    rows = rows.selectExpr("_code", "_bb", "_cell", "_cy", "_low", "_high",
+                           f"filter(_edges, e -> greatest(e.y1, e.y2) >= _low - {pad} and least(e.y1, e.y2) <= _high + {pad}) as _band")
     # where the row's lower line crosses the polygon
-    line = F.transform(F.filter("_band", lambda e: (e["y1"] > low) != (e["y2"] > low)),
-                       lambda e: (e["x2"] - e["x1"]) * (low - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    rows = rows.select("_code", "_cell", "_cy", "_band", line.alias("_line"),
-                       F.explode(F.sequence(F.floor((F.col("_bb.minx") - pad) / c), F.floor((F.col("_bb.maxx") + pad) / c))).alias("_cx"))
-    left, right = F.col("_cx") * c, (F.col("_cx") + 1) * c
-    rows = rows.select("_code", "_cell", "_cx", "_cy", (F.size(F.filter("_line", lambda x: x > right)) % 2 == 1).alias("_corner"),
-                       F.filter("_band", lambda e: _near(e, left - pad, right + pad, low - pad, high + pad)).alias("_edges"))
-    rows = _touched(rows.withColumn("_level", F.lit(0)), _cell_parity(F.col("_corner"), F.col("_edges"), right, low), F.col("_edges"))
+    line = "transform(filter(_band, e -> (e.y1 > _low) <> (e.y2 > _low)), e -> (e.x2 - e.x1) * (_low - e.y1) / (e.y2 - e.y1) + e.x1)"
+    rows = rows.selectExpr("_code", "_bb", "_cell", "_cy", "_low", "_high", "_band", f"{line} as _line",
+                           f"explode(sequence(floor((_bb.minx - {pad}) / _cell), floor((_bb.maxx + {pad}) / _cell))) as _cx")
+    rows = rows.selectExpr("*", "(_cx + 1) * _cell as _right", "_cx * _cell as _left")
+    near = _near(f"_left - {pad}", f"_right + {pad}", f"_low - {pad}", f"_high + {pad}")
+    rows = rows.selectExpr("_code", "_bb", "_cell", "0 as _level", "_cx", "_cy", "_right", "_low", "size(filter(_line, x -> x > _right)) % 2 = 1 as _corner",
+                           f"filter(_band, e -> {near}) as _edges")
+    rows = _touched(rows, _cell_parity("_corner", "_edges", "_right", "_low"), "_edges")
     for level in CUT_LEVELS:
         rows = _cut(rows, full, level)
     return rows.drop("_cell"), full, cell
@@ -200,32 +172,29 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str
 
     Nothing runs while the query is built. AQE measures the cell table and broadcasts it if it is
     small; otherwise the join stays a shuffle join on the cell, where AQE splits hot cells. A candidate list
-    holds about `most_edges` edges, more only where that many meet in the smallest cell (1/512 of the
+    holds about `most_edges` edges, more only where that many meet in the smallest cell (1/256 of the
     largest)."""
     out = out or code
     rows, full, cell = polygon_cells(polygons, code, rings, cell_size, most_edges)
-    cells = rows.groupBy("_level", "_cx", "_cy").agg(F.collect_list(F.struct("_code", "_odd", "_edges")).alias("_cand"))
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    at = lambda v, level: F.floor(v / _side(F.lit(1), F.col("_cell"), F.lit(level)))
-    pts = (points.withColumn("_cell", cell)
-           # points without a coordinate match nothing: they get cells of their own, one per input partition
-           .withColumns({"_level": F.lit(0), "_cx": F.coalesce(at(px, 0), F.lit(-(1 << 50)) - F.spark_partition_id()),
-                         "_cy": F.coalesce(at(py, 0), F.lit(-(1 << 50)).cast("long"))}))
+    cells = rows.groupBy("_level", "_cx", "_cy").agg(F.collect_list(F.struct("_code", "_bb", "_odd", "_edges")).alias("_cand"))
+    at = lambda v, level: f"floor({v} / {_size(level)})"
+    # points without a coordinate match nothing: they get cells of their own, one per input partition
+    pts = (points.withColumns({"_cell": cell, "_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")})
+           .selectExpr("*", "0 as _level", f"coalesce({at('_px', 0)}, {-(1 << 50)} - spark_partition_id()) as _cx", f"coalesce({at('_py', 0)}, {-(1 << 50)}) as _cy"))
+    kept = [f"`{c}`" for c in points.columns]
     for level in CUT_LEVELS:
-        node = F.struct(F.lit(level).alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
-        hit = F.col("_full").isNotNull()
-        pts = pts.join(F.broadcast(full), (F.col("_level") == level) & (node == F.col("node")), "left").withColumns({
-            "_level": F.when(hit, level + STEP).otherwise(F.col("_level")), "_cx": F.when(hit, at(px, level + STEP)).otherwise(F.col("_cx")),
-            "_cy": F.when(hit, at(py, level + STEP)).otherwise(F.col("_cy"))}).drop("node", "_full")
-    joined = pts.join(cells, ["_level", "_cx", "_cy"], "left")
-    right = _side(F.col("_cx") + 1, F.col("_cell"), F.col("_level"))
-
-    def hit(c):
-        inside = _inside_cell(px, py, c["_edges"], c["_odd"], F.col("_right"))
-        return inside & ~point_on_edges(px, py, c["_edges"]) if strict else inside
-
-    match = F.array_min(F.transform(F.filter(F.col("_cand"), hit), lambda c: c["_code"]))
-    return joined.withColumn("_right", right).withColumn(out, match).drop("_level", "_cx", "_cy", "_cand", "_cell", "_right")
+        pts = pts.join(F.broadcast(full), F.expr(_NODE.format(level)), "left").selectExpr(
+            *kept, "_cell", "_px", "_py", f"if(_full, {level + STEP}, _level) as _level", f"if(_full, {at('_px', level + STEP)}, _cx) as _cx",
+            f"if(_full, {at('_py', level + STEP)}, _cy) as _cy")
+    joined = pts.join(cells, ["_level", "_cx", "_cy"], "left").selectExpr(*kept, "_px", "_py", "_cand", f"(_cx + 1) * {_size('_level')} as _right")
+    inside = "_px >= c._bb.minx and _px <= c._bb.maxx and _py >= c._bb.miny and _py <= c._bb.maxy and " + _inside_cell(
+        "_px", "_py", "c._edges", "c._odd", "_right")
+    if strict:
+        on = ("(e.x2 - e.x1) * (_py - e.y1) - (e.y2 - e.y1) * (_px - e.x1) = 0 and _px >= least(e.x1, e.x2) and _px <= greatest(e.x1, e.x2) "
+              "and _py >= least(e.y1, e.y2) and _py <= greatest(e.y1, e.y2)")
+        inside += f" and not exists(c._edges, e -> {on})"
+    match = F.expr(f"array_min(transform(filter(_cand, c -> {inside}), c -> c._code))")
+    return joined.withColumn(out, match).drop("_px", "_py", "_cand", "_right")
 
 
 def extent(df: DataFrame, rings: str) -> DataFrame:

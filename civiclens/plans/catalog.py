@@ -203,8 +203,7 @@ def comments_with_centroid(spark, sf_dir):
 
 @query
 def comments_with_centroid_bng(spark, sf_dir):
-    """Centroids computed in the National Grid (the original analysis' method);
-    no SQL oracle: the projection needs iterative inverses."""
+    """Centroids computed in the National Grid (the original analysis' method)."""
     d = _distances(spark, sf_dir, "bng")
     return d.select("comment_id", _r("app_lat").alias("app_lat"), _r("app_lon").alias("app_lon"),
                     _r("distance_km").alias("distance_km"))

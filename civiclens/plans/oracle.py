@@ -9,6 +9,7 @@ so two small functions write them."""
 from __future__ import annotations
 
 from civiclens import constants as K
+from civiclens.operators import regression as RG
 from civiclens.sources.fixtures import FIXTURE_BOROUGH, FIXTURE_INNER, FIXTURE_TOPIC, with_views
 
 ORACLE: dict[str, str] = {}
@@ -486,6 +487,37 @@ FROM (SELECT housing_type, CAST(comment_count AS DOUBLE) AS y,
       FROM fx_applications WHERE housing_type IN ({HOUSING})) t
 GROUP BY housing_type""")
 
+def _band_sql(replicates: int = 1000, grid: int = 100) -> str:
+    """The bootstrap band on rows for pairs and replicates; weights by the arithmetic of operators.regression."""
+    p = RG.PRIME
+    key = lambda v: f"(CAST(FLOOR({v}) AS BIGINT) % {p} * 1048583 + CAST(FLOOR(({v} - FLOOR({v})) * 1048576e0) AS BIGINT)) % {p}"
+    linear = lambda k: "({} * kx % {p} + {} * ky % {p} + {} * r % {p} + ({} * j + {}) % {p})".format(*RG.FACTORS[k][:4], RG.FACTORS[k][5], p=p)
+    fifth = lambda t: f"({t} * {t} % {p}) * ({t} * {t} % {p}) % {p} * {t} % {p}"
+    table = "[" + ", ".join(str(RG.poisson_thresholds(c)) for c in range(1, RG.SMALL + 1)) + "]"
+    return with_views("fx_applications") + f""",
+v AS (SELECT housing_type AS g, CAST(total_no_proposed_residential_units AS DOUBLE) AS x, CAST(comment_count AS DOUBLE) AS y FROM fx_applications
+      WHERE housing_type IN ({HOUSING}) AND housing_type <> 'Other' AND total_no_proposed_residential_units IS NOT NULL AND comment_count IS NOT NULL),
+pairs AS (SELECT g, x, y, COUNT(*) AS c, {key("x")} AS kx, {key("y")} AS ky FROM v GROUP BY g, x, y),
+draw AS (SELECT *, UNNEST(RANGE(CASE WHEN c > {RG.SMALL} THEN {RG.DRAWS} ELSE 1 END)) AS j FROM pairs, RANGE({replicates}) t(r)),
+one AS (SELECT *, {linear(0)} % {p} AS t FROM draw),
+two AS (SELECT *, ({linear(1)} + ({fifth("t")}) * 16807 % {p}) % {p} AS s FROM one),
+u AS (SELECT g, x, y, c, r, j, {fifth("s")} AS u FROM two),
+w AS (SELECT g, x, y, r, CASE WHEN c <= {RG.SMALL} THEN LEN(LIST_FILTER(TB.t[c], LAMBDA q: q <= SUM(u)))
+        ELSE GREATEST(0e0, FLOOR(c + SQRT(c) * ((SUM(u) + {RG.DRAWS / 2}::DOUBLE) / {p}e0 - {RG.DRAWS / 2}::DOUBLE) + 5e-1)) END::DOUBLE AS w
+      FROM u, (SELECT {table} AS t) TB GROUP BY g, x, y, c, r, TB.t),
+s AS (SELECT g, r, SUM(w) AS n, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx, SUM(w * x * y) AS sxy FROM w GROUP BY g, r
+      UNION ALL SELECT g, -1, COUNT(*)::DOUBLE, SUM(x), SUM(y), SUM(x * x), SUM(x * y) FROM v GROUP BY g),
+m AS (SELECT g, r, n, sx, sy, (n * sxy - sx * sy) / NULLIF(n * sxx - sx * sx, 0) AS m FROM s),
+ends AS (SELECT g, MIN(x) AS lo, MAX(x) AS hi FROM v GROUP BY g),
+pts AS (SELECT g, r, gi, lo + (hi - lo) / {grid - 1}e0 * gi AS x, m, (sy - m * sx) / n AS c FROM m JOIN ends USING (g), RANGE({grid}) t(gi) WHERE m IS NOT NULL),
+line AS (SELECT g, r, gi, x, m * x + c AS yh FROM pts)
+SELECT g AS housing_type, CAST(gi AS INT) AS grid_index, ROUND(ANY_VALUE(x), 6) AS x, ROUND(MAX(yh) FILTER (r < 0), 6) AS yhat,
+  ROUND(QUANTILE_CONT(yh, 25e-3) FILTER (r >= 0), 6) AS lo, ROUND(QUANTILE_CONT(yh, 975e-3) FILTER (r >= 0), 6) AS hi
+FROM line GROUP BY g, gi HAVING COUNT(*) FILTER (r < 0) > 0"""
+
+
+_add("regression_bootstrap_band", _band_sql())
+
 # -- demographics (Q5) -----------------------------------------------------------------
 _LSOA_JOIN = f""", {_CENSUS},
 ed AS (
@@ -606,7 +638,7 @@ SELECT comment_id, application_id, stance FROM fx_comments ORDER BY comment_id L
 
 
 # -- X5 forward projection, staged as nested selects (mirrors operators/geometry.with_bng) ---
-def _bng_sql() -> str:
+def _bng_sql(keys: str = "comment_id", source: str = "fx_comments", lat: str = "lat", lon: str = "lon", digits: int | None = 3) -> str:
     import math
 
     from civiclens.functions import geo as X
@@ -627,16 +659,16 @@ def _bng_sql() -> str:
     c1 = 1 + s
     a_, b_ = X.AIRY_A, X.AIRY_B
     e2a = 1 - (b_ * b_) / (a_ * a_)
-    stages = [f"SELECT comment_id, RADIANS(lat) AS rl, RADIANS(lon) AS rn FROM fx_comments"]
-    stages.append(cart("rl", "rn", X.GRS80_A, X.GRS80_B, "comment_id"))
-    stages.append(f"SELECT comment_id, (((((cx * {d(c1)}) - (cy * {d(rz)})) + (cz * {d(ry)})) + {d(X.HELMERT_TX)})) AS hx, "
+    stages = [f"SELECT {keys}, RADIANS({lat}) AS rl, RADIANS({lon}) AS rn FROM {source}"]
+    stages.append(cart("rl", "rn", X.GRS80_A, X.GRS80_B, keys))
+    stages.append(f"SELECT {keys}, (((((cx * {d(c1)}) - (cy * {d(rz)})) + (cz * {d(ry)})) + {d(X.HELMERT_TX)})) AS hx, "
                   f"(((((cx * {d(rz)}) + (cy * {d(c1)})) - (cz * {d(rx)})) + {d(X.HELMERT_TY)})) AS hy, "
                   f"((((((-(cx)) * {d(ry)}) + (cy * {d(rx)})) + (cz * {d(c1)})) + {d(X.HELMERT_TZ)})) AS hz")
-    stages.append("SELECT comment_id, hx, hy, hz, SQRT(((hx * hx) + (hy * hy))) AS p")
-    stages.append(f"SELECT comment_id, hx, hy, hz, p, ATAN2(hz, (p * {d(1 - e2a)})) AS l0")
+    stages.append(f"SELECT {keys}, hx, hy, hz, SQRT(((hx * hx) + (hy * hy))) AS p")
+    stages.append(f"SELECT {keys}, hx, hy, hz, p, ATAN2(hz, (p * {d(1 - e2a)})) AS l0")
     for i in range(5):
         si = f"SIN(l{i})"
-        stages.append(f"SELECT comment_id, hx, hy, hz, p, ATAN2((hz + (({d(e2a)} * ({d(a_)} / SQRT((1 - "
+        stages.append(f"SELECT {keys}, hx, hy, hz, p, ATAN2((hz + (({d(e2a)} * ({d(a_)} / SQRT((1 - "
                       f"(({d(e2a)} * {si}) * {si}))))) * {si})), p) AS l{i + 1}")
     f0 = X.NG_F0
     n_ = (a_ - b_) / (a_ + b_)
@@ -648,20 +680,22 @@ def _bng_sql() -> str:
     dd, ss = f"(phi - {d(phi0)})", f"(phi + {d(phi0)})"
     m = (f"({d(b_ * f0)} * (((({d(k1)} * {dd}) - (({d(k2)} * SIN({dd})) * COS({ss}))) + "
          f"(({d(k3)} * SIN((2 * {dd}))) * COS((2 * {ss})))) - (({d(k4)} * SIN((3 * {dd}))) * COS((3 * {ss})))))")
-    stages.append(f"SELECT comment_id, l5 AS phi, ATAN2(hy, hx) AS lam")
-    stages.append(f"SELECT comment_id, SIN(phi) AS sp, COS(phi) AS cp, TAN(phi) AS tp, {m} AS m, "
+    stages.append(f"SELECT {keys}, l5 AS phi, ATAN2(hy, hx) AS lam")
+    stages.append(f"SELECT {keys}, SIN(phi) AS sp, COS(phi) AS cp, TAN(phi) AS tp, {m} AS m, "
                   f"(lam - {d(math.radians(X.NG_LON0))}) AS dl")
     stages.append(f"SELECT *, ({d(a_ * f0)} / SQRT((1 - (({d(e2a)} * sp) * sp)))) AS nu, "
                   f"({d(a_ * f0 * (1 - e2a))} * POW((1 - (({d(e2a)} * sp) * sp)), {d(-1.5)})) AS rho")
     stages.append("SELECT *, ((nu / rho) - 1) AS eta2")
-    stages.append(f"SELECT comment_id, dl, (m + {d(X.NG_N0)}) AS i1, (((nu / 2) * sp) * cp) AS i2, "
+    stages.append(f"SELECT {keys}, dl, (m + {d(X.NG_N0)}) AS i1, (((nu / 2) * sp) * cp) AS i2, "
                   "((((nu / 24) * sp) * POW(cp, 3)) * ((5 - (tp * tp)) + (9 * eta2))) AS i3, "
                   "((((nu / 720) * sp) * POW(cp, 5)) * ((61 - ((58 * tp) * tp)) + POW(tp, 4))) AS i3a, "
                   "(nu * cp) AS i4, (((nu / 6) * POW(cp, 3)) * ((nu / rho) - (tp * tp))) AS i5, "
                   "(((nu / 120) * POW(cp, 5)) * ((((5 - ((18 * tp) * tp)) + POW(tp, 4)) + (14 * eta2)) "
                   "- (((58 * tp) * tp) * eta2))) AS i6")
-    stages.append(f"SELECT comment_id, ROUND((((({d(X.NG_E0)} + (i4 * dl)) + (i5 * POW(dl, 3))) + (i6 * POW(dl, 5)))), 3) AS bng_e, "
-                  "ROUND((((i1 + (i2 * POW(dl, 2))) + (i3 * POW(dl, 4))) + (i3a * POW(dl, 6))), 3) AS bng_n")
+    r = (lambda x: f"ROUND({x}, {digits})") if digits is not None else str
+    east = f"((({d(X.NG_E0)} + (i4 * dl)) + (i5 * POW(dl, 3))) + (i6 * POW(dl, 5)))"
+    north = "(((i1 + (i2 * POW(dl, 2))) + (i3 * POW(dl, 4))) + (i3a * POW(dl, 6)))"
+    stages.append(f"SELECT {keys}, {r(east)} AS bng_e, {r(north)} AS bng_n")
     sql = stages[0]
     for st in stages[1:]:
         sql = f"{st} FROM ({sql}) t"
@@ -669,3 +703,58 @@ def _bng_sql() -> str:
 
 
 _add("comment_points_bng", with_views("fx_comments") + _bng_sql())
+
+
+def _wgs84_sql(keys: str, source: str) -> str:
+    """National Grid (e, n) of the source to WGS84 (lat, lon), iterations unrolled."""
+    import math
+
+    from civiclens.functions import geo as X
+
+    d = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    a, b, f0 = X.AIRY_A, X.AIRY_B, X.NG_F0
+    e2 = 1 - (b * b) / (a * a)
+    n = (a - b) / (a + b)
+    phi0 = math.radians(X.NG_LAT0)
+    factors = (1 + n + 1.25 * n ** 2 + 1.25 * n ** 3, 3 * n + 3 * n ** 2 + 21 / 8 * n ** 3, 15 / 8 * n ** 2 + 15 / 8 * n ** 3, 35 / 24 * n ** 3)
+
+    def arc(p: str) -> str:
+        dd, ss = f"({p} - {d(phi0)})", f"({p} + {d(phi0)})"
+        k = [d(v) for v in factors]
+        return (f"{d(b * f0)} * ({k[0]} * {dd} - {k[1]} * SIN({dd}) * COS({ss}) + {k[2]} * SIN(2 * {dd}) * COS(2 * {ss}) "
+                f"- {k[3]} * SIN(3 * {dd}) * COS(3 * {ss}))")
+
+    north = f"(n - {d(X.NG_N0)})"
+    stages = [f"SELECT {keys}, e, n, {d(phi0)} + {north} / {d(a * f0)} AS p FROM {source}"]
+    stages += [f"SELECT {keys}, e, n, p + ({north} - {arc('p')}) / {d(a * f0)} AS p"] * 6
+    stages.append(f"SELECT {keys}, p, TAN(p) AS t, COS(p) AS c, e - {d(X.NG_E0)} AS de, {d(a * f0)} / SQRT(1 - {d(e2)} * SIN(p) * SIN(p)) AS nu, "
+                  f"{d(a * f0 * (1 - e2))} * POW(1 - {d(e2)} * SIN(p) * SIN(p), -15e-1) AS rho")
+    stages.append("SELECT *, nu / rho - 1 AS eta")
+    stages.append(
+        f"SELECT {keys}, p - t / (2 * rho * nu) * de ** 2 + t / (24 * rho * nu ** 3) * (5 + 3 * t * t + eta - 9 * t * t * eta) * de ** 4 "
+        f"- t / (720 * rho * nu ** 5) * (61 + 90 * t * t + 45 * t ** 4) * de ** 6 AS la, "
+        f"{d(math.radians(X.NG_LON0))} + de / (c * nu) - de ** 3 / (c * 6 * nu ** 3) * (nu / rho + 2 * t * t) "
+        f"+ de ** 5 / (c * 120 * nu ** 5) * (5 + 28 * t * t + 24 * t ** 4) - de ** 7 / (c * 5040 * nu ** 7) * (61 + 662 * t * t + 1320 * t ** 4 + 720 * t ** 6) AS lo")
+    nu = f"{d(a)} / SQRT(1 - {d(e2)} * SIN(la) * SIN(la))"
+    stages.append(f"SELECT {keys}, {nu} * COS(la) * COS(lo) AS x, {nu} * COS(la) * SIN(lo) AS y, {nu} * {d(1 - e2)} * SIN(la) AS z")
+    s, k = -X.HELMERT_S_PPM * 1e-6, -math.pi / (180 * 3600)
+    rx, ry, rz = (d(v * k) for v in (X.HELMERT_RX, X.HELMERT_RY, X.HELMERT_RZ))
+    stages.append(f"SELECT {keys}, x * {d(1 + s)} - y * {rz} + z * {ry} - {d(X.HELMERT_TX)} AS x, x * {rz} + y * {d(1 + s)} - z * {rx} - {d(X.HELMERT_TY)} AS y, "
+                  f"y * {rx} - x * {ry} + z * {d(1 + s)} - {d(X.HELMERT_TZ)} AS z")
+    g2 = 1 - (X.GRS80_B * X.GRS80_B) / (X.GRS80_A * X.GRS80_A)
+    stages.append(f"SELECT {keys}, x, y, z, SQRT(x * x + y * y) AS q, ATAN2(z, SQRT(x * x + y * y) * {d(1 - g2)}) AS l")
+    stages += [f"SELECT {keys}, x, y, z, q, ATAN2(z + {d(g2)} * ({d(X.GRS80_A)} / SQRT(1 - {d(g2)} * SIN(l) * SIN(l))) * SIN(l), q) AS l"] * 5
+    sql = stages[0]
+    for st in stages[1:]:
+        sql = f"{st} FROM ({sql}) t"
+    return f"SELECT {keys}, DEGREES(l) AS cy, DEGREES(ATAN2(y, x)) AS cx FROM ({sql}) t"
+
+
+_KEYS = "lpa_app_no, borough, src_ord"
+_POLY_BNG = POLY.replace("fx_vertex", "grid_vertex")  # the same polygons with projected vertices
+_add("comments_with_centroid_bng", DIST_VIEWS + f""",
+grid_vertex AS (SELECT {_KEYS}, pos, bng_e AS x, bng_n AS y FROM ({_bng_sql(_KEYS + ", pos", "fx_vertex", "y", "x", None)}) t),
+{_POLY_BNG.replace("area_c AS", "grid_c AS")},
+area_c AS ({_wgs84_sql(_KEYS, f"(SELECT {_KEYS}, cx AS e, cy AS n FROM grid_c)")}),
+{CENTROID_LOOKUP}, {DIST}
+SELECT comment_id, ROUND(app_lat, 6) AS app_lat, ROUND(app_lon, 6) AS app_lon, ROUND(distance_km, 6) AS distance_km FROM dist""")

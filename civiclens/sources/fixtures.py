@@ -151,8 +151,8 @@ def fixtures(spark: SparkSession, sf_dir: str) -> "Fixtures":
 class Fixtures:
     """Reference-shaped inputs for one scale-factor directory.
 
-    The base tables are read lazily from Parquet; nothing is cached here, the
-    plans are what Catalyst optimises together with the operator on top.
+    The base tables are read lazily from Parquet. Inputs that stand for files on disk are
+    written once per session; the census sheets stay views.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -171,11 +171,15 @@ class Fixtures:
     def view(self, name: str) -> DataFrame:
         return self._views[name]
 
+    def file(self, df: DataFrame) -> DataFrame:
+        """An input that stands for a file on disk: written once, in as many parts as there are cores."""
+        return stored(df.repartition(self.spark.sparkContext.defaultParallelism))
+
     # -- the reference's inputs ------------------------------------------------
     @cached_property
     def comments(self) -> DataFrame:
         """comments.csv: comment_id, application_id, council, stance, sentiment_score, lat, lon."""
-        return self.view("fx_comments")
+        return self.file(self.view("fx_comments"))
 
     @cached_property
     def topic_text(self) -> DataFrame:
@@ -191,7 +195,7 @@ class Fixtures:
                       .alias("items")))
         topics = F.transform("items", lambda s: s["topic"].cast("string"))
         probs = F.transform("items", lambda s: F.coalesce(s["prob"].cast("string"), F.lit("nan")))
-        return stored(items.select(
+        return self.file(items.select(
             "comment_id",
             F.concat(F.lit("["), F.array_join(topics, ", "), F.lit("]")).alias("topic_number"),
             F.concat(F.lit("["), F.array_join(probs, ", "), F.lit("]")).alias("probability")))
@@ -201,7 +205,7 @@ class Fixtures:
         """comments_with_topics.csv: comment, its topic lists, council, housing type, sentiment."""
         apps = self.view("fx_applications").select(
             F.col("lpa_app_no").alias("_app"), "housing_type")
-        return stored(self.comments
+        return self.file(self.comments
                            .join(self.topic_text, "comment_id", "left")
                            .join(apps, F.col("application_id") == F.col("_app"), "left")
                            .select("comment_id", "topic_number", "probability", "council",
@@ -228,13 +232,13 @@ class Fixtures:
             pts.append(F.when(keep, F.array(x, y)))
         ring = F.filter(F.array(*pts), lambda p: p.isNotNull())
         coords = F.when(F.expr("k % 20 <> 0"), F.array(ring))
-        return self.view("fx_pld").select(
+        return self.file(self.view("fx_pld").select(
             "lpa_app_no", "borough", "housing_type", "total_no_proposed_residential_units", "src_ord",
-            coords.alias("wgs84_polygon.coordinates"))
+            coords.alias("wgs84_polygon.coordinates")))
 
     @cached_property
     def applications(self) -> DataFrame:
-        return self.view("fx_applications")
+        return self.file(self.view("fx_applications"))
 
     @cached_property
     def lsoa(self) -> DataFrame:
@@ -242,7 +246,7 @@ class Fixtures:
         v = self.view("fx_lsoa")
         pts = [F.array(F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2, 3, 4, 1)]
         # Materialised once, like the boundary file it stands for.
-        return stored(v.select(F.col("lsoa_code").alias("LSOA21CD"),
+        return self.file(v.select(F.col("lsoa_code").alias("LSOA21CD"),
                                     F.array(F.array(*pts)).alias("rings")))
 
     @cached_property

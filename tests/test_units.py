@@ -373,13 +373,28 @@ def test_bootstrap_band_matches_a_row_bootstrap(spark):
     assert np.mean([w for _, w in got] / (hi - lo)) == pytest.approx(1, abs=0.1)
 
 
-def test_poisson_weights_have_the_right_moments(spark):
-    from pyspark.sql import functions as F
-    from civiclens.operators.regression import _poisson
-    u = [(F.pmod(F.xxhash64(F.lit(j), "id"), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30) for j in range(12)]
+def test_poisson_weights_have_the_right_moments():
+    import numpy as np
+    from civiclens.operators.regression import bootstrap_weights
+    x, replicates = np.arange(300) * 1.5 - 7, np.arange(500)
     for count in (1, 5, 16, 17, 300):
-        mean, var = spark.range(20000).select(_poisson(u, F.lit(count)).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
-        assert mean == pytest.approx(count, rel=0.03) and var == pytest.approx(count, rel=0.06)
+        w = bootstrap_weights(x, x % 7, np.full(300, count), replicates, 0)
+        assert w.mean() == pytest.approx(count, rel=0.01) and w.var() == pytest.approx(count, rel=0.03)
+        off = np.corrcoef(w)[np.triu_indices(300, 1)]
+        assert abs(off.mean()) < 0.005 and off.std() == pytest.approx(500**-0.5, rel=0.05)   # pairs are drawn apart
+    assert (bootstrap_weights(x, x, np.full(300, 2), replicates, 0) != bootstrap_weights(x, x, np.full(300, 2), replicates, 1)).any()
+
+
+def test_bootstrap_band_edges(spark):
+    """Null and NaN rows are skipped, a group with one x has no line; no rows for pairs and replicates in the plan."""
+    rows = [("g", float(k % 20), 2.0 * (k % 20) + k % 3) for k in range(400)] + [("one", 5.0, float(k)) for k in range(9)]
+    rows += [("g", None, 1.0), ("g", float("nan"), 1.0), ("g", 3.0, None), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(7)
+    band = R.regression_band(df, "x", "y", "g", replicates=100, grid=5)
+    got = band.collect()
+    assert {r["g"] for r in got} == {"g"} and len(got) == 5
+    assert "explode(sequence(0, 99" not in band._jdf.queryExecution().optimizedPlan().toString()
+    assert R.regression_band(df.where("false"), "x", "y", "g", replicates=10, grid=5).count() == 0
 
 
 def test_bng_centroid_of_rows_with_equal_keys(spark):

@@ -140,7 +140,10 @@ def test_phrases_when_slots_collide_and_batches_are_small(spark, monkeypatch):
     want = phrases_of(df, 30)
     assert want
     original = phrases.frequent_slots
-    monkeypatch.setattr(phrases, "frequent_slots", lambda docs, slots, least: np.full_like(original(docs, slots, least), 255))
+    monkeypatch.setattr(phrases, "frequent_slots", lambda *a: np.full_like(original(*a), 255))
+    assert phrases_of(df, 30) == want
+    monkeypatch.setattr(phrases, "frequent_slots", lambda *a: np.full_like(original(*a), 255) if len(a) > 3 else original(*a))
+    monkeypatch.setattr(phrases, "WALKS", 50)
     assert phrases_of(df, 30) == want
 
 

@@ -158,7 +158,7 @@ def _d(v: float) -> str:
 
 
 def projected_ring(ring: str) -> Column:
-    """X5 for every vertex of a ring of [lon, lat], inside the row: the steps of `with_bng` as one fold after the
+    """X5 for every vertex of a ring of [lon, lat] (SQL text), inside the row: the steps of `with_bng` as one fold after the
     other over the ring, each adding the values that the next ones use. Gives [e, n] points; NULL for NULL."""
     a, b, f0 = X.AIRY_A, X.AIRY_B, X.NG_F0
     e2, g2 = 1 - (b * b) / (a * a), 1 - (X.GRS80_B * X.GRS80_B) / (X.GRS80_A * X.GRS80_A)
@@ -180,7 +180,7 @@ def projected_ring(ring: str) -> Column:
          "n": f"{_d(X.NG_N0)} + v.m + v.d2 * v.nu * v.sp * (v.cp / 2 + v.d2 * power(v.cp, 3) / 24 * (5 - v.t2 + 9 * (v.ratio - 1)) + "
               "v.d2 * v.d2 * power(v.cp, 5) / 720 * (61 - 58 * v.t2 + v.t2 * v.t2))"},
     ]
-    out = f"`{ring}`"
+    out = ring
     for step in steps:
         out = f"transform({out}, v -> named_struct({', '.join(f'{name!r}, {value}' for name, value in step.items())}))"
     return F.expr(f"transform({out}, v -> array(v.e, v.n))")
@@ -190,5 +190,5 @@ def with_area_centroid_bng(df: DataFrame, ring: str, lat: str, lon: str) -> Data
     """Area-weighted centroid computed in the National Grid, returned on WGS84. All of it is arithmetic inside
     the row: the vertices are neither exploded nor shuffled, and nothing runs while the query is built."""
     own = [c for c in df.columns if c not in (lat, lon)]
-    df = with_area_centroid(df.withColumn("_pring", projected_ring(ring)), "_pring", "_ce", "_cn")
+    df = with_area_centroid(df.withColumn("_pring", projected_ring(f"`{ring}`")), "_pring", "_ce", "_cn")
     return with_wgs84(df, "_ce", "_cn", lat, lon).select(*[F.col(f"`{c}`") for c in own], lat, lon)

@@ -141,3 +141,42 @@ def kde_1d(df: DataFrame, x: str, by: str, gridsize: int = 200, bins_for_scale:
                        F.round(gx, digits).alias("x"),
                        F.round(density, digits).alias("density"),
                        F.round(density * scale, digits).alias("scaled"))
+
+
+def kde_error_bound(width: float, bandwidth: float) -> float:
+    """Largest error of a density from linear bins: width**2 / 8 times the largest second derivative of the kernel density,
+    which is that of the kernel at 0."""
+    return width * width / (8 * math.sqrt(2 * math.pi) * bandwidth**3)
+
+
+def kde_binned(df: DataFrame, x: str, by: str, gridsize: int = 200, bins: int = 4096, bins_for_scale: int | None = None,
+               digits: int = 6) -> DataFrame:
+    """H5 for many distinct values: as `kde_1d`, but each value's mass is split over the two nearest of `bins` + 1 equally
+    spaced points, in proportion to how near they are; the kernel sums then run over those points.
+
+    The work after the first partial aggregate is groups x bins x gridsize whatever the number of values. The density differs from
+    the exact one by at most `kde_error_bound(range / bins, bandwidth)`, also returned as `error`."""
+    v = df.select(F.col(by).alias("_g"), F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
+    rng = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).select(F.struct("lo", "hi")).scalar()
+    stats = v.groupBy("_g").agg(F.count("*").alias("_n"), F.stddev_samp("_x").alias("_sd"))
+    stats = stats.select("_g", "_n", (F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_bw"))
+    place = (F.col("_x") - F.col("_r.lo")) / (F.col("_r.hi") - F.col("_r.lo")) * F.lit(float(bins))
+    at = v.withColumn("_r", rng).where("_r.hi > _r.lo").select("_g", place.alias("_at"))
+    at = at.select("_g", "_at", F.least(F.floor("_at"), F.lit(bins - 1)).alias("_b"))
+    # counts and sums of the upper shares by bin: a partial aggregate on at most groups x bins keys
+    mass = at.groupBy("_g", "_b").agg(F.count("*").alias("_c"), F.sum(F.col("_at") - F.col("_b")).alias("_up"))
+    halves = F.explode(F.array(F.struct(F.col("_b").alias("b"), (F.col("_c") - F.col("_up")).alias("w")), F.struct((F.col("_b") + 1).alias("b"), F.col("_up").alias("w")))).alias("_h")
+    points = mass.select("_g", halves).groupBy("_g", F.col("_h.b").alias("_b")).agg(F.sum("_h.w").alias("_w")).where("_w > 0")
+    lo, span = F.col("_r.lo"), F.col("_r.hi") - F.col("_r.lo")
+    terms = points.join(stats.where(F.col("_bw") > 0), "_g").select("_g", "_w", "_b", "_bw", "_n", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("gi"))
+    terms = terms.withColumn("_r", rng)
+    z = (F.col("gi") / F.lit(float(gridsize - 1)) - F.col("_b") / F.lit(float(bins))) * span / F.col("_bw")
+    dens = terms.groupBy("_g", "gi", "_bw", "_n").agg(F.sum(F.col("_w") * F.exp(z * z * -0.5)).alias("_k")).withColumn("_r", rng)
+    density = F.col("_k") / (F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))
+    scale = F.col("_n").cast("double")
+    if bins_for_scale:
+        scale = scale * span / F.lit(float(bins_for_scale))
+    width = span / F.lit(float(bins))
+    error = width * width / (F.lit(8 * math.sqrt(2 * math.pi)) * F.col("_bw") * F.col("_bw") * F.col("_bw"))
+    return dens.select(F.col("_g").alias(by), F.col("gi").cast("int").alias("grid_index"), F.round(F.col("gi") * (span / F.lit(float(gridsize - 1))) + lo, digits).alias("x"),
+                       F.round(density, digits).alias("density"), F.round(density * scale, digits).alias("scaled"), error.alias("error"))

@@ -44,10 +44,9 @@ def _bbox_of_rings(rings: Column) -> Column:
                     F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
-#: Levels of halving that one step cuts a full cell by, the levels at which cells may be cut, and the
-#: largest number of cells that are cut at each level (what bounds the broadcast table).
+#: Levels of halving that one step cuts a full cell by (cells are cut twice at most), and the largest number of
+#: cells that are cut in each step (what bounds the broadcast table).
 STEP = 4
-CUT_LEVELS = (0, STEP)
 MOST_CUT = 30_000
 
 
@@ -96,49 +95,52 @@ def _size(level: str) -> str:
 
 
 def _full_cells(edges: DataFrame, most_edges: int) -> DataFrame:
-    """node (level, cx, cy) of the cells that hold the middles of more edges than they should."""
-    nodes = ", ".join(f"named_struct('level', {level}, 'cx', floor((e.x1 + e.x2) / 2 / {_size(level)}), 'cy', floor((e.y1 + e.y2) / 2 / {_size(level)}))" for level in CUT_LEVELS)
-    count = edges.selectExpr("_cell", "explode(_edges) as e").selectExpr(f"explode(array({nodes})) as node").groupBy("node").agg(F.count("*").alias("n"))
-    total = edges.agg(F.sum(F.size("_edges"))).scalar()
-    return count.where((F.col("n") > most_edges) & (F.col("n") > total / MOST_CUT)).select("node", F.lit(True).alias("_full"))
-
-
-_NODE = "_level = {0} and named_struct('level', {0}, 'cx', _cx, 'cy', _cy) = node"
+    """_fx, _fy of the largest cells that hold the middles of more edges than they should, and _sub, which of the
+    cells inside do so too (numbers below 4 ** STEP)."""
+    n = 1 << STEP
+    node = f"named_struct('l', {{0}}, 'x', floor((e.x1 + e.x2) / 2 / {_size('{0}')}), 'y', floor((e.y1 + e.y2) / 2 / {_size('{0}')}))"
+    count = (edges.selectExpr("_cell", "_total", "explode(_edges) as e").selectExpr("_total", f"explode(array({node.format(0)}, {node.format(STEP)})) as node")
+             .groupBy("node").agg(F.count("*").alias("n"), F.max("_total").alias("_total")))
+    full = count.where(f"n > {most_edges} and n > _total / {MOST_CUT}").selectExpr(
+        f"if(node.l = 0, node.x, floor(node.x / {n})) as _fx", f"if(node.l = 0, node.y, floor(node.y / {n})) as _fy",
+        f"if(node.l = 0, null, pmod(node.y, {n}) * {n} + pmod(node.x, {n})) as sub")
+    return full.groupBy("_fx", "_fy").agg(F.collect_list("sub").alias("_sub"))
 
 
-def _touched(rows: DataFrame, odd: str, edges: str) -> DataFrame:
+def _touched(rows: DataFrame, odd: str, edges: str, *also: str) -> DataFrame:
     """The rows whose polygon has something in the cell. As a generator: a filter would be pushed down with a copy of both expressions."""
-    return rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy",
+    return rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy", *also,
                            f"inline(filter(array(named_struct('_odd', {odd}, '_edges', {edges})), s -> s._odd or size(s._edges) > 0))")
 
 
-def _cut(cells: DataFrame, full: DataFrame, level: int) -> DataFrame:
-    """The full cells among the (polygon, cell) rows of this level, cut into 2 ** STEP by as many."""
+def _cut(rows: DataFrame, is_full: str, sub: str) -> DataFrame:
+    """The (polygon, cell) rows, full ones cut into 2 ** STEP by as many. sub: whether the new cell is full, by its number _child."""
     n = 1 << STEP
-    rows = cells.join(F.broadcast(full), F.expr(_NODE.format(level)), "left").selectExpr(
-        "_code", "_bb", "_cell", "_level", "_cx", "_cy", "_odd", "_edges", f"explode(if(_full, sequence(0, {n * n - 1}), array(-1))) as _child")
+    rows = rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy", "_odd", "_edges", "_sub", f"explode(if({is_full}, sequence(0, {n * n - 1}), array(-1))) as _child")
     rows = rows.selectExpr(
-        "_code", "_bb", "_cell", "_odd", "_edges", "_child < 0 as _old", f"if(_child < 0, _level, _level + {STEP}) as _level", f"if(_child < 0, _cx, _cx * {n} + _child % {n}) as _cx",
-        f"if(_child < 0, _cy, _cy * {n} + _child div {n}) as _cy", f"(_cx + 1) * {_size('_level')} as _outer")
+        "_code", "_bb", "_cell", "_odd", "_edges", "_sub", "_child < 0 as _old", f"if(_child < 0, _level, _level + {STEP}) as _level",
+        f"if(_child < 0, _cx, _cx * {n} + _child % {n}) as _cx", f"if(_child < 0, _cy, _cy * {n} + _child div {n}) as _cy", f"(_cx + 1) * {_size('_level')} as _outer",
+        f"coalesce(_child >= 0 and {sub}, false) as _full")
     rows = rows.selectExpr("*", f"(_cx + 1) * {_size('_level')} as _right", f"_cy * {_size('_level')} as _low", f"{_size('_level')} as _s", f"{_size('_level')} * 1e-6 as _pad")
     near = _near("_right - _s - _pad", "_right + _pad", "_low - _pad", "_low + _s + _pad")
-    rows = rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy", "_old", "_odd", "_right", "_low", f"if(_old, _edges, filter(_edges, e -> {near})) as _mine",
+    rows = rows.selectExpr("_code", "_bb", "_cell", "_level", "_cx", "_cy", "_old", "_odd", "_right", "_low", "_sub", "_full",
+                           f"if(_old, _edges, filter(_edges, e -> {near})) as _mine",
                            f"if(_old, null, {_inside_cell('_right', '_low', '_edges', '_odd', '_outer')}) as _corner")
-    return _touched(rows, f"if(_old, _odd, {_cell_parity('_corner', '_mine', '_right', '_low')})", "_mine")
+    return _touched(rows, f"if(_old, _odd, {_cell_parity('_corner', '_mine', '_right', '_low')})", "_mine", "_sub", "_full")
 
 
-def polygon_cells(polygons: DataFrame, code: str, rings: str, cell_size: float | Column | None = None, most_edges: int = 1000) -> tuple[DataFrame, DataFrame, Column]:
-    """The (polygon, cell) rows _code, _bb, _level, _cx, _cy, _odd, _edges; the cells that were cut; the largest cell's size."""
+def polygon_cells(polygons: DataFrame, code: str, rings: str, cell_size: float | None = None, most_edges: int = 1000) -> tuple[DataFrame, DataFrame, Column]:
+    """The (polygon, cell) rows _code, _bb, _level, _cx, _cy, _odd, _edges; the cells that were cut; the largest cell's size and the
+    number of edges, as a struct (cell, total)."""
     poly = polygons.select(F.col(code).alias("_code"), rings_of(polygons, rings).alias("_rings")).where(
         F.col("_code").isNotNull() & F.exists("_rings", lambda r: F.size(r) > 0))
     poly = poly.select("_code", _bbox_of_rings(F.col("_rings")).alias("_bb"), polygon_edges(F.col("_rings")).alias("_edges"))
-    if cell_size is None:
-        # Median polygon extent: about one to four cells per polygon.
-        ext = F.greatest(F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
-        cell = poly.select(F.coalesce(F.nullif(F.percentile_approx(ext, 0.5, 10000), F.lit(0.0)), F.nullif(F.max(ext), F.lit(0.0)), F.lit(1.0))).scalar()
-    else:
-        cell = F.lit(float(cell_size)) if not isinstance(cell_size, Column) else cell_size
-    poly = poly.withColumn("_cell", cell)  # once per side as a column (one subquery instance each)
+    # Median polygon extent: about one to four cells per polygon. One row, attached once per side as a column.
+    ext = F.greatest(F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
+    median = F.coalesce(F.nullif(F.percentile_approx(ext, 0.5, 10000), F.lit(0.0)), F.nullif(F.max(ext), F.lit(0.0)), F.lit(1.0))
+    cell = median if cell_size is None else F.lit(cell_size).cast("double")
+    stats = poly.select(F.struct(cell.alias("cell"), F.sum(F.size("_edges")).alias("total"))).scalar()
+    poly = poly.withColumn("_stats", stats).selectExpr("_code", "_bb", "_edges", "_stats.cell as _cell", "_stats.total as _total")
     full = _full_cells(poly, most_edges)
     pad = "_cell * 1e-6"
     rows = poly.selectExpr("_code", "_bb", "_edges", "_cell", f"explode(sequence(floor((_bb.miny - {pad}) / _cell), floor((_bb.maxy + {pad}) / _cell))) as _cy")
@@ -154,14 +156,37 @@ def polygon_cells(polygons: DataFrame, code: str, rings: str, cell_size: float |
     rows = rows.selectExpr("_code", "_bb", "_cell", "0 as _level", "_cx", "_cy", "_right", "_low", "size(filter(_line, x -> x > _right)) % 2 = 1 as _corner",
                            f"filter(_band, e -> {near}) as _edges")
     rows = _touched(rows, _cell_parity("_corner", "_edges", "_right", "_low"), "_edges")
-    for level in CUT_LEVELS:
-        rows = _cut(rows, full, level)
-    return rows.drop("_cell"), full, cell
+    rows = rows.join(F.broadcast(full), F.expr("_cx = _fx and _cy = _fy"), "left")
+    rows = _cut(_cut(rows, "_fx is not null", "array_contains(_sub, _child)"), "_full", "false")
+    return rows.drop("_cell", "_sub", "_full"), full, stats
+
+
+#: Reference systems that points can be brought to: longitude and latitude, and National Grid metres.
+WGS84, BNG = "EPSG:4326", "EPSG:27700"
+
+
+def reference_system(polygons: DataFrame, rings: str, default: str = WGS84) -> str:
+    """The reference system that the metadata of a polygon column name (see sources.readers.read_geojson)."""
+    return polygons.schema[rings].metadata.get("crs", default)
+
+
+def in_system(points: DataFrame, x: str, y: str, system: str, wanted: str, out_x: str, out_y: str) -> DataFrame:
+    """points with out_x, out_y: x, y as doubles, brought to the wanted reference system."""
+    from civiclens.operators.geometry import projected_ring, with_wgs84
+    if system == wanted:
+        return points.withColumns({out_x: F.col(x).cast("double"), out_y: F.col(y).cast("double")})
+    if (system, wanted) == (WGS84, BNG):
+        at = projected_ring(f"array(array(cast(`{x}` as double), cast(`{y}` as double)))")
+        return points.withColumn("_at", at).withColumns({out_x: F.col("_at")[0][0], out_y: F.col("_at")[0][1]}).drop("_at")
+    if (system, wanted) == (BNG, WGS84):
+        return with_wgs84(points, x, y, out_y, out_x)
+    raise ValueError(f"no way from {system} to {wanted}")
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                  code: str = "code", rings: str = "rings", out: str | None = None,
-                 cell_size: float | Column | None = None, strict: bool = True, most_edges: int = 1000) -> DataFrame:
+                 cell_size: float | None = None, strict: bool = True, most_edges: int = 1000,
+                 points_system: str = WGS84) -> DataFrame:
     """Every point row with the code of the polygon containing it (NULL if none;
     the smallest code if several). `rings` holds all rings of a polygon (outer ring,
     holes, other parts) or its parts, each with its rings; the even-odd rule over all of them handles
@@ -170,22 +195,27 @@ def spatial_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str
     strict=True is `within`: a point exactly on a polygon's boundary is not inside it. With
     strict=False the ray rule puts a point on a shared edge in one neighbour.
 
+    The points' reference system is `points_system`, the polygons' is in their column's metadata (none: the
+    points'). Where they differ the points are projected first (X5); x and y stay as they are.
+
     Nothing runs while the query is built. AQE measures the cell table and broadcasts it if it is
     small; otherwise the join stays a shuffle join on the cell, where AQE splits hot cells. A candidate list
     holds about `most_edges` edges, more only where that many meet in the smallest cell (1/256 of the
     largest)."""
     out = out or code
-    rows, full, cell = polygon_cells(polygons, code, rings, cell_size, most_edges)
+    rows, full, stats = polygon_cells(polygons, code, rings, cell_size, most_edges)
     cells = rows.groupBy("_level", "_cx", "_cy").agg(F.collect_list(F.struct("_code", "_bb", "_odd", "_edges")).alias("_cand"))
     at = lambda v, level: f"floor({v} / {_size(level)})"
     # points without a coordinate match nothing: they get cells of their own, one per input partition
-    pts = (points.withColumns({"_cell": cell, "_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")})
-           .selectExpr("*", "0 as _level", f"coalesce({at('_px', 0)}, {-(1 << 50)} - spark_partition_id()) as _cx", f"coalesce({at('_py', 0)}, {-(1 << 50)}) as _cy"))
     kept = [f"`{c}`" for c in points.columns]
-    for level in CUT_LEVELS:
-        pts = pts.join(F.broadcast(full), F.expr(_NODE.format(level)), "left").selectExpr(
-            *kept, "_cell", "_px", "_py", f"if(_full, {level + STEP}, _level) as _level", f"if(_full, {at('_px', level + STEP)}, _cx) as _cx",
-            f"if(_full, {at('_py', level + STEP)}, _cy) as _cy")
+    n = 1 << STEP
+    pts = in_system(points, x, y, points_system, reference_system(polygons, rings, points_system), "_px", "_py").withColumn("_stats", stats)
+    pts = pts.selectExpr(*kept, "_px", "_py", "_stats.cell as _cell").selectExpr(
+        "*", f"coalesce({at('_px', 0)}, {-(1 << 50)} - spark_partition_id()) as _x0", f"coalesce({at('_py', 0)}, {-(1 << 50)}) as _y0")
+    pts = pts.join(F.broadcast(full), F.expr("_x0 = _fx and _y0 = _fy"), "left").selectExpr(
+        *kept, "_px", "_py", "_cell", "_x0", "_y0",
+        f"case when _fx is null then 0 when array_contains(_sub, pmod({at('_py', STEP)}, {n}) * {n} + pmod({at('_px', STEP)}, {n})) then {2 * STEP} else {STEP} end as _level")
+    pts = pts.selectExpr(*kept, "_px", "_py", "_cell", "_level", f"if(_level = 0, _x0, {at('_px', '_level')}) as _cx", f"if(_level = 0, _y0, {at('_py', '_level')}) as _cy")
     joined = pts.join(cells, ["_level", "_cx", "_cy"], "left").selectExpr(*kept, "_px", "_py", "_cand", f"(_cx + 1) * {_size('_level')} as _right")
     inside = "_px >= c._bb.minx and _px <= c._bb.maxx and _py >= c._bb.miny and _py <= c._bb.maxy and " + _inside_cell(
         "_px", "_py", "c._edges", "c._odd", "_right")

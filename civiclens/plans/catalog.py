@@ -357,6 +357,12 @@ def kde_sentiment(spark, sf_dir):
     return H.kde_1d(fixtures(spark, sf_dir).comments, "sentiment_score", "stance", 200, bins_for_scale=40)
 
 
+@query
+def kde_sentiment_binned(spark, sf_dir):
+    b = H.kde_binned(fixtures(spark, sf_dir).comments, "sentiment_score", "stance", 200, bins=1024, bins_for_scale=40)
+    return b.select("stance", "grid_index", "x", "density", "scaled", _r("error", 9).alias("error"))
+
+
 def _top_named(spark, sf_dir, n):
     fx = fixtures(spark, sf_dir)
     freq = G.topic_frequency(FR.topic_lists(fx.comments_with_topics), fx.topic_names)

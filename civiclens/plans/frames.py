@@ -107,16 +107,19 @@ def census_features(age: DataFrame, occ: DataFrame, ten: DataFrame,
 
 
 def comment_lsoa_codes(comments: DataFrame, lsoa: DataFrame, census: DataFrame,
-                       code: str = "LSOA21CD", rings: str = "rings") -> DataFrame:
+                       code: str = "LSOA21CD", rings: str | None = None) -> DataFrame:
     """Boundaries restricted to census LSOAs (J7), comments joined to the containing
-    LSOA (J8): every comment row with `lsoa_code` (NULL when outside all)."""
+    LSOA (J8): every comment row with `lsoa_code` (NULL when outside all). The boundaries are as
+    `read_geojson` gives them (parts) or with all rings in `rings`; comments are projected when the boundaries'
+    reference system is another one."""
     from civiclens.operators.spatial import spatial_join
+    rings = rings or ("rings" if "rings" in lsoa.columns else "parts")
     polys = semi_join(lsoa, census, code, "lsoa_code")
     return spatial_join(comments, polys, x="lon", y="lat", code=code, rings=rings, out="lsoa_code")
 
 
 def comments_with_lsoa(comments: DataFrame, lsoa: DataFrame, census: DataFrame,
-                       code: str = "LSOA21CD", rings: str = "rings") -> DataFrame:
+                       code: str = "LSOA21CD", rings: str | None = None) -> DataFrame:
     """Q5 base frame: `comment_lsoa_codes` with the census shares attached."""
     return comment_lsoa_codes(comments, lsoa, census, code, rings).join(census, "lsoa_code", "left")
 

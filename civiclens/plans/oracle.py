@@ -451,6 +451,21 @@ SELECT g AS stance, CAST(gi AS INT) AS grid_index, ROUND(gx, 6) AS x,
   ROUND(k / (n * bw * SQRT(2 * PI())) * (n * ((SELECT hi FROM rng) - (SELECT lo FROM rng)) / 40e0), 6) AS scaled
 FROM k""")
 
+_add("kde_sentiment_binned", with_views("fx_comments") + """,
+v AS (SELECT stance AS g, sentiment_score AS x FROM fx_comments WHERE sentiment_score IS NOT NULL AND stance IS NOT NULL),
+rng AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM v),
+st AS (SELECT g, COUNT(*) AS n, STDDEV_SAMP(x) * POW(CAST(COUNT(*) AS DOUBLE), -2e-1) AS bw FROM v GROUP BY g),
+at AS (SELECT g, (x - lo) / (hi - lo) * 1024e0 AS at FROM v CROSS JOIN rng),
+split AS (SELECT g, LEAST(FLOOR(at), 1023) AS b, LEAST(FLOOR(at), 1023) + 1 - at AS w FROM at UNION ALL SELECT g, LEAST(FLOOR(at), 1023) + 1, at - LEAST(FLOOR(at), 1023) FROM at),
+p AS (SELECT g, lo + b * ((hi - lo) / 1024e0) AS x, SUM(w) AS w FROM split CROSS JOIN rng GROUP BY g, b, lo, hi),
+gp AS (SELECT gi, gi * ((hi - lo) / 199e0) + lo AS gx, hi - lo AS span FROM range(0, 200) t(gi) CROSS JOIN rng),
+k AS (SELECT p.g, gp.gi, MAX(gp.gx) AS gx, MAX(span) AS span, MAX(st.n) AS n, MAX(st.bw) AS bw, SUM(p.w * EXP(((gp.gx - p.x) / st.bw) * ((gp.gx - p.x) / st.bw) * -5e-1)) AS k
+      FROM p JOIN st ON p.g = st.g AND st.bw > 0 CROSS JOIN gp GROUP BY p.g, gp.gi)
+SELECT g AS stance, CAST(gi AS INT) AS grid_index, ROUND(gx, 6) AS x, ROUND(k / (n * bw * SQRT(2 * PI())), 6) AS density,
+  ROUND(k / (n * bw * SQRT(2 * PI())) * (n * span / 40e0), 6) AS scaled,
+  ROUND((span / 1024e0) * (span / 1024e0) / (8 * SQRT(2 * PI()) * bw * bw * bw), 9) AS error
+FROM k""")
+
 _add("box_sentiment_by_topic", with_views("fx_comments", "fx_topic_names") + f""", {_MENTIONS}, {_FREQ_BASE}, {_FREQ},
 top AS (SELECT topic_id, topic_group FROM freq WHERE rank < {K.TOP_TOPICS_BAR}),
 src AS (SELECT l.topic AS topic_id, c.sentiment_score FROM fx_topic_long l JOIN fx_comments c USING (comment_id)

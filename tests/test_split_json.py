@@ -5,7 +5,6 @@ import random
 
 import pytest
 
-from civiclens.plans import reports as Rp
 from civiclens.sources import split_json
 from civiclens.sources.readers import geojson_crs, read_geojson
 
@@ -82,3 +81,40 @@ def test_reference_system_of_the_file(spark, tmp_path):
         assert geojson_crs(spark, str(tmp_path / "a.geojson")) == crs
         assert read_geojson(spark, str(tmp_path / "a.geojson"), ["code"]).schema["parts"].metadata == {"crs": crs}
     assert read_geojson(spark, str(tmp_path / "a.geojson"), ["code"], crs="EPSG:27700").schema["parts"].metadata == {"crs": "EPSG:27700"}
+
+
+def square(lon, lat, size=0.01):
+    return [[lon, lat], [lon + size, lat], [lon + size, lat + size], [lon, lat + size], [lon, lat]]
+
+
+def test_boundaries_in_national_grid_give_the_codes_of_wgs84(spark, tmp_path):
+    """The demographic report on files as `read_geojson` reads them, in both reference systems."""
+    from civiclens.operators.geometry import with_bng
+    from civiclens.plans import reports as Rp
+    from civiclens.sources.fixtures import fixtures
+    from tests.conftest import SF_SMALL
+
+    codes = {f"E{i}{j}": square(-0.2 + 0.01 * i, 51.4 + 0.01 * j) for i in range(6) for j in range(6)}
+    corners = spark.createDataFrame([(c, k, *p) for c, ring in codes.items() for k, p in enumerate(ring)], "code string, k int, lon double, lat double")
+    grid = {}
+    for r in sorted(with_bng(corners, "lat", "lon").collect(), key=lambda r: (r["code"], r["k"])):
+        grid.setdefault(r["code"], []).append([r["bng_e"], r["bng_n"]])
+    rng = random.Random(4)
+    points = [(n, -0.2 + 0.01 * i + rng.uniform(0.001, 0.009), 51.4 + 0.01 * j + rng.uniform(0.001, 0.009)) for n, (i, j) in enumerate((i, j) for i in range(-1, 7) for j in range(-1, 7))]
+    comments = spark.createDataFrame([*points, (999, None, 51.4)], "comment_id long, lon double, lat double")
+    census = [spark.createDataFrame([(c, 100, 20, 10) for c in codes], f"`LSOA code` string, `{whole}` long, {a} long, {b} long") for whole, a, b in (
+        ("All usual residents", "age_50_69", "age_70_plus"), ("All usual residents aged 16 and over in employment", "occupation_1", "occupation_2_3"),
+        ("All Households", "owned_outright", "owned_mortgage"))]
+    got = {}
+    for name, rings in (("EPSG:4326", codes), ("EPSG:27700", grid)):
+        path = tmp_path / f"{name[5:]}.geojson"
+        path.write_text(json.dumps(collection([{"type": "Feature", "properties": {"LSOA21CD": c}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+                                               for c, ring in rings.items()], f"urn:ogc:def:crs:EPSG::{name[5:]}")))
+        inputs = Rp.Inputs.from_fixtures(fixtures(spark, SF_SMALL))
+        inputs.comments, inputs.lsoa = comments, read_geojson(spark, str(path), ["LSOA21CD"])
+        inputs.census_age, inputs.census_occupation, inputs.census_tenure = census
+        report = Rp.demographic_report(inputs)
+        got[name] = {r["comment_id"]: r["lsoa_code"] for r in report["comment_lsoa"].collect()}
+        assert report["lsoa_profile"].count() == 36
+    want = {n: next((c for c, ring in codes.items() if ring[0][0] < x < ring[2][0] and ring[0][1] < y < ring[2][1]), None) for n, x, y in points}
+    assert got["EPSG:4326"] == got["EPSG:27700"] == {**want, 999: None} and len(set(want.values())) == 37

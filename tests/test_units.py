@@ -429,3 +429,18 @@ def test_within_leaves_boundary_points_unmatched(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.0, 0.5), (3, 1.0, 1.0), (4, None, 0.5)], "id int, lon double, lat double")
     got = {r["id"]: r["code"] for r in spatial_join(pts, polys).collect()}
     assert got == {1: "s", 2: None, 3: None, 4: None}
+
+
+def test_binned_density_keeps_its_error_bound(spark):
+    rnd = random.Random(12)
+    rows = [("a", rnd.gauss(0, 1)) for _ in range(3000)] + [("a", 0.25)] * 1500 + [("b", rnd.uniform(-2, 4)) for _ in range(500)] + [("one", 1.0)] * 5 + [("a", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    exact = {(r["g"], r["grid_index"]): r for r in H.kde_1d(df, "x", "g", gridsize=50, digits=15).collect()}
+    for bins in (32, 256, 4096):
+        got = H.kde_binned(df, "x", "g", gridsize=50, bins=bins, digits=15).collect()
+        assert {(r["g"], r["grid_index"]) for r in got} == set(exact) and {r["g"] for r in got} == {"a", "b"}
+        for r in got:
+            want = exact[r["g"], r["grid_index"]]
+            assert abs(r["density"] - want["density"]) <= r["error"] + 1e-12 and r["x"] == pytest.approx(want["x"])
+    assert max(r["error"] for r in got) < 1e-4
+    assert H.kde_binned(df.where("x = 1"), "x", "g").count() == H.kde_binned(df.where("false"), "x", "g").count() == 0

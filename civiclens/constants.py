@@ -64,3 +64,5 @@ BOROUGH_LEGEND_TOP = 10
 EARTH_RADIUS_KM = 6371.0
 MAP_PAD_DEG = 0.04
 EXTENT_MARGIN_FRACTION = 0.05
+# FIXED VALUES -- planning authorities that are no boroughs but have labels on the map.
+EXTRA_LPAS = ["LLDC", "OPDC"]

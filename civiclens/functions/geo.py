@@ -52,92 +52,72 @@ def ring_vertex_mean(ring) -> Column:
     return F.struct(F.when(ok, sy / n).alias("lat"), F.when(ok, sx / n).alias("lon"))
 
 
-def ring_area_centroid(ring) -> Column:
-    """Planar area-weighted centroid of one ring by the shoelace formula.
+_TERMS = ("a", "sx", "sy", "l", "lx", "ly")
 
-    Coordinates are shifted by the first vertex before the products (precision).
-    Edges run i -> (i+1) mod n, so open and closed rings give the same answer.
-    Returns struct(x, y, area) with the signed area; NULL for a degenerate ring."""
-    r = _c(ring)
-    n = F.size(r)
-    x0, y0 = F.get(r, 0)[0], F.get(r, 0)[1]
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
 
-    def step(acc, i):
-        p, q = F.get(r, i), F.get(r, (i + 1) % n)
-        xi, yi = p[0] - x0, p[1] - y0
-        xj, yj = q[0] - x0, q[1] - y0
-        cross = xi * yj - xj * yi
-        return F.struct((acc["a"] + cross).alias("a"),
-                        (acc["sx"] + (xi + xj) * cross).alias("sx"),
-                        (acc["sy"] + (yi + yj) * cross).alias("sy"))
-
-    # Finished inside `aggregate`, so the traversal appears once (no field access on
-    # a copy of the whole expression per output field).
-    fin = lambda acc: F.when(acc["a"] != 0, F.struct(
-        (acc["sx"] / (acc["a"] * 3) + x0).alias("x"), (acc["sy"] / (acc["a"] * 3) + y0).alias("y"),
-        (acc["a"] / 2).alias("area")))
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, fin)
-    none = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
-                    F.lit(None).cast("double").alias("area"))
-    return F.coalesce(F.when(r.isNotNull() & (n >= 3), s), none)
-
-
-def ring_shoelace(ring) -> Column:
-    """Shoelace accumulators of one ring: struct(a, sx, sy, x0, y0, n); `ring` should be
-    a column reference (the expression is evaluated once). Finish with
-    `shoelace_centroid` on the materialised struct."""
+def ring_shoelace(ring, finish=None) -> Column:
+    """Sums over the edges of one ring: struct(a, sx, sy, l, lx, ly, x0, y0), or what `finish` makes of it inside the fold.
+    a, sx, sy: twice the area and its moments; l, lx, ly: length of the boundary and its moments; coordinates are
+    shifted by the first vertex (x0, y0) before the products (precision). Edges run i -> (i+1) mod n, so
+    open and closed rings give the same answer. `ring` should be a column reference."""
     r = _c(ring)
     n = F.size(r)
     x0, y0 = F.get(r, 0)[0], F.get(r, 0)[1]
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
 
     def step(acc, i):
         p, q = F.get(r, i), F.get(r, (i + 1) % n)
         xi, yi = p[0] - x0, p[1] - y0
         xj, yj = q[0] - x0, q[1] - y0
         cross = xi * yj - xj * yi
-        return F.struct((acc["a"] + cross).alias("a"),
-                        (acc["sx"] + (xi + xj) * cross).alias("sx"),
-                        (acc["sy"] + (yi + yj) * cross).alias("sy"))
+        length = F.sqrt((xj - xi) * (xj - xi) + (yj - yi) * (yj - yi))
+        add = (cross, (xi + xj) * cross, (yi + yj) * cross, length, (xi + xj) / 2 * length, (yi + yj) / 2 * length)
+        return F.struct(*[(acc[t] + v).alias(t) for t, v in zip(_TERMS, add, strict=True)])
 
     # The origin is added in the finish step, so the traversal appears once in the plan.
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step,
-                    lambda acc: F.struct(acc["a"].alias("a"), acc["sx"].alias("sx"), acc["sy"].alias("sy"),
-                                         x0.alias("x0"), y0.alias("y0")))
+    last = lambda acc: F.struct(*[acc[t].alias(t) for t in _TERMS], x0.alias("x0"), y0.alias("y0"))
+    s = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(*[F.lit(0.0).alias(t) for t in _TERMS]), step,
+                    (lambda acc: finish(last(acc))) if finish else last)
     return F.when(r.isNotNull() & (n >= 3), s)
 
 
 def shoelace_centroid(s) -> Column:
-    """struct(x, y, area) from a materialised `ring_shoelace` struct; NULL if degenerate."""
+    """struct(x, y, area) from a `ring_shoelace` struct: the area's centroid; for a ring without area that of its
+    boundary, and the point itself for a ring of one point. NULLs for NULL."""
     s = _c(s)
-    ok = s.isNotNull() & (s["a"] != 0)
-    return F.struct(F.when(ok, s["sx"] / (s["a"] * 3) + s["x0"]).alias("x"),
-                    F.when(ok, s["sy"] / (s["a"] * 3) + s["y0"]).alias("y"),
-                    F.when(ok, s["a"] / 2).alias("area"))
+    at = lambda v: F.when(s["a"] != 0, s[f"s{v}"] / (s["a"] * 3)).when(s["l"] > 0, s[f"l{v}"] / s["l"]).otherwise(F.lit(0.0)) + s[f"{v}0"]
+    return F.struct(at("x").alias("x"), at("y").alias("y"), (s["a"] / 2).alias("area"))
+
+
+def ring_area_centroid(ring) -> Column:
+    """struct(x, y, area, length, lx, ly) of one ring: `shoelace_centroid`, and the boundary's length and centroid."""
+    def finish(s):
+        line = lambda v: F.when(s["l"] > 0, s[f"l{v}"] / s["l"]).otherwise(F.lit(0.0)) + s[f"{v}0"]
+        c = shoelace_centroid(s)
+        return F.struct(c["x"].alias("x"), c["y"].alias("y"), c["area"].alias("area"), s["l"].alias("length"), line("x").alias("lx"), line("y").alias("ly"))
+    return ring_shoelace(ring, finish)
 
 
 def parts_area_centroid(parts) -> Column:
     """X4, multi-part: area-weighted centroid over parts -> rings -> points. In each
     part the first ring is the shell (weight +|area|) and the others are holes
-    (weight -|area|), whatever their winding. Returns struct(x, y, area)."""
+    (weight -|area|), whatever their winding. Without any area the boundaries' length-weighted centroid;
+    without length the mean of the rings' points. Returns struct(x, y, area); NULLs for no ring of 3 points."""
     def part_terms(part):
         return F.transform(part, lambda r, i: F.struct(
             ring_area_centroid(r).alias("c"), F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign")))
     terms = F.flatten(F.transform(_c(parts), part_terms))
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
+    names = (*_TERMS, "n", "px", "py")
 
     def add(acc, t):
-        w = F.coalesce(F.abs(t["c"]["area"]) * t["sign"], F.lit(0.0))
-        return F.struct((acc["a"] + w).alias("a"),
-                        (acc["sx"] + F.coalesce(t["c"]["x"] * w, F.lit(0.0))).alias("sx"),
-                        (acc["sy"] + F.coalesce(t["c"]["y"] * w, F.lit(0.0))).alias("sy"))
-
-    s = F.aggregate(terms, zero, add)
-    ok = s["a"] != 0
-    return F.struct(F.when(ok, s["sx"] / s["a"]).alias("x"), F.when(ok, s["sy"] / s["a"]).alias("y"),
-                    F.when(ok, s["a"]).alias("area"))
-
+        c = t["c"]
+        w, l, one = F.abs(c["area"]) * t["sign"], c["length"], F.lit(1.0)
+        new = (w, c["x"] * w, c["y"] * w, l, c["lx"] * l, c["ly"] * l, one, c["lx"], c["ly"])
+        return F.struct(*[(acc[k] + F.when(c.isNotNull(), v).otherwise(F.lit(0.0))).alias(k) for k, v in zip(names, new, strict=True)])
+
+    s = F.aggregate(terms, F.struct(*[F.lit(0.0).alias(k) for k in names]), add)
+    at = lambda v: (F.when(s["a"] != 0, s[f"s{v}"] / s["a"]).when(s["l"] > 0, s[f"l{v}"] / s["l"])
+                    .when(s["n"] > 0, s[f"p{v}"] / s["n"]))
+    return F.struct(at("x").alias("x"), at("y").alias("y"), F.when(s["n"] > 0, s["a"]).alias("area"))
 
 
 # --- X5: WGS84 (EPSG:4326) <-> British National Grid (EPSG:27700) ------------------

@@ -23,7 +23,7 @@ def _normalise_literal(text: Column) -> Column:
 
 def parse_int_list(col, missing_as_empty: bool = False) -> Column:
     """L1: '[1, -1, 22]' -> array<int>. Missing stays NULL unless `missing_as_empty`.
-    Malformed literals give NULL (count them with `col.isNotNull() & result.isNull()`)."""
+    Malformed literals give NULL (count them with `rejected`)."""
     parsed = F.from_json(_normalise_literal(_c(col)), "array<int>")
     return F.coalesce(parsed, F.array().cast("array<int>")) if missing_as_empty else parsed
 
@@ -33,6 +33,11 @@ def parse_double_list(col) -> Column:
     return F.from_json(_normalise_literal(F.regexp_replace(_c(col), r"\bnan\b", "0.0")), "array<double>")
 
 
+def rejected(text, parsed) -> Column:
+    """L1: a literal that is there but could not be parsed."""
+    return _c(text).isNotNull() & _c(parsed).isNull()
+
+
 def contains(list_col, value) -> Column:
     """A2: membership test; a missing list is False."""
     return F.coalesce(F.array_contains(_c(list_col), value), F.lit(False))

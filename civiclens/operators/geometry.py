@@ -20,7 +20,7 @@ def with_outer_ring(df: DataFrame, coords: str, out: str = "_ring") -> DataFrame
 
 
 def with_area_centroid(df: DataFrame, ring: str, x: str, y: str, area: str | None = None) -> DataFrame:
-    """Planar area centroid of the ring column (NULL for a degenerate ring)."""
+    """Planar area centroid of the ring column; of its boundary if it has no area. NULL for fewer than 3 points."""
     df = df.withColumn("_sl", X.ring_shoelace(F.col(ring))).withColumn("_ct", X.shoelace_centroid(F.col("_sl")))
     cols = {x: F.col("_ct.x"), y: F.col("_ct.y")}
     if area:

@@ -305,18 +305,26 @@ def borough_highlight_apps(spark, sf_dir):
 @query(name="coverage_report")
 def coverage_report_borough(spark, sf_dir):
     b = _borough(spark, sf_dir)
-    c = b["comments"]
-    rep = coverage_report(c, {
-        "with_coordinates": F.col("lat").isNotNull() & F.col("lon").isNotNull(),
-        "with_topic": F.col("primary_topic").isNotNull(),
-        "with_highlight": F.col("is_highlight"),
-        "linkable": F.col("lat").isNotNull() & F.col("lon").isNotNull()
-        & F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()})
-    return rep.select(F.col("n_rows").alias("n_comments"), "with_coordinates", "with_topic", "with_highlight",
-                      "linkable",
-                      b["apps"].select(F.count("*")).scalar().alias("apps_all"),
-                      b["apps_commented"].select(F.count("*")).scalar().alias("apps_commented"),
-                      b["apps_highlight"].select(F.count("*")).scalar().alias("apps_highlight"))
+    return FR.borough_coverage(b["comments"], b["apps"])
+
+
+@query
+def borough_highlight_edges(spark, sf_dir):
+    """Edges of the highlighted-topic map."""
+    e = S.comment_application_edges(_borough(spark, sf_dir)["comments"].where("is_highlight"))
+    return e.select("comment_id", _r("lat").alias("lat"), _r("lon").alias("lon"),
+                    _r("centroid_lat").alias("centroid_lat"), _r("centroid_lon").alias("centroid_lon"))
+
+
+@query
+def borough_highlight_legend(spark, sf_dir):
+    return FR.highlight_legend(_borough(spark, sf_dir)["comments"])
+
+
+@query
+def map_extent(spark, sf_dir):
+    """The extent of a map's boundary with the fixed margin in degrees."""
+    return S.padded_extent(S.extent(fixtures(spark, sf_dir).lsoa, "rings"), pad=K.MAP_PAD_DEG)
 
 
 # -- distributions -----------------------------------------------------------------------

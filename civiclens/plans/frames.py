@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from civiclens import constants as K
 from civiclens.functions.geo import haversine_km
 from civiclens.operators import geometry as GM
-from civiclens.functions.lists import contains, parse_double_list, parse_int_list, primary_topic
+from civiclens.functions.lists import contains, parse_double_list, parse_int_list, primary_topic, rejected
 from civiclens.functions.scalar import percent, row_sum
-from civiclens.operators.relational import exists_flag, keep_first, lookup, semi_join
+from civiclens.operators.relational import coverage_report, exists_flag, keep_first, lookup, semi_join, union_fill
 
 COORDS = "`wgs84_polygon.coordinates`"
 
@@ -134,8 +134,9 @@ def borough_frames(comments: DataFrame, pld: DataFrame, topic_text: DataFrame, n
     bp = pld.where(F.col("borough") == F.lit(borough))
     apps = application_centroids(bp, "vertex_mean").select("lpa_app_no", "centroid_lat", "centroid_lon")
     bc = bc.join(apps.withColumnRenamed("lpa_app_no", "_a"), F.col("application_id") == F.col("_a"), "left").drop("_a")
-    ct = topic_text.select("comment_id", parse_int_list("topic_number", missing_as_empty=True).alias("topic_list"))
-    ct = ct.select("comment_id", "topic_list", primary_topic("topic_list").alias("primary_topic"))
+    ct = topic_text.select("comment_id", "topic_number", parse_int_list("topic_number").alias("_parsed"))
+    ct = ct.select("comment_id", rejected("topic_number", "_parsed").alias("topic_rejected"), F.coalesce("_parsed", F.array().cast("array<int>")).alias("topic_list"))
+    ct = ct.select("comment_id", "topic_rejected", "topic_list", primary_topic("topic_list").alias("primary_topic"))
     bc = bc.join(ct, "comment_id", "left")
     bc = lookup(bc, "primary_topic", names, "topic_id", {"color": "topic_color", "topic_group": "topic_label"},
                 {"topic_color": F.lit(K.UNCLASSIFIED_COLOR), "topic_label": F.lit(K.UNCLASSIFIED_LABEL)})
@@ -146,3 +147,28 @@ def borough_frames(comments: DataFrame, pld: DataFrame, topic_text: DataFrame, n
     linked = bc.na.drop(subset=["lat", "lon", "centroid_lat", "centroid_lon"])
     return {"comments": bc, "apps": apps, "apps_commented": commented,
             "apps_highlight": highlight_apps, "linked": linked}
+
+
+def borough_coverage(comments: DataFrame, apps: DataFrame) -> DataFrame:
+    """G11 of the borough maps in one aggregate: a borough's comments and, of its applications, all, those with
+    comments and those with highlighted ones."""
+    place = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    app_place = F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()
+    c = comments.select(F.lit(True).alias("comment"), place.alias("place"), F.col("primary_topic").isNotNull().alias("topic"), F.col("is_highlight").alias("highlight"),
+                        (place & app_place).alias("linkable"))
+    per_app = comments.where(F.col("application_id").isNotNull()).groupBy("application_id").agg(F.max("is_highlight").alias("app_highlight"))
+    a = apps.select("lpa_app_no").join(per_app, F.col("lpa_app_no") == F.col("application_id"), "left")
+    a = a.select(F.lit(True).alias("app"), F.col("application_id").isNotNull().alias("app_commented"), "app_highlight")
+    counted = coverage_report(union_fill(c, a), {k: F.col(v) for k, v in (
+        ("n_comments", "comment"), ("with_coordinates", "place"), ("with_topic", "topic"), ("with_highlight", "highlight"), ("linkable", "linkable"),
+        ("apps_all", "app"), ("apps_commented", "app_commented"), ("apps_highlight", "app_highlight"))})
+    return counted.drop("n_rows")
+
+
+def highlight_legend(comments: DataFrame) -> DataFrame:
+    """Counts in the legend of the highlighted-topic map: comments with a place, highlighted ones, those of them
+    with an application's place, others."""
+    has = comments.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    mark = F.coalesce("is_highlight", F.lit(False))
+    linked = mark & F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()
+    return coverage_report(has, {"highlighted": mark, "highlighted_linked": linked, "others": ~mark})

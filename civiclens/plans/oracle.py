@@ -53,13 +53,13 @@ edges AS (
   WHERE p.valid
   WINDOW w AS (PARTITION BY v.lpa_app_no, v.borough, v.src_ord ORDER BY v.pos)),
 shoelace AS (
-  SELECT lpa_app_no, borough, src_ord, SUM(xi * yj - xj * yi) AS a,
+  SELECT lpa_app_no, borough, src_ord, SUM(xi * yj - xj * yi) AS a, SUM(len) AS l, SUM((xi + xj) / 2 * len) AS lx, SUM((yi + yj) / 2 * len) AS ly,
     SUM((xi + xj) * (xi * yj - xj * yi)) AS sx, SUM((yi + yj) * (xi * yj - xj * yi)) AS sy,
     MAX(x0) AS x0, MAX(y0) AS y0
-  FROM edges GROUP BY 1, 2, 3),
+  FROM (SELECT *, SQRT((xj - xi) * (xj - xi) + (yj - yi) * (yj - yi)) AS len FROM edges) e GROUP BY 1, 2, 3),
 area_c AS (
-  SELECT lpa_app_no, borough, src_ord, CASE WHEN a <> 0 THEN sx / (a * 3) + x0 END AS cx,
-    CASE WHEN a <> 0 THEN sy / (a * 3) + y0 END AS cy, CASE WHEN a <> 0 THEN a / 2 END AS area
+  SELECT lpa_app_no, borough, src_ord, CASE WHEN a <> 0 THEN sx / (a * 3) WHEN l > 0 THEN lx / l ELSE 0 END + x0 AS cx,
+    CASE WHEN a <> 0 THEN sy / (a * 3) WHEN l > 0 THEN ly / l ELSE 0 END + y0 AS cy, a / 2 AS area
   FROM shoelace)"""
 CENTROID_LOOKUP = """cl AS (
   SELECT lpa_app_no, borough, cy AS centroid_lat, cx AS centroid_lon FROM (
@@ -406,6 +406,20 @@ SELECT COUNT(*) AS n_comments,
   (SELECT COUNT(*) FROM bapps WHERE lpa_app_no IN (SELECT application_id FROM bc WHERE is_highlight AND application_id IS NOT NULL)) AS apps_highlight
 FROM bc""")
 
+_add("borough_highlight_edges", _BVIEWS + _BOROUGH + """
+SELECT comment_id, ROUND(lat, 6) AS lat, ROUND(lon, 6) AS lon, ROUND(centroid_lat, 6) AS centroid_lat, ROUND(centroid_lon, 6) AS centroid_lon
+FROM bc WHERE is_highlight AND lat IS NOT NULL AND lon IS NOT NULL AND centroid_lat IS NOT NULL AND centroid_lon IS NOT NULL""")
+
+_add("borough_highlight_legend", _BVIEWS + _BOROUGH + """
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE is_highlight) AS highlighted,
+  COUNT(*) FILTER (WHERE is_highlight AND centroid_lat IS NOT NULL AND centroid_lon IS NOT NULL) AS highlighted_linked,
+  COUNT(*) FILTER (WHERE NOT COALESCE(is_highlight, FALSE)) AS others
+FROM bc WHERE lat IS NOT NULL AND lon IS NOT NULL""")
+
+_add("map_extent", with_views("fx_lsoa") + f", {_LSOA_EXT}\n" + """
+SELECT ROUND(minx, 6) AS minx, ROUND(miny, 6) AS miny, ROUND(maxx, 6) AS maxx, ROUND(maxy, 6) AS maxy, 4e-2 AS x_margin, 4e-2 AS y_margin,
+  ROUND(minx - 4e-2, 6) AS xlim_lo, ROUND(maxx + 4e-2, 6) AS xlim_hi, ROUND(miny - 4e-2, 6) AS ylim_lo, ROUND(maxy + 4e-2, 6) AS ylim_hi FROM ext""")
+
 # -- distributions -----------------------------------------------------------------------
 _add("describe_distance", DIST_VIEWS + f""", {POLY}, {CENTROID_LOOKUP}, {DIST}
 SELECT COUNT(distance_km) AS count, ROUND(AVG(distance_km), 6) AS mean, ROUND(STDDEV_SAMP(distance_km), 6) AS std,
@@ -455,8 +469,8 @@ _add("kde_sentiment_binned", with_views("fx_comments") + """,
 v AS (SELECT stance AS g, sentiment_score AS x FROM fx_comments WHERE sentiment_score IS NOT NULL AND stance IS NOT NULL),
 rng AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM v),
 st AS (SELECT g, COUNT(*) AS n, STDDEV_SAMP(x) * POW(CAST(COUNT(*) AS DOUBLE), -2e-1) AS bw FROM v GROUP BY g),
-at AS (SELECT g, (x - lo) / (hi - lo) * 1024e0 AS at FROM v CROSS JOIN rng),
-split AS (SELECT g, LEAST(FLOOR(at), 1023) AS b, LEAST(FLOOR(at), 1023) + 1 - at AS w FROM at UNION ALL SELECT g, LEAST(FLOOR(at), 1023) + 1, at - LEAST(FLOOR(at), 1023) FROM at),
+pl AS (SELECT g, (x - lo) / (hi - lo) * 1024e0 AS z FROM v CROSS JOIN rng),
+split AS (SELECT g, LEAST(FLOOR(z), 1023) AS b, LEAST(FLOOR(z), 1023) + 1 - z AS w FROM pl UNION ALL SELECT g, LEAST(FLOOR(z), 1023) + 1, z - LEAST(FLOOR(z), 1023) FROM pl),
 p AS (SELECT g, lo + b * ((hi - lo) / 1024e0) AS x, SUM(w) AS w FROM split CROSS JOIN rng GROUP BY g, b, lo, hi),
 gp AS (SELECT gi, gi * ((hi - lo) / 199e0) + lo AS gx, hi - lo AS span FROM range(0, 200) t(gi) CROSS JOIN rng),
 k AS (SELECT p.g, gp.gi, MAX(gp.gx) AS gx, MAX(span) AS span, MAX(st.n) AS n, MAX(st.bw) AS bw, SUM(p.w * EXP(((gp.gx - p.x) / st.bw) * ((gp.gx - p.x) / st.bw) * -5e-1)) AS k

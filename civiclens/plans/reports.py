@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclens import constants as K
+from civiclens.functions.lists import rejected
 from civiclens.functions.scalar import area_class, sign_class, slug
 from civiclens.operators import aggregates as G
 from civiclens.operators import histograms as H
 from civiclens.operators import quantiles as Qn
 from civiclens.operators import regression as R
 from civiclens.operators import spatial as S
-from civiclens.operators.relational import coverage_report, distinct_values, lookup, semi_join
+from civiclens.operators.relational import coverage_report, distinct_values, filter_in, lookup, semi_join
 from civiclens.plans import frames as FR
-from civiclens.tables import stored
-from civiclens.sources.sinks import write_result
+from civiclens.tables import counted, stored
+from civiclens.sources.sinks import publish
 
 
 @dataclass
@@ -39,7 +40,8 @@ class Inputs:
     census_age: DataFrame | None = None
     census_occupation: DataFrame | None = None
     census_tenure: DataFrame | None = None
-    lad: DataFrame | None = None           # LAD24NM, parts (read_geojson; boundary map, Q1)
+    lad: DataFrame | None = None           # LAD24NM, parts (read_geojson; boundary maps of Q1 and Q6)
+    lpa: DataFrame | None = None           # new_lpa_names, parts (read_geojson; extra authorities of Q1)
     inner: Sequence[str] = field(default_factory=lambda: list(K.INNER_LONDON_BOROUGHS))
     census_cols: dict = field(default_factory=dict)   # overrides for FR.census_features
 
@@ -47,7 +49,7 @@ class Inputs:
     def from_fixtures(cls, fx) -> "Inputs":
         from civiclens.sources.fixtures import FIXTURE_INNER
         return cls(fx.comments, fx.comments_with_topics, fx.topic_names, fx.pld, fx.applications, fx.lsoa,
-                   fx.census_age, fx.census_occupation, fx.census_tenure, None, FIXTURE_INNER,
+                   fx.census_age, fx.census_occupation, fx.census_tenure, None, None, FIXTURE_INNER,
                    {"age_cols": ["age_50_69", "age_70_plus"], "occ_cols": ["occupation_1", "occupation_2_3"], "own_cols": ["owned_outright", "owned_mortgage"]})
 
 
@@ -79,13 +81,16 @@ def descriptive_report(i: Inputs) -> dict[str, DataFrame]:
                              .select("LAD24NM", "london_area", "centroid_x", "centroid_y", "side", "rank",
                                      "n_side", "label_x", "label_y"))
         out["lad_extent"] = S.padded_extent(ext, margin_fraction=K.EXTENT_MARGIN_FRACTION)
+    if i.lpa is not None:
+        extra = filter_in(i.lpa, "new_lpa_names", K.EXTRA_LPAS)
+        out["lpa_labels"] = S.area_centroids(extra, "parts", parts=True).select("new_lpa_names", "centroid_x", "centroid_y")
     return out
 
 
 def topic_report(i: Inputs) -> dict[str, DataFrame]:
     """Q2: topic frequency (all, inner/outer, by housing type), pies, sentiment by
     topic, co-occurrence. The parsed lists are materialised once for all of them."""
-    t = stored(FR.topic_lists(i.comments_with_topics))
+    t, rejects = counted(FR.topic_lists(i.comments_with_topics), "topics", rejected_topics=rejected("topic_number", "topic_list"))
     names = i.topic_names
     freq = G.topic_frequency(t, names)
     top20 = freq.where(F.col("rank") < K.TOP_TOPICS_BAR).select("topic_id")
@@ -99,6 +104,7 @@ def topic_report(i: Inputs) -> dict[str, DataFrame]:
         "sentiment_by_topic": Qn.box_stats(m, "sentiment_score", ["topic_id"]).join(
             names.select("topic_id", "topic_group"), "topic_id"),
         "topic_cooccurrence": G.topic_cooccurrence(t, names),
+        "rejects": rejects,
     }
 
 
@@ -120,9 +126,9 @@ def sentiment_report(i: Inputs) -> dict[str, DataFrame]:
 def distance_report(i: Inputs, centroid_method: str = "bng") -> dict[str, DataFrame]:
     """Q4: commenter-application distances and their distributions. The distance
     frame is materialised once and every distribution reads it."""
-    d = stored(FR.comment_distances(
+    d, rejects = counted(FR.comment_distances(
         i.comments, i.comments_with_topics.select("comment_id", "topic_number", "probability"),
-        i.pld, centroid_method))
+        i.pld, centroid_method), "distances", rejected_topics=rejected("topic_number", "topic_list"), rejected_probabilities=rejected("probability", "prob_list"))
     top = G.top_topics(d, K.TOP_TOPICS_DISTANCE).select(F.col("topic").alias("topic_id"))
     m = d.select("distance_km", F.explode(F.array_distinct("topic_list")).alias("topic_id")) \
          .join(F.broadcast(top), "topic_id")
@@ -138,6 +144,7 @@ def distance_report(i: Inputs, centroid_method: str = "bng") -> dict[str, DataFr
         "distance_by_topic": by_topic,
         "distance_by_housing_type": Qn.box_stats(d.where(F.col("housing_type").isNotNull()), "distance_km",
                                                  ["housing_type"]),
+        "rejects": rejects,
     }
 
 
@@ -171,34 +178,38 @@ def demographic_report(i: Inputs) -> dict[str, DataFrame]:
     }
 
 
-def borough_report(i: Inputs, borough: str, topic_id: int) -> dict[str, DataFrame]:
-    """Q6: the four borough maps' tables and legend counts."""
+def borough_report(i: Inputs, borough: str, topic_id: int, highlight: str | None = None) -> dict[str, DataFrame]:
+    """Q6: the four borough maps' tables and legend counts. highlight: the colour of the highlighted topic (its own
+    without one). The maps' extent needs the boundaries `lad`."""
     b = FR.borough_frames(i.comments, i.pld, i.comments_with_topics.select("comment_id", "topic_number"),
                           i.topic_names, borough, topic_id)
-    bc = stored(b["comments"])
+    bc, rejects = counted(b["comments"], "borough", rejected_topics=F.coalesce("topic_rejected", F.lit(False)))
     has = bc.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     # One row (a global aggregate): the topic's label and colour, or the fallbacks.
     hit = F.col("topic_id") == topic_id
+    color = F.coalesce(F.max(F.when(hit, F.col("color"))), F.lit(K.HIGHLIGHT_FALLBACK_COLOR)) if highlight is None else F.lit(highlight)
     label = i.topic_names.agg(
-        F.coalesce(F.max(F.when(hit, F.col("topic_group"))), F.lit(f"topic {topic_id}")).alias("topic_group"),
-        F.coalesce(F.max(F.when(hit, F.col("color"))), F.lit(K.HIGHLIGHT_FALLBACK_COLOR)).alias("color"))
+        F.coalesce(F.max(F.when(hit, F.col("topic_group"))), F.lit(f"topic {topic_id}")).alias("topic_group"), color.alias("color"))
     key = slug(F.lit(borough))
-    return {
+    out = {
         "comment_application_graph": S.comment_application_edges(bc),
         "comment_topics_map": has.select("comment_id", "lat", "lon", "primary_topic", "topic_label", "topic_color"),
         "comment_topics_legend": G.borough_topic_legend(has),
         "highlight_map": has.select("comment_id", "lat", "lon", "is_highlight", "centroid_lat", "centroid_lon"),
+        "highlight_edges": S.comment_application_edges(bc.where("is_highlight")).select("comment_id", "lat", "lon", "centroid_lat", "centroid_lon"),
+        "highlight_legend": FR.highlight_legend(bc),
         "applications_map": b["apps_highlight"],
         "applications_commented": b["apps_commented"],
         "highlight_topic": label.select(F.lit(topic_id).alias("topic_id"), key.alias("slug"), "color", "topic_group"),
-        "coverage": coverage_report(bc, {
-            "with_coordinates": F.col("lat").isNotNull() & F.col("lon").isNotNull(),
-            "with_topic": F.col("primary_topic").isNotNull(),
-            "with_highlight": F.col("is_highlight"),
-            "linkable": F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("centroid_lat").isNotNull()}),
+        "coverage": FR.borough_coverage(bc, b["apps"]),
+        "rejects": rejects,
     }
+    if i.lad is not None:
+        own = i.lad.where(F.col("LAD24NM") == borough).withColumn("_rings", F.flatten("parts"))
+        out["map_extent"] = S.padded_extent(S.extent(own, "_rings"), pad=K.MAP_PAD_DEG)
+    return out
 
 
 def write_report(frames: dict[str, DataFrame], results_dir: str, prefix: str = "") -> dict[str, str]:
-    """K1: write every table of a report under results_dir (Parquet)."""
-    return {name: write_result(df, results_dir, prefix + name) for name, df in frames.items()}
+    """K1: publish the tables of a report under results_dir (Parquet), all at once (sources.sinks)."""
+    return publish(frames, results_dir, prefix or "report", prefix)

@@ -34,8 +34,8 @@ FROM customer JOIN nation ON (c_nationkey + 1) % 25 = n_nationkey WHERE c_custke
 """,
     "fx_vertex": """
 SELECT p.lpa_app_no, p.borough, p.src_ord, t.pos,
-  -5e-1 + ((p.k * 37) % 1000) * 8e-4 + t.dx * 1e-3 * (1 + p.k % 5) AS x,
-  513e-1 + ((p.k * 53) % 1000) * 4e-4 + t.dy * 6e-4 * (1 + p.k % 3) AS y
+  -5e-1 + ((p.k * 37) % 1000) * 8e-4 + CASE WHEN p.k % 31 = 5 THEN 0e0 ELSE t.dx END * 1e-3 * (1 + p.k % 5) AS x,
+  513e-1 + ((p.k * 53) % 1000) * 4e-4 + CASE WHEN p.k % 31 = 5 OR p.k % 29 = 3 THEN 0e0 ELSE t.dy END * 6e-4 * (1 + p.k % 3) AS y
 FROM fx_pld p CROSS JOIN (VALUES (0, 0e0, 0e0), (1, 1e0, 0e0), (2, 1e0, 1e0), (3, 3e-1, 15e-1), (4, 0e0, 0e0)) AS t(pos, dx, dy)
 WHERE p.k % 20 <> 0 AND NOT (p.k % 41 = 0 AND t.pos > 1)
 """,
@@ -226,8 +226,8 @@ class Fixtures:
         the vertices; `fx_vertex` remains the oracle's long form."""
         pts = []
         for pos, (dx, dy) in enumerate(VERTEX_OFFSETS):
-            x = F.expr(f"-5e-1 + ((k * 37) % 1000) * 8e-4 + {dx} * 1e-3 * (1 + k % 5)")
-            y = F.expr(f"513e-1 + ((k * 53) % 1000) * 4e-4 + {dy} * 6e-4 * (1 + k % 3)")
+            x = F.expr(f"-5e-1 + ((k * 37) % 1000) * 8e-4 + CASE WHEN k % 31 = 5 THEN 0e0 ELSE {dx} END * 1e-3 * (1 + k % 5)")
+            y = F.expr(f"513e-1 + ((k * 53) % 1000) * 4e-4 + CASE WHEN k % 31 = 5 OR k % 29 = 3 THEN 0e0 ELSE {dy} END * 6e-4 * (1 + k % 3)")
             keep = F.expr(f"NOT (k % 41 = 0 AND {pos} > 1)")
             pts.append(F.when(keep, F.array(x, y)))
         ring = F.filter(F.array(*pts), lambda p: p.isNotNull())

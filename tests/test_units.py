@@ -444,3 +444,18 @@ def test_binned_density_keeps_its_error_bound(spark):
             assert abs(r["density"] - want["density"]) <= r["error"] + 1e-12 and r["x"] == pytest.approx(want["x"])
     assert max(r["error"] for r in got) < 1e-4
     assert H.kde_binned(df.where("x = 1"), "x", "g").count() == H.kde_binned(df.where("false"), "x", "g").count() == 0
+
+
+def test_centroids_without_area(spark):
+    """A line gives the centroid of its boundary, a single point itself; nothing is lost."""
+    line = [[0.0, 0.0], [4.0, 0.0], [4.0, 0.0], [1.0, 0.0], [0.0, 0.0]]
+    bent = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 0.0]]
+    point = [[3.0, 1.0]] * 4
+    df = spark.createDataFrame([("line", line), ("bent", bent), ("point", point), ("short", [[1.0, 1.0], [2.0, 2.0]]), ("none", None)], "k string, r array<array<double>>")
+    got = {r["k"]: (r["x"], r["y"], r["area"]) for r in GM.with_area_centroid(df, "r", "x", "y", "area").collect()}
+    assert got == {"line": (2.0, 0.0, 0.0), "bent": (1.5, 0.5, 0.0), "point": (3.0, 1.0, 0.0), "short": (None,) * 3, "none": (None,) * 3}
+    parts = spark.createDataFrame([("lines", [[line], [[[10.0, 0.0], [12.0, 0.0], [12.0, 0.0]]]]), ("points", [[point], [[[5.0, 5.0]] * 3]]),
+                                   ("mixed", [[line], [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]]]), ("none", [])], "k string, p array<array<array<array<double>>>>")
+    got = {r["k"]: tuple(r["c"]) for r in parts.select("k", X.parts_area_centroid("p").alias("c")).collect()}
+    # lengths 8 at x = 2 and 4 at x = 11
+    assert got == {"lines": (5.0, 0.0, 0.0), "points": (4.0, 3.0, 0.0), "mixed": (1.0, 1.0, 4.0), "none": (None, None, None)}

@@ -2,60 +2,70 @@
 
 Everything follows from the distinct (group, value) pairs and how often each occurs. Counting
 them is a partial aggregate, so a value that a third of all rows share is one row per task before
-the shuffle, and later one row in all. The pairs are range-partitioned on (group, value) -- a
-group with many distinct values is cut across partitions, and no value weighs more than another --
-and written to the shared folder with the number of their range. A small table of totals per
-(range, group) turns running counts within a range into ranks of the whole group.
+the shuffle, and later one row in all. All further steps read that one shuffle (the plan's exchange
+is reused), and nothing runs while the query is built.
+
+Order statistics are selected by a histogram whose parts are known beforehand: the logarithm of a value's size, cut into PARTS to
+the factor 2, with its sign. Counts of the parts tell which hold the wanted ranks, and only the values of those
+are put in order. A group has as many parts as its values' orders of magnitude need (some hundred thousand at most, whatever its
+rows), so no group is sorted in one task; only values that all lie within a few parts per hundred thousand of each other are.
 
 Interpolation is linear between the order statistics at floor and ceil of
-q * (n - 1), as numpy's default `percentile` and DuckDB's `quantile_cont`.
+q * (n - 1), as numpy's default `percentile` and DuckDB's `quantile_cont`. NULL and NaN are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.tables import stored
+#: Parts of a factor of 2.
+PARTS = 16384
 
 
-def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Distinct values of each group: (by..., _x, _c, _to, _n), with _c the rows that hold the
-    value, _to the rows of the group up to and with it, and _n all rows of the group."""
-    keys = list(by)
-    pairs = (df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-             .groupBy(*keys, "_x").agg(F.count("*").alias("_c")))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stored(pairs.repartitionByRange(parts, *keys, "_x").withColumn("_p", F.spark_partition_id()), "quantile-pairs")
-    # One row for each range that a group spans.
-    totals = pairs.groupBy(*keys, "_p").agg(F.sum("_c").alias("_t"))
-    whole = Window.partitionBy(*keys)
-    totals = totals.select(*keys, "_p", F.sum("_t").over(whole).alias("_n"), (F.sum("_t").over(
-        whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_before"))
-    same = F.col("_p") == F.col("_p2")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    totals = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_p").alias("_p2"), "_n", "_before")
-    running = F.sum("_c").over(Window.partitionBy("_p", *keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    return (pairs.withColumn("_in", running).join(totals, same)
-            .select(*keys, "_x", "_c", (F.col("_before") + F.col("_in")).alias("_to"), "_n"))
-
-
-def _quantile_aggs(probs: Sequence[float], names: Sequence[str]) -> tuple[list, list]:
-    """Aggregates picking the order statistics around each q*(n-1), and the
-    interpolation expressions over their results."""
-    holds = lambda rank: (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
-    aggs, outs = [], []
-    for i, (p, nm) in enumerate(zip(probs, names)):
-        ps = F.lit(float(p)) * (F.col("_n") - 1)
-        aggs.append(F.max(F.when(holds(F.floor(ps)), F.col("_x"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(holds(F.ceil(ps)), F.col("_x"))).alias(f"_hi{i}"))
-        aggs.append(F.first(ps - F.floor(ps)).alias(f"_fr{i}"))
-        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
-        outs.append((nm, lo + (hi - lo) * fr))
-    return aggs, outs
+def _pairs(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Distinct values of each group: _key (struct of the group's columns), _x, and _c, the rows that hold the value."""
+    # without groups a 0 that the optimizer does not take for a constant, so that all steps are joins on a key
+    key = F.struct(*by) if by else F.struct(F.pmod(F.xxhash64(value), F.lit(1)).alias("all"))
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    return df.select(key.alias("_key"), x.alias("_x")).where(F.col("_x").isNotNull()).groupBy("_key", "_x").agg(F.count("*").alias("_c"))
+
+
+def _small(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A table with some rows for each group: for one group a broadcast of known size, else AQE measures it."""
+    return df if by else F.broadcast(df)
+
+
+def _part() -> Column:
+    """Number of the part that _x lies in; never decreasing in _x. 1080: no double is below 2 ** -1080."""
+    size = F.floor((F.log2(F.abs("_x")) + 1080) * PARTS).cast("int") + 1
+    return F.when(F.col("_x") > 0, size).when(F.col("_x") < 0, -size).otherwise(0)
+
+
+def _statistics(pairs: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """_key, _n and _q, the array of quantiles, of each group."""
+    at = lambda p, f: f(F.lit(float(p)) * (F.col("_n") - 1)).cast("long")
+    ranks = F.array_distinct(F.array(*[at(p, f) for p in probs for f in (F.floor, F.ceil)]))
+    group = Window.partitionBy("_key")
+    running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    parts = pairs.groupBy("_key", _part().alias("_b")).agg(F.sum("_c").alias("_c"))
+    parts = parts.select("_key", "_b", "_c", F.sum("_c").over(running).alias("_to"), F.sum("_c").over(group).alias("_n"))
+    parts = parts.select("_key", "_b", "_n", (F.col("_to") - F.col("_c")).alias("_base"), F.filter(ranks, lambda r: (F.col("_to") - F.col("_c") <= r) & (r < F.col("_to"))).alias("_ranks"))
+    held = pairs.withColumn("_b", _part()).join(_small(parts.where(F.size("_ranks") > 0), by), ["_key", "_b"])
+    inside = Window.partitionBy("_key", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.select("_key", "_n", "_x", "_c", (F.col("_base") + F.sum("_c").over(inside)).alias("_to"))
+    holds = lambda r: (F.col("_to") - F.col("_c") <= r) & (r < F.col("_to"))
+    picks = [F.max(F.when(holds(at(p, f)), F.col("_x"))) for p in probs for f in (F.floor, F.ceil)]
+    got = held.groupBy("_key", "_n").agg(F.array(*picks).alias("_s"))
+    between = [F.col("_s")[2 * i] + (F.col("_s")[2 * i + 1] - F.col("_s")[2 * i]) * (F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1)))
+               for i, p in enumerate(probs)]
+    return got.select("_key", "_n", F.array(*between).alias("_q"))
+
+
+def _groups(by: Sequence[str]) -> list[Column]:
+    return [F.col(f"_key.`{k}`").alias(k) for k in by]
 
 
 def approx_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
@@ -78,10 +88,8 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     if accuracy:
         return approx_quantiles(df, value, keys, probs, names, accuracy)
-    r = _ranked(df, value, keys)
-    aggs, outs = _quantile_aggs(probs, names)
-    g = r.groupBy(*keys).agg(F.first("_n").alias("n"), *aggs)
-    return g.select(*keys, "n", *[e.alias(nm) for nm, e in outs])
+    got = _statistics(_pairs(df, value, keys), keys, probs)
+    return got.select(*_groups(keys), F.col("_n").alias("n"), *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
 
 
 def percentiles(df: DataFrame, value: str, probs: Sequence[float] = (0.95, 0.99),
@@ -101,22 +109,16 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5,
     """H6: per group n, mean, quartiles, whiskers and outlier count (matplotlib's
     rules: a whisker is the furthest point within 1.5 IQR of its quartile, or the
     quartile itself when no point lies beyond it inside the fence; outliers are the
-    points beyond the fences). Two aggregates over the distinct values: quartiles and
-    mean, then whiskers and outliers against the fences (one row per group)."""
+    points beyond the fences): the quartiles, then an aggregate over the distinct values against the
+    fences (one row per group)."""
     keys = list(by)
-    r = _ranked(df, value, keys)
-    aggs, outs = _quantile_aggs([0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    q = (r.groupBy(*keys).agg(F.first("_n").alias("n"), _mean().alias("mean"), *aggs)
-         .select(*keys, "n", "mean", *[e.alias(nm) for nm, e in outs]))
-    fences = q.select(*keys, "n", "mean", "q1", "median", "q3",
-                      (F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_lof"),
-                      (F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))).alias("_hif"))
-    v = F.col("_x")
-    agg = (r.select(*keys, "_x", "_c").join(fences, keys).groupBy(*keys).agg(
-        F.max(F.when(v <= F.col("_hif"), v)).alias("_whi"),
-        F.min(F.when(v >= F.col("_lof"), v)).alias("_wlo"),
-        F.coalesce(F.sum(F.when((v < F.col("_lof")) | (v > F.col("_hif")), F.col("_c"))), F.lit(0)).alias("n_fliers"),
-        *[F.first(c).alias(c) for c in ("n", "mean", "q1", "median", "q3")]))
+    pairs = _pairs(df, value, keys)
+    q = _statistics(pairs, keys, [0.25, 0.5, 0.75]).select("_key", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    fences = q.withColumns({"_lof": F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1")), "_hif": F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))})
+    v, out = F.col("_x"), (F.col("_x") < F.col("_lof")) | (F.col("_x") > F.col("_hif"))
+    agg = pairs.join(_small(fences, keys), "_key").groupBy("_key", "q1", "median", "q3").agg(
+        F.sum("_c").alias("n"), _mean().alias("mean"), F.max(F.when(v <= F.col("_hif"), v)).alias("_whi"), F.min(F.when(v >= F.col("_lof"), v)).alias("_wlo"),
+        F.coalesce(F.sum(F.when(out, F.col("_c"))), F.lit(0)).alias("n_fliers")).select(*_groups(keys), "*")
     whishi = F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3")).otherwise(F.col("_whi"))
     whislo = F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1")).otherwise(F.col("_wlo"))
     r6 = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
@@ -127,13 +129,13 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5,
 def describe(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max (pandas `describe`). The deviations are summed
     against the mean, in a second aggregate over the distinct values."""
-    r = _ranked(df, value, [])
-    aggs, outs = _quantile_aggs([0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    d = F.col("_x") - r.select(_mean()).scalar()
-    g = r.withColumn("_d2", d * d * F.col("_c")).groupBy().agg(
+    pairs = _pairs(df, value, [])
+    d = F.col("_x") - pairs.select(_mean()).scalar()
+    g = pairs.withColumn("_d2", d * d * F.col("_c")).groupBy().agg(
         F.coalesce(F.sum("_c"), F.lit(0)).alias("count"), _mean().alias("mean"),
-        F.sqrt(F.try_divide(F.sum("_d2"), F.sum("_c") - 1)).alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"), *aggs)
+        F.sqrt(F.try_divide(F.sum("_d2"), F.sum("_c") - 1)).alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    g = g.withColumn("_q", _statistics(pairs, [], [0.25, 0.5, 0.75]).select(F.max("_q")).scalar())
+    outs = [(c, F.col("_q")[i]) for i, c in enumerate(("p25", "p50", "p75"))]
     r6 = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
     return g.select("count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
                     *[r6(e).alias(nm) for nm, e in outs], r6("max").alias("max"))

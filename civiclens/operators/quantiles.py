@@ -128,13 +128,15 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5,
 
 def describe(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max (pandas `describe`). The deviations are summed
-    against the mean, in a second aggregate over the distinct values."""
+    against the median, which keeps their squares small, and corrected for the mean."""
     pairs = _pairs(df, value, [])
-    d = F.col("_x") - pairs.select(_mean()).scalar()
-    g = pairs.withColumn("_d2", d * d * F.col("_c")).groupBy().agg(
-        F.coalesce(F.sum("_c"), F.lit(0)).alias("count"), _mean().alias("mean"),
-        F.sqrt(F.try_divide(F.sum("_d2"), F.sum("_c") - 1)).alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
-    g = g.withColumn("_q", _statistics(pairs, [], [0.25, 0.5, 0.75]).select(F.max("_q")).scalar())
+    whole = F.broadcast(_statistics(pairs, [], [0.25, 0.5, 0.75]))  # one row
+    d = F.col("_x") - F.col("_q")[1]
+    g = pairs.join(whole, "_key").groupBy().agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("count"), _mean().alias("mean"), F.min("_x").alias("min"), F.max("_x").alias("max"),
+        F.max("_q").alias("_q"), F.sum(d * F.col("_c")).alias("_d"), F.sum(d * d * F.col("_c")).alias("_d2"))
+    spread = F.col("_d2") - F.try_divide(F.col("_d") * F.col("_d"), F.col("count"))
+    g = g.withColumn("std", F.sqrt(F.greatest(F.try_divide(spread, F.col("count") - 1), F.try_divide(F.lit(0.0), F.col("count") - 1))))
     outs = [(c, F.col("_q")[i]) for i, c in enumerate(("p25", "p50", "p75"))]
     r6 = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
     return g.select("count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),

@@ -48,7 +48,8 @@ class Vocabulary:
     pair: np.ndarray  # sorted left id << 32 | right id of all pairs that make a piece
     made: np.ndarray  # id of that piece
     rank: np.ndarray  # of each id: place among the scores, best first
-    maybe: np.ndarray  # flags of hashed pairs, to look up only likely ones
+    slot: np.ndarray  # place in `pair` of one pair of each hash slot, -1 without any
+    crowded: np.ndarray  # slots of more than one pair
 
 
 def load_vocabulary(model_file: str) -> Vocabulary:
@@ -76,15 +77,17 @@ def load_vocabulary(model_file: str) -> Vocabulary:
     keys = np.array(sorted(pairs), np.int64)
     score = np.array([sp.get_score(i) for i in range(n)])
     rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
-    maybe = np.zeros(1 << 21, bool)
-    maybe[_slot(keys)] = True
+    own = _slot(keys)
+    slot = np.full(1 << 20, -1, np.int32)
+    slot[own] = np.arange(len(keys))
+    crowded = np.bincount(own.astype(np.int64), minlength=len(slot)) > 1
     at = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
     return Vocabulary(np.frombuffer(b"".join(raw), np.uint8), at, of_char, byte_id, keys,
-                      np.array([pairs[k] for k in keys.tolist()], np.int32), rank, maybe)
+                      np.array([pairs[k] for k in keys.tolist()], np.int32), rank, slot, crowded)
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(43)
+    return (keys.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(44)
 
 
 def _skipped(unit: np.ndarray, place: np.ndarray, made: np.ndarray, dropout: float) -> np.ndarray:
@@ -97,9 +100,15 @@ def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, place: np.nd
     """Piece that each pair makes, -1 where there is none or the keyed hash skips it. unit: the unit's keyed hash."""
     keys = left.astype(np.int64) << 32 | right.astype(np.int64)
     out = np.full(len(keys), -1, np.int32)
-    likely = np.flatnonzero(v.maybe[_slot(keys)])
-    at = np.minimum(np.searchsorted(v.pair, keys[likely]), len(v.pair) - 1)
-    ok = v.pair[at] == keys[likely]
+    slots = _slot(keys)
+    at = v.slot[slots]
+    likely = np.flatnonzero(at >= 0)
+    at, wanted = at[likely], keys[likely]
+    ok = v.pair[at] == wanted
+    other = np.flatnonzero(~ok & v.crowded[slots[likely]])
+    if len(other):
+        at[other] = np.minimum(np.searchsorted(v.pair, wanted[other]), len(v.pair) - 1)
+        ok[other] = v.pair[at[other]] == wanted[other]
     likely, made = likely[ok], v.made[at[ok]]
     if dropout > 0 and len(likely):
         stay = ~_skipped(unit[likely], place[likely], made, dropout)

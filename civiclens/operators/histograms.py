@@ -38,23 +38,28 @@ def _widen(lo: Column, hi: Column) -> tuple[Column, Column]:
 
 
 def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = (), shared: bool = False,
-              digits: int = 6) -> DataFrame:
+              digits: int = 6, once: bool = False) -> DataFrame:
     """H1/H3/H4: counts of `x` (NULLs dropped) in equal-width bins from min to max.
 
     by=()        one histogram over all rows;
     shared=True  one set of bins over all rows, counted per group (H3);
     shared=False each group's own min..max (H4).
+    The range and the counts are two passes over the input. once=True counts distinct values first, and both
+    passes read that shuffle: for an input that costs more than a shuffle of its values (a join, say).
     Output: by..., bin, bin_lo, bin_hi, n (all bins, zero-filled)."""
     keys = list(by)
     v = df.select(*keys, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     for k in keys:
         v = v.where(F.col(k).isNotNull())
+    v = v.groupBy(*keys, "_x").agg(F.count("*").alias("_w")) if once else v.withColumn("_w", F.lit(1))
+    # needs the counts too, so that both passes have the same shuffle
+    seen = F.when(F.col("_w") > 0, F.col("_x")) if once else F.col("_x")
     if not keys or shared:
         # Global range as a scalar subquery attached once as a column per frame.
-        rng = v.agg(F.min("_x").alias("lo0"), F.max("_x").alias("hi0")).select(F.struct("lo0", "hi0")).scalar()
+        rng = v.agg(F.min(seen).alias("lo0"), F.max(seen).alias("hi0")).select(F.struct("lo0", "hi0")).scalar()
         lo0, hi0 = _widen(F.col("_r.lo0"), F.col("_r.hi0"))
         vr = v.withColumn("_r", rng).withColumns({"_lo": lo0, "_hi": hi0})
-        binned = vr.select(*keys, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+        binned = vr.select(*keys, "_w", bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
         if keys:
             groups = v.select(*keys).distinct().withColumn("_r", rng).select(*keys, lo0.alias("_lo"), hi0.alias("_hi"))
         else:
@@ -62,13 +67,13 @@ def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = (), shared:
         lo_c, hi_c = F.col("_lo"), F.col("_hi")
     else:
         # One row per group: bounded by the number of groups (councils x signs, stances).
-        rng = v.groupBy(*keys).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
+        rng = v.groupBy(*keys).agg(F.min(seen).alias("_lo0"), F.max(seen).alias("_hi0"))
         lo0, hi0 = _widen(F.col("_lo0"), F.col("_hi0"))
         groups = rng.select(*keys, lo0.alias("_lo"), hi0.alias("_hi"))
         binned = (v.join(groups, keys)
-                  .select(*keys, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")))
+                  .select(*keys, "_w", bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")))
         lo_c, hi_c = F.col("_lo"), F.col("_hi")
-    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counts = binned.groupBy(*keys, "bin").agg(F.sum("_w").alias("n"))
     seq = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     grid = groups.select(*groups.columns, seq)
     step = (hi_c - lo_c) / F.lit(float(bins))

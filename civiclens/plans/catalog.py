@@ -357,7 +357,7 @@ def hist_sentiment_by_sign(spark, sf_dir):
 @query
 def hist_distance_by_stance(spark, sf_dir):
     d = _distances(spark, sf_dir).where(F.col("stance").isin(K.STANCES))
-    return H.histogram(d, "distance_km", 50, by=["stance"])
+    return H.histogram(d, "distance_km", 50, by=["stance"], once=True)
 
 
 @query
@@ -527,7 +527,7 @@ def hist_census_feature(spark, sf_dir):
     stack = F.expr("stack(3, 'percent_age_50_plus', percent_age_50_plus, "
                    "'percent_occupation_1_2_3', percent_occupation_1_2_3, "
                    "'percent_owned_total', percent_owned_total) AS (variable, value)")
-    return H.histogram(c.select(stack), "value", 30, by=["variable"])
+    return H.histogram(c.select(stack), "value", 30, by=["variable"], once=True)
 
 
 # -- tables behind the figures: P1-P7, P12, P15, P17, W2, O1-O4, U1, A6, K3 ------------------

@@ -127,10 +127,12 @@ PLD_SCHEMA = T.StructType([*APPLICATIONS_SCHEMA.fields[:4],
                            T.StructField("wgs84_polygon.coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType, rejects: bool = False) -> DataFrame:
     """Applications (APPLICATIONS_SCHEMA) or pld (PLD_SCHEMA), columns by name. The pld coordinate
-    column name contains a dot: refer to it as F.col("`wgs84_polygon.coordinates`")."""
-    return _by_name(spark.read.parquet(path), schema).drop(REJECTED)
+    column name contains a dot: refer to it as F.col("`wgs84_polygon.coordinates`"). rejects: also the mark of rows with
+    a value that its type rejects (see `reject_count`)."""
+    rows = _by_name(spark.read.parquet(path), schema)
+    return rows if rejects else rows.drop(REJECTED)
 
 
 #: Reference system of GeoJSON coordinates unless the file says otherwise.

@@ -103,3 +103,14 @@ def test_quantiles_of_odd_distributions(spark, monkeypatch, parts):
             assert got[g]["n"] == len(vs) and got[g][f"p{i}"] == pytest.approx(lo + (hi - lo) * (k - np.floor(k)), rel=1e-12)
     assert Qn.exact_quantiles(df.where("false"), "v", ["g"], [0.5]).count() == 0
     assert Qn.describe(df.where("false"), "v").first()["count"] == 0
+
+
+def test_input_of_a_histogram_is_evaluated_once(spark):
+    from civiclens.operators.histograms import histogram
+    df = spark.range(0, 40000, 1, 4).select((F.col("id") % 3).alias("g"), (F.col("id") % 1000 / 7.0).alias("v"))
+    for kw in ({"by": ["g"]}, {"by": ["g"], "shared": True}, {}):
+        once, twice = histogram(df, "v", 20, once=True, **kw), histogram(df, "v", 20, **kw)
+        assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    once = histogram(df, "v", 20, by=["g"], once=True)
+    once.collect()
+    assert _plan(once).split("Initial Plan")[0].count("Range (0, 40000") == 1

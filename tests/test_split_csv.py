@@ -130,3 +130,23 @@ def test_read_comments_split_equals_whole(spark, tmp_path, small_splits):
     write(tmp_path / "c.csv", [(i, f"A{i}\n{i}", "Camden", '"Supports"', i, "", "nan") for i in range(100)], COMMENTS_SCHEMA.names)
     a, b = (Counter(map(tuple, read_comments(spark, str(tmp_path / "c.csv"), split=s, rejects=True).collect())) for s in (True, False))
     assert a == b and sum(a.values()) == 100
+
+
+def test_topic_names_and_parquet_readers(spark, tmp_path):
+    """Lookup with its order; S5: columns by name, also the dotted one, rejected values marked."""
+    from pyspark.sql import functions as F
+
+    from civiclens.sources.readers import APPLICATIONS_SCHEMA, PLD_SCHEMA, read_parquet, read_topic_names, reject_count
+    write(tmp_path / "n.csv", [("#111111", 7, "parks, trees", 10), ("#222222", -1, "", 30), ("#333333", 2, 'the "other"\nhalf', 30)], ["color", "Topic", "topic_group", "Count"])
+    got = sorted(map(tuple, read_topic_names(spark, str(tmp_path / "n.csv")).collect()))
+    assert got == [(-1, 30, None, "#222222", 0), (2, 30, 'the "other"\nhalf', "#333333", 1), (7, 10, "parks, trees", "#111111", 2)]
+    ring = [[0.0, 51.0], [1.0, 51.0], [1.0, 52.0]]
+    rows = [("Market housing", "12", [ring], "APP1", "Camden"), (None, "many", None, "APP2", "Brent")]
+    spark.createDataFrame(rows, "housing_type string, total_no_proposed_residential_units string, `wgs84_polygon.coordinates` array<array<array<double>>>, lpa_app_no string, borough string") \
+        .write.parquet(str(tmp_path / "pld"))
+    pld = read_parquet(spark, str(tmp_path / "pld"), PLD_SCHEMA, rejects=True)
+    assert pld.columns[:-1] == PLD_SCHEMA.names and tuple(reject_count(pld).first()) == (2, 1)
+    first = pld.orderBy("lpa_app_no").select(F.col("total_no_proposed_residential_units"), F.col("`wgs84_polygon.coordinates`")[0][0][1]).collect()
+    assert [tuple(r) for r in first] == [(12, 51.0), (None, None)]
+    with pytest.raises(Exception, match="comment_count"):
+        read_parquet(spark, str(tmp_path / "pld"), APPLICATIONS_SCHEMA).collect()

@@ -171,15 +171,17 @@ class Fixtures:
     def view(self, name: str) -> DataFrame:
         return self._views[name]
 
-    def file(self, df: DataFrame) -> DataFrame:
-        """An input that stands for a file on disk: written once, in as many parts as there are cores."""
-        return stored(df.repartition(self.spark.sparkContext.defaultParallelism))
+    def file(self, df: DataFrame, source: str | None = None) -> DataFrame:
+        """An input that stands for a file on disk: written once, in as many parts as there are cores; or as it
+        comes, where the table `source` is read in that many parts anyway: a large one is not dealt anew."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return stored(df if source and self._views[source].rdd.getNumPartitions() >= cores else df.repartition(cores))
 
     # -- the reference's inputs ------------------------------------------------
     @cached_property
     def comments(self) -> DataFrame:
         """comments.csv: comment_id, application_id, council, stance, sentiment_score, lat, lon."""
-        return self.file(self.view("fx_comments"))
+        return self.file(self.view("fx_comments"), "orders")
 
     @cached_property
     def topic_text(self) -> DataFrame:
@@ -187,15 +189,16 @@ class Fixtures:
 
         The list order is `fx_topic_long.pos` (line number, then part key). Sorting each
         comment's items on those keys gives the same order without the view's window,
-        so building the lists costs one aggregation. Materialised once, like the CSV
-        file it stands for."""
-        base = self.sql(TOPIC_ITEMS_SQL)
+        so building the lists costs one aggregation. The items are dealt by comment first: lists
+        made before the shuffle would be sorted and spilled by each task, and are no smaller.
+        Materialised once, like the CSV file it stands for."""
+        base = self.sql(TOPIC_ITEMS_SQL).repartition("comment_id")
         items = (base.groupBy("comment_id")
                  .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "topic", "prob")))
                       .alias("items")))
         topics = F.transform("items", lambda s: s["topic"].cast("string"))
         probs = F.transform("items", lambda s: F.coalesce(s["prob"].cast("string"), F.lit("nan")))
-        return self.file(items.select(
+        return stored(items.select(
             "comment_id",
             F.concat(F.lit("["), F.array_join(topics, ", "), F.lit("]")).alias("topic_number"),
             F.concat(F.lit("["), F.array_join(probs, ", "), F.lit("]")).alias("probability")))
@@ -203,13 +206,15 @@ class Fixtures:
     @cached_property
     def comments_with_topics(self) -> DataFrame:
         """comments_with_topics.csv: comment, its topic lists, council, housing type, sentiment."""
-        apps = self.view("fx_applications").select(
-            F.col("lpa_app_no").alias("_app"), "housing_type")
+        # fx_applications without its count, which nothing here reads. The topic texts come last: the wide
+        # rows are shuffled once.
+        apps = self.view("fx_pld").where("src_ord = 0").select(F.col("lpa_app_no").alias("_app"), "housing_type")
         return self.file(self.comments
-                           .join(self.topic_text, "comment_id", "left")
                            .join(apps, F.col("application_id") == F.col("_app"), "left")
+                           .select("comment_id", "council", "housing_type", "sentiment_score")
+                           .join(self.topic_text, "comment_id", "left")
                            .select("comment_id", "topic_number", "probability", "council",
-                                   "housing_type", "sentiment_score"))
+                                   "housing_type", "sentiment_score"), "lineitem")
 
     @cached_property
     def topic_names(self) -> DataFrame:

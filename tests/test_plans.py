@@ -28,6 +28,27 @@ def test_cooccurrence_pairs_without_self_join(spark):
     assert plan.count("Join") <= 4               # grid/label joins only, no comment self-join
 
 
+def test_large_inputs_are_not_dealt_anew(spark, monkeypatch):
+    import civiclens.sources.fixtures as module
+    plans = []
+    monkeypatch.setattr(module, "stored", lambda df, *a: plans.append(_plan(df)) or df)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "1k")                  # many splits, as of a large table
+    try:
+        fx = module.Fixtures(spark, SF_SMALL)
+        fx.comments, fx.topic_text, fx.comments_with_topics
+        fx.pld                                   # a small one still becomes a part for each core
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert ["RoundRobinPartitioning" in plan for plan in plans] == [False, False, False, True]
+    # the lists are made after the shuffle, and no count of comments is made to find the housing type
+    topics, both = plans[1], plans[2]
+    lists = topics.index("partial_collect_list")
+    assert "REPARTITION_BY_COL" in topics[lists:] and "partial_count" not in both
+
+
 def test_spatial_join_builds_without_jobs(spark):
     fx = fixtures(spark, SF_SMALL)
     fx.lsoa, fx.comments                        # inputs are written before

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from .arrays import U64, flat_bytes, mix, pieces, word_hashes
 from .components import connected_components
 from .hash_arrays import GATHERED, HashArrays
-from .shared import scratch, stored
+from .shared import scratch, small_batches, stored
 
 PARITY = 4  # words of 64 bits
 #: Star rounds before the remaining pairs of different components are compared; the last places components only.
@@ -161,22 +161,27 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray], percent: int) -> n
     return found[count >= required[found]]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 512) -> DataFrame:
+def _hits(batch: pa.RecordBatch, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch that link, by blocks of whole rows with about 1 MB of either text: sets and hashes take many
+    times the bytes of their texts."""
+    for part in (p for x in pieces(batch, "x_text") for p in pieces(x, "q_text")):
+        q, x = part.column("q").to_numpy(), part.column("x").to_numpy()
+        sets = list(shingle_sets(*flat_bytes(part.column("x_text")), size))
+        links = []
+        cuts = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1).tolist(), len(q)]
+        firsts = part.column("q_text").take(pa.array(cuts[:-1]))
+        for a, b, mine in zip(cuts[:-1], cuts[1:], shingle_sets(*flat_bytes(firsts), size), strict=True):
+            links.append(a + divide_skip(mine, sets[a:b], percent))
+        hit = np.concatenate(links)
+        yield pa.RecordBatch.from_arrays([pa.array(q[hit]), pa.array(x[hit])], names=["u", "v"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (q, x) that link. texts: (cls, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                part = batch.slice(start, block)
-                q, x = part.column("q").to_numpy(), part.column("x").to_numpy()
-                sets = list(shingle_sets(*flat_bytes(part.column("x_text")), size))
-                links = []
-                cuts = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1).tolist(), len(q)]
-                firsts = part.column("q_text").take(pa.array(cuts[:-1]))
-                for a, b, mine in zip(cuts[:-1], cuts[1:], shingle_sets(*flat_bytes(firsts), size), strict=True):
-                    links.append(a + divide_skip(mine, sets[a:b], percent))
-                hit = np.concatenate(links)
-                yield pa.RecordBatch.from_arrays([pa.array(q[hit]), pa.array(x[hit])], names=["u", "v"])
+            yield from _hits(batch, size, percent)
 
     both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("text").alias("x_text")), "x").join(
         texts.select(F.col("cls").alias("q"), F.col("text").alias("q_text")), "q")
@@ -227,6 +232,11 @@ def _linked(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     """link's rows with h (hash of the text) and component (a class of the component, also where no row has an id)."""
     if not 80 <= percent <= 100:
         raise ValueError("the size classes hold for 80 to 100 percent")
+    with small_batches(docs.sparkSession):  # all Python steps run in here; what is left to the caller are joins
+        return _placed(docs, doc_id, text, size, percent)
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     sketch = stored(sketches(docs, doc_id, text, size), "sketch")
     filled = sketch.where("n > 0")
     classes = filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("p"))

@@ -1,9 +1,11 @@
-"""Intermediate tables in the folder that all executors share (spark.checkpoint.dir)."""
+"""Intermediate tables in the folder that all executors share (spark.checkpoint.dir), and the size of Arrow batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,18 @@ def stored(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (
     path = scratch(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> Iterator[None]:
+    """What runs inside sends its rows to Python in Arrow batches of at most so many rows, and about so many bytes: a
+    batch is whole in the executor's memory, and again in the worker's. The session's own settings come back after."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, value in keys.items():
+            spark.conf.set(k, value)
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)

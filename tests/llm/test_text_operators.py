@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from civiclens.llm import components, credentials, jaccard_join, langid, spaced_seeds, suffix_dedup
+from civiclens.llm.shared import small_batches
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import LONG, TEXTS
 
@@ -299,6 +301,33 @@ def test_divide_skip_equals_counting(members):
         assert sorted(jaccard_join.divide_skip(query, sets, 80).tolist()) == want
 
 
+def test_pairs_are_verified_in_small_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "cd", "efg"], 40_000).tolist()) for _ in range(6)]  # 110 kB each
+    q, x = np.repeat(np.arange(3), 40), np.tile(np.arange(3, 6), 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array([texts[i] for i in q]), pa.array([texts[q[0]] if k % 7 == 0 else texts[i] for k, i in enumerate(x)])],
+                                       names=["q", "x", "q_text", "x_text"])
+    sizes, sets = [], jaccard_join.shingle_sets
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda data, *a: sizes.append(len(data)) or sets(data, *a))
+    found = pa.Table.from_batches(list(jaccard_join._hits(batch, 8, 90)))
+    assert max(sizes) <= 1 << 20 and sum(sizes) > 10 << 20
+    assert found.to_pydict() == {"u": [0] * 6, "v": [int(v) for v in x[:40:7]]}
+
+
+def test_small_batches_and_the_settings_after(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    count = lambda: max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(seen, "n long").collect())
+    with small_batches(spark):
+        assert count() == 512
+    assert count() == 3000 and spark.conf.get(key) == before
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(-50, 150, (130, 2))] + [(k, k + 1) for k in range(500, 560)]

@@ -13,8 +13,8 @@ joined, are the text's bytes.
 
 No piece goes on beyond a word (the sign of a space stands only in front) or holds a tab or line feed,
 so merges are decided within units: spaces and the characters up to the next space. Equal units of a
-batch are segmented once without dropout, and the merges looked at on the way are noted; an occurrence whose
-draws skip none of them has that result. The others are segmented one by one: short ones all together in
+batch are segmented once without dropout, and the merges done on the way are noted; an occurrence whose
+draws skip none of them has that result (to skip a candidate that is never the best changes nothing). The others are segmented one by one: short ones all together in
 numpy, one merge of each per round; long ones by a heap.
 
 Defined results. Null text: ids null, decoded null. Empty text: no ids, decodes to an empty text. A
@@ -36,6 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .arrays import U64, flat_bytes, mix, pieces, range_hashes, repeat_ranges
 
 LONG = 48  # symbols of a unit from which on the heap segments it
+TOGETHER = 1 << 17  # symbols of the units that are segmented at once: their arrays stay in the processor's cache
 _NONE = np.iinfo(np.int64).max
 
 
@@ -155,47 +156,62 @@ def _lockstep(v: Vocabulary, ids: np.ndarray, place: np.ndarray, at: np.ndarray,
               noted: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Segment many units (symbols ids[at[k]:at[k + 1]]) at once: each round does the best merge of each
     unit that still has one. Returns the remaining ids and which unit each belongs to. noted takes the
-    merges looked at, as (unit, place, piece)."""
+    merges done, as (unit, place, piece).
+
+    Symbols are linked within their unit; a merge goes into the left one and unlinks the right one. `order` holds
+    rank and position of each symbol's merge with the next. The arrays shrink when half of the units are finished."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    ids = ids.copy()
     done_ids, done_row = [], []
-    made = np.full(len(ids), -1, np.int32)
-
-    def look(i: np.ndarray) -> None:
-        """Candidates of the symbols i with their right neighbours."""
-        i = i[i + 1 < len(ids)]
-        same = row[i] == row[i + 1]
-        made[i[~same]] = -1
-        i = i[same]
-        made[i] = got = _candidates(v, ids[i], ids[i + 1], place[i], unit[row[i]], dropout)
-        if noted is not None:
-            hit = got >= 0
-            noted.append((row[i][hit], place[i][hit], got[hit]))
-
-    look(np.arange(len(ids)))
+    alive, made, order = np.ones(len(ids), bool), np.full(len(ids), -1, np.int32), np.full(len(ids), _NONE)
+
+    def linked() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First symbol of each unit, and the symbols after and before each symbol (-1: none)."""
+        end = np.append(row[1:] != row[:-1], True)
+        after, before = np.arange(1, len(row) + 1), np.arange(-1, len(row) - 1)
+        first = np.append(0, np.flatnonzero(end)[:-1] + 1)
+        after[end], before[first] = -1, -1
+        return first, after, before
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        """Candidates of the symbols i with their right neighbours j."""
+        made[i] = got = _candidates(v, ids[i], ids[j], place[i], unit[row[i]], dropout)
+        order[i] = np.where(got >= 0, v.rank[got] << 32 | i, _NONE)
+
+    if len(ids):
+        first, after, before = linked()
+        i = np.flatnonzero(after >= 0)
+        look(i, i + 1)
     while len(ids):
-        order = np.where(made >= 0, v.rank[made] << 32 | np.arange(len(ids)), _NONE)
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         best = np.minimum.reduceat(order, first)
-        size = np.diff(np.append(first, len(ids)))
         live = best != _NONE
-        # units without a candidate are finished
-        if not live.all():
-            over = np.repeat(~live, size)
+        if 2 * np.count_nonzero(live) <= len(live):
+            size = np.diff(np.append(first, len(ids)))
+            going = np.repeat(live, size)
+            over = alive & ~going
             done_ids.append(ids[over])
             done_row.append(row[over])
-        at_pair = best[live] & 0xFFFFFFFF
-        keep = np.repeat(live, size)
-        keep[at_pair + 1] = False
-        ids[at_pair] = made[at_pair]
-        shift = np.cumsum(keep) - 1
-        ids, row, place, made = ids[keep], row[keep], place[keep], made[keep]
-        now = shift[at_pair]
-        if len(ids):
-            if made[-1] >= 0:
-                made[-1] = -1
-            look(now)
-            before = now[now > 0] - 1
-            look(before[row[before] == row[before + 1]])
+            keep = alive & going
+            ids, row, place, made, order = ids[keep], row[keep], place[keep], made[keep], order[keep]
+            if not len(ids):
+                break
+            alive = np.ones(len(ids), bool)
+            some = np.flatnonzero(order != _NONE)
+            order[some] = order[some] >> 32 << 32 | some
+            first, after, before = linked()
+            best = np.minimum.reduceat(order, first)
+            live = best != _NONE
+        i = best[live] & 0xFFFFFFFF
+        j = after[i]
+        ids[i] = made[i]
+        if noted is not None:
+            noted.append((row[i], place[i], ids[i]))
+        alive[j], order[j], order[i] = False, _NONE, _NONE
+        after[i] = k = after[j]
+        left, right = before[i] >= 0, k >= 0
+        before[k[right]] = i[right]
+        look(i[right], k[right])
+        look(before[i[left]], i[left])
     if not done_ids:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     out, where = np.concatenate(done_ids), np.concatenate(done_row)
@@ -262,9 +278,18 @@ def encode_texts(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, variant:
     return out, total[np.searchsorted(starts, offsets)]
 
 
+def _cuts(total: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of units of about TOGETHER symbols; total: symbols before each unit, and of all."""
+    a = 0
+    while a < len(total) - 1:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + TOGETHER, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def _segmented(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: np.ndarray,
                dropout: float) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
-    """Ids of the units data[starts[k]:ends[k]], their n + 1 offsets, the merges looked at (without dropout), and which units are long."""
+    """Ids of the units data[starts[k]:ends[k]], their n + 1 offsets, the merges done (without dropout), and which units are long."""
     size = ends - starts
     ids, where = _symbols(v, data[repeat_ranges(starts, size)])
     bounds = np.concatenate([[0], np.cumsum(size)])
@@ -272,18 +297,26 @@ def _segmented(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.nda
     place = where - np.repeat(bounds[:-1], np.diff(at))
     length = np.diff(at)
     short = np.flatnonzero(length <= LONG)
-    pick = repeat_ranges(at[short], length[short])
     noted: list | None = [] if dropout == 0 else None
-    got, owner = _lockstep(v, ids[pick], place[pick], np.concatenate([[0], np.cumsum(length[short])]), unit[short], dropout, noted)
-    parts, owners = [got], [short[owner]]
+    parts, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    total = np.concatenate([[0], np.cumsum(length[short])])
+    for a, b in _cuts(total):
+        few = short[a:b]
+        done: list | None = None if noted is None else []
+        pick = repeat_ranges(at[few], length[few])
+        got, owner = _lockstep(v, ids[pick], place[pick], total[a : b + 1] - total[a], unit[few], dropout, done)
+        parts.append(got)
+        owners.append(few[owner])
+        if noted is not None:
+            noted += [(few[r], q, m) for r, q, m in done]
     for k in np.flatnonzero(length > LONG).tolist():
         parts.append(agenda(v, ids[at[k] : at[k + 1]], place[at[k] : at[k + 1]], unit[k], dropout))
         owners.append(np.full(len(parts[-1]), k))
     got, owner = np.concatenate(parts), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    looked = tuple(np.concatenate(x) for x in zip(*noted, strict=True)) if noted else (np.zeros(0, np.int64),) * 3
+    done = tuple(np.concatenate(x) for x in zip(*noted, strict=True)) if noted else (np.zeros(0, np.int64),) * 3
     return (got[order], np.searchsorted(owner[order], np.arange(len(starts) + 1)),
-            (short[looked[0].astype(np.int64)], looked[1], looked[2]), length > LONG)
+            done, length > LONG)
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

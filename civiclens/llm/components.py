@@ -35,3 +35,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(components: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components (as above, or None) with more edges between their nodes or new ones. Only the edges
+    between components are followed, so that a step costs what it adds."""
+    if components is None:
+        return connected_components(edges)
+    of = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    more = connected_components(between)
+    moved = components.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    new = more.join(components.select("node"), "node", "left_anti")  # a component bears the name of one of its nodes
+    return stored(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(new), "components")

@@ -9,11 +9,13 @@ How the pairs are found, without listing all pairs of a group:
 1. Documents with equal sets are one class (a 64-bit sum over the set); only classes are compared.
 2. Sets of similar size share a scheme that cuts the hash range into D + 1 + E ranges, where D bounds
    the elements in which two linked sets of the scheme can differ. Linked sets agree in at least
-   1 + E ranges, so each set may leave out its emptiest ranges (those with fewer elements than its
-   (E + 1)-th emptiest) and still share one signature (scheme, range, sum of elements) with every
-   set that it links with. The signatures are the inverted index.
+   1 + E ranges. Each range gives a signature (scheme, range, sum of elements), and all rows of a signature
+   are counted. Each set leaves out its E most common ones (of equally common ones those of the emptiest
+   ranges, then by hash): whatever the two sets of a link leave out, of the ranges in which they agree the
+   one that comes last in this order stays in both. So what many documents have in common, as a licence
+   line or an empty range, makes no list unless it is most of them. The rest is the inverted index.
 3. In each inverted list of several classes one member, drawn by hash, is the query of all others (a
-   star, not all pairs). Pairs whose 256-bit parity vectors differ in more bits than linked sets can
+   star, not all pairs). Pairs whose 1024-bit parity vectors differ in more bits than linked sets can
    differ in elements drop out.
 4. Each query's candidates are searched in blocks with DivideSkip: short lists of the block's index
    are merged, long ones probed by binary search for candidates that can still reach the overlap.
@@ -38,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, flat_bytes, mix, pieces, word_hashes
-from .components import connected_components
+from .components import joined
 from .hash_arrays import GATHERED, HashArrays
 from .shared import scratch, small_batches, stored
 
-PARITY = 4  # words of 64 bits
+PARITY = 16  # words of 64 bits: near copies just below the limit still differ in more bits than linked sets can
 #: Star rounds before the remaining pairs of different components are compared; the last places components only.
 ROUNDS = 4
 
@@ -80,8 +82,9 @@ def _scheme_of(n: int) -> int:
     return k
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set in the scheme of its size, and in the next one if it can link into it."""
+def signatures(tokens: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Signatures of a sorted set in the scheme of its size, and in the next one if it can link into it: of each scheme
+    those of all ranges, the elements of each range, and how many of them (E) may be left out."""
     n, out = len(tokens), []
     k = _scheme_of(n)
     with np.errstate(over="ignore"):
@@ -90,16 +93,19 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
             if scheme > k and 100 * n < percent * _class(scheme):
                 continue
             most = 2 * (_class(scheme + 1) - 1) * (100 - percent) // (100 + percent)  # D
-            spare = most // 3
+            spare = most and most // 3 + 2
             parts = most + 1 + spare
             edges = (np.arange(parts + 1, dtype=np.float64) * (2.0**64 / parts))
             at = np.searchsorted(tokens, edges[1:-1].astype(np.uint64))
             at = np.concatenate([[0], at, [n]])
-            held = np.diff(at)
-            least = np.partition(held, spare)[spare]
-            use = np.flatnonzero(held >= least)
-            out.append(mix(sums[at[use + 1]] - sums[at[use]] + mix(U64(scheme) * U64(1 << 32) + use.astype(np.uint64))))
-    return np.concatenate(out)
+            own = mix(sums[at[1:]] - sums[at[:-1]] + mix(U64(scheme) * U64(1 << 32) + np.arange(parts, dtype=np.uint64)))
+            out.append((own, np.diff(at), spare))
+    return out
+
+
+def rarest(sig: np.ndarray, held: np.ndarray, spare: int, count: np.ndarray) -> np.ndarray:
+    """Places of the signatures of one scheme that stay: all but the `spare` most common."""
+    return np.lexsort((sig, -held, count))[: len(sig) - spare]
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
@@ -245,20 +251,36 @@ def _placed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     sigs = HashArrays(scratch(docs.sparkSession, "signatures"), max(1, -(-shingles // (2 * GATHERED))))
     texts = docs.select(F.col(text).alias("text")).where("text is not null")
 
-    def made(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, int]], np.ndarray]]:
+        """For the texts of about 1 MB: all signatures, for each scheme of each set its ranges' elements and E, and its class."""
         for part in pieces(batch, "text"):
-            sets = [t for t in shingle_sets(*flat_bytes(part.column("text")), size) if len(t)]
-            if sets:
-                own = [signatures(t, percent) for t in sets]
-                yield np.concatenate(own), np.repeat(np.concatenate([_class_id(t) for t in sets]), [len(o) for o in own])
-
-    sigs.keep("sig", texts, lambda batch: (sig for sig, _ in made(batch)))
+            own, ranges, cls = [], [], []
+            for tokens in shingle_sets(*flat_bytes(part.column("text")), size):
+                if len(tokens):
+                    for sig, held, spare in signatures(tokens, percent):
+                        own.append(sig)
+                        ranges.append((held, spare))
+                        cls.append(_class_id(tokens))
+            if own:
+                yield np.concatenate(own), ranges, np.concatenate(cls)
+
+    sigs.keep("sig", texts, lambda batch: (sig for sig, _, _ in made(batch)))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sig, cls in made(batch):
-                hit, _ = sigs.look("sig", sig)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), pa.array(cls[hit])], names=["sig", "cls"])
+            for sig, ranges, cls in made(batch):
+                hit, times = sigs.look("sig", sig, "sig_count")
+                count = np.ones(len(sig), np.int64)
+                count[hit] = times
+                use, start = [], 0
+                for held, spare in ranges:
+                    end = start + len(held)
+                    # linked sets agree in more than `spare` ranges
+                    kept = start + rarest(sig[start:end], held, spare, count[start:end]) if hit[start:end].sum() > spare else held[:0]
+                    use.append(kept[hit[kept]])
+                    start = end
+                cls = np.repeat(cls, [len(u) for u in use])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[np.concatenate(use)].view(np.int64)), pa.array(cls)], names=["sig", "cls"])
 
     lists = stored(texts.mapInArrow(shared, "sig long, cls long").distinct(), "lists")
     several = lists.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("sig")
@@ -266,7 +288,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     known = stored(members.select("cls").distinct().join(classes, "cls"), "classes")
     side = lambda x: known.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("p").alias(f"{x}_p"))
     texts = stored(_texts(docs, known, doc_id, text, size), "texts")
-    components = tested = edges = None
+    components = tested = None
     for turn in range(ROUNDS):
         # a star in each list that holds several components: one member against those of other components
         placed = members.withColumn("component", F.col("cls")) if components is None else members.join(
@@ -283,9 +305,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
         if not stars.head(1):
             break
         tested = stars if tested is None else tested.unionByName(stars)
-        links = stored(_verified(stars, texts, size, percent), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        components = connected_components(edges)
+        components = joined(components, stored(_verified(stars, texts, size, percent), "links"))
     # what is left: members of one list in different components, each pair
     left = placed.join(mixed.select("sig"), "sig").join(known.select("cls", "n", "p"), "cls")
     a = left.select("sig", F.col("cls").alias("q"), F.col("component").alias("q_c"), F.col("n").alias("q_n"), F.col("p").alias("q_p"))
@@ -294,9 +314,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
                   & _can_link(percent, "q", "x")).select("q", "x").distinct()
     rest = stored(rest if tested is None else rest.join(tested, ["q", "x"], "left_anti"), "rest")
     if rest.head(1):
-        links = stored(_verified(rest, texts, size, percent), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        components = connected_components(edges)
+        components = joined(components, stored(_verified(rest, texts, size, percent), "links"))
     if components is None:
         components = known.select(F.col("cls").alias("node"), F.col("cls").alias("component"))
     named = classes.select(F.col("cls").alias("node"), "rep").join(components, "node")

@@ -145,7 +145,8 @@ def fit(rows: list, dimensions: int = 16, epochs: int = 12, rate: float = 0.5, k
             bias -= step * g.mean(axis=0)
             np.add.at(embed, buckets, -step * 64 * back[row] * weight[:, None])
     held = order[split:] if split < len(rows) else order
-    z = mean(held)[0] @ layer + bias
+    # 32 rows at a time, as in training: an n-gram takes many times its own bytes here
+    z = np.concatenate([mean(held[at : at + 32])[0] for at in range(0, len(held), 32)]) @ layer + bias
     temperature = min((0.25, 0.5, 1.0, 2.0, 4.0), key=lambda t: -np.log(
         np.maximum(softmax(z / t)[np.arange(len(held)), label[held]], 1e-9)).mean())
     plain = [np.frombuffer(rows[i]["plain"], "<f4") for i in range(len(rows))]

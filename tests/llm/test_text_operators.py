@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -166,6 +167,17 @@ FOREIGN = [
     "Kaikki ihmiset syntyv\u00e4t vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f"]
 
 
+def test_training_holds_few_texts_at_once():
+    rng = np.random.default_rng(6)
+    rows = [{"label": "ab"[i % 2], "buckets": np.sort(rng.choice(langid.BUCKETS // 2, 2000, replace=False) + i % 2 * langid.BUCKETS // 2).astype("<u2").tobytes(),
+             "counts": np.ones(2000, "<f4").tobytes(), "plain": np.ones(2000, "<f4").tobytes()} for i in range(1200)]
+    tracemalloc.start()
+    langid.fit(rows, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # 300 held texts at once take 79 MB
+
+
 @pytest.mark.parametrize("learned", [("en", "de"), ("en", "de", "fr", "es")])
 def test_foreign_texts_are_rejected(spark, learned):
     rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where(F.col("lang").isin(*learned))
@@ -291,6 +303,44 @@ def test_join_edges(spark, edge, none):
     assert Counter(r.doc_id for r in jaccard_join.deduplicate(edge).collect()) == Counter(r.doc_id for r in edge.collect() if r.doc_id != 6)
 
 
+def test_linked_sets_keep_a_common_signature():
+    rng = np.random.default_rng(4)
+    for percent in (80, 90):
+        for n in (1, 3, 5, 7, 9, 13, 20, 60, 300):
+            sets = []
+            for _ in range(40):  # pairs as far apart as linked sets can be, of three families
+                base = rng.integers(0, 2**63, n).astype(np.uint64) if len(sets) % 20 == 0 else sets[len(sets) // 20 * 20]
+                changed = int(rng.integers(0, n * (100 - percent) // (100 + percent) + 1))
+                sets.append(np.unique(np.concatenate([rng.permutation(base)[changed:], rng.integers(0, 2**63, changed).astype(np.uint64)])))
+            made = [jaccard_join.signatures(s, percent) for s in sets]
+            count = Counter(x for own in made for sig, _, _ in own for x in sig.tolist())
+            kept = [{x for sig, held, spare in own for x in sig[jaccard_join.rarest(sig, held, spare, np.array([count[x] for x in sig.tolist()]))].tolist()} for own in made]
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                        assert kept[i] & kept[j]
+
+
+@pytest.mark.parametrize("family", ["passage", "near"])
+def test_texts_that_only_share_much_are_not_paired(spark, monkeypatch, family):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    base, rows = word(400), []
+    for i in range(30):
+        if family == "passage":  # a fifth of each text is the same, the rest its own
+            rows.append((i, " ".join(word(700) + base[:350] + word(700))))
+        else:  # near copies of one text, 0.65 to 0.75 alike
+            copy = list(base)
+            for k in rng.choice(80, 8, replace=False):
+                copy[5 * k + 2] = word(1)[0]
+            rows.append((i, " ".join(copy)))
+    tested, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: tested.append(pairs.count()) or verified(pairs, *a))
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_join(rows, 5, 80)
+    assert sum(tested) <= 22  # of 435
+
+
 @pytest.mark.parametrize("members", [3, 40])
 def test_divide_skip_equals_counting(members):
     rng = np.random.default_rng(members)
@@ -338,3 +388,14 @@ def test_components(spark):
                 reach[a] = reach[b] = min(reach[a], reach[b])
     got = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
     assert {r.node: r.component for r in got.collect()} == reach and got.count() == len(reach)
+
+
+def test_components_with_more_edges(spark):
+    rng = np.random.default_rng(10)
+    parts = [[(int(a), int(b)) for a, b in rng.integers(0, 120, (25, 2))] for _ in range(4)]
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long")
+    got = None
+    for part in parts:
+        got = components.joined(got, frame(part))
+    want = components.connected_components(frame(sum(parts, [])))
+    assert Counter(got.collect()) == Counter(want.collect())

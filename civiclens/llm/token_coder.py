@@ -13,6 +13,10 @@ how well each has predicted, one set of weights for each nibble and for whether
 are added up at the end. All arithmetic is in integers, so that decoding repeats it exactly. Blocks are
 coded side by side: numpy works on the same place of all blocks at once.
 
+Tokenizing. The library's byte-level splitter always cuts before a single space that stands between two other
+characters, so texts are cut there and a worker gives each distinct unit to the library once; its ids are kept, up to
+HELD bytes. Tokenizer files for which that does not hold get whole texts.
+
 Defined results. Null texts are empty: the end id alone. Repeated ids stand next to each other, ordered
 by their text. A null doc_id comes first. An empty table gives no files and an empty result. Extra
 columns are ignored. A task that runs again replaces its file. A damaged block raises ValueError.
@@ -20,9 +24,12 @@ columns are ignored. A task that runs again replaces its file. A damaged block r
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,102 +43,167 @@ MAGIC = b"CMRC0001"
 BLOCK = 4096
 SLOTS = 2048
 TOTAL = 32768  # of a distribution
-SIDE = 1024  # blocks coded at once
+SIDE = 1280  # blocks coded at once, 200 KB each for their models
+HELD = 64 << 20  # of units whose ids a worker keeps
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPREAD = TOTAL - 16
-_STEP = np.arange(17, dtype=np.int32)[:, None]
 _ONE = 1 << 14
+_HASH = 0x9E3779B1
+#: By a nibble coded: the bounds that a distribution moves to; its upper bound, where that is no column.
+_TARGET = np.where(np.arange(16) > np.arange(16)[:, None], _SPREAD, 0).astype(np.int16)
+_END = np.append(np.zeros(15, np.int32), np.int32(_SPREAD))
+#: By the visits so far: a distribution moves by a 4th, 8th, 8th and 16th (times factor, by 16); the first visits count most.
+_FACTOR = np.repeat(np.array([[4], [2], [2], [1]], np.int16), 16, axis=1)
+_SEEN = np.array([1, 2, 3, 3], np.int16)
+#: By the nibbles so far, after a 1: their part of a slot's hash. By the visits in orders 1 and 2: which weights of a place.
+_PREFIX = (np.arange(8192) * 202515 + np.searchsorted([16, 256, 4096], np.arange(8192), side="right") * 40503) * _HASH
+_KNOWN = (np.arange(16) >= 4) * 2 + (np.arange(16) % 4 > 0)
+_STEP = np.arange(16, dtype=np.int32)[:, None]
 
 
 class _Mixer:
-    """Models of `lanes` blocks. Column 0 of a slot counts its visits up to 3; columns 1 to 15 are the
-    bounds between the 16 nibbles in a distribution of _SPREAD."""
+    """Models of `lanes` blocks, the three orders one after the other. Column 0 of a slot counts its visits up to 3;
+    columns 1 to 15 are the bounds between the 16 nibbles in a distribution of _SPREAD. The slots of a step are copied
+    out, changed side by side and put back, each as one item of 32 bytes."""
 
     def __init__(self, lanes: int):
-        start = np.append(0, _SPREAD * np.arange(1, 16) // 16).astype(np.uint16)
-        self.table = np.tile(start, (3, lanes * SLOTS, 1))
-        self.weight = np.full((lanes * 16, 3), _ONE // 3, np.int32)
-        self.weight[:, 0] += _ONE - 3 * (_ONE // 3)
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.sets = np.arange(lanes, dtype=np.int64) * 16
-        self.lane = np.arange(lanes)
-
-    def predict(self, place: int, prefix: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Bounds (17 x lanes, up to TOTAL) of the next nibble."""
-        node = prefix * 202515 + place * 40503
-        self.at = [self.base + (h * 0x9E3779B1 >> 15 & SLOTS - 1) for h in (node, node + one * 69069 + 7, node + one * 362437 + two * 1664525 + 13)]
-        self.rows = [np.ascontiguousarray(t[a].T).astype(np.int32) for t, a in zip(self.table, self.at, strict=True)]
-        self.set = self.sets + place * 4 + (self.rows[1][0] > 0) * 2 + (self.rows[2][0] > 0)
-        w = self.w = np.ascontiguousarray(self.weight[self.set].T)
-        mixed = np.empty((17, len(node)), np.int32)
-        np.multiply(self.rows[0], w[0], out=mixed[:16])
-        mixed[:16] += self.rows[1] * w[1]
-        mixed[:16] += self.rows[2] * w[2]
-        mixed[:16] >>= 14
-        mixed[0], mixed[16] = 0, _SPREAD
-        mixed += _STEP
-        return mixed
+        start = np.append(0, _SPREAD * np.arange(1, 16) // 16).astype(np.int16)
+        self.table = np.tile(start, (3 * lanes * SLOTS, 1))
+        self.slots = self.table.view("V32").ravel()
+        self.weight = np.full((3, lanes * 16), _ONE // 3, np.int32)
+        self.weight[0] += _ONE - 3 * (_ONE // 3)
+        each = np.arange(3 * lanes)
+        self.base, self.sets = (each * SLOTS).reshape(3, lanes), (each * 16).reshape(3, lanes)
+        self.ends = np.stack([self.sets, self.sets + 1])  # places of the lower and the upper bound of nibble 0
+        self.flat = np.zeros(3 * lanes * 16 + 16, np.int16)  # a zero after the last row, as after the others
+        self.rows = self.flat[:-16].reshape(-1, 16)
+        self.items, self.by_order = self.rows.view("V32").ravel(), self.rows.reshape(3, lanes, 16)
+        self.move, self.factor = np.empty((3, lanes, 16), np.int16), np.empty((3 * lanes, 16), np.int16)
+        self.wide, self.bounds = np.empty((16, 3, lanes), np.int32), np.empty((16, lanes), np.int32)
+        self.context, self.at, self.set = (np.zeros((3, lanes), np.int64) for _ in range(3))
+
+    def follow(self, one: np.ndarray, two: np.ndarray) -> None:
+        """The contexts of the next id: none, one before it, two before it."""
+        np.multiply(one * 69069 + 7, _HASH, out=self.context[1])
+        np.multiply(one * 362437 + two * 1664525 + 13, _HASH, out=self.context[2])
+
+    def open(self, place: int, prefix: np.ndarray) -> None:
+        """Copy out the slots of the next nibble."""
+        at = self.at
+        np.add(self.context, _PREFIX.take(prefix), out=at)
+        at >>= 15
+        at &= SLOTS - 1
+        at += self.base
+        self.table.take(at.ravel(), axis=0, out=self.rows, mode="clip")
+        self.seen = self.rows[:, 0].copy()
+        self.rows[:, 0] = 0
+        seen = self.seen.reshape(at.shape)
+        np.add(self.sets, (_KNOWN + 4 * place).take(seen[1] * 4 + seen[2]), out=self.set)
+        self.w = self.weight.take(self.set)
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The nibbles in whose shares the targets (below TOTAL) fall."""
+        wide, bounds = self.wide, self.bounds
+        np.copyto(wide, self.by_order.transpose(2, 0, 1))
+        wide *= self.w
+        np.add(wide[:, 0], wide[:, 1], out=bounds)
+        bounds += wide[:, 2]
+        bounds >>= 14
+        bounds += _STEP
+        return np.add.reduce((bounds <= target).view(np.int8), axis=0, dtype=np.int64) - 1
+
+    def share(self, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bound and width of the nibbles' shares of TOTAL."""
+        ends = self.flat.take(self.ends + nibble).astype(np.int32)
+        ends[1] += _END.take(nibble)
+        self.gain = ends[1] - ends[0]
+        ends *= self.w
+        low, high = np.add.reduce(ends, axis=1, dtype=np.int32) >> 14
+        high -= low
+        high += 1
+        return (low + nibble).astype(np.uint64), high.astype(np.uint64)
 
     def learn(self, nibble: np.ndarray) -> None:
-        target = np.where(_STEP[:16] > nibble, np.int32(_SPREAD), np.int32(0))
-        gain = np.empty((3, len(nibble)), np.int32)
-        for k, (table, at, row) in enumerate(zip(self.table, self.at, self.rows, strict=True)):
-            seen = row[0].copy()
-            row[0] = 0
-            upper = np.where(nibble < 15, row[np.minimum(nibble + 1, 15), self.lane], _SPREAD)
-            gain[k] = upper - row[nibble, self.lane]
-            # the first visits move a distribution faster
-            target_step = target - row
-            target_step >>= 2 + (seen + 1 >> 1)
-            row += target_step
-            row[0] = np.minimum(seen + 1, 3)
-            table[at] = row.T
-        share = self.w * (gain + 64).astype(np.int64)
-        new = (share * (_ONE - 384) // share.sum(axis=0) + 128).astype(np.int32)
-        w = (self.w * 15 + new) >> 4
-        w[0] += _ONE - w.sum(axis=0)  # the weights of a set add up to _ONE
-        self.weight[self.set] = w.T
+        move = self.move
+        np.subtract(_TARGET.take(nibble, axis=0), self.by_order, out=move)
+        move >>= 2
+        _FACTOR.take(self.seen, axis=0, out=self.factor, mode="clip")
+        move *= self.factor.reshape(move.shape)
+        move >>= 2
+        self.by_order += move
+        self.rows[:, 0] = _SEEN.take(self.seen)
+        self.slots[self.at.ravel()] = self.items
+        # whole numbers below 2**53, and quotients that no rounding can lift to the next one
+        gain = self.gain
+        gain += 64
+        gain *= self.w
+        share = gain * float(_ONE - 384)
+        share /= np.add.reduce(gain, axis=0, dtype=np.int32)
+        w = self.w * 15
+        w += 128
+        w += share.astype(np.int32)
+        w >>= 4
+        w[0] += _ONE - np.add.reduce(w, axis=0, dtype=np.int32)  # the weights of a set add up to _ONE
+        self.weight.put(self.set, w)
+
+
+def _sides(blocks: int) -> int:
+    """Blocks coded at once: shared out evenly, SIDE at most."""
+    return -(-blocks // -(-blocks // SIDE)) if blocks else 1
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """ids cut into blocks, each coded on its own."""
     blocks = -(-len(ids) // BLOCK)
+    side = _sides(blocks)
     out: list[bytes] = []
-    for first in range(0, blocks, SIDE):
-        lanes = min(SIDE, blocks - first)
+    for first in range(0, blocks, side):
+        lanes = min(side, blocks - first)
         own = ids[first * BLOCK : (first + lanes) * BLOCK]
-        grid = np.zeros(lanes * BLOCK, np.int64)
+        grid = np.zeros(lanes * BLOCK, np.uint16)
         grid[: len(own)] = own
-        grid = grid.reshape(lanes, BLOCK)
-        n = np.minimum(BLOCK, len(own) - np.arange(lanes) * BLOCK)
+        grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
+        short = len(own) - (lanes - 1) * BLOCK  # ids of the last block: what is coded after them is thrown away
         mixer, lane = _Mixer(lanes), np.arange(lanes)
         low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
         words = np.zeros((lanes, BLOCK * 4 + 8), np.uint32)
-        at = np.ones(lanes, np.int64)  # a carry can run into word 0
+        line, start = words.ravel(), lane * (BLOCK * 4 + 8)
+        at = start + 1  # a carry can run into word 0
         one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        mask, sixteen, small = np.uint64((1 << 48) - 1), np.uint64(16), np.uint64(1 << 32)
-        for t in range(int(n.max())):
-            live = t < n  # only the last block is shorter
-            token, prefix = grid[:, t], np.ones(lanes, np.int64)
+        mask, small = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
+        last = None
+        for t in range(BLOCK if lanes > 1 else short):
+            if t == short:
+                last = words[-1].copy(), at[-1], low[-1]
+            token, prefix = grid[t].astype(np.int64), np.ones(lanes, np.int64)
+            mixer.follow(one, two)
             for place in range(4):
                 nibble = token >> (12 - 4 * place) & 15
-                bounds = mixer.predict(place, prefix, one, two)
-                lower, upper = bounds[nibble, lane].astype(np.uint64), bounds[nibble + 1, lane].astype(np.uint64)
+                mixer.open(place, prefix)
+                lower, share = mixer.share(nibble)
                 r = width >> np.uint64(15)
-                total = low + r * lower
-                words[lane, at - 1] += (total >> np.uint64(48)).astype(np.uint32) * live
-                low = np.where(live, total & mask, low)
-                width = np.where(live, r * (upper - lower), width)
+                low += r * lower
+                carry = np.flatnonzero(low > mask)
+                if len(carry):
+                    line[at[carry] - 1] += np.uint32(1)
+                    low &= mask
+                np.multiply(r, share, out=width)
                 full = np.flatnonzero(width < small)
-                words[full, at[full]] = low[full] >> np.uint64(32)
-                at[full] += 1
-                low[full] = low[full] << sixteen & mask
-                width[full] <<= sixteen
+                if len(full):
+                    own_low = low[full]
+                    line[at[full]] = own_low >> np.uint64(32)
+                    at[full] += 1
+                    low[full] = own_low << np.uint64(16) & mask
+                    width[full] <<= np.uint64(16)
                 mixer.learn(nibble)
                 prefix = prefix << 4 | nibble
             two, one = one, token + 1
+        if last:
+            words[-1], at[-1], low[-1] = last
         for shift in (32, 16, 0):
-            words[lane, at] = (low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint32)
+            line[at] = (low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint32)
             at += 1
+        at -= start
         for k in range(int(at.max()) - 1, 0, -1):
             words[:, k - 1] += words[:, k] >> 16
         out += [words[i, : at[i]].astype("<u2").tobytes() for i in range(lanes)]
@@ -140,45 +212,101 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 
 def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The ids of the blocks, one after the other."""
-    out = []
-    for first in range(0, len(blocks), SIDE):
-        own = blocks[first : first + SIDE]
-        lanes, n = len(own), np.asarray(sizes[first : first + SIDE])
+    out, side = [], _sides(len(blocks))
+    for first in range(0, len(blocks), side):
+        own = blocks[first : first + side]
+        lanes, n = len(own), np.asarray(sizes[first : first + side])
         length = max(len(b) // 2 for b in own) + 4
-        words = np.zeros((lanes, length), np.uint64)
+        words = np.zeros((lanes, length), np.uint16)
         for i, b in enumerate(own):
             words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        mixer, lane = _Mixer(lanes), np.arange(lanes)
+        mixer = _Mixer(lanes)
         # word 0 took the carries of the first 48 bits
-        code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << np.uint64(16) | words[:, 3]
-        at = np.full(lanes, 4)
+        code = np.zeros(lanes, np.uint64)
+        for k in range(4):
+            code = code << np.uint64(16) | words[:, k]
+        line, start = words.ravel(), np.arange(lanes) * length
+        at, end = start + 4, start + length - 1
         width = np.full(lanes, (1 << 48) - 1, np.uint64)
-        grid = np.zeros((lanes, int(n.max(initial=0))), np.int64)
+        grid = np.zeros((int(n.max(initial=0)), lanes), np.uint16)
         one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        small, sixteen = np.uint64(1 << 32), np.uint64(16)
-        for t in range(grid.shape[1]):
+        small = np.uint64(1 << 32)
+        for t in range(len(grid)):
             prefix = np.ones(lanes, np.int64)
+            mixer.follow(one, two)
             for place in range(4):
-                bounds = mixer.predict(place, prefix, one, two)
+                mixer.open(place, prefix)
                 r = width >> np.uint64(15)
-                target = np.minimum((code // r).astype(np.int64), TOTAL - 1)
-                nibble = (bounds[1:16] <= target).sum(axis=0)
-                lower, upper = bounds[nibble, lane].astype(np.uint64), bounds[nibble + 1, lane].astype(np.uint64)
-                code = code - r * lower
-                width = r * (upper - lower)
+                nibble = mixer.find(np.minimum(code // r, np.uint64(TOTAL - 1)).astype(np.int32))
+                lower, share = mixer.share(nibble)
+                code -= r * lower
+                np.multiply(r, share, out=width)
                 full = np.flatnonzero(width < small)
-                code[full] = code[full] << sixteen | words[full, np.minimum(at[full], length - 1)]
-                at[full] += 1
-                width[full] <<= sixteen
+                if len(full):
+                    code[full] = code[full] << np.uint64(16) | line[np.minimum(at[full], end[full])]
+                    at[full] += 1
+                    width[full] <<= np.uint64(16)
                 mixer.learn(nibble)
                 prefix = prefix << 4 | nibble
             token = prefix & 0xFFFF
-            grid[:, t] = token
+            grid[t] = token
             two, one = one, token + 1
-        out.append(grid[np.arange(grid.shape[1]) < n[:, None]])
+        out.append(grid.T[np.arange(len(grid)) < n[:, None]])
     return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
 
 
+# -- ids
+
+def cuts_at_spaces(model: str) -> bool:
+    """Whether a tokenizer file gives a text the ids of its units, cut before single spaces, one after the other."""
+    spec = json.loads(model)
+    pre, normal = spec.get("pre_tokenizer") or {}, not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in spec.get("added_tokens") or [])
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return bool(byte_level and normal and added and not spec["model"].get("dropout"))
+
+
+class Ids:
+    """Ids of texts by the tokenizers library, each text's followed by end_id."""
+
+    def __init__(self, model: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end_id = Tokenizer.from_str(model), end_id
+        self.split = _CUT.split if cuts_at_spaces(model) else lambda text: [text]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str | None, int] = {None: 0}  # None is the end of a text
+        self.held, self.starts, self.sizes, self.store = 0, np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end_id], np.uint32)
+
+    def of(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (end ids included), and how many each text has."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.held > HELD:
+            self.forget()
+        units: list[str | None] = []
+        heads = []
+        for text in texts:
+            heads.append(len(units))
+            units += self.split(text)
+            units.append(None)
+        new = list(set(units).difference(self.known))
+        if new:
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), np.int64, len(new))
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.starts = np.append(self.starts, len(self.store) + np.cumsum(sizes) - sizes)
+            self.sizes = np.append(self.sizes, sizes)
+            self.store = np.append(self.store, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())))
+            self.held += sum(map(len, new)) + 100 * len(new)
+        place = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        return self.store[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(ends[-1])], np.add.reduceat(sizes, heads)
+
+
 # -- files
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -225,21 +353,22 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer, part = Tokenizer.from_str(model.value), TaskContext.get().partitionId()
+        coder, part = Ids(model.value, end_id), TaskContext.get().partitionId()
         names, lengths, ids = [], [], []
         for batch in batches:
             for piece in pieces(batch, "text"):
-                coded = tokenizer.encode_batch_fast(piece.column("text").to_pylist(), add_special_tokens=False)
-                ids += [np.array([*c.ids, end_id], np.uint16 if max(c.ids, default=0) < 65536 else np.uint32) for c in coded]
-                lengths += [len(c.ids) + 1 for c in coded]
+                own, sizes = coder.of(piece.column("text").to_pylist())
+                if own.max(initial=0) > 0xFFFF:
+                    raise ValueError("the coder takes ids below 65536")
+                ids.append(own.astype(np.uint16))
+                lengths.append(sizes)
                 names.append(piece.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy())
+        coder.forget()
         if names:
-            flat = np.concatenate(ids)
-            if flat.dtype != np.uint16:
-                raise ValueError("the coder takes ids below 65536")
-            raw = pack(np.concatenate(names), np.array(lengths), flat)
+            flat, sizes = np.concatenate(ids), np.concatenate(lengths)
+            ids.clear()
+            raw = pack(np.concatenate(names), sizes, flat)
             store, path = open_store(folder)
             store.create_dir(path, recursive=True)
             own = f"{path}/.{part}-{os.getpid()}-{np.random.default_rng().integers(1 << 62)}"
@@ -247,7 +376,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", t
                 out.write(raw)
             store.move(own, f"{path}/part-{part:08d}.cmrc")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:08d}.cmrc"]), pa.array([len(lengths)]),
+                [pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:08d}.cmrc"]), pa.array([len(sizes)]),
                  pa.array([len(flat)]), pa.array([len(raw)])], names=["part", "path", "n_docs", "n_ids", "n_bytes"])
 
     return rows.mapInArrow(run, "part int, path string, n_docs long, n_ids long, n_bytes long")
@@ -262,7 +391,8 @@ def read_tokens(parts: DataFrame) -> DataFrame:
     if not listed:
         return spark.createDataFrame([], schema)
     before = np.concatenate([[0], np.cumsum([r[2] for r in listed])]).tolist()
-    files = spark.createDataFrame([(r[1], int(b)) for r, b in zip(listed, before[:-1], strict=True)], "path string, before long").repartition(len(listed))
+    rows = [(r[1], int(b)) for r, b in zip(listed, before[:-1], strict=True)]
+    files = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "path string, before long")  # a task for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,10 @@
 """Token files, merge-dropout, Kneser-Ney, neighbours and chat formatting: round trips, brute force, edge cases."""
 
 import collections
+import json
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -48,6 +50,62 @@ def test_damage_is_found():
         token_coder.unpack(bytes(raw))
 
 
+def test_format_is_the_same():
+    """Sizes and checksums of what the first version of the coder wrote."""
+    rng = np.random.default_rng(7)
+    for ids, want in ((np.minimum(rng.zipf(1.3, 9000), 65535), [(3746, 1122113268), (3710, 3811099662), (744, 1961336100)]), (rng.integers(0, 65536, 4097), [(8484, 3930370470), (10, 2101165051)]), (np.full(5000, 65535), [(20, 3654652985), (20, 2054234445)])):
+        blocks = token_coder.encode_blocks(ids.astype(np.uint16))
+        assert [(len(b), zlib.crc32(b)) for b in blocks] == want
+
+
+class Counted:
+    """The library, with the characters given to it counted."""
+
+    def __init__(self, own):
+        self.own, self.seen = own, 0
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        self.seen += sum(map(len, texts))
+        return self.own.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
+def test_units_are_tokenized_once():
+    from tokenizers import Tokenizer
+
+    with open(BYTES) as f:
+        model = f.read()
+    odd = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "ZC"] + ["\U000e0001", "é", "字", "7", "'s", "<|endoftext|>"]
+    texts = [*TEXTS, "", " ", "  a  b ", "a  b c\n d\t e \n\n f", *(f"x{c} {c}y {c} z {c}{c}  {c} " for c in odd)]
+    texts = [t or "" for t in texts]
+    library, ids = Tokenizer.from_str(model), token_coder.Ids(model, 2)
+    ids.tokenizer = counted = Counted(ids.tokenizer)
+    for held in (0, token_coder.HELD):  # forgetting changes nothing
+        ids.held = token_coder.HELD + 1 if not held else ids.held
+        got, sizes = ids.of(texts)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert got.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    counted.seen = 0
+    got, sizes = ids.of(["some words come again and again"] * 1000)
+    assert len(got) == 1000 * sizes[0] and counted.seen <= len("some words come again and again")
+
+
+def test_whole_texts_where_the_file_needs_them():
+    with open(BYTES) as f:
+        spec = json.load(f)
+    assert token_coder.cuts_at_spaces(json.dumps(spec))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+                   {"added_tokens": [spec["added_tokens"][0] | {"rstrip": True}]}, {"added_tokens": [spec["added_tokens"][0] | {"content": "a b"}]}):
+        assert not token_coder.cuts_at_spaces(json.dumps(spec | change))
+
+
+def test_files_are_read_side_by_side(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id as doc_id", "repeat(concat('word ', id, ' '), 20) as text")
+    parts = stored(token_coder.write_tokens(rows, BYTES, part_bytes=60_000))
+    files = parts.count()
+    tasks = token_coder.read_tokens(parts).groupBy(F.spark_partition_id()).agg(F.count("*"), F.min("start"), F.max("start")).collect()
+    assert files > 8 and len(tasks) == files
+
+
 def test_token_files(spark, edge, none):
     from tokenizers import Tokenizer
 
